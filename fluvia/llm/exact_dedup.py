@@ -13,6 +13,7 @@ does; repeated rows form a group; an empty table gives an empty result; extra co
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from fluvia.llm import common
 
 #: Digests a bucket holds on average.
 BUCKET_KEYS = 4096
+#: Bits of the map of digests with copies.
+MAP_BITS = 1 << 23
 
 #: A run of white space that is not one space; `[\x20\t-\r]+` to one space, with fewer replacements.
 WHITE = "[\\t-\\r][ \\t-\\r]*| [ \\t-\\r]+"
@@ -159,22 +162,27 @@ def merged(held: DataFrame, new: DataFrame) -> DataFrame:
     return met.unionByName(new.filter("NOT maybe").select("sha", F.col("new_keep").alias("keep"), F.col("new_n").alias("n")))
 
 
-def unequal(docs: DataFrame, groups: DataFrame, total: int) -> int:
-    """Rows whose normalised bytes differ from those of the row that stays: the byte check before anything is dropped.
+def unequal(docs: DataFrame, groups: DataFrame) -> int:
+    """Digests of groups whose normalised texts are not the same bytes: the check before anything is dropped.
 
-    Only texts of groups move. The text that stays is sent out once for every total / HOT_SHARE rows of its group, so that
-    no task gets a whole large group.
+    A text goes to its group's task as the least and the greatest of the texts of its input task, so a group with a third
+    of all rows is a row per task. A bitmap of MAP_BITS (its size is fixed) keeps nearly all texts without copies at home;
+    where a corpus fills it, their texts move too, and the result is the same.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(common.text_of()).alias("norm"))
-    text = text.withColumn("sha", F.sha2("norm", 256))
-    share = F.greatest(F.lit(total // common.HOT_SHARE), F.lit(64))
-    several = groups.filter("n > 1").withColumn("parts", F.ceil(F.col("n") / share).cast("long"))
-    rows = common.hot_lookup(text, several, "sha", "n", total, F.xxhash64("doc_id", "norm")).filter("n IS NOT NULL")
-    rows = rows.withColumn("key", F.concat_ws(":", "sha", F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
-    stays = rows.filter(F.col("doc_id").eqNullSafe(F.col("keep"))).dropDuplicates(["sha"])
-    stays = stays.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sha", F.col("norm").alias("kept_norm"))
-    stays = stays.select(F.concat_ws(":", "sha", "part").alias("key"), "kept_norm")
-    return rows.select("key", "norm").join(stays, "key").filter("norm <> kept_norm").count()
+    bit = F.pmod(F.xxhash64("sha"), F.lit(MAP_BITS))
+    bits = groups.filter("n > 1").select((bit / 32).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("bit"))
+    words = np.zeros(MAP_BITS // 32, dtype=np.int64)
+    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most MAP_BITS / 32 rows
+        words[r["word"]] = r["bits"]
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def several(at: pd.Series) -> pd.Series:
+        return pd.Series((held.value[at.to_numpy() // 32] >> (at.to_numpy() % 32) & 1).astype(bool))
+
+    text = docs.select(normalised(common.text_of()).alias("norm")).withColumn("sha", F.sha2("norm", 256))
+    same = text.filter(several(bit)).groupBy("sha").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    return same.filter("least <> greatest").count()
 
 
 def deduplicated(docs: DataFrame, split: Column | None = None, check_bytes: bool = True) -> DataFrame:
@@ -190,8 +198,8 @@ def deduplicated(docs: DataFrame, split: Column | None = None, check_bytes: bool
     held, filters = snapshot(old, buckets)
     new = common.written(screened(grouped(keyed.filter(~older)), filters, buckets), "dedup-screened")
     groups = common.written(merged(held, new), "dedup-groups")
-    if check_bytes and (bad := unequal(docs, groups, total)):
-        raise ValueError(f"{bad} rows have the digest of another text")
+    if check_bytes and (bad := unequal(docs, groups)):
+        raise ValueError(f"{bad} digests stand for several texts")
     several = groups.filter("n > 1")
     x = common.hot_lookup(keyed, several, "sha", "n", total, F.xxhash64("doc_id"))
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
