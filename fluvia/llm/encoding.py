@@ -9,69 +9,108 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Iterable
-
-import numpy as np
+from itertools import chain
 
 #: Entries a worker keeps; longer pieces than MEMO_CHARS are encoded but not kept.
-MEMO_SIZE = 400_000
+MEMO_SIZE = 1_000_000
 MEMO_CHARS = 48
 
 _workers: dict[tuple, object] = {}
 
 
 class Memo:
-    """Encodes lists of pieces; `batch` maps pieces to lists of ids."""
+    """Encodes lists of keys of pieces.
+
+    `text_of` gives a key's piece and `batch` maps pieces to lists of ids. `word` gives the ids of a key that is one plain word,
+    maybe with a comma or full stop, and None for other keys.
+    """
 
-    def __init__(self, batch: Callable[[list[str]], list[list[int]]], size: int = MEMO_SIZE):
-        self.batch, self.size = batch, size
+    def __init__(self, batch: Callable[[list[str]], list[list[int]]], text_of: Callable, word: Callable | None = None, size: int = MEMO_SIZE):
+        self.batch, self.text_of, self.word, self.size = batch, text_of, word, size
         self.kept: dict = {}
 
+    def _learn(self, keys: set) -> dict:
+        """Ids of keys that are not kept; the short ones are kept from now on."""
+        new, todo = {}, []
+        for k in keys:
+            v = self.word(k) if self.word else None
+            if v is None:
+                todo.append(k)
+            else:
+                new[k] = v
+        for at in range(0, len(todo), 20_000):
+            some = todo[at : at + 20_000]
+            for k, ids in zip(some, self.batch([self.text_of(k) for k in some]), strict=True):
+                new[k] = array("I", ids).tobytes()
+        if len(self.kept) + len(new) > self.size:
+            self.kept.clear()
+        self.kept.update((k, v) for k, v in new.items() if len(k) <= MEMO_CHARS)
+        return new
+
     def ids(self, texts: Iterable[list]) -> list[bytes]:
-        """For each text, given as its pieces, the ids as little-endian unsigned 32-bit integers."""
+        """For each text, given as its keys, the ids as little-endian unsigned 32-bit integers."""
         texts = list(texts)
-        kept = self.kept
-        if len(kept) > self.size:
-            kept.clear()
-        missing = [p for p in set().union(*texts) if p not in kept]
-        long = []
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for piece, ids in zip(part, self.batch(part), strict=True):
-                kept[piece] = np.asarray(ids, dtype="<u4").tobytes()
-                if len(piece) > MEMO_CHARS:
-                    long.append(piece)
-        out = [b"".join(map(kept.__getitem__, pieces)) for pieces in texts]
-        for piece in long:
-            del kept[piece]
+        flat = list(chain.from_iterable(texts))
+        found = list(map(self.kept.get, flat))
+        if missing := [i for i, v in enumerate(found) if v is None]:
+            new = self._learn({flat[i] for i in missing})
+            for i in missing:
+                found[i] = new[flat[i]]
+        out, at = [], 0
+        for keys in texts:
+            out.append(b"".join(found[at : at + len(keys)]))
+            at += len(keys)
         return out
 
 
-#: Any white space that touches other white space or begins the text.
-_RUNS = re.compile(r"\s\s|\A\s")
+#: White space; a space beside another of these is a run. Python's own set, which holds all that tokenisers use.
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
 #: Places before a single space that stands between two other characters.
 _SINGLE = re.compile(r"(?<=\S)(?= \S)")
 
 
-def byte_level_pieces(text: str) -> list[str]:
-    """Pieces of a text for byte-level BPE with the usual pattern (an optional space before each word).
+def _has_runs(text: str) -> bool:
+    """White space at the start, or beside a space or a line end."""
+    return text[:1].isspace() or any(c in text and any(" " + c in text or c + " " in text if e == " " else "\n" + c in text or c + "\n" in text for e in " \n") for c in _WHITE)
+
 
-    No pre-token spans a place before a space that follows another character, and a pre-token that begins at the only
-    white space between two words depends on nothing before it: cutting there is safe.
+def byte_level_pieces(text: str) -> list:
+    """Keys of a text's pieces for byte-level BPE with the usual pattern (an optional space before each word): a string
+    stands for itself after one space, bytes for themselves.
+
+    No pre-token spans a place before white space that follows another character, and a pre-token that begins at the only
+    white space between two words depends on nothing before it (a lone line end is one itself): cutting there is safe.
     """
     if not text:
         return []
-    if _RUNS.search(text):
-        return _SINGLE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+    if _has_runs(text):
+        return [p[1:] if p[0] == " " and p[1:2] not in ("", " ") and not p[1].isspace() else p.encode() for p in _SINGLE.split(text)]
+    keys: list = []
+    for line in text.split("\n"):
+        words = line.split(" ")
+        keys += [b"\n", words[0].encode()]
+        keys += words[1:]
+    return keys[1:]
+
+
+def _byte_text(key) -> str:
+    return key.decode() if isinstance(key, bytes) else " " + key
 
 
 def white_space_pieces(text: str) -> list[bytes]:
-    """Pieces for tokenisers that drop white space: no pre-token holds any."""
+    """Keys for tokenisers that drop white space: no pre-token holds any."""
     return text.encode("utf-8", "replace").split()
 
 
+#: Words whose pre-token is the word (with its space), with a comma or full stop, which is one of its own.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,48})([,.]?)")
+#: Bytes as characters in byte-level vocabularies: printable Latin-1 as itself, the others in order from U+0100.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = str.maketrans({b: chr(b) if b in _SHOWN else chr(256 + b - sum(s < b for s in _SHOWN)) for b in range(256)})
+
+
 def _library(path: str):
     from tokenizers import Tokenizer
 
@@ -80,20 +119,38 @@ def _library(path: str):
     return t
 
 
-def word_encoder(path: str) -> Memo:
-    """The tokenizers library on white-space separated pieces."""
-    if (key := ("word", path)) not in _workers:
+def _direct(t, of: Callable) -> Callable:
+    """Ids of plain words straight from the library's BPE model, past its pre-tokeniser."""
+    tokenize = t.model.tokenize
+    ids = lambda s: array("I", [x.id for x in tokenize(s)]).tobytes()
+    tails = {"": b"", ",": ids(","), ".": ids(".")}
+
+    def word(key):
+        lead, s = of(key)
+        m = _PLAIN.fullmatch(s)
+        if m is None:
+            return None
+        stem = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(_ALPHABET)
+        return ids(lead + stem) + tails[m[2]]
+
+    return word
+
+
+def _encoder(kind: str, path: str, text_of: Callable, of: Callable) -> Memo:
+    if (key := (kind, path)) not in _workers:
         t = _library(path)
-        _workers[key] = Memo(lambda ps: [e.ids for e in t.encode_batch_fast([p.decode() for p in ps], add_special_tokens=False)])
+        _workers[key] = Memo(lambda ps: [e.ids for e in t.encode_batch_fast(ps, add_special_tokens=False)], text_of, _direct(t, of))
     return _workers[key]
 
 
+def word_encoder(path: str) -> Memo:
+    """The tokenizers library, for a lower-casing vocabulary, on white-space separated pieces."""
+    return _encoder("word", path, bytes.decode, lambda k: ("", k.decode().lower()))
+
+
 def byte_encoder(path: str) -> Memo:
     """The tokenizers library on pieces of byte-level BPE."""
-    if (key := ("byte", path)) not in _workers:
-        t = _library(path)
-        _workers[key] = Memo(lambda ps: [e.ids for e in t.encode_batch_fast(ps, add_special_tokens=False)])
-    return _workers[key]
+    return _encoder("byte", path, _byte_text, lambda k: ("", k.decode()) if isinstance(k, bytes) else ("\u0120", k))
 
 
 def rank_encoding(path: str, pattern: str):
@@ -110,7 +167,7 @@ def rank_encoding(path: str, pattern: str):
 def rank_encoder(path: str, pattern: str) -> Memo:
     if (key := ("rank memo", path, pattern)) not in _workers:
         e = rank_encoding(path, pattern)
-        _workers[key] = Memo(lambda ps: [e.encode_ordinary(p) for p in ps])
+        _workers[key] = Memo(lambda ps: [e.encode_ordinary(p) for p in ps], _byte_text)
     return _workers[key]
 
 
