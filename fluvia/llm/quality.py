@@ -3,7 +3,7 @@
 Statistics are column expressions; windows of five words are compared by their 64-bit hashes within one text, so nothing is
 exploded or shuffled. The decision list is learned by sequential covering on at most SAMPLE labelled rows (those with the
 smallest hashes of their ids): each rule grows as a conjunction of up to MAX_TERMS thresholds on statistics, by FOIL gain on the
-growing part, is pruned from its end on the pruning part, and is accepted if it is precise enough there; rows it covers leave, and
+growing part, is pruned from its end on the pruning part, has its thresholds centred in the gaps they cut, and is accepted if it is precise enough there; rows it covers leave, and
 the next rule is learned. The list is emitted as one ordered conditional expression (CASE WHEN), which Catalyst compiles.
 
 Edge cases: null or empty text has no words, zero statistics and fails the base rule; repeated rows are judged each; labels with null
@@ -32,10 +32,6 @@ WHITE = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Statistics that rules may use, all rates, so that a rule behaves alike on texts of any length.
-FEATURES = ("repeat_rate", "dup_line_rate", "symbol_rate", "upper_rate", "digit_rate", "mark_rate", "mean_word", "distinct_rate", "pipe_rate", "link_rate")
-
-
 def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
@@ -44,49 +40,56 @@ def _count(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(_without(text, chars))).cast("long")
 
 
-def base_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep` and `t` (text, null as empty), words, the four base statistics and n_words."""
-    x = docs.select(*keep, common.text_of().alias("t"))
-    x = x.withColumn("words", F.filter(F.split("t", "[ \\t-\\r]+"), lambda w: w != ""))
-    x = x.withColumn("lines", F.filter(F.split("t", "\n"), lambda v: F.length(F.translate(v, WHITE, "")) > 0))
-    n = F.size("words")
-    w = F.col("words")
-    hashes = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))
-    x = x.withColumn("hashes", F.when(n >= 5, hashes).otherwise(F.array().cast("array<long>")))
-    x = x.withColumn("n_words", n.cast("long"))
-    x = x.withColumn("word_chars", F.length(_without(F.col("t"), WHITE)).cast("long")).withColumn("n_symbols", _count(F.col("t"), SYMBOLS))
-    x = x.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    x = x.withColumn("n_distinct", F.size(F.array_distinct("words")).cast("long"))
-    # places of windows found twice: sorted by (hash, place), equal neighbours
-    x = x.withColumn("marked", F.when(F.size("hashes") == F.size(F.array_distinct("hashes")), F.lit(None)).otherwise(F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    m = F.col("marked")
-    twice = F.filter(m, lambda s, k: (F.get(m, k - 1)["h"] == s["h"]) | (F.get(m, k + 1)["h"] == s["h"]))
-    x = x.withColumn("starts", F.when(m.isNotNull(), F.sort_array(F.transform(twice, lambda s: s["i"]))))
-    s = F.col("starts")
-    covered = F.aggregate(F.transform(s, lambda v, k: F.least(F.lit(5), F.coalesce(F.get(s, k + 1) - v, F.lit(5)))), F.lit(0).cast("long"), lambda a, v: a + v)
-    x = x.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return x.drop("words", "lines", "hashes", "marked", "starts")
+#: Statistics that rules may use, all rates, so that a rule behaves alike on texts of any length.
+FEATURES = ("repeat_rate", "dup_line_rate", "symbol_rate", "upper_rate", "digit_rate", "mark_rate", "mean_word", "distinct_rate", "pipe_rate", "link_rate")
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and FEATURES."""
-    x = base_statistics(docs, keep)
-    t, n = F.col("t"), F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    lines = F.length(t) - F.length(_without(t, "\n")) + F.lit(1)
+    """`keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, FEATURES and `_at`.
+
+    `_at` numbers the rows; a filter that uses it stays above these expressions (a filter pushed into them would repeat
+    them word by word).
+    """
+    t, n, g = F.col("t"), F.col("n_words"), F.col("g")
+    x = docs.select(*keep, common.text_of().alias("t"), F.monotonically_increasing_id().alias("_at"))
+    trimmed = F.btrim(t, F.lit(WHITE))
+    none = F.array().cast("array<long>")
+    lines = F.filter(F.split(t, "\n"), lambda v: F.length(F.translate(v, WHITE, "")) > 0)
+    x = x.select(
+        *keep, "_at",
+        F.when(trimmed == "", none).otherwise(F.transform(F.split(trimmed, "[ \\t-\\r]+"), lambda w: F.xxhash64(w))).alias("g"),
+        F.transform(lines, lambda v: F.xxhash64(v)).alias("lines"),
+        F.length(_without(t, WHITE)).cast("long").alias("word_chars"), _count(t, SYMBOLS).alias("n_symbols"), (_count(t, "\n") + 1).alias("n_lines"),
+        _count(t, UPPER).alias("n_upper"), _count(t, "0123456789").alias("n_digit"), _count(t, "!?").alias("n_mark"), _count(t, "|").alias("n_pipe"), _count(t, "/@").alias("n_link"),
+    )
+    rest = ["word_chars", "n_symbols", "n_lines", "n_upper", "n_digit", "n_mark", "n_pipe", "n_link"]
+    x = x.select(*keep, "_at", *rest, "g", F.size("g").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
+    rest += ["n_words", "n_dup_lines"]
+    windows = F.transform(F.sequence(F.lit(0), n.cast("int") - 5), lambda i: F.xxhash64(*[F.get(g, i + k) for k in range(5)]))
+    x = x.select(*keep, "_at", *rest, F.size(F.array_distinct("g")).cast("long").alias("n_distinct"), F.when(n >= 5, windows).otherwise(none).alias("h"))
+    rest += ["n_distinct"]
+    # windows found twice: sorted by (hash, place), equal neighbours; most texts have none
+    placed = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    x = x.select(*keep, "_at", *rest, F.when(F.size("h") > F.size(F.array_distinct("h")), placed).alias("m"))
+    m, s = F.col("m"), F.col("starts")
+    twice = F.filter(m, lambda v, k: (F.get(m, k - 1)["h"] == v["h"]) | (F.get(m, k + 1)["h"] == v["h"]))
+    x = x.select(*keep, "_at", *rest, F.when(m.isNotNull(), F.sort_array(F.transform(twice, lambda v: v["i"]))).alias("starts"))
+    covered = F.aggregate(F.transform(s, lambda v, k: F.least(F.lit(5), F.coalesce(F.get(s, k + 1) - v, F.lit(5)))), F.lit(0).cast("long"), lambda a, v: a + v)
+    x = x.select(*keep, "_at", *rest, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    words, chars = F.greatest(n, F.lit(1)).cast("double"), F.greatest("word_chars", F.lit(1)).cast("double")
     return x.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
-        (F.col("n_repeat_words") / n).alias("repeat_rate"),
-        (F.col("n_dup_lines") / lines).alias("dup_line_rate"),
+        *keep, "_at", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        ((n < 10) | (100 * F.col("n_repeat_words") > 20 * n)).alias("base_failed"),
+        (F.col("n_repeat_words") / words).alias("repeat_rate"),
+        (F.col("n_dup_lines") / F.col("n_lines")).alias("dup_line_rate"),
         (F.col("n_symbols") / chars).alias("symbol_rate"),
-        (_count(t, UPPER) / chars).alias("upper_rate"),
-        (_count(t, "0123456789") / chars).alias("digit_rate"),
-        (_count(t, "!?") / chars).alias("mark_rate"),
-        (F.col("word_chars") / n).alias("mean_word"),
-        (F.col("n_distinct") / n).alias("distinct_rate"),
-        (_count(t, "|") / n).alias("pipe_rate"),
-        (_count(t, "/@") / chars).alias("link_rate"),
+        (F.col("n_upper") / chars).alias("upper_rate"),
+        (F.col("n_digit") / chars).alias("digit_rate"),
+        (F.col("n_mark") / chars).alias("mark_rate"),
+        (F.col("word_chars") / words).alias("mean_word"),
+        (F.col("n_distinct") / words).alias("distinct_rate"),
+        (F.col("n_pipe") / words).alias("pipe_rate"),
+        (F.col("n_link") / chars).alias("link_rate"),
     )
 
 
@@ -166,6 +169,18 @@ def _quality(terms: list[Term], rows: list[dict]) -> tuple[float, int]:
     return (sum(covered) + 1) / (len(covered) + 2), sum(covered)
 
 
+def _centred(terms: list[Term], rows: list[dict]) -> list[Term]:
+    """Each threshold moved to the middle of the gap between the rejected rows that the rule covers and the other rows."""
+    for i, t in enumerate(terms):
+        inside = [r for r in rows if all(u.holds(r) for u in terms[:i] + terms[i + 1 :])]
+        sign = 1 if t.above else -1
+        bad = [sign * r[t.feature] for r in inside if r["bad"] and t.holds(r)]
+        good = [sign * r[t.feature] for r in inside if not r["bad"]]
+        if bad and (below := [v for v in good if v < min(bad)]) and not any(v >= min(bad) for v in good):
+            terms = [*terms[:i], Term(t.feature, t.above, sign * (max(below) + min(bad)) / 2), *terms[i + 1 :]]
+    return terms
+
+
 def learn(rows: list[dict]) -> list[Rule]:
     """Sequential covering: an ordered list of rules for `bad` rows."""
     rows = [r for r in rows if r["bad"] is not None]
@@ -180,6 +195,7 @@ def learn(rows: list[dict]) -> list[Rule]:
             terms = terms[:-1]
         if not terms:
             break
+        terms = _centred(terms, rows)
         share, hits = _quality(terms, prune)
         covered = [r for r in rows if all(t.holds(r) for t in terms)]
         right = sum(r["bad"] for r in covered)
@@ -197,9 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_q").limit(SAMPLE)  # the documented bound
     x = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    x = statistics(x, ["_id", "_q"]).filter("NOT base_failed")
-    rows = [r.asDict() for r in x.select("_id", "_q", *FEATURES).orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(SAMPLE).collect()]
-    return learn([{**r, "bad": int(r["_q"] == 0)} for r in rows])
+    x = statistics(x, ["_id", "_q"]).select("_id", "_q", "base_failed", "n_words", *FEATURES)
+    rows = [r.asDict() for r in x.orderBy(F.xxhash64("_id"), "_id", "_q", "n_words").limit(SAMPLE).collect()]
+    return learn([{**r, "bad": int(r["_q"] == 0)} for r in rows if not r["base_failed"]])
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -215,7 +231,7 @@ def verdict(rules: list[Rule]) -> Column:
 def judged(docs: DataFrame, rules: list[Rule], keep: list[str] | None = None) -> DataFrame:
     """Statistics with base_failed, rule (number of the rule that rejects) and kept."""
     x = statistics(docs, keep or ["doc_id"])
-    return x.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return x.withColumn("rule", verdict(rules)).withColumn("kept", (F.col("_at") >= 0) & ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def kept_only(docs: DataFrame, rules: list[Rule]) -> DataFrame:
