@@ -135,7 +135,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    x = pieces.drop("ids").join(base, ["part", "length"])
+    x = pieces.drop("ids").join(base.hint("merge"), ["part", "length"])  # it grows with the input: not to be broadcast
     held = spark.sparkContext.broadcast({k: tuple(np.array(c, dtype="int64") for c in zip(*v, strict=True)) for k, v in runs.items()})  # bounded by the capacity
 
     def place(batches):

@@ -27,6 +27,8 @@ SAMPLE = 4000
 CUTS, MAX_TERMS, MAX_RULES = 24, 3, 12
 #: A rule must be right on this share of the rows it covers, in the pruning part too, and cover this many rejected rows.
 PRECISION, LEAST = 0.95, 5
+#: Share of the best gain that a term in a wider gap may have.
+NEAR = 0.8
 
 WHITE = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -40,8 +42,8 @@ def _count(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(_without(text, chars))).cast("long")
 
 
-#: Statistics that rules may use, all rates, so that a rule behaves alike on texts of any length.
-FEATURES = ("repeat_rate", "dup_line_rate", "symbol_rate", "upper_rate", "digit_rate", "mark_rate", "mean_word", "distinct_rate", "pipe_rate", "link_rate")
+#: Statistics that rules may use, all rates (variety: log of distinct over log of all words), so that a rule behaves alike on texts of any length.
+FEATURES = ("repeat_rate", "dup_line_rate", "symbol_rate", "upper_rate", "digit_rate", "mark_rate", "mean_word", "variety", "pipe_rate", "link_rate")
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -87,7 +89,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         (F.col("n_digit") / chars).alias("digit_rate"),
         (F.col("n_mark") / chars).alias("mark_rate"),
         (F.col("word_chars") / words).alias("mean_word"),
-        (F.col("n_distinct") / words).alias("distinct_rate"),
+        (F.log1p(F.col("n_distinct").cast("double")) / F.log1p(words)).alias("variety"),
         (F.col("n_pipe") / words).alias("pipe_rate"),
         (F.col("n_link") / chars).alias("link_rate"),
     )
@@ -130,36 +132,43 @@ class Rule:
         return " AND ".join(f"{t.feature} {'>' if t.above else '<='} {t.cut:.6g}" for t in self.terms)
 
 
-def _cuts(rows: list[dict], f: str) -> list[float]:
+def _cuts(rows: list[dict], f: str) -> list[tuple[float, float]]:
+    """Thresholds with the width of the gap that each cuts, as a share of the range: quantiles and the widest gaps."""
     values = sorted({r[f] for r in rows})
-    places = sorted({i * (len(values) - 1) // CUTS for i in range(CUTS)}) if len(values) > 1 else []
-    return [(values[i] + values[i + 1]) / 2 for i in places]
+    if len(values) < 2:
+        return []
+    gaps = sorted(range(len(values) - 1), key=lambda i: (values[i] - values[i + 1], i))[: CUTS // 2]
+    places = sorted({i * (len(values) - 1) // CUTS for i in range(CUTS)} | set(gaps))
+    return [((values[i] + values[i + 1]) / 2, (values[i + 1] - values[i]) / (values[-1] - values[0])) for i in places]
 
 
 def _grow(rows: list[dict]) -> list[Term]:
-    """Terms by FOIL gain, until no rejected-only conjunction improves."""
+    """Terms by FOIL gain, until no rejected-only conjunction improves; of terms within NEAR of the best gain, the one in
+    the widest gap."""
     terms: list[Term] = []
     inside = rows
     while len(terms) < MAX_TERMS:
         bad = sum(r["bad"] for r in inside)
         if not bad or bad == len(inside):
             break
-        best, best_gain = None, 1e-9
+        tried: list[tuple[float, float, Term]] = []
         before = log2(bad / len(inside))
         for f in FEATURES:
             ordered = sorted((r[f], r["bad"]) for r in inside)
-            cuts, k, n, b = _cuts(inside, f), 0, 0, 0
-            for cut in cuts:
+            k, n, b = 0, 0, 0
+            for cut, gap in _cuts(inside, f):
                 while k < len(ordered) and ordered[k][0] <= cut:
                     n, b, k = n + 1, b + ordered[k][1], k + 1
                 for above, size, hits in ((False, n, b), (True, len(inside) - n, bad - b)):
                     gain = hits * (log2(hits / size) - before) if hits else 0
-                    if gain > best_gain:
-                        best, best_gain = Term(f, above, cut), gain
-        if best is None:
+                    if gain > 1e-9:
+                        tried.append((gain, gap, Term(f, above, cut)))
+        if not tried:
             break
-        terms.append(best)
-        inside = [r for r in inside if best.holds(r)]
+        top = max(t[0] for t in tried)
+        term = max((t for t in tried if t[0] >= NEAR * top), key=lambda t: (t[1], t[0], t[2].feature, t[2].above, t[2].cut))[2]
+        terms.append(term)
+        inside = [r for r in inside if term.holds(r)]
     return terms
 
 
