@@ -11,6 +11,8 @@ import atexit
 import shutil
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def text_of(name: str = "text") -> Column:
 
 
 def hot_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, salt: Column) -> DataFrame:
-    """Left join on a string key, where a key may hold a third of the left rows.
+    """Left join on a string or binary key, where a key may hold a third of the left rows.
 
     `right` has one row per key with `count` left rows each. Keys with more than total / HOT_SHARE rows
     (fewer than HOT_SHARE of them, by counting) are broadcast; their left rows then get a private join key, so
@@ -82,6 +84,68 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: i
     rest = rest.select(F.col(key).alias("_rk"), *[F.col(c).alias(f"_r_{c}") for c in cols])
     x = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
     own = F.concat(F.lit("#"), F.coalesce(salt.cast("string"), F.lit("")))
-    x = x.withColumn("_jk", F.when(F.col("_hk").isNotNull(), own).otherwise(F.col(key)))
+    x = x.withColumn("_jk", F.when(F.col("_hk").isNotNull(), own.cast(left.schema[key].dataType)).otherwise(F.col(key)))
     x = x.join(rest, F.col("_jk") == F.col("_rk"), "left")
     return x.select(*[F.col(c) for c in left.columns], *[F.coalesce(f"_h_{c}", f"_r_{c}").alias(c) for c in cols])
+
+
+class Bitmap:
+    """Hashed membership of a long column, for filters that may let others through: false means surely not in.
+
+    Its size is a power of two between 2**16 and 2**28 bits (32 MB, the bound of what is broadcast); a set that fills it only
+    weakens the filter.
+    """
+
+    LEAST, MOST = 16, 28
+
+    def __init__(self, held: DataFrame, column: str, n: int):
+        self.bits = 1 << min(self.MOST, max(self.LEAST, (16 * n).bit_length()))
+        at = self._at(column)
+        words = np.zeros(self.bits // 32, dtype=np.int64)
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))
+        # at most bits / 32 rows
+        for r in held.select((at / 32).cast("long").alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+            words[r["w"]] = r["b"]
+        self.words = held.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
+
+    def _at(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
+
+    def maybe(self, column: str) -> Column:
+        held = self.words
+
+        @F.pandas_udf("boolean")
+        def test(at: pd.Series) -> pd.Series:
+            k = at.to_numpy()
+            return pd.Series((held.value[k // 32] >> (k % 32).astype(np.uint32) & 1).astype(bool))
+
+        return test(self._at(column))
+
+
+def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """node, label (smallest node of its connected component) of every node of the edges (a, b: longs).
+
+    Alternating large-star and small-star rounds; a node with a third of all edges is safe (see hot_lookup). Nothing but counts
+    reaches the driver.
+    """
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = written(e, "cc-edges")
+    state = None
+    for _ in range(most_rounds):
+        for large in (True, False):
+            both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if large:
+                both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            both = both.withColumn("k", F.col("u").cast("string"))
+            least = written(both.groupBy("k").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-least")
+            x = hot_lookup(both, least, "k", "n", both.count(), F.xxhash64("u", "v"))
+            m = F.least("m", "u")
+            to = x.select(F.col("v").alias("a"), m.alias("b"), F.col("u").alias("u"))
+            to = to.filter("a > u").select("a", "b") if large else to.select("a", "b").unionByName(x.select(F.col("u").alias("a"), m.alias("b")))
+            e = written(to.filter("a <> b").distinct(), "cc-edges")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
