@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from fluvia.llm import bpe, exact_dedup, licenses, ngram_join, packing, pii, quality, secrets, store
+from fluvia.llm import bpe, exact_dedup, licenses, ngram_join, packing, pii, quality, secrets, store, substrings
 
 SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secrets.SQL}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (licenses.op2_license_scan, ngram_join.op3_ngram_join, exact_dedup.op4_exact_dedup, quality.op5_quality_rules, secrets.op6_secret_scan, pii.op7_pii, store.op8_content_store, bpe.op9_byte_bpe, packing.op10_best_fit_packing)}
+    return {f.__name__: f for f in (substrings.op1_substring_dedup, licenses.op2_license_scan, ngram_join.op3_ngram_join, exact_dedup.op4_exact_dedup, quality.op5_quality_rules, secrets.op6_secret_scan, pii.op7_pii, store.op8_content_store, bpe.op9_byte_bpe, packing.op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
