@@ -26,9 +26,9 @@ from fluvia.llm import common
 from fluvia.llm.encoding import slices, white_space_pieces, word_encoder
 
 #: Ids in a chunk: least, about the mean, most.
-LEAST, MEAN, MOST = 128, 512, 2048
+LEAST, MEAN, MOST = 256, 1024, 4096
 #: Ids that the rolling hash looks at.
-WINDOW = 8
+WINDOW = 6
 #: Chunk names a task remembers, to send each chunk once; a forgotten one is only sent again.
 SEEN = 200_000
 
