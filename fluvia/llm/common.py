@@ -122,6 +122,15 @@ class Bitmap:
         return test(self._at(column))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not in `gone` (doc_id, distinct). Texts that a bitmap clears are not shuffled."""
+    gone = written(gone.select(F.col("doc_id").alias("_gone")), "gone")
+    maybe = Bitmap(gone, "_gone", gone.count()).maybe("_id")
+    x = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_maybe", F.col("_id").isNotNull() & maybe)
+    tested = x.filter("_maybe").join(gone.hint("merge"), F.col("_id") == F.col("_gone"), "left_anti")
+    return x.filter("NOT _maybe").unionByName(tested).select(*docs.columns)
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, label (smallest node of its connected component) of every node of the edges (a, b: longs).
 

@@ -53,34 +53,34 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     them word by word).
     """
     t, n, g = F.col("t"), F.col("n_words"), F.col("g")
-    x = docs.select(*keep, common.text_of().alias("t"), F.monotonically_increasing_id().alias("_at"))
+    x = docs.select(*keep, common.text_of().alias("t"))
     trimmed = F.btrim(t, F.lit(WHITE))
     none = F.array().cast("array<long>")
     lines = F.filter(F.split(t, "\n"), lambda v: F.length(F.translate(v, WHITE, "")) > 0)
     x = x.select(
-        *keep, "_at",
+        *keep,
         F.when(trimmed == "", none).otherwise(F.transform(F.split(trimmed, "[ \\t-\\r]+"), lambda w: F.xxhash64(w))).alias("g"),
         F.transform(lines, lambda v: F.xxhash64(v)).alias("lines"),
         F.length(_without(t, WHITE)).cast("long").alias("word_chars"), _count(t, SYMBOLS).alias("n_symbols"), (_count(t, "\n") + 1).alias("n_lines"),
         _count(t, UPPER).alias("n_upper"), _count(t, "0123456789").alias("n_digit"), _count(t, "!?").alias("n_mark"), _count(t, "|").alias("n_pipe"), _count(t, "/@").alias("n_link"),
     )
     rest = ["word_chars", "n_symbols", "n_lines", "n_upper", "n_digit", "n_mark", "n_pipe", "n_link"]
-    x = x.select(*keep, "_at", *rest, "g", F.size("g").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
+    x = x.select(*keep, *rest, "g", F.size("g").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
     rest += ["n_words", "n_dup_lines"]
     windows = F.transform(F.sequence(F.lit(0), n.cast("int") - 5), lambda i: F.xxhash64(*[F.get(g, i + k) for k in range(5)]))
-    x = x.select(*keep, "_at", *rest, F.size(F.array_distinct("g")).cast("long").alias("n_distinct"), F.when(n >= 5, windows).otherwise(none).alias("h"))
+    x = x.select(*keep, *rest, F.size(F.array_distinct("g")).cast("long").alias("n_distinct"), F.when(n >= 5, windows).otherwise(none).alias("h"))
     rest += ["n_distinct"]
     # windows found twice: sorted by (hash, place), equal neighbours; most texts have none
     placed = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    x = x.select(*keep, "_at", *rest, F.when(F.size("h") > F.size(F.array_distinct("h")), placed).alias("m"))
+    x = x.select(*keep, *rest, F.when(F.size("h") > F.size(F.array_distinct("h")), placed).alias("m"))
     m, s = F.col("m"), F.col("starts")
     twice = F.filter(m, lambda v, k: (F.get(m, k - 1)["h"] == v["h"]) | (F.get(m, k + 1)["h"] == v["h"]))
-    x = x.select(*keep, "_at", *rest, F.when(m.isNotNull(), F.sort_array(F.transform(twice, lambda v: v["i"]))).alias("starts"))
+    x = x.select(*keep, *rest, F.when(m.isNotNull(), F.sort_array(F.transform(twice, lambda v: v["i"]))).alias("starts"))
     covered = F.aggregate(F.transform(s, lambda v, k: F.least(F.lit(5), F.coalesce(F.get(s, k + 1) - v, F.lit(5)))), F.lit(0).cast("long"), lambda a, v: a + v)
-    x = x.select(*keep, "_at", *rest, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    x = x.select(*keep, *rest, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     words, chars = F.greatest(n, F.lit(1)).cast("double"), F.greatest("word_chars", F.lit(1)).cast("double")
     return x.select(
-        *keep, "_at", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *keep, F.monotonically_increasing_id().alias("_at"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((n < 10) | (100 * F.col("n_repeat_words") > 20 * n)).alias("base_failed"),
         (F.col("n_repeat_words") / words).alias("repeat_rate"),
         (F.col("n_dup_lines") / F.col("n_lines")).alias("dup_line_rate"),

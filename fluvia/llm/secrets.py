@@ -78,7 +78,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, found (all spans), n_example, n_live: candidates of the document that are copied examples or look live."""
+    """doc_id, found (all spans), n_example, n_live (candidates of the document that are copied examples, or look live) and
+    examples (the values of the former)."""
     found = common.written(candidates(docs), "secret-candidates")
     owners = common.written(ownership(found), "secret-owners")
     each = found.filter(F.size("found") > 0).select("doc_id", F.explode(F.array_distinct(F.transform("found", _value))).alias("value")).withColumn("hash", F.sha2("value", 256))
@@ -88,9 +89,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     head = F.split(F.substring("value", 1, 20), "")
     random_looking = (F.length("value") >= LIVE_LENGTH) & (F.size(F.array_distinct(head)) >= LIVE_DISTINCT * F.size(head))
     live = (F.col("owners") == 1) & random_looking
-    judged = known.groupBy("doc_id").agg(F.count_if(example).alias("n_example"), F.count_if(live).alias("n_live"))
+    judged = known.groupBy("doc_id").agg(F.count_if(example).alias("n_example"), F.count_if(live).alias("n_live"), F.collect_set(F.when(example, F.col("value"))).alias("examples"))
     x = found.join(judged.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    return x.select("doc_id", "found", F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"))
+    return x.select("doc_id", "found", F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
 def written_out(spans: Column) -> Column:
@@ -98,11 +99,18 @@ def written_out(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, found: Column) -> Column:
-    """`text` with every value in `found` replaced by its kind, longest first."""
-    longest = F.reverse(F.sort_array(F.transform(found, lambda s: F.struct(F.length(s["value"]).alias("n"), s["value"].alias("v"), s["kind"].alias("kind")))))
+def redacted(docs: DataFrame) -> DataFrame:
+    """`docs` with every secret in `text` but the copied examples replaced by its kind, longest first."""
+    judged = secrets(docs).filter("size(found) > 0 AND doc_id IS NOT NULL")
+    values = F.transform("found", lambda s: F.struct(F.length(_value(s)).alias("n"), _value(s).alias("v"), s["kind"].alias("kind")))
+    values = F.array_distinct(F.filter(values, lambda s: ~F.array_contains("examples", s["v"])))
+    judged = common.written(judged.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.reverse(F.sort_array(values))).alias("_values")), "secret-values")
+    gate = F.coalesce(F.col("text").rlike("|".join(GATES.values())), F.lit(False))
     name = F.array(*map(F.lit, KINDS))
-    return F.aggregate(longest, text, lambda t, s: F.replace(t, s["v"], F.concat(F.lit("["), F.get(name, s["kind"]), F.lit("]"))))
+    out = F.aggregate("_values", F.col("text"), lambda t, s: F.replace(t, s["v"], F.concat(F.lit("["), F.get(name, s["kind"]), F.lit("]"))))
+    met = docs.filter(gate).join(judged.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left")
+    met = met.withColumn("text", F.when(F.col("_values").isNull(), F.col("text")).otherwise(out)).select(*docs.columns)
+    return docs.filter(~gate).unionByName(met)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
