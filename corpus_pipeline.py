@@ -1,11 +1,54 @@
-"""A corpus pipeline of training-data operators (stages follow)."""
+"""A corpus pipeline: quality rules, exact and near deduplication, secret redaction, packing.
 
-STAGES: list = []
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
+last return the columns of `documents`. A stage's result is written as Parquet and read again by the next, so a lost executor costs
+no more than its part of one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fluvia.llm import common, exact_dedup, ngram_join, packing, quality, secrets
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the learned decision list keep."""
+    return quality.kept_only(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest id."""
+    return common.without(docs, exact_dedup.deduplicated(docs).filter("NOT kept").select("doc_id").distinct())
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links of similarity 0.75 or more, the one with the smallest id."""
+    return common.without(docs, ngram_join.near_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct())
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets but copied examples are replaced in the texts."""
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.length("text")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the tokenised texts in sequences."""
+    import public_tokenizers as tokenizers_dir
+
+    return packing.best_fit(docs, tokenizers_dir.path("byte_bpe_50k.json"))[1]
+
+
+STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage), ("secret scans", secret_stage), ("best-fit packing", packing_stage)]
+
+#: The learned rules and the packing can't be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`."""
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs
