@@ -8,8 +8,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -44,14 +46,34 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     path = new_path(spark, name)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession, keep: list[DataFrame]):
+    """Delete the tables written inside but those in `keep` (filled inside), and let Spark drop shuffle files that nothing
+    refers to any more: nothing lazy that reads them may leave."""
+    before = set(_written)
+    yield
+    held = {getattr(df, "_written_to", "") for df in keep}
+    for path in [p for p in _written if p not in before and p not in held]:
+        _written.remove(path)
+        _delete(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far; for callers that hold their results elsewhere."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 @atexit.register
@@ -131,27 +153,38 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return x.filter("NOT _maybe").unionByName(tested).select(*docs.columns)
 
 
+def _star(e: DataFrame, large: bool) -> DataFrame:
+    """One large-star or small-star step on edges with a > b."""
+    both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if large:
+        both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = both.withColumn("k", F.col("u").cast("string"))
+    least = written(both.groupBy("k").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-least")
+    x = hot_lookup(both, least, "k", "n", both.count(), F.xxhash64("u", "v"))
+    m = F.least("m", "u")
+    to = x.select(F.col("v").alias("a"), m.alias("b"), F.col("u").alias("u"))
+    to = to.filter("a > u").select("a", "b") if large else to.select("a", "b").unionByName(x.select(F.col("u").alias("a"), m.alias("b")))
+    return written(to.filter("a <> b").distinct(), "cc-edges")
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, label (smallest node of its connected component) of every node of the edges (a, b: longs).
 
     Alternating large-star and small-star rounds; a node with a third of all edges is safe (see hot_lookup). Nothing but counts
     reaches the driver.
     """
+    spark = edges.sparkSession
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "cc-edges")
     state = None
     for _ in range(most_rounds):
-        for large in (True, False):
-            both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
-            if large:
-                both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-            both = both.withColumn("k", F.col("u").cast("string"))
-            least = written(both.groupBy("k").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-least")
-            x = hot_lookup(both, least, "k", "n", both.count(), F.xxhash64("u", "v"))
-            m = F.least("m", "u")
-            to = x.select(F.col("v").alias("a"), m.alias("b"), F.col("u").alias("u"))
-            to = to.filter("a > u").select("a", "b") if large else to.select("a", "b").unionByName(x.select(F.col("u").alias("a"), m.alias("b")))
-            e = written(to.filter("a <> b").distinct(), "cc-edges")
+        kept: list[DataFrame] = []
+        old = e._written_to
+        with passing_tables(spark, kept):
+            e = _star(_star(e, True), False)
+            kept.append(e)
+        _written.remove(old)
+        _delete(spark, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -144,7 +144,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, sketch, fragments: int) -> DataFrame:
-    """frag, token, node, at (place in the order), n, lead (smallest node), lead_n: prefix n-grams that several nodes share."""
+    """frag, token, node, at (place in the order), n, lead (smallest node), lead_n, lead_at: prefix n-grams that several nodes share."""
 
     def prefixes(batches):
         seen: set[int] = set()
@@ -205,10 +205,10 @@ def _blocks(docs: DataFrame, sketch, fragments: int) -> DataFrame:
                 m = int(keep.sum())
                 token, at, node, n = token[keep], at[keep], node[keep], n[keep]
                 lead = np.maximum.accumulate(np.where(np.concatenate([[True], token[1:] != token[:-1]]), np.arange(m), 0))
-                yield pa.record_batch([pa.array(np.full(m, f, dtype=np.int32)), pa.array(token.astype(np.int64)), pa.array(node), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(node[lead]), pa.array(n[lead].astype(np.int32))], names=["frag", "token", "node", "at", "n", "lead", "lead_n"])
+                yield pa.record_batch([pa.array(np.full(m, f, dtype=np.int32)), pa.array(token.astype(np.int64)), pa.array(node), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(node[lead]), pa.array(n[lead].astype(np.int32)), pa.array(at[lead].astype(np.int32))], names=["frag", "token", "node", "at", "n", "lead", "lead_n", "lead_at"])
 
     packed = _plain(docs).mapInArrow(prefixes, "frag int, token binary, at binary, doc binary, node binary, n binary")
-    return packed.repartition(fragments, "frag").mapInArrow(shared, "frag int, token long, node long, at int, n int, lead long, lead_n int")
+    return packed.repartition(fragments, "frag").mapInArrow(shared, "frag int, token long, node long, at int, n int, lead long, lead_n int, lead_at int")
 
 
 def _may_link(m: str = "na", n: str = "nb") -> str:
@@ -216,8 +216,9 @@ def _may_link(m: str = "na", n: str = "nb") -> str:
 
 
 def _star_pairs(blocks: DataFrame) -> DataFrame:
-    """Every node of a block with the block's smallest node, where their sizes allow a link."""
-    met = blocks.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_n").cast("long").alias("na"), F.col("n").cast("long").alias("nb"))
+    """Every node of a block with the block's smallest node, where their sizes and the places of the n-gram allow a link."""
+    near = f"({HITS} + {OF}) * least(lead_n - lead_at, n - at) >= {HITS} * (lead_n + n)"
+    met = blocks.filter(near).select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_n").cast("long").alias("na"), F.col("n").cast("long").alias("nb"))
     return met.filter("a <> b").filter(_may_link()).distinct()
 
 
@@ -242,14 +243,24 @@ def _cross_pairs(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.least("s.node", "r.node").alias("a"), F.greatest("s.node", "r.node").alias("b"), F.when(F.col("s.node") < F.col("r.node"), F.col("s.n")).otherwise(F.col("r.n")).alias("na"), F.when(F.col("s.node") < F.col("r.node"), F.col("r.n")).otherwise(F.col("s.n")).alias("nb")).distinct()
 
 
+def _packed(part: np.ndarray) -> bytes:
+    """The low 48 bits of sorted hashes that share their first bits: of two different ones in a pair of sets, the chance to agree is
+    below one in 10**11."""
+    return part.astype("<u4").tobytes() + (part >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _unpacked(seg: bytes) -> np.ndarray:
+    n = len(seg) // 6
+    return np.frombuffer(seg[: 4 * n], "<u4").astype(np.uint64) | np.frombuffer(seg[4 * n :], "<u2").astype(np.uint64) << np.uint64(32)
+
+
 def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold: partial overlaps per fragment, summed per pair."""
     rep = nodes.select("node", "rep")
     pairs = pairs.join(rep.withColumnsRenamed({"node": "a", "rep": "ra"}), "a").join(rep.withColumnsRenamed({"node": "b", "rep": "rb"}), "b")
-    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     pairs = common.written(pairs, "ngram-pairs")
-    uses = pairs.groupBy("a").agg(F.ceil(F.count("*") / BUCKET).cast("long").alias("buckets"), F.first("ra").alias("ra"))
-    uses = common.written(uses, "ngram-heads")
+    uses = pairs.groupBy("a", "ra").agg(F.count("*").alias("uses"))
+    uses = common.written(uses.select(F.col("a").cast("string").alias("k"), "a", "ra", "uses", F.ceil(F.col("uses") / BUCKET).cast("long").alias("buckets")), "ngram-heads")
     needed = pairs.select(F.col("rb").alias("doc_id")).unionByName(uses.select(F.col("ra").alias("doc_id"))).distinct()
     needed = common.written(needed, "ngram-needed")
     keep = common.Bitmap(needed, "doc_id", needed.count())
@@ -260,20 +271,20 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             for doc, s in zip(key, shingle_sets(text), strict=True):
                 if len(s):
                     node, ends = node_of(s), np.searchsorted(s, np.arange(1, SEGMENTS, dtype=np.uint64) << np.uint64(64 - SEGMENTS.bit_length() + 1))
-                    rows += [(doc, node, f, part.tobytes()) for f, part in enumerate(np.split(s, ends)) if len(part)]
+                    rows += [(doc, node, f, _packed(part)) for f, part in enumerate(np.split(s, ends)) if len(part)]
             if rows:
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "node", "frag", "seg"])
 
     some = _plain(docs).filter("doc_id IS NOT NULL").filter(keep.maybe("doc_id"))
-    segments = common.written(some.mapInArrow(cut, "doc_id long, node long, frag int, seg binary"), "ngram-segments")
-    # heads: one copy per bucket of BUCKET members; members: one per pair
-    heads = segments.join(uses.withColumnsRenamed({"a": "node", "ra": "doc_id"}), ["node", "doc_id"])
-    heads = heads.select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"), "frag", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("na"), F.lit(None).cast("long").alias("nb"), "seg")
-    members = pairs.select("a", F.col("b").alias("node"), F.col("rb").alias("doc_id"), "na", "nb").join(segments, ["node", "doc_id"])
-    turn = members.withColumn("k", F.col("a").cast("string"))
-    turn = common.hot_lookup(turn, uses.select(F.col("a").cast("string").alias("k"), "buckets", (F.col("buckets") * BUCKET).alias("size")), "k", "size", pairs.count(), F.col("node"))
-    members = turn.select("a", F.pmod(F.xxhash64("node"), F.col("buckets")).alias("bucket"), "frag", F.col("node").alias("b"), "na", "nb", "seg")
-    together = heads.unionByName(members).repartition("a", "bucket", "frag").sortWithinPartitions("a", "bucket", "frag", F.col("b").isNotNull())
+    segments = some.mapInArrow(cut, "doc_id long, node long, frag int, seg binary")
+    # a head once per bucket of BUCKET members, a member once per pair; segments move to their uses once
+    none = F.lit(None).cast("long")
+    each = common.hot_lookup(pairs.withColumn("k", F.col("a").cast("string")), uses.select("k", "uses", "buckets"), "k", "uses", pairs.count(), F.col("b"))
+    members = each.select("a", F.pmod(F.xxhash64("b"), F.col("buckets")).alias("bucket"), "b", "na", "nb", F.col("b").alias("node"), F.col("rb").alias("doc_id"))
+    heads = uses.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"), none.alias("b"), none.alias("na"), none.alias("nb"), F.col("a").alias("node"), F.col("ra").alias("doc_id"))
+    wants = common.written(heads.unionByName(members), "ngram-wants")
+    met = wants.hint("merge").join(segments, ["node", "doc_id"]).select("a", "bucket", "frag", "b", "na", "nb", "seg")
+    together = met.repartition("a", "bucket", "frag").sortWithinPartitions("a", "bucket", "frag", F.col("b").isNotNull())
 
     def count(batches):
         at, head = None, None
@@ -281,9 +292,9 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             rows = []
             for a, bucket, frag, b, na, nb, seg in zip(*(batch.column(c).to_pylist() for c in ("a", "bucket", "frag", "b", "na", "nb", "seg")), strict=True):
                 if b is None:
-                    at, head = (a, bucket, frag), np.frombuffer(seg, dtype=np.uint64)
+                    at, head = (a, bucket, frag), _unpacked(seg)
                 elif at == (a, bucket, frag):
-                    if c := len(np.intersect1d(head, np.frombuffer(seg, dtype=np.uint64), assume_unique=True)):
+                    if c := len(np.intersect1d(head, _unpacked(seg), assume_unique=True)):
                         rows.append((a, b, na, nb, c))
             if rows:
                 yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "na", "nb", "c"])
@@ -302,17 +313,21 @@ def near_groups(docs: DataFrame, fragments: int | None = None) -> DataFrame:
     nodes = common.written(each.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "ngram-groups")
     sketch = spark.sparkContext.broadcast(_sketch(first.filter("slice IS NOT NULL")))
     blocks = common.written(_blocks(docs, sketch, fragments), "ngram-blocks")
-    links = _linked(docs, nodes, _star_pairs(blocks))
-    labels = common.components(links)
-    more = _linked(docs, nodes, _cross_pairs(blocks, labels))
-    if more.limit(1).count():
-        labels = common.components(links.unionByName(more))
-    named = nodes.join(labels, "node", "left").select("node", "rep", "size", F.coalesce("label", "node").alias("label"))
-    named = common.written(named, "ngram-named")
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
-    smallest = common.written(smallest.select(F.col("label").cast("string").alias("lk"), "component_id", "members"), "ngram-components")
-    full = common.hot_lookup(named.withColumn("lk", F.col("label").cast("string")), smallest, "lk", "members", named.count(), F.col("node"))
-    full = common.written(full.select(F.col("node").cast("string").alias("k"), "size", "component_id"), "ngram-full")
+    kept: list[DataFrame] = []
+    with common.passing_tables(spark, kept):
+        kept.append(links := _linked(docs, nodes, _star_pairs(blocks)))
+    with common.passing_tables(spark, kept):
+        labels = common.components(links)
+        more = _linked(docs, nodes, _cross_pairs(blocks, labels))
+        if more.limit(1).count():
+            labels = common.components(links.unionByName(more))
+        named = nodes.join(labels, "node", "left").select("node", "rep", "size", F.coalesce("label", "node").alias("label"))
+        named = common.written(named, "ngram-named")
+        smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+        smallest = common.written(smallest.select(F.col("label").cast("string").alias("lk"), "component_id", "members"), "ngram-components")
+        full = common.hot_lookup(named.withColumn("lk", F.col("label").cast("string")), smallest, "lk", "members", named.count(), F.col("node"))
+        full = common.written(full.select(F.col("node").cast("string").alias("k"), "size", "component_id"), "ngram-full")
+        kept.append(full)
     x = common.hot_lookup(each.withColumn("k", F.col("node").cast("string")), full, "k", "size", each.count(), F.col("doc_id"))
     return x.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
