@@ -38,6 +38,9 @@ SKETCH, SLICES = 1 << 17, 16
 #: Vertical fragments of verified sets, and nodes compared with one node in one task.
 SEGMENTS, BUCKET = 4, 64
 
+#: Characters hashed at a time (more for a longer text), prefix n-grams packed at a time.
+CHARS, PACK = 1 << 19, 1 << 18
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 _P = 0x9E3779B97F4A7C15 | 1
@@ -48,7 +51,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _P and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, n.bit_length())
+        size = 1 << max(19, n.bit_length())
         with np.errstate(over="ignore"):
             _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, p, dtype=np.uint64)]), dtype=np.uint64) for p in (_P, _P_INV)]
     return _powers[0], _powers[1]
@@ -109,7 +112,7 @@ def _nodes_and_sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counts, none = np.zeros(SKETCH, dtype=np.uint32), [None]
-        for key, text in slices(batches, ["doc_id", "text"]):
+        for key, text in slices(batches, ["doc_id", "text"], CHARS, 256):
             sets = shingle_sets(text)
             every = np.concatenate(sets)
             np.add(counts, np.bincount((every >> np.uint64(20)) & np.uint64(SKETCH - 1), minlength=SKETCH).astype(np.uint32), out=counts)
@@ -151,7 +154,7 @@ def _blocks(docs: DataFrame, sketch, fragments: int) -> DataFrame:
         counts = sketch.value
         packed: list[list] = [[] for _ in range(4)]
         size = 0
-        for key, text in slices(batches, ["doc_id", "text"]):
+        for key, text in slices(batches, ["doc_id", "text"], CHARS, 256):
             for s in shingle_sets(text):
                 n = len(s)
                 if not n or (node := node_of(s)) in seen:
@@ -162,7 +165,7 @@ def _blocks(docs: DataFrame, sketch, fragments: int) -> DataFrame:
                 packed[0].append(s[first])
                 packed[1].append((node, n, len(first)))
                 size += len(first)
-            if size > 1 << 20:
+            if size > PACK:
                 yield from dealt(packed)
                 packed, size = [[] for _ in range(4)], 0
         if size:
@@ -266,7 +269,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     keep = common.Bitmap(needed, "doc_id", needed.count())
 
     def cut(batches):
-        for key, text in slices(batches, ["doc_id", "text"]):
+        for key, text in slices(batches, ["doc_id", "text"], CHARS, 256):
             rows = []
             for doc, s in zip(key, shingle_sets(text), strict=True):
                 if len(s):
