@@ -124,6 +124,7 @@ def _roots(batches):
     )
 
 
+RECIPE = "doc_id long, n_tokens long, names array<binary>, root binary, part int"
 MANIFEST = "part int, n_docs long, n_tokens long, root binary"
 
 
@@ -139,21 +140,21 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
     recipes = staged.filter("kind = 'recipe'").select("doc_id", "n_tokens", "names", "root")
     recipes = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    files = spark.read.parquet(f"{path}/recipes").repartition("part").sortWithinPartitions("part", "doc_id", "root").select("part", "doc_id", "n_tokens", "root")
+    files = spark.read.schema(RECIPE).parquet(f"{path}/recipes").repartition("part").sortWithinPartitions("part", "doc_id", "root").select("part", "doc_id", "n_tokens", "root")
     files.mapInArrow(_roots, MANIFEST).write.parquet(f"{path}/manifest")
     return path
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/files").filter("kind = 'chunk'").select("name", "payload")
+    return spark.read.schema("name binary, payload binary, kind string").parquet(f"{path}/files").filter("kind = 'chunk'").select("name", "payload")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, names, root; start counts the ids of all documents before in ascending order."""
-    manifest = spark.read.parquet(f"{path}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     before = manifest.select("part", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("before"))
-    x = spark.read.parquet(f"{path}/recipes").join(before, "part")
+    x = spark.read.schema(RECIPE).parquet(f"{path}/recipes").join(before, "part")
     w = Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
     return x.select("doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).alias("start"), "n_tokens", "names", "root")
 
@@ -261,9 +262,9 @@ def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 def verify_manifest(spark: SparkSession, path: str) -> int:
     """Files whose recipes do not give the root in the manifest."""
-    files = spark.read.parquet(f"{path}/recipes").repartition("part").sortWithinPartitions("part", "doc_id", "root").select("part", "doc_id", "n_tokens", "root")
+    files = spark.read.schema(RECIPE).parquet(f"{path}/recipes").repartition("part").sortWithinPartitions("part", "doc_id", "root").select("part", "doc_id", "n_tokens", "root")
     again = files.mapInArrow(_roots, MANIFEST)
-    return again.exceptAll(spark.read.parquet(f"{path}/manifest")).count()
+    return again.exceptAll(spark.read.schema(MANIFEST).parquet(f"{path}/manifest")).count()
 
 
 def op8_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
