@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvia.operators.graph import _step
+
 
 def with_tile(df: DataFrame, x: str, y: str, size: float, names: tuple[str, str] = ("_tx", "_ty")) -> DataFrame:
     return df.withColumn(names[0], F.floor(F.col(x) / size)).withColumn(names[1], F.floor(F.col(y) / size))
@@ -50,10 +52,10 @@ def greedy_dedupe(df: DataFrame, key: str, rank: str, most: float, rounds: int =
     for _ in range(rounds):
         q = open_.select(F.col(key).alias("_k"), F.col(rank).alias("_r"), F.col("px").alias("qx"), F.col("py").alias("qy"))
         better = within_join(open_, q, most).filter((F.col("_r") > F.col(rank)) | ((F.col("_r") == F.col(rank)) & (F.col("_k") < F.col(key)))).select(key).distinct()
-        best = open_.join(better, key, "left_anti").checkpoint()
+        best = _step(open_.join(better, key, "left_anti"))
         kept = best if kept is None else kept.unionByName(best)
         near = within_join(open_, best.select(F.col("px").alias("qx"), F.col("py").alias("qy")), most).select(key).distinct()
-        open_ = open_.join(near, key, "left_anti").checkpoint()
+        open_ = _step(open_.join(near, key, "left_anti"))
         if open_.isEmpty():
             break
     return kept

@@ -165,16 +165,16 @@ project("stm_14_close_open", "events", "event_id", {"ended": lambda: F.date_form
 
 # --- models, evaluation, rules, entry points ---------------------------------------------------------------------
 
-project("ml_3_site_offset", "lineitem", "l_orderkey, l_linenumber, l_suppkey", {"p": lambda: M.r6(M.sigmoid(M.logit(pp) + (col("l_suppkey") % 5 - 2) * 0.1))}, {"p": R(f"1 / (1 + exp(-(ln({PP} / (1 - {PP})) + (l_suppkey % 5 - 2) * 0.1)))")})
+project("ml_3_site_offset", "lineitem", "l_orderkey, l_linenumber, l_suppkey", {"p": lambda: M.r6(M.sigmoid(M.logit(pp()) + (col("l_suppkey") % 5 - 2) * 0.1))}, {"p": R(f"1 / (1 + exp(-(ln({PP} / (1 - {PP})) + (l_suppkey % 5 - 2) * 0.1)))")})
 query("ml_4_site_days", f"SELECT e.user_id, e.day, {R('1 / (1 + exp(-(coalesce(d.rain, 0) / 100 - 2)))')} AS p FROM (SELECT DISTINCT user_id, ts::DATE AS day FROM events) e LEFT JOIN {DAILY} d ON d.cell = e.user_id AND d.day = e.day")(lambda t: t.events.select(col("user_id").alias("cell"), day("ts").alias("day")).distinct().join(daily(t), ["cell", "day"], "left").select(col("cell").alias("user_id"), "day", M.r6(M.sigmoid(F.coalesce("rain", lit(0.0)) / 100 - 2)).alias("p")))
 project("ml_5_logistic", "lineitem", "l_orderkey, l_linenumber, l_partkey", {"p": lambda: M.r6(M.sigmoid(lit(-1.2) + 0.8 * (col("l_quantity") - 25) / 14 + 0.3 * (col("l_tax") - 0.04) / 0.026))}, {"p": R("1 / (1 + exp(-(-1.2 + 0.8 * (l_quantity - 25) / 14 + 0.3 * (l_tax - 0.04) / 0.026)))")})
 project("ml_8_features", "orders", "o_orderkey", {"x1": lambda: M.r6(F.log1p(col("o_totalprice"))), "x2": lambda: M.r6(M.logit(M.clip(col("o_totalprice") / 500000, 0.01, 0.99)))}, {"x1": R("ln(1 + o_totalprice)"), "x2": R("ln(least(greatest(o_totalprice / 500000, 0.01), 0.99) / (1 - least(greatest(o_totalprice / 500000, 0.01), 0.99)))")})
-query("eva_4_scores_by_type", f"SELECT l_linenumber::BIGINT AS kind, CASE WHEN count(*) >= 30 THEN {R(f'avg(pow({PP} - {Y}, 2))')} END AS brier FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy(big(col("l_linenumber")).alias("kind")).agg(F.when(F.count("*") >= 30, M.r6(F.avg(F.pow(pp - y, lit(2.0))))).alias("brier")))
+query("eva_4_scores_by_type", f"SELECT l_linenumber::BIGINT AS kind, CASE WHEN count(*) >= 30 THEN {R(f'avg(pow({PP} - {Y}, 2))')} END AS brier FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy(big(col("l_linenumber")).alias("kind")).agg(F.when(F.count("*") >= 30, M.r6(F.avg(F.pow(pp() - y(), lit(2.0))))).alias("brier")))
 query("eva_1_leave_one_out", f"SELECT l_suppkey, l_linenumber::BIGINT AS line, {R('CASE WHEN max(tn) > count(*) THEN (max(ts) - sum(y)) / (max(tn) - count(*)) END')} AS p FROM (SELECT l_suppkey, l_linenumber, {Y} AS y, sum({Y}) OVER (PARTITION BY l_linenumber) AS ts, count(*) OVER (PARTITION BY l_linenumber) AS tn FROM lineitem) GROUP BY 1, 2")(
-    lambda t: (g := t.lineitem.groupBy("l_suppkey", big(col("l_linenumber")).alias("line")).agg(F.sum(y).alias("s"), F.count("*").alias("n"))).select("l_suppkey", "line", "s", "n", F.sum("s").over(Window.partitionBy("line")).alias("ts"), F.sum("n").over(Window.partitionBy("line")).alias("tn")).select("l_suppkey", "line", M.r6(F.when(col("tn") > col("n"), (col("ts") - col("s")) / (col("tn") - col("n")))).alias("p"))
+    lambda t: (g := t.lineitem.groupBy("l_suppkey", big(col("l_linenumber")).alias("line")).agg(F.sum(y()).alias("s"), F.count("*").alias("n"))).select("l_suppkey", "line", "s", "n", F.sum("s").over(Window.partitionBy("line")).alias("ts"), F.sum("n").over(Window.partitionBy("line")).alias("tn")).select("l_suppkey", "line", M.r6(F.when(col("tn") > col("n"), (col("ts") - col("s")) / (col("tn") - col("n")))).alias("p"))
 )
 query("eva_5_availability", f"SELECT l_linenumber::BIGINT AS lead, {R('avg((l_tax > 0.02)::INT)')} AS share, {R('avg(CASE WHEN l_quantity > 25 THEN (l_tax > 0.02)::INT END)')} AS wet FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy(big(col("l_linenumber")).alias("lead")).agg(M.r6(F.avg((col("l_tax") > 0.02).cast("int"))).alias("share"), M.r6(F.avg(F.when(col("l_quantity") > 25, (col("l_tax") > 0.02).cast("int")))).alias("wet")))
-query("eva_7_capture", f"SELECT {R(f'sum(CASE WHEN rn <= n * 0.5 THEN y END) / sum(y)')} AS capture FROM (SELECT {Y}::DOUBLE AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_extendedprice) AS rn, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)")(lambda t: t.lineitem.select(y.cast("double").alias("y"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy(col("l_quantity").desc(), "l_orderkey", "l_linenumber", "l_extendedprice")).alias("rn"), F.count("*").over(Window.partitionBy("l_suppkey")).alias("n")).agg(M.r6(F.sum(F.when(col("rn") <= col("n") * 0.5, col("y"))) / F.sum("y")).alias("capture")))
+query("eva_7_capture", f"SELECT {R(f'sum(CASE WHEN rn <= n * 0.5 THEN y END) / sum(y)')} AS capture FROM (SELECT {Y}::DOUBLE AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_extendedprice) AS rn, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)")(lambda t: t.lineitem.select(y().cast("double").alias("y"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy(col("l_quantity").desc(), "l_orderkey", "l_linenumber", "l_extendedprice")).alias("rn"), F.count("*").over(Window.partitionBy("l_suppkey")).alias("n")).agg(M.r6(F.sum(F.when(col("rn") <= col("n") * 0.5, col("y"))) / F.sum("y")).alias("capture")))
 project("eva_13_version_label", "orders", "o_orderkey", {"version": lambda: F.coalesce(F.when(col("o_orderstatus") == "F", "stamped"), F.concat(lit("before "), F.date_format("o_orderdate", "yyyy")))}, {"version": "coalesce(CASE WHEN o_orderstatus = 'F' THEN 'stamped' END, 'before ' || strftime(o_orderdate, '%Y'))"})
 project("eva_14_feature_variant", "orders", "o_orderkey", {"x": lambda: M.r6(F.log1p(col("o_totalprice"))), "year": lambda: big(F.year("o_orderdate"))}, {"x": R("ln(1 + o_totalprice)"), "year": "year(o_orderdate)::BIGINT"})
 _LV = "CASE WHEN l_discount > 0.08 THEN 3 WHEN l_discount > 0.04 THEN 2 ELSE 1 END"

@@ -43,9 +43,9 @@ query("agg_1_daily_rain", f"SELECT cell, day, CASE WHEN n_hours >= 2 THEN {R('ra
 query("win_1_rolling_hours", f"SELECT cell, strftime(hr, '%Y-%m-%d %H') AS hr, {R('sum(mm) OVER (PARTITION BY cell ORDER BY hr ROWS 2 PRECEDING)')} AS r3, {R('sum(mm) OVER (PARTITION BY cell ORDER BY hr ROWS 5 PRECEDING)')} AS r6 FROM {HOURLY}")(
     lambda t: hourly(t).select("cell", F.date_format("hr", "yyyy-MM-dd HH").alias("hr"), *[M.r6(F.sum("mm").over(Window.partitionBy("cell").orderBy("hr").rowsBetween(-n + 1, 0))).alias(f"r{n}") for n in (3, 6)])
 )
-_wd = Window.partitionBy("cell").orderBy("day")
-query("win_2_lags", f"SELECT cell, day, {R('lag(rain) OVER w')} AS d1, {R('lag(rain, 2) OVER w')} AS d2 FROM {DENSE} WINDOW w AS (PARTITION BY cell ORDER BY day)")(lambda t: dense(t).select("cell", "day", M.r6(F.lag("rain").over(_wd)).alias("d1"), M.r6(F.lag("rain", 2).over(_wd)).alias("d2")))
-query("win_3_rolling_days", f"SELECT cell, day, {', '.join(R(f'sum(rain) OVER (PARTITION BY cell ORDER BY day ROWS {n - 1} PRECEDING)') + f' AS r{n}' for n in (3, 7, 30))} FROM {DENSE}")(lambda t: dense(t).select("cell", "day", *[M.r6(F.sum("rain").over(_wd.rowsBetween(-n + 1, 0))).alias(f"r{n}") for n in (3, 7, 30)]))
+_wd = lambda: Window.partitionBy("cell").orderBy("day")
+query("win_2_lags", f"SELECT cell, day, {R('lag(rain) OVER w')} AS d1, {R('lag(rain, 2) OVER w')} AS d2 FROM {DENSE} WINDOW w AS (PARTITION BY cell ORDER BY day)")(lambda t: dense(t).select("cell", "day", M.r6(F.lag("rain").over(_wd())).alias("d1"), M.r6(F.lag("rain", 2).over(_wd())).alias("d2")))
+query("win_3_rolling_days", f"SELECT cell, day, {', '.join(R(f'sum(rain) OVER (PARTITION BY cell ORDER BY day ROWS {n - 1} PRECEDING)') + f' AS r{n}' for n in (3, 7, 30))} FROM {DENSE}")(lambda t: dense(t).select("cell", "day", *[M.r6(F.sum("rain").over(_wd().rowsBetween(-n + 1, 0))).alias(f"r{n}") for n in (3, 7, 30)]))
 query("win_4_decay_index", f"SELECT a.cell, a.day, {R('sum(coalesce(b.rain, 0) * pow(0.85, a.day - b.day))')} AS api FROM {DENSE} a JOIN {DENSE} b ON a.cell = b.cell AND b.day <= a.day GROUP BY a.cell, a.day")(lambda t: T.decay_index(dense(t), ["cell"], "day", "rain").withColumn("api", M.r6(col("api"))))
 query("win_5_densify", f"SELECT cell, day, {R('rain')} AS rain FROM {DENSE}")(lambda t: dense(t).withColumn("rain", M.r6(col("rain"))))
 query("win_6_rank_capture", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE rn <= n * 0.5")(
@@ -132,7 +132,8 @@ query("jon_21_aligned", "SELECT o_custkey, count(*)::BIGINT AS n, max(o_totalpri
 # --- aggregates --------------------------------------------------------------------------------------------------
 
 Y, PP = "(l_returnflag = 'R')::INT", "(l_discount * 8 + 0.05)"
-y, pp = (col("l_returnflag") == "R").cast("int"), col("l_discount") * 8 + 0.05
+y = lambda: (col("l_returnflag") == "R").cast("int")
+pp = lambda: col("l_discount") * 8 + 0.05
 query("agg_2_group_or", f"SELECT user_id, bit_or(1::BIGINT << s::INT) AS slots, count(*)::BIGINT AS n FROM {_SLOTS} GROUP BY user_id")(lambda t: slots(t).groupBy("user_id").agg(F.bit_or(F.call_function("shiftleft", lit(1).cast("bigint"), col("s").cast("int"))).alias("slots"), F.count("*").alias("n")))
 query("agg_3_min_age", f"SELECT (user_id % 3)::BIGINT AS company, {R('min(epoch_us(TIMESTAMP \'2024-02-01\') - epoch_us(ts)) / 3.6e9')} AS age_h FROM events GROUP BY 1")(lambda t: t.events.groupBy((col("user_id") % 3).alias("company")).agg(M.r6(F.min(F.unix_micros(F.to_timestamp(lit("2024-02-01"))) - F.unix_micros(col("ts").cast("timestamp"))) / 3.6e9).alias("age_h")))
 query("agg_4_poll_log", "SELECT n_nationkey::BIGINT AS company, coalesce(n, 0)::BIGINT AS n_rows FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON c_nationkey = n_nationkey")(lambda t: t.nation.select(col("n_nationkey").alias("c_nationkey")).join(t.customer.filter("c_acctbal > 9000").groupBy("c_nationkey").agg(F.count("*").alias("n")), "c_nationkey", "left").select(big(col("c_nationkey")).alias("company"), F.coalesce("n", lit(0)).cast("bigint").alias("n_rows")))
@@ -149,24 +150,24 @@ def _median_fill(t):
     return x.crossJoin(F.broadcast(whole)).select("c_custkey", M.r6(F.coalesce("v1", "g", lit(20.0))).alias("v"))
 
 
-query("agg_7_log_ratio", f"SELECT l_suppkey, {R(f'ln((sum({Y}) + 15) / (sum({PP}) + 15))')} AS off FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_suppkey").agg(M.r6(F.log((F.sum(y) + 15) / (F.sum(pp) + 15))).alias("off")))
+query("agg_7_log_ratio", f"SELECT l_suppkey, {R(f'ln((sum({Y}) + 15) / (sum({PP}) + 15))')} AS off FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_suppkey").agg(M.r6(F.log((F.sum(y()) + 15) / (F.sum(pp()) + 15))).alias("off")))
 query("agg_8_noisy_or", f"SELECT l_suppkey, {R('1 - product(1 - l_discount * 0.1)')} AS risk FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_suppkey").agg(M.r6(M.noisy_or(col("l_discount") * 0.1)).alias("risk")))
 query("agg_9_missing_share", f"SELECT l_suppkey, {R('CASE WHEN sum(l_tax) <= 0 THEN 0 ELSE sum(CASE WHEN l_returnflag = \'N\' THEN l_tax ELSE 0 END) / sum(l_tax) END')} AS share FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_suppkey").agg(M.r6(F.when(F.sum("l_tax") <= 0, 0.0).otherwise(F.sum(F.when(col("l_returnflag") == "N", col("l_tax")).otherwise(0.0)) / F.sum("l_tax"))).alias("share")))
 query("agg_10_status_counts", "SELECT user_id, count_if(event_type = 'error')::BIGINT AS discharging, count_if(event_type IN ('view', 'click'))::BIGINT AS known, count_if(event_type = 'signup')::BIGINT AS offline FROM events GROUP BY 1")(lambda t: t.events.groupBy("user_id").agg(F.count_if(col("event_type") == "error").alias("discharging"), F.count_if(col("event_type").isin("view", "click")).alias("known"), F.count_if(col("event_type") == "signup").alias("offline")))
 query("agg_11_feed_down", "SELECT (user_id % 3)::BIGINT AS company, count(*)::BIGINT AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS since FROM events WHERE event_type = 'signup' GROUP BY 1")(lambda t: t.events.filter("event_type = 'signup'").groupBy((col("user_id") % 3).alias("company")).agg(F.count("*").alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("since")))
 query("agg_12_brier_blocks", f"SELECT l_linestatus AS status, l_linenumber::BIGINT AS line, count(*)::BIGINT AS n, {R(f'avg(pow({PP} - {Y}, 2))')} AS brier FROM lineitem GROUP BY GROUPING SETS ((l_linestatus), (l_linenumber), ())")(
-    lambda t: t.lineitem.select(col("l_linestatus").alias("status"), big(col("l_linenumber")).alias("line"), F.pow(pp - y, lit(2.0)).alias("e")).groupingSets([["status"], ["line"], []], "status", "line").agg(F.count("*").alias("n"), M.r6(F.avg("e")).alias("brier"))
+    lambda t: t.lineitem.select(col("l_linestatus").alias("status"), big(col("l_linenumber")).alias("line"), F.pow(pp() - y(), lit(2.0)).alias("e")).groupingSets([["status"], ["line"], []], "status", "line").agg(F.count("*").alias("n"), M.r6(F.avg("e")).alias("brier"))
 )
-query("agg_13_brier", f"SELECT count(*)::BIGINT AS n, {R(f'avg({Y})')} AS base, {R(f'avg(pow({PP} - {Y}, 2))')} AS brier FROM lineitem")(lambda t: t.lineitem.agg(F.count("*").alias("n"), M.r6(F.avg(y)).alias("base"), M.r6(F.avg(F.pow(pp - y, lit(2.0)))).alias("brier")))
-query("agg_14_scores", f"SELECT {R(f'-avg({Y} * ln(least(greatest({PP}, 1e-6), 1 - 1e-6)) + (1 - {Y}) * ln(1 - least(greatest({PP}, 1e-6), 1 - 1e-6)))')} AS log_loss, {R(f'avg({Y})')} AS base FROM lineitem")(lambda t: t.lineitem.select(y.alias("y"), M.clip(pp, 1e-6, 1 - 1e-6).alias("p")).agg(M.r6(-F.avg(col("y") * F.log("p") + (1 - col("y")) * F.log(1 - col("p")))).alias("log_loss"), M.r6(F.avg("y")).alias("base")))
-query("agg_15_skill", f"SELECT l_linestatus, {R(f'1 - avg(pow({PP} - {Y}, 2)) / avg(pow(0.3 - {Y}, 2))')} AS skill FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_linestatus").agg(M.r6(1 - F.avg(F.pow(pp - y, lit(2.0))) / F.avg(F.pow(0.3 - y, lit(2.0)))).alias("skill")))
-query("agg_16_reliability", f"SELECT least(floor({PP} * 10 + 1e-9), 9)::BIGINT AS bin, count(*)::BIGINT AS n, {R(f'avg({PP})')} AS p, {R(f'avg({Y})')} AS obs FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy(big(F.least(F.floor(pp * 10 + 1e-9), lit(9))).alias("bin")).agg(F.count("*").alias("n"), M.r6(F.avg(pp)).alias("p"), M.r6(F.avg(y)).alias("obs")))
-query("agg_17_rule_rates", f"SELECT {R(f'avg(CASE WHEN l_quantity >= 10 THEN {Y} END)')} AS wet, {R(f'avg(CASE WHEN l_quantity < 10 THEN {Y} END)')} AS dry FROM lineitem")(lambda t: t.lineitem.agg(M.r6(F.avg(F.when(col("l_quantity") >= 10, y))).alias("wet"), M.r6(F.avg(F.when(col("l_quantity") < 10, y))).alias("dry")))
+query("agg_13_brier", f"SELECT count(*)::BIGINT AS n, {R(f'avg({Y})')} AS base, {R(f'avg(pow({PP} - {Y}, 2))')} AS brier FROM lineitem")(lambda t: t.lineitem.agg(F.count("*").alias("n"), M.r6(F.avg(y())).alias("base"), M.r6(F.avg(F.pow(pp() - y(), lit(2.0)))).alias("brier")))
+query("agg_14_scores", f"SELECT {R(f'-avg({Y} * ln(least(greatest({PP}, 1e-6), 1 - 1e-6)) + (1 - {Y}) * ln(1 - least(greatest({PP}, 1e-6), 1 - 1e-6)))')} AS log_loss, {R(f'avg({Y})')} AS base FROM lineitem")(lambda t: t.lineitem.select(y().alias("y"), M.clip(pp(), 1e-6, 1 - 1e-6).alias("p")).agg(M.r6(-F.avg(col("y") * F.log("p") + (1 - col("y")) * F.log(1 - col("p")))).alias("log_loss"), M.r6(F.avg("y")).alias("base")))
+query("agg_15_skill", f"SELECT l_linestatus, {R(f'1 - avg(pow({PP} - {Y}, 2)) / avg(pow(0.3 - {Y}, 2))')} AS skill FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_linestatus").agg(M.r6(1 - F.avg(F.pow(pp() - y(), lit(2.0))) / F.avg(F.pow(0.3 - y(), lit(2.0)))).alias("skill")))
+query("agg_16_reliability", f"SELECT least(floor({PP} * 10 + 1e-9), 9)::BIGINT AS bin, count(*)::BIGINT AS n, {R(f'avg({PP})')} AS p, {R(f'avg({Y})')} AS obs FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy(big(F.least(F.floor(pp() * 10 + 1e-9), lit(9))).alias("bin")).agg(F.count("*").alias("n"), M.r6(F.avg(pp())).alias("p"), M.r6(F.avg(y())).alias("obs")))
+query("agg_17_rule_rates", f"SELECT {R(f'avg(CASE WHEN l_quantity >= 10 THEN {Y} END)')} AS wet, {R(f'avg(CASE WHEN l_quantity < 10 THEN {Y} END)')} AS dry FROM lineitem")(lambda t: t.lineitem.agg(M.r6(F.avg(F.when(col("l_quantity") >= 10, y()))).alias("wet"), M.r6(F.avg(F.when(col("l_quantity") < 10, y()))).alias("dry")))
 query("agg_18_site_rate", f"SELECT s_suppkey, {R(f'coalesce(r, (SELECT avg({Y}) FROM lineitem WHERE l_tax > 0.06))')} AS rate FROM supplier LEFT JOIN (SELECT l_suppkey, avg({Y}) AS r FROM lineitem WHERE l_tax > 0.06 AND l_suppkey % 3 > 0 GROUP BY 1) ON l_suppkey = s_suppkey")(
-    lambda t: t.supplier.select("s_suppkey").join(t.lineitem.filter("l_tax > 0.06 AND l_suppkey % 3 > 0").groupBy(col("l_suppkey").alias("s_suppkey")).agg(F.avg(y).alias("r")), "s_suppkey", "left").crossJoin(F.broadcast(t.lineitem.filter("l_tax > 0.06").agg(F.avg(y).alias("g")))).select("s_suppkey", M.r6(F.coalesce("r", "g")).alias("rate"))
+    lambda t: t.supplier.select("s_suppkey").join(t.lineitem.filter("l_tax > 0.06 AND l_suppkey % 3 > 0").groupBy(col("l_suppkey").alias("s_suppkey")).agg(F.avg(y()).alias("r")), "s_suppkey", "left").crossJoin(F.broadcast(t.lineitem.filter("l_tax > 0.06").agg(F.avg(y()).alias("g")))).select("s_suppkey", M.r6(F.coalesce("r", "g")).alias("rate"))
 )
-query("agg_19_contingency", f"SELECT count_if({PP} >= 0.5 AND {Y} = 1)::BIGINT AS hit, count_if({PP} < 0.5 AND {Y} = 1)::BIGINT AS miss, count_if({PP} >= 0.5 AND {Y} = 0)::BIGINT AS false_alarm, count_if({PP} < 0.5 AND {Y} = 0)::BIGINT AS quiet FROM lineitem")(lambda t: t.lineitem.agg(F.count_if((pp >= 0.5) & (y == 1)).alias("hit"), F.count_if((pp < 0.5) & (y == 1)).alias("miss"), F.count_if((pp >= 0.5) & (y == 0)).alias("false_alarm"), F.count_if((pp < 0.5) & (y == 0)).alias("quiet")))
-query("agg_20_paired_scores", f"SELECT {R(f'avg(pow({PP} - {Y}, 2))')} AS a, {R(f'avg(pow(l_tax * 10 - {Y}, 2))')} AS b, {R(f'avg(pow(0.33 - {Y}, 2))')} AS base FROM lineitem")(lambda t: t.lineitem.agg(M.r6(F.avg(F.pow(pp - y, lit(2.0)))).alias("a"), M.r6(F.avg(F.pow(col("l_tax") * 10 - y, lit(2.0)))).alias("b"), M.r6(F.avg(F.pow(0.33 - y, lit(2.0)))).alias("base")))
+query("agg_19_contingency", f"SELECT count_if({PP} >= 0.5 AND {Y} = 1)::BIGINT AS hit, count_if({PP} < 0.5 AND {Y} = 1)::BIGINT AS miss, count_if({PP} >= 0.5 AND {Y} = 0)::BIGINT AS false_alarm, count_if({PP} < 0.5 AND {Y} = 0)::BIGINT AS quiet FROM lineitem")(lambda t: t.lineitem.agg(F.count_if((pp() >= 0.5) & (y() == 1)).alias("hit"), F.count_if((pp() < 0.5) & (y() == 1)).alias("miss"), F.count_if((pp() >= 0.5) & (y() == 0)).alias("false_alarm"), F.count_if((pp() < 0.5) & (y() == 0)).alias("quiet")))
+query("agg_20_paired_scores", f"SELECT {R(f'avg(pow({PP} - {Y}, 2))')} AS a, {R(f'avg(pow(l_tax * 10 - {Y}, 2))')} AS b, {R(f'avg(pow(0.33 - {Y}, 2))')} AS base FROM lineitem")(lambda t: t.lineitem.agg(M.r6(F.avg(F.pow(pp() - y(), lit(2.0)))).alias("a"), M.r6(F.avg(F.pow(col("l_tax") * 10 - y(), lit(2.0)))).alias("b"), M.r6(F.avg(F.pow(0.33 - y(), lit(2.0)))).alias("base")))
 query("agg_21_distinct_any", "SELECT user_id, count(DISTINCT event_type)::BIGINT AS kinds, bool_or(event_type = 'purchase') AS any_purchase FROM events GROUP BY 1")(lambda t: t.events.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.bool_or(col("event_type") == "purchase").alias("any_purchase")))
 query("agg_22_value_counts", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type")(lambda t: t.events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(col("n").desc(), "event_type"))
 query("agg_23_season_tally", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest, count_if(value >= 50)::BIGINT AS over FROM events GROUP BY 1")(lambda t: t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"), F.count_if(col("value") >= 50).alias("over")))
