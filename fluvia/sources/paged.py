@@ -89,4 +89,4 @@ def missing_cells(wanted: DataFrame, cached: DataFrame, keys: list[str]) -> Data
 def issue_form(c):
     """'### Heading' text to a map of headings to answers."""
     parts = F.filter(F.split(c, r"(?m)^### "), lambda s: F.trim(s) != "")
-    return F.map_from_entries(F.transform(parts, lambda s: F.struct(F.trim(F.substring_index(s, "\n", 1)), F.trim(F.regexp_replace(s, r"^[^\n]*\n", "")))))
+    return F.map_from_entries(F.transform(parts, lambda s: F.struct(F.trim(F.substring_index(s, "\n", 1)), F.btrim(F.regexp_replace(s, r"^[^\n]*\n", ""), F.lit(" \n\r\t")))))
