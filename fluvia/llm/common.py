@@ -176,7 +176,6 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     spark = edges.sparkSession
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "cc-edges")
-    state = None
     for _ in range(most_rounds):
         kept: list[DataFrame] = []
         old = e._written_to
@@ -185,9 +184,10 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             kept.append(e)
         _written.remove(old)
         _delete(spark, old)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        # done when all are stars: one edge from each outer node, and no centre is an outer node
+        centres = e.select(F.col("b").alias("a")).distinct()
+        n, outer = e.agg(F.count("*"), F.countDistinct("a")).first()
+        if n == outer and centres.join(e.select("a"), "a", "left_semi").isEmpty():
             break
-        state = now
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -321,9 +321,11 @@ def near_groups(docs: DataFrame, fragments: int | None = None) -> DataFrame:
         kept.append(links := _linked(docs, nodes, _star_pairs(blocks)))
     with common.passing_tables(spark, kept):
         labels = common.components(links)
-        more = _linked(docs, nodes, _cross_pairs(blocks, labels))
-        if more.limit(1).count():
-            labels = common.components(links.unionByName(more))
+        cross = common.written(_cross_pairs(blocks, labels), "ngram-cross")
+        if not cross.isEmpty():
+            more = _linked(docs, nodes, cross)
+            if not more.isEmpty():
+                labels = common.components(links.unionByName(more))
         named = nodes.join(labels, "node", "left").select("node", "rep", "size", F.coalesce("label", "node").alias("label"))
         named = common.written(named, "ngram-named")
         smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
