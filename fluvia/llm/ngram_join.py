@@ -287,16 +287,18 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     heads = uses.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"), none.alias("b"), none.alias("na"), none.alias("nb"), F.col("a").alias("node"), F.col("ra").alias("doc_id"))
     wants = common.written(heads.unionByName(members), "ngram-wants")
     met = wants.hint("merge").join(segments, ["node", "doc_id"]).select("a", "bucket", "frag", "b", "na", "nb", "seg")
-    together = met.repartition("a", "bucket", "frag").sortWithinPartitions("a", "bucket", "frag", F.col("b").isNotNull())
+    together = met.repartition("a", "bucket", "frag").sortWithinPartitions("a", "bucket", "frag", F.col("b").isNotNull(), "b")
 
     def count(batches):
-        at, head = None, None
+        """Repeated rows bring a segment several times; each member counts once."""
+        at, head, last = None, None, None
         for batch in batches:
             rows = []
             for a, bucket, frag, b, na, nb, seg in zip(*(batch.column(c).to_pylist() for c in ("a", "bucket", "frag", "b", "na", "nb", "seg")), strict=True):
                 if b is None:
-                    at, head = (a, bucket, frag), _unpacked(seg)
-                elif at == (a, bucket, frag):
+                    at, head, last = (a, bucket, frag), _unpacked(seg), None
+                elif at == (a, bucket, frag) and b != last:
+                    last = b
                     if c := len(np.intersect1d(head, _unpacked(seg), assume_unique=True)):
                         rows.append((a, b, na, nb, c))
             if rows:

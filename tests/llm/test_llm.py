@@ -103,6 +103,17 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.near_groups(empty).count() == 0
 
 
+def test_ngram_join_counts_a_repeated_row_once(spark):
+    words = lambda k, n: [f"{k}{i}" for i in range(n)]
+    x, y = words("x", 20), words("y", 20)
+    a, b = " ".join(words("s", 44) + x), " ".join(words("s", 44) + y)
+    assert len(shingles(a) & shingles(b)) * 2 == len(shingles(a) | shingles(b))
+    often = [(10 + i, " ".join(words(f"f{i}_", 100) + words("s", 44)[-4:] + (x + y if i % 2 else y + words("s", 44)[-4:] + x) + words(f"g{i}_", 100))) for i in range(12)]
+    rows = [(1, a), (1, a), (2, b), (2, b), *often]
+    got = {tuple(r) for r in ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()}
+    assert got == {(i, i) for i, _ in rows}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (5, 3), (12, 10)], "a long, b long")
     assert {r.node: r.label for r in common.components(e).collect()} == {1: 1, 2: 1, 3: 1, 5: 1, 10: 10, 11: 10, 12: 10}
