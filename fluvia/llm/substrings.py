@@ -1,19 +1,26 @@
-"""Substring deduplication by hashing units of lines.
+"""Substring deduplication: repeated lines, repeated windows of words, and runs of repeated units of lines.
 
-A line is cut further at its punctuation, so that a passage pasted into the middle of a line still gives the same units as
-elsewhere. Units are normalised (letters lower-case, white space one space) and those of at least MIN_WORDS words get a 128-bit
-digest; shorter ones are bridges between their neighbours. Over the corpus, the occurrence with the smallest (doc_id, place)
-stays; other occurrences are repeated. Consecutive repeated units of a document that cover at least RUN_WORDS words are removed, with the
-offsets (code points) of the original text. Short boilerplate and chance repeats thus stay.
+Three rules give spans, and `repeated_spans` merges them. The occurrence with the smallest (doc_id, place) stays in each:
 
-Edge cases: null or empty text has no units; a null doc_id ranks first; rows that share a doc_id count as one document (their common units
-are one occurrence); very long texts are cut whole; an empty table gives an empty result; extra columns are kept by `cleaned` and ignored elsewhere.
+1. Lines. A whole line that occurs before is removed, whatever its length (letters lower-case, white space one space).
+2. Windows. A word is a run without white space and punctuation. A window of RUN_WORDS words that occurs before is removed, wherever it
+   begins in a line, unless it overlaps its own first occurrence. So a copied passage of RUN_WORDS words goes whole, to the word.
+3. Runs. A line is cut at its punctuation into units; a run of repeated units that covers RUN_WORDS words is removed. Pieces of fewer than
+   MIN_WORDS words are bridges between their neighbours.
+
+Windows are not all sent: those of which the least hash of GRAM words occurs once in the corpus can't repeat, and a bitmap of fixed size
+tells so. Digests have 128 bits (lines, units) and 96 bits (windows); texts are not compared again.
+
+Edge cases: null or empty text has no spans, nor has a line without words; a null doc_id ranks first; rows that share a doc_id count as one
+document (what they have in common at one place is one occurrence); very long texts are used whole; an empty table gives an empty result;
+extra columns are kept by `cleaned` and ignored elsewhere.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,16 +28,28 @@ from pyspark.sql import functions as F
 
 from fluvia.llm import common
 from fluvia.llm.encoding import slices
+from fluvia.llm.ngram_join import _mix, _power_tables
 
 MIN_WORDS, RUN_WORDS = 4, 25
+#: Words of the hashes that stand for a window, and how many of them a window has.
+GRAM = 9
+GRAMS = RUN_WORDS - GRAM + 1
+#: Characters hashed at a time (more for a longer text).
+CHARS = 1 << 19
 _UNIT = re.compile(r"[^\n.,;:!?]+")
 _FIRST = -(2**63)
+_MARKS = ".,;:!?"
+_NO_MARKS = str.maketrans(dict.fromkeys(_MARKS, " "))
+_LOW = np.arange(0x110000, dtype=np.uint32)
+_LOW[:0x20000] = [ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x20000)]
+_GAP = np.zeros(0x110000, dtype=bool)
+_GAP[:0x20000] = [chr(c).isspace() or chr(c) in _MARKS for c in range(0x20000)]
 
 
 def units_of(text: str) -> list[tuple[bytes, int, int, int, int, int]]:
     """(digest, number among digested units, start, end, words before, words) of the digested units of a text.
 
-    A line with words enough, but none of whose pieces has, is one unit.
+    A line with words enough, but none of whose pieces has, is one unit. Shorter pieces have none.
     """
     out: list[tuple[bytes, int, int, int, int, int]] = []
     before = at = 0
@@ -41,9 +60,9 @@ def units_of(text: str) -> list[tuple[bytes, int, int, int, int, int]]:
             pieces, sizes = [(line, at)], [sum(sizes)]
         for (piece, start), n in zip(pieces, sizes, strict=True):
             if n >= MIN_WORDS:
-                words = " ".join(piece.lower().split())
+                words = " ".join(piece.lower().split()).encode("utf-8", "replace")
                 end = start + len(piece.rstrip())
-                out.append((xxhash.xxh3_128_digest(words.encode("utf-8", "replace")), len(out), start + len(piece) - len(piece.lstrip()), end, before, n))
+                out.append((xxhash.xxh3_128_digest(words), len(out), start + len(piece) - len(piece.lstrip()), end, before, n))
             before += n
         at += len(line) + 1
     return out
@@ -62,19 +81,147 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "digest binary, doc_id long, unit int, start int, end int, before int, words int")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, n_words, keep_doc_id, keep_unit: the runs to remove and where the first unit of each stays."""
+def _runs(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end, from, to, first: runs of repeated units that cover RUN_WORDS words."""
     x = common.written(units(docs), "substring-units")
-    first = x.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = x.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "before")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = common.written(first, "substring-repeats")
     found = common.hot_lookup(x, first, "digest", "n", x.count(), F.concat_ws(":", "doc_id", "unit", "start"))
     found = found.filter("first IS NOT NULL AND (first.doc_id <> doc_id OR first.unit <> unit)")
     w = Window.partitionBy("doc_id").orderBy("unit", "start")
     found = found.withColumn("run", F.col("unit") - F.row_number().over(w))
-    runs = found.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("before") + F.col("words")) - F.min("before")).cast("long").alias("n_words"), F.min_by("first", "unit").alias("first"))
-    runs = runs.filter(F.col("n_words") >= RUN_WORDS)
-    real = lambda c: F.when(c != _FIRST, c)
-    return runs.select(real(F.col("doc_id")).alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", real(F.col("first.doc_id")).alias("keep_doc_id"), F.col("first.unit").cast("long").alias("keep_unit"))
+    runs = found.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("before").alias("from"), F.max(F.col("before") + F.col("words")).alias("to"), F.min_by("first", "unit").alias("first"))
+    return runs.filter(F.col("to") - F.col("from") >= RUN_WORDS).drop("run")
+
+
+def _real(c: str):
+    return F.when(F.col(c) != _FIRST, F.col(c))
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end, n_words, keep_doc_id, keep_unit: the runs of units to remove and where the first unit of each stays."""
+    n = (F.col("to") - F.col("from")).cast("long").alias("n_words")
+    return _runs(docs).select(_real("doc_id").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), n, _real("first.doc_id").alias("keep_doc_id"), F.col("first.unit").cast("long").alias("keep_unit"))
+
+
+def lines_of(text: str) -> list[tuple[bytes, int, int, int, int]]:
+    """(digest, start, end, words before, words before its end) of the lines with words."""
+    out, before, at = [], 0, 0
+    for line in text.split("\n"):
+        if n := len(line.translate(_NO_MARKS).split()):
+            words = " ".join(line.lower().split())
+            out.append((xxhash.xxh3_128_digest(words.encode("utf-8", "replace")), at + len(line) - len(line.lstrip()), at + len(line.rstrip()), before, before + n))
+            before += n
+        at += len(line) + 1
+    return out
+
+
+def windows_of(texts: list[str]) -> tuple[np.ndarray, ...] | None:
+    """Of all windows of RUN_WORDS words: text, first word, start, end, least hash of GRAM words, digest (three 32-bit numbers)."""
+    data = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    base = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    word = np.concatenate([[False], ~_GAP[data], [False]])
+    begin, end = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+    n = len(begin)
+    if n < RUN_WORDS:
+        return None
+    up, down = _power_tables(len(data) + 1)
+    zero = np.zeros(1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([zero, np.cumsum((_LOW[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+        h = _mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+        def rolled(h: np.ndarray, k: int) -> np.ndarray:
+            t = np.concatenate([zero, np.cumsum(h * up[:n], dtype=np.uint64)])
+            return _mix((t[k:] - t[:-k]) * down[: n - k + 1] + np.uint64(k))
+
+        least, width = rolled(h, GRAM), 1
+        while width < GRAMS:
+            step = min(width, GRAMS - width)
+            least, width = np.minimum(least[:-step], least[step:]), width + step
+        digest = np.empty((n - RUN_WORDS + 1, 3), dtype="<u4")
+        digest[:, :2] = rolled(h, RUN_WORDS).astype("<u8").view("<u4").reshape(-1, 2)
+        digest[:, 2] = rolled(_mix(h ^ np.uint64(0x5851F42D4C957F2D)), RUN_WORDS).astype(np.uint32)
+    doc = np.searchsorted(base, begin, side="right") - 1
+    at = np.flatnonzero(doc[: n - RUN_WORDS + 1] == doc[RUN_WORDS - 1 :])
+    d = doc[at]
+    return d, at - np.searchsorted(begin, base)[d], begin[at] - base[d], end[at + RUN_WORDS - 1] - base[d], least[at].view(np.int64), digest[at]
+
+
+class _Held(common.Bitmap):
+    """By the low bits of a value that is a hash already."""
+
+    def _at(self, column: str):
+        return F.pmod(F.col(column), F.lit(self.bits))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for key, text in slices(batches, ["doc_id", "text"]):
+            if rows := [(line[0], k, *line[1:]) for k, t in zip(key, text, strict=True) for line in lines_of(t)]:
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), *[pa.int32()] * 4), strict=True)], names=["digest", "doc_id", "start", "end", "from", "to"])
+
+    return _plain(docs).mapInArrow(run, "digest binary, doc_id long, start int, end int, from int, to int")
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """digest, doc_id, start, end, from, to: the windows that may repeat."""
+
+    def grams(batches):
+        for _, text in slices(batches, ["doc_id", "text"], CHARS):
+            if (x := windows_of(text)) and len(x[0]):
+                # once for each GRAMS neighbours: nearer ones overlap
+                new = np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[4][1:] != x[4][:-1])])
+                i = np.arange(len(new))
+                yield pa.record_batch([pa.array(x[4][(i - np.maximum.accumulate(np.where(new, i, 0))) % GRAMS == 0])], names=["gram"])
+
+    docs = _plain(docs)
+    some = docs.mapInArrow(grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    some = common.written(some, "substring-grams")
+    held = _Held(some, "gram", some.count())
+    words, bits = held.words, held.bits
+
+    def run(batches):
+        for key, text in slices(batches, ["doc_id", "text"], CHARS):
+            if x := windows_of(text):
+                k = x[4] & (bits - 1)
+                keep = (words.value[k // 32] >> (k % 32).astype(np.uint32) & 1).astype(bool)
+                doc, at, start, end, _, digest = (c[keep] for c in x)
+                if m := len(doc):
+                    binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), m, [None, pa.py_buffer(digest.tobytes())]).cast(pa.binary())
+                    yield pa.record_batch([binary, pa.array(np.array(key, dtype=np.int64)[doc]), *(pa.array(c.astype(np.int32)) for c in (start, end, at, at + RUN_WORDS))], names=["digest", "doc_id", "start", "end", "from", "to"])
+
+    return docs.mapInArrow(run, "digest binary, doc_id long, start int, end int, from int, to int")
+
+
+def _later(x: DataFrame, name: str) -> DataFrame:
+    """The rows whose digest has an earlier row that they do not overlap, and `first`, its place."""
+    x = common.written(x, f"substring-{name}")
+    first = x.groupBy("digest").agg(F.min(F.struct("doc_id", "from")).alias("first"), F.max(F.struct("doc_id", "from")).alias("last"), F.count("*").alias("n"))
+    first = common.written(first.filter("first <> last").drop("last"), f"substring-{name}-first")
+    found = common.hot_lookup(x, first, "digest", "n", x.count(), F.concat_ws(":", "doc_id", "from"))
+    return found.filter("first IS NOT NULL AND (first.doc_id <> doc_id OR `from` >= first.`from` + (`to` - `from`))")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end, n_words, keep_doc_id, keep_word: the spans to remove, merged where they touch, and where the first words of
+    each stay (the document and the number of the word there)."""
+    cols = ["doc_id", "start", "end", "from", "to", "keep_doc_id", "keep_word"]
+    runs = _runs(docs).withColumn("keep_doc_id", F.col("first.doc_id")).withColumn("keep_word", F.col("first.before")).select(*cols)
+    x = runs
+    for y in (_later(_lines(docs), "lines"), _later(_windows(docs), "windows")):
+        x = x.unionByName(y.withColumn("keep_doc_id", F.col("first.doc_id")).withColumn("keep_word", F.col("first.from")).select(*cols))
+    order = Window.partitionBy("doc_id").orderBy("from", "to")
+    reached = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("new", F.when(F.col("from") <= reached, 0).otherwise(1)).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    keep = F.min(F.struct("from", "keep_doc_id", "keep_word"))
+    x = x.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to") - F.min("from")).alias("n_words"), keep.alias("keep"))
+    long = lambda c: F.col(c).cast("long")
+    return x.select(_real("doc_id").alias("doc_id"), long("start").alias("start"), long("end").alias("end"), long("n_words").alias("n_words"), _real("keep.keep_doc_id").alias("keep_doc_id"), long("keep.keep_word").alias("keep_word"))
 
 
 def cleaned(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -87,4 +234,4 @@ def cleaned(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_runs(common.documents(spark, sf_dir))
+    return repeated_spans(common.documents(spark, sf_dir))

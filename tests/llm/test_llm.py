@@ -271,3 +271,18 @@ def test_substrings(spark, docs, empty):
                 run = []
     assert {r for r in got if r[0] is not None and r[4] is not None} == want
     assert substrings.repeated_runs(empty).count() == 0
+
+
+def test_spans_take_every_repeated_line_and_passage(spark, docs, empty):
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [
+        (1, "Short line here\nOther beginning words " + passage + " tail one"), (2, f"quite new lead {passage} and after"), (3, "SHORT  line here\nunseen text"), (4, "short line here, not whole"),
+        (5, "a b c d e f g " * 20), (6, " ".join(passage.split()[:24]) + " new"), (None, "only null"), (7, "only null"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substrings.repeated_spans(d)
+    got = {(r.doc_id, dict(rows)[r.doc_id][r.start : r.end], r.n_words, r.keep_doc_id) for r in spans.collect()}
+    assert got == {(2, passage, 40, 1), (3, "SHORT  line here", 3, 1), (5, " ".join("abcdefg" * 16), 112, 5), (7, "only null", 2, None)}
+    assert {r.doc_id: r.text for r in substrings.cleaned(d, spans).collect()}[2] == "quite new lead  and after"
+    assert substrings.repeated_spans(empty).count() == 0
+    assert {tuple(r)[:3] for r in substrings.repeated_spans(docs).collect()} >= {(17, 0, len(LONG))}
