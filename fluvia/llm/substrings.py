@@ -5,8 +5,8 @@ Three rules give spans, and `repeated_spans` merges them. The occurrence with th
 1. Lines. A whole line that occurs before is removed, whatever its length (letters lower-case, white space one space).
 2. Windows. A word is a run without white space and punctuation. A window of RUN_WORDS words that occurs before is removed, wherever it
    begins in a line, unless it overlaps its own first occurrence. So a copied passage of RUN_WORDS words goes whole, to the word.
-3. Runs. A line is cut at its punctuation into units; a run of repeated units that covers RUN_WORDS words is removed. Pieces of fewer than
-   MIN_WORDS words are bridges between their neighbours.
+3. Runs. A line is cut at its punctuation into units; a run of repeated units that covers RUN_WORDS words is removed. A piece of fewer than
+   MIN_WORDS words belongs to the run only where it follows the same unit before too, so text that differs stays.
 
 Windows are not all sent: those of which the least hash of GRAM words occurs once in the corpus can't repeat, and a bitmap of fixed size
 tells so. Digests have 128 bits (lines, units) and 96 bits (windows); texts are not compared again.
@@ -49,7 +49,8 @@ _GAP[:0x20000] = [chr(c).isspace() or chr(c) in _MARKS for c in range(0x20000)]
 def units_of(text: str) -> list[tuple[bytes, int, int, int, int, int]]:
     """(digest, number among digested units, start, end, words before, words) of the digested units of a text.
 
-    A line with words enough, but none of whose pieces has, is one unit. Shorter pieces have none.
+    A line with words enough, but none of whose pieces has, is one unit. The digest of a shorter piece includes all back to the last
+    unit; those before the first unit have none.
     """
     out: list[tuple[bytes, int, int, int, int, int]] = []
     before = at = 0
@@ -59,10 +60,10 @@ def units_of(text: str) -> list[tuple[bytes, int, int, int, int, int]]:
         if sum(sizes) >= MIN_WORDS > max(sizes):
             pieces, sizes = [(line, at)], [sum(sizes)]
         for (piece, start), n in zip(pieces, sizes, strict=True):
-            if n >= MIN_WORDS:
+            if n >= MIN_WORDS or n and out:
                 words = " ".join(piece.lower().split()).encode("utf-8", "replace")
                 end = start + len(piece.rstrip())
-                out.append((xxhash.xxh3_128_digest(words), len(out), start + len(piece) - len(piece.lstrip()), end, before, n))
+                out.append((xxhash.xxh3_128_digest(words if n >= MIN_WORDS else out[-1][0] + words), len(out), start + len(piece) - len(piece.lstrip()), end, before, n))
             before += n
         at += len(line) + 1
     return out

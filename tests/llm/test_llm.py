@@ -286,3 +286,12 @@ def test_spans_take_every_repeated_line_and_passage(spark, docs, empty):
     assert {r.doc_id: r.text for r in substrings.cleaned(d, spans).collect()}[2] == "quite new lead  and after"
     assert substrings.repeated_spans(empty).count() == 0
     assert {tuple(r)[:3] for r in substrings.repeated_spans(docs).collect()} >= {(17, 0, len(LONG))}
+
+
+def test_runs_keep_short_pieces_that_differ(spark):
+    before, after = (", ".join(f"{k}{i} and some further words" for i in range(6)) for k in "qr")
+    rows = [(1, f"{before}, Ann Lee, {after}."), (2, f"{before}, Bob Day, {after}."), (3, f"{before}, Ann Lee, {after}. More.")]
+    for found in (substrings.repeated_runs, substrings.repeated_spans):
+        gone = {(r.doc_id, rows[r.doc_id - 1][1][r.start : r.end]) for r in found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {g for g in gone if g[0] == 2} == {(2, before), (2, after)}
+        assert {g for g in gone if g[0] == 3} == {(3, f"{before}, Ann Lee, {after}")}
