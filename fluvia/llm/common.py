@@ -12,6 +12,7 @@ import gc
 import shutil
 import uuid
 from contextlib import contextmanager
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -167,16 +168,18 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return written(to.filter("a <> b").distinct(), "cc-edges")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """node, label (smallest node of its connected component) of every node of the edges (a, b: longs).
 
     Alternating large-star and small-star rounds; a node with a third of all edges is safe (see hot_lookup). Nothing but counts
-    reaches the driver.
+    reaches the driver. An error if `most_rounds` don't suffice.
     """
     spark = edges.sparkSession
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "cc-edges")
-    for _ in range(most_rounds):
+    for k in count():
+        if k == most_rounds:
+            raise RuntimeError(f"unfinished after {most_rounds} rounds")
         kept: list[DataFrame] = []
         old = e._written_to
         with passing_tables(spark, kept):

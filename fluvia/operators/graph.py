@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,18 @@ def _step(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, roots: DataFrame, cap: float, most_rounds: int = 200) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, cap: float, most_rounds: int | None = None) -> DataFrame:
     """root, node, dist: nodes within `cap` along edges (src, dst, length) against their direction from each root.
 
-    Only nodes whose distance fell in the last round are expanded; shortest distances are kept.
+    Only nodes whose distance fell in the last round are expanded, until none fell; shortest distances are kept. An error if
+    `most_rounds` don't suffice.
     """
     best = roots.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist"))
     front = best = _step(best)
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("up"), "length")
-    for _ in range(most_rounds):
+    for k in count():
+        if k == most_rounds:
+            raise RuntimeError(f"unfinished after {most_rounds} rounds")
         met = front.join(back, "node").select("root", F.col("up").alias("node"), (F.col("dist") + F.col("length")).alias("dist")).filter(F.col("dist") <= cap)
         met = met.groupBy("root", "node").agg(F.min("dist").alias("dist"))
         old = best.withColumnRenamed("dist", "old")
@@ -46,11 +51,13 @@ def sinks(edges: DataFrame) -> DataFrame:
     return heads(reversed_edges(edges))
 
 
-def min_label(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """node, label: the smallest node of its connected component."""
+def min_label(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """node, label: the smallest node of its connected component. An error if `most_rounds` don't suffice."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     labels = _step(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(most_rounds):
+    for k in count():
+        if k == most_rounds:
+            raise RuntimeError(f"unfinished after {most_rounds} rounds")
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
         new = labels.join(near, labels.node == near.src, "left").select("node", F.least("label", "near").alias("label"))
         jump = new.select(F.col("node").alias("_n"), F.col("label").alias("_l"))

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from fluvia.functions import maths, times
+from fluvia.llm import common
 from fluvia.operators import graph, spatial, temporal
 from fluvia.streaming import folds
 
@@ -49,6 +51,16 @@ def test_closure_keeps_shortest_on_a_braid_and_a_cycle(spark):
     assert got == {1: 0.0, 3: 1.0, 2: 2.0, 4: 12.0}
 
 
+def test_unfinished_rounds_are_an_error(spark):
+    chain = [(k + 1, k) for k in range(1, 9)]
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in chain], "src long, dst long, length double")
+    root = spark.createDataFrame([(1,)], "node long")
+    for unfinished in (lambda: graph.closure(e, root, 100.0, 3), lambda: graph.min_label(e, 1), lambda: common.components(e.select("src", "dst").toDF("a", "b"), 1)):
+        with pytest.raises(RuntimeError):
+            unfinished()
+    assert graph.closure(e, root, 100.0).count() == 9
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (9, 8)], "src long, dst long")
     assert {r.node: r.label for r in graph.min_label(e).collect()} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8}
