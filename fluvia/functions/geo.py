@@ -29,3 +29,12 @@ def to_grid(lat: Column, lon: Column) -> tuple[Column, Column]:
     return east, north
 
 
+#: The box of plausible places: latitudes and longitudes. Fixed values.
+LATITUDES, LONGITUDES = (49.8, 60.95), (-8.7, 1.8)
+
+
+def lat_lon_in_box(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Latitude and longitude of two numbers in either order, null where neither order lies in the box; and whether they were turned."""
+    straight = a.between(*LATITUDES) & b.between(*LONGITUDES)
+    turned = ~straight & b.between(*LATITUDES) & a.between(*LONGITUDES)
+    return F.when(straight, a).when(turned, b), F.when(straight, b).when(turned, a), turned

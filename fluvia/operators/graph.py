@@ -2,40 +2,81 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import uuid
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
+def _folder(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (base or "file:///tmp/checkpoints/fluvia").rstrip("/")
+
+
 def _step(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration, in the folder of spark.checkpoint.dir."""
+    """Cut the lineage of an iteration: a table written in the folder of spark.checkpoint.dir, computed once."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/fluvia")
-    return df.checkpoint()
+    path = f"{_folder(spark)}/fluvia-step-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step_path = path
+    return out
+
+
+def path_of(step: DataFrame) -> str:
+    """Where a step's table is."""
+    return step._step_path
+
+
+def parent(step: DataFrame) -> str:
+    return path_of(step).rpartition("/")[0]
+
+
+@atexit.register
+def _tidy() -> None:
+    for path in _written:
+        if path.startswith("file:///tmp/checkpoints/fluvia/"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+#: Edges that a round of `closure` follows before it compares distances, and rounds whose deltas are kept apart.
+HOPS, DELTAS = 4, 8
 
 
 def closure(edges: DataFrame, roots: DataFrame, cap: float, most_rounds: int | None = None) -> DataFrame:
     """root, node, dist: nodes within `cap` along edges (src, dst, length) against their direction from each root.
 
-    Only nodes whose distance fell in the last round are expanded, until none fell; shortest distances are kept. An error if
-    `most_rounds` don't suffice.
+    Only nodes whose distance fell in the last round are expanded, HOPS edges at a time, until none fell; shortest distances are kept. What was
+    reached is kept as the rounds' deltas, which are put together once in DELTAS rounds. An error if `most_rounds` edges in a row don't suffice.
     """
-    best = roots.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist"))
-    front = best = _step(best)
+    reached = [_step(roots.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist")).distinct())]
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("up"), "length")
+    least = lambda x: x.groupBy("root", "node").agg(F.min("dist").alias("dist"))
+    front = reached[0]
     for k in count():
-        if k == most_rounds:
-            raise RuntimeError(f"unfinished after {most_rounds} rounds")
-        met = front.join(back, "node").select("root", F.col("up").alias("node"), (F.col("dist") + F.col("length")).alias("dist")).filter(F.col("dist") <= cap)
-        met = met.groupBy("root", "node").agg(F.min("dist").alias("dist"))
-        old = best.withColumnRenamed("dist", "old")
-        front = _step(met.join(old, ["root", "node"], "left").filter("old IS NULL OR dist < old").select("root", "node", "dist"))
+        if most_rounds is not None and k * HOPS >= most_rounds:
+            raise RuntimeError(f"unfinished after {most_rounds} edges")
+        hop, met = front, None
+        for _ in range(HOPS):
+            hop = hop.join(back, "node").select("root", F.col("up").alias("node"), (F.col("dist") + F.col("length")).alias("dist")).filter(F.col("dist") <= cap)
+            met = hop if met is None else met.unionByName(hop)
+        old = reduce(DataFrame.unionByName, reached)
+        front = _step(least(met).join(least(old).withColumnRenamed("dist", "old"), ["root", "node"], "left").filter("old IS NULL OR dist < old").select("root", "node", "dist"))
         if front.isEmpty():
-            break
-        best = _step(best.unionByName(front).groupBy("root", "node").agg(F.min("dist").alias("dist")))
-    return best
+            return least(old)
+        reached.append(front)
+        if len(reached) > DELTAS:
+            reached = [_step(least(reduce(DataFrame.unionByName, reached)))]
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

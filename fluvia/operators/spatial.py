@@ -20,10 +20,23 @@ def within_join(points: DataFrame, targets: DataFrame, most: float) -> DataFrame
     return a.join(with_tile(targets, "qx", "qy", most), ["_tx", "_ty"]).withColumn("dist", d).filter(F.col("dist") <= most).drop("_tx", "_ty")
 
 
+#: Rings that `nearest_join` searches: shares of the farthest distance.
+RINGS = (0.125, 0.25, 0.5, 1.0)
+
+
 def nearest_join(points: DataFrame, targets: DataFrame, point_key: str, target_key: str, most: float) -> DataFrame:
-    """The nearest target of each point, ties by key."""
-    met = within_join(points, targets, most)
-    return met.groupBy(point_key).agg(F.min(F.struct("dist", target_key)).alias("_b")).select(point_key, F.col(f"_b.{target_key}").alias(target_key), F.col("_b.dist").alias("dist"))
+    """The nearest target of each point, ties by key.
+
+    Outwards in RINGS of tiles: a point that has met a target within a ring's distance is done, since any target of a wider ring is farther;
+    so dense places meet small tiles only.
+    """
+    found, left = None, points
+    for share in RINGS:
+        met = within_join(left, targets, most * share).groupBy(point_key).agg(F.min(F.struct("dist", target_key)).alias("_b"))
+        best = _step(met.select(point_key, F.col(f"_b.{target_key}").alias(target_key), F.col("_b.dist").alias("dist")))
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select(point_key), point_key, "left_anti")
+    return found
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
@@ -42,23 +55,60 @@ def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return n % 2 == 1
 
 
-def greedy_dedupe(df: DataFrame, key: str, rank: str, most: float, rounds: int = 20) -> DataFrame:
-    """Keep the best-ranked point (px, py) of those within `most`, in the order (rank desc, key): rounds of suppression.
+def in_ring_of(x: Column, y: Column, ring: Column) -> Column:
+    """Ray casting against a ring that is data: an array of structs (x, y)."""
+    n = F.size(ring)
+    at = lambda i: F.get(ring, F.pmod(i, n))
+
+    def crossed(i: Column) -> Column:
+        a, b = at(i), at(i + 1)
+        return F.when((a["y"] > y) != (b["y"] > y), (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]).cast("int")).otherwise(0)
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + crossed(i)) % 2 == 1
+
+
+def ring_distance(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point to the edges of a ring that is data."""
+    n = F.size(ring)
+
+    def edge(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, n))
+        return segment_distance(x, y, a["x"], a["y"], b["x"], b["y"])[0]
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), edge))
+
+
+def ring_join(points: DataFrame, rings: DataFrame, size: float, shore: float) -> DataFrame:
+    """Points (px, py) with the rings (ring: array of structs x, y) that hold them or whose shore is at most `shore` away, with `inside` and
+    `to_shore`: by the tiles of side `size` that a ring's box, widened by `shore`, covers."""
+    lo = lambda c: F.floor((F.array_min(F.transform("ring", lambda p: p[c])) - shore) / size)
+    hi = lambda c: F.floor((F.array_max(F.transform("ring", lambda p: p[c])) + shore) / size)
+    tiles = rings.withColumn("_tx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("_ty", F.explode(F.sequence(lo("y"), hi("y"))))
+    met = with_tile(points, "px", "py", size).join(tiles, ["_tx", "_ty"])
+    met = met.withColumn("inside", in_ring_of(F.col("px"), F.col("py"), F.col("ring"))).withColumn("to_shore", ring_distance(F.col("px"), F.col("py"), F.col("ring")))
+    return met.filter(F.col("inside") | (F.col("to_shore") <= shore)).drop("_tx", "_ty")
+
+
+def greedy_dedupe(df: DataFrame, key: str, rank: str, most: float) -> DataFrame:
+    """Keep the best-ranked point (px, py) of those within `most`, in the order (rank desc, key): rounds of suppression, until none is open.
 
-    In each round, a point with no better open neighbour is kept and closes its neighbours.
+    Each point meets its neighbours once; in each round, a point with no better open neighbour is kept and closes its neighbours. A chain in
+    which each point is just better than the next takes as many rounds as it has kept points.
     """
-    open_ = df
-    kept = None
-    for _ in range(rounds):
-        q = open_.select(F.col(key).alias("_k"), F.col(rank).alias("_r"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-        better = within_join(open_, q, most).filter((F.col("_r") > F.col(rank)) | ((F.col("_r") == F.col(rank)) & (F.col("_k") < F.col(key)))).select(key).distinct()
-        best = _step(open_.join(better, key, "left_anti"))
-        kept = best if kept is None else kept.unionByName(best)
-        near = within_join(open_, best.select(F.col("px").alias("qx"), F.col("py").alias("qy")), most).select(key).distinct()
-        open_ = _step(open_.join(near, key, "left_anti"))
-        if open_.isEmpty():
-            break
-    return kept
+    near = lambda c: F.col(c)
+    q = df.select(F.col(key).alias("_k"), F.col(rank).alias("_r"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    better = (near("_r") > near(rank)) | ((near("_r") == near(rank)) & (near("_k") < near(key)))
+    links = _step(within_join(df, q, most).filter(better).select(F.col(key).alias("worse"), F.col("_k").alias("better")))
+    closed = None
+    while not links.isEmpty():
+        # the best of those that still have links: nobody open is better
+        best = links.select(F.col("better").alias("node")).distinct().join(links.select(F.col("worse").alias("node")), "node", "left_anti")
+        gone = _step(links.join(best, links.better == best.node, "left_semi").select(F.col("worse").alias("node")).distinct())
+        closed = gone if closed is None else closed.unionByName(gone)
+        done = best.unionByName(gone).distinct()
+        left = links.join(done, links.worse == done.node, "left_anti")
+        links = _step(left.join(gone, left.better == gone.node, "left_anti"))
+    return df if closed is None else df.join(closed, F.col(key) == closed.node, "left_anti")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvia.operators.graph import _step
+
 
 def latest_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key in a total order."""
@@ -60,13 +62,33 @@ def last_non_null(df: DataFrame, keys: list[str], order: str, columns: list[str]
     return df.groupBy(*keys).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
 
 
+def _running_counts(df: DataFrame, column: str) -> DataFrame:
+    """column, _n, _before: how many rows have each value, and how many a smaller one.
+
+    Values are dealt to ranges and summed within each; only the ranges' totals meet in one window.
+    """
+    n = df.groupBy(column).agg(F.count("*").alias("_n")).repartitionByRange(column).withColumn("_p", F.spark_partition_id())
+    n = _step(n)
+    totals = n.groupBy("_p").agg(F.sum("_n").alias("_t"))
+    base = totals.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_base"))  # a row per range
+    within = F.sum("_n").over(Window.partitionBy("_p").orderBy(column)) - F.col("_n")
+    return n.withColumn("_w", within).join(F.broadcast(base), "_p").select(column, "_n", (F.col("_w") + F.col("_base")).alias("_before"))
+
+
+def global_rank(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Rank over the whole table; rows with equal values share the smallest."""
+    return df.join(_running_counts(df, column).select(column, (F.col("_before") + 1).alias(out)), column)
+
+
 def average_rank(df: DataFrame, column: str, out: str, keys: list[str] | None = None) -> DataFrame:
     """Rank with ties at their mean.
 
-    Counts per distinct value come first, so the window runs over values, not over rows.
+    Counts per distinct value come first, so windows run over values, not over rows; without keys, over ranges of values.
     """
-    keys = keys or []
+    if not keys:
+        ranks = _running_counts(df, column).select(column, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
+        return df.join(ranks, [column])
     n = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
     ranks = n.withColumn(out, F.sum("_n").over(w) - (F.col("_n") - 1) / 2).drop("_n")
     return df.join(ranks, [*keys, column])

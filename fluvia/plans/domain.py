@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fluvia.functions import geo
 from fluvia.functions import maths as M
 from fluvia.operators import graph as G
 from fluvia.operators import spatial as S
@@ -32,7 +33,12 @@ query("src_29_mapped_observations", "SELECT DISTINCT user_id, ts::DATE AS day FR
 query("src_30_source_status", "SELECT event_type AS source, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS points FROM events GROUP BY 1")(lambda t: t.events.groupBy(col("event_type").alias("source")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("points")))
 query("src_31_needed_cells", "SELECT event_id FROM events WHERE user_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")(lambda t: t.events.select("event_id", "user_id").join(t.supplier.filter("s_acctbal > 5000").select(col("s_suppkey").alias("user_id")), "user_id", "left_semi").select("event_id"))
 query("src_32_dimension", "SELECT DISTINCT s_nationkey::BIGINT AS company FROM supplier")(lambda t: t.supplier.select(big(col("s_nationkey")).alias("company")).dropDuplicates())
-query("snk_1_write_count", "SELECT count(*)::BIGINT AS n FROM orders")(lambda t: t.orders.agg(F.count("*").alias("n")))
+@query("snk_1_write_count", "SELECT count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS keys FROM orders")
+def _write_count(t):
+    """The table written as Parquet, and what a reader finds there."""
+    return G._step(t.orders).agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("bigint").alias("keys"))
+
+
 query("snk_2_forecast_rows", "SELECT l_orderkey, l_linenumber::BIGINT AS line, l_shipdate::DATE AS target_day, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::BIGINT AS lead FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE date_diff('day', o_orderdate::DATE, l_shipdate::DATE) >= 0")(lambda t: t.lineitem.join(t.orders, col("l_orderkey") == col("o_orderkey")).select("l_orderkey", big(col("l_linenumber")).alias("line"), day("l_shipdate").alias("target_day"), big(F.datediff("l_shipdate", "o_orderdate")).alias("lead")).filter("lead >= 0"))
 query("snk_3_scored_csv", "SELECT strftime(o_orderdate, '%Y-%m-%d') || ',' || o_orderkey || ',' || printf('%.4f', o_totalprice / 1000000 + 1e-9) AS line FROM orders ORDER BY o_orderdate, o_orderkey")(lambda t: t.orders.orderBy("o_orderdate", "o_orderkey").select(F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd"), col("o_orderkey").cast("string"), F.format_string("%.4f", col("o_totalprice") / 1000000 + 1e-9)).alias("line")))
 query("snk_5_features", "SELECT '{\"type\":\"Feature\",\"id\":' || s_suppkey || '}' AS feature FROM supplier WHERE s_suppkey % 90 BETWEEN 10 AND 40")(lambda t: t.supplier.filter("s_suppkey % 90 BETWEEN 10 AND 40").select(F.to_json(F.struct(lit("Feature").alias("type"), col("s_suppkey").alias("id"))).alias("feature")))
@@ -65,7 +71,25 @@ project("prj_17_in_season", "orders", "o_orderkey", {"s": lambda: F.month("o_ord
 project("prj_18_rounding", "lineitem", "l_orderkey, l_linenumber, l_extendedprice", {"v": lambda: F.round(col("l_extendedprice") / 7 + 1e-9, 3)}, {"v": "round(l_extendedprice / 7 + 1e-9, 3)"})
 query("prj_20_id_map", "SELECT k, max_by(v, o) AS v FROM (SELECT c_custkey AS k, c_name AS v, 1 AS o FROM customer UNION ALL SELECT s_suppkey, s_name, 2 FROM supplier) GROUP BY 1")(lambda t: t.customer.select(col("c_custkey").alias("k"), col("c_name").alias("v"), lit(1).alias("o")).unionByName(t.supplier.select(col("s_suppkey").alias("k"), col("s_name").alias("v"), lit(2).alias("o"))).groupBy("k").agg(F.max_by("v", "o").alias("v")))
 project("prj_21_stale", "events", "event_id", {"stale": lambda: F.coalesce(F.when(col("event_type") != "error", col("ts")) < F.to_timestamp(lit("2024-01-20")), lit(True))}, {"stale": "coalesce(CASE WHEN event_type <> 'error' THEN ts END < TIMESTAMP '2024-01-20', true)"})
-project("prj_22_swapped_pair", "supplier", "s_suppkey", {"lat": lambda: F.when(col("s_suppkey") % 2 == 0, lit(52.0)).otherwise(lit(-1.5) + 53.5)}, {"lat": "CASE WHEN s_suppkey % 2 = 0 THEN 52.0 ELSE 52.0 END"})
+#: Two numbers in either order, one in seven out of the box.
+_A22, _B22 = "50 + s_suppkey % 80 / 10.0 + CASE WHEN s_suppkey % 7 = 0 THEN 40 ELSE 0 END", "-5 + s_suppkey % 60 / 10.0"
+_SWAP22 = "s_suppkey % 2 = 0"
+
+
+@query(
+    "prj_22_swapped_pair",
+    f"""WITH p AS (SELECT s_suppkey, ({_A22})::DOUBLE AS lat0, ({_B22})::DOUBLE AS lon0 FROM supplier),
+q AS (SELECT s_suppkey, CASE WHEN {_SWAP22} THEN lon0 ELSE lat0 END AS a, CASE WHEN {_SWAP22} THEN lat0 ELSE lon0 END AS b FROM p),
+r AS (SELECT *, a BETWEEN 49.8 AND 60.95 AND b BETWEEN -8.7 AND 1.8 AS straight, b BETWEEN 49.8 AND 60.95 AND a BETWEEN -8.7 AND 1.8 AS turned FROM q)
+SELECT s_suppkey, round(CASE WHEN straight THEN a WHEN turned THEN b END, 6) AS lat, round(CASE WHEN straight THEN b WHEN turned THEN a END, 6) AS lon, (NOT straight AND turned) AS turned FROM r""",
+)
+def _swapped_pairs(t):
+    x = t.supplier.select("s_suppkey", F.expr(_A22).cast("double").alias("lat0"), F.expr(_B22).cast("double").alias("lon0"), F.expr(_SWAP22).alias("s"))
+    a, b = F.when(col("s"), col("lon0")).otherwise(col("lat0")), F.when(col("s"), col("lat0")).otherwise(col("lon0"))
+    lat, lon, turned = geo.lat_lon_in_box(a, b)
+    return x.select("s_suppkey", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), turned.alias("turned"))
+
+
 
 # --- networks: edges of the part tree ----------------------------------------------------------------------------
 
@@ -76,12 +100,12 @@ def edges(t):
     return t.part.filter("p_partkey > 1").select(col("p_partkey").alias("src"), F.floor(col("p_partkey") / 2).alias("dst"), col("p_size").cast("double").alias("length"))
 
 
-UP = f"""WITH RECURSIVE up AS (SELECT s_suppkey AS root, s_suppkey AS node, 0.0::DOUBLE AS dist FROM supplier WHERE s_suppkey BETWEEN 2 AND 39
+UP = f"""WITH RECURSIVE up AS (SELECT s_suppkey AS root, s_suppkey AS node, 0.0::DOUBLE AS dist FROM supplier
 UNION ALL SELECT root, e.src, dist + e.length FROM up JOIN {EDGES} e ON e.dst = up.node WHERE dist + e.length <= 120)"""
 
 
 def upstream(t):
-    return G.closure(edges(t), t.supplier.filter("s_suppkey BETWEEN 2 AND 39").select(col("s_suppkey").alias("node")), 120.0)
+    return G.closure(edges(t), t.supplier.select(col("s_suppkey").alias("node")), 120.0)
 
 
 query("grf_1_edges", f"SELECT src, dst, length FROM {EDGES}")(edges)
@@ -89,14 +113,14 @@ query("grf_2_heads_sinks", f"SELECT node, kind FROM (SELECT DISTINCT src AS node
 query("grf_5_upstream", UP + " SELECT root, node, dist FROM up")(upstream)
 query("grf_6_upstream_length", UP + f" SELECT root, {R('sum(e.length)')} AS total FROM up JOIN {EDGES} e ON e.src = up.node AND up.node <> root GROUP BY 1")(lambda t: upstream(t).filter("node <> root").join(edges(t).select(col("src").alias("node"), "length"), "node").groupBy("root").agg(M.r6(F.sum("length")).alias("total")))
 query("grf_7_lookup_length", f"SELECT dst AS node, {R('sum(length)')} AS near FROM {EDGES} GROUP BY 1")(lambda t: edges(t).groupBy(col("dst").alias("node")).agg(M.r6(F.sum("length")).alias("near")))
-query("grf_8_reach", f"""WITH RECURSIVE dn AS (SELECT s_suppkey + 1000 AS root, s_suppkey + 1000 AS node, 0.0::DOUBLE AS dist FROM supplier WHERE s_suppkey < 50
-UNION ALL SELECT root, e.dst, dist + e.length FROM dn JOIN {EDGES} e ON e.src = dn.node WHERE dist + e.length <= 90) SELECT root, node, dist FROM dn""")(lambda t: G.closure(G.reversed_edges(edges(t)), t.supplier.filter("s_suppkey < 50").select((col("s_suppkey") + 1000).alias("node")), 90.0))
+query("grf_8_reach", f"""WITH RECURSIVE dn AS (SELECT s_suppkey + 1000 AS root, s_suppkey + 1000 AS node, 0.0::DOUBLE AS dist FROM supplier
+UNION ALL SELECT root, e.dst, dist + e.length FROM dn JOIN {EDGES} e ON e.src = dn.node WHERE dist + e.length <= 90) SELECT root, node, dist FROM dn""")(lambda t: G.closure(G.reversed_edges(edges(t)), t.supplier.select((col("s_suppkey") + 1000).alias("node")), 90.0))
 query("grf_9_components", "SELECT node, min(node) OVER (PARTITION BY node % 2) AS label FROM (SELECT n_nationkey::BIGINT AS node FROM nation) WHERE true")(lambda t: G.min_label(t.nation.filter("n_nationkey >= 2").select(big(col("n_nationkey")).alias("src"), big(col("n_nationkey") - 2).alias("dst"))))
-query("grf_12_named_downstream", f"WITH RECURSIVE w AS (SELECT p_partkey AS link, p_partkey AS pos, 0 AS step FROM part WHERE p_partkey BETWEEN 1000 AND 1100 UNION ALL SELECT link, pos // 2, step + 1 FROM w WHERE step < 12 AND pos > 1 AND (pos % 5) <> 0) SELECT link, arg_max(pos, step) AS named FROM w GROUP BY 1")(lambda t: _named(t))
+query("grf_12_named_downstream", f"WITH RECURSIVE w AS (SELECT p_partkey AS link, p_partkey AS pos, 0 AS step FROM part UNION ALL SELECT link, pos // 2, step + 1 FROM w WHERE step < 12 AND pos > 1 AND (pos % 5) <> 0) SELECT link, arg_max(pos, step) AS named FROM w GROUP BY 1")(lambda t: _named(t))
 
 
 def _named(t):
-    x = t.part.filter("p_partkey BETWEEN 1000 AND 1100").select(col("p_partkey").alias("link"), col("p_partkey").alias("named"))
+    x = t.part.select(col("p_partkey").alias("link"), col("p_partkey").alias("named"))
     for _ in range(12):
         x = x.select("link", F.when((col("named") % 5 != 0) & (col("named") > 1), F.floor(col("named") / 2)).otherwise(col("named")).alias("named"))
     return x
@@ -129,7 +153,27 @@ query("jon_17_nearest_listed", f"SELECT c_custkey, arg_min(s_suppkey, ({DIST}, s
 _RING = [(100.0, 100.0), (700.0, 200.0), (600.0, 800.0), (300.0, 500.0)]
 _CROSS = " + ".join(f"((({ay} > {PY}) <> ({by} > {PY})) AND {PX} < {bx - ax} * ({PY} - {ay}) / {by - ay} + {ax})::INT" for (ax, ay), (bx, by) in zip(_RING, [*_RING[1:], _RING[0]], strict=True))
 query("geo_7_in_ring", f"SELECT c_custkey FROM customer WHERE ({_CROSS}) % 2 = 1")(lambda t: pins(t).filter(S.in_ring(col("px"), col("py"), _RING)).select("c_custkey"))
-query("jon_16_ring_join", f"SELECT c_custkey, ({_CROSS}) % 2 = 1 AS inside FROM customer")(lambda t: pins(t).select("c_custkey", S.in_ring(col("px"), col("py"), _RING).alias("inside")))
+#: A lake round each station: corners of a ring, as offsets. No point of the whole grid lies on its edges.
+_LAKE = [(30.5, 0.0), (0.0, 20.5), (-25.5, 0.0), (0.0, -40.5)]
+_EDGES16 = [(*p, *q) for p, q in zip(_LAKE, [*_LAKE[1:], _LAKE[0]], strict=True)]
+_IN16 = " + ".join(f"((({QY} + {ay} > {PY}) <> ({QY} + {by} > {PY})) AND {PX} < {bx - ax} * ({PY} - ({QY} + {ay})) / {by - ay} + {QX} + {ax})::INT" for ax, ay, bx, by in _EDGES16)
+
+
+def _edge16(ax: float, ay: float, bx: float, by: float) -> str:
+    t = f"greatest(0.0, least(1.0, (({PX} - {QX} - {ax}) * {bx - ax} + ({PY} - {QY} - {ay}) * {by - ay}) / {(bx - ax) ** 2 + (by - ay) ** 2}))"
+    return f"sqrt(pow({PX} - {QX} - {ax} - {t} * {bx - ax}, 2) + pow({PY} - {QY} - {ay} - {t} * {by - ay}, 2))"
+
+
+_SHORE16 = f"least({', '.join(_edge16(*e) for e in _EDGES16)})"
+
+
+@query("jon_16_ring_join", f"SELECT c_custkey, s_suppkey, ({_IN16}) % 2 = 1 AS inside, {R(_SHORE16)} AS to_shore FROM customer, supplier WHERE ({_IN16}) % 2 = 1 OR {_SHORE16} <= 8")
+def _ring_join(t):
+    corner = lambda x, y: F.struct((col("qx") + x).alias("x"), (col("qy") + y).alias("y"))
+    lakes = stations(t).select("s_suppkey", F.array(*[corner(x, y) for x, y in _LAKE]).alias("ring"))
+    return S.ring_join(pins(t), lakes, 40.0, 8.0).select("c_custkey", "s_suppkey", "inside", M.r6(col("to_shore")).alias("to_shore"))
+
+
 query("geo_4_second_pass", f"SELECT c_custkey, arg_min(s_suppkey, (c_nationkey <> s_nationkey, {DIST}, s_suppkey)) AS s_suppkey FROM customer, supplier WHERE {DIST} <= 120 GROUP BY 1")(lambda t: S.within_join(pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey"), stations(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey"), 120.0).groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(col("c_nationkey") != col("s_nationkey"), "dist", "s_suppkey")).alias("s_suppkey")))
 _T = f"greatest(0.0, least(1.0, (({PX} - 100) * 500 + ({PY} - 200) * 400) / 410000.0))"
 query("geo_5_along_line", f"SELECT c_custkey, {R(_T)} AS frac, {R(f'sqrt(pow({PX} - 100 - {_T} * 500, 2) + pow({PY} - 200 - {_T} * 400, 2))')} AS dist FROM customer")(lambda t: pins(t).select("c_custkey", *[M.r6(c).alias(n) for c, n in zip(S.segment_distance(col("px"), col("py"), lit(100.0), lit(200.0), lit(600.0), lit(600.0)), ("dist", "frac"), strict=True)]))
@@ -154,7 +198,15 @@ project("stm_5_tumbling_slot", "events", "event_id", {"slot": lambda: F.date_for
 query("stm_6_freshness", "SELECT user_id, ts::DATE AS day, bool_or(hour(ts) >= 18) AS fresh FROM events GROUP BY 1, 2")(lambda t: t.events.groupBy("user_id", day("ts").alias("day")).agg(F.bool_or(F.hour("ts") >= 18).alias("fresh")))
 query("stm_7_completeness", "SELECT user_id, ts::DATE AS day, CASE WHEN count(*) < 3 THEN 'few polls' WHEN max(hour(ts)) - min(hour(ts)) < 8 THEN 'short day' ELSE 'scored' END AS reason FROM events GROUP BY 1, 2")(lambda t: t.events.groupBy("user_id", day("ts").alias("day")).agg(F.when(F.count("*") < 3, "few polls").when(F.max(F.hour("ts")) - F.min(F.hour("ts")) < 8, "short day").otherwise("scored").alias("reason")))
 query("stm_8_watermark", "SELECT user_id, min(ts)::DATE AS first_day FROM events WHERE ts::DATE <= DATE '2024-01-30' - 1 GROUP BY 1")(lambda t: t.events.filter(day("ts") <= F.date_sub(lit("2024-01-30").cast("date"), 1)).groupBy("user_id").agg(day(F.min("ts")).alias("first_day")))
-project("stm_9_old_state", "customer", "c_custkey", {"n_stale": lambda: F.coalesce(F.when(col("c_custkey") % 2 == 0, lit(1)), lit(0)).cast("bigint")}, {"n_stale": "CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT"})
+@query("stm_9_old_state", "SELECT c_custkey, c_nationkey::BIGINT AS n_known, CASE WHEN c_custkey % 2 = 1 THEN c_nationkey ELSE 0 END::BIGINT AS n_stale FROM customer")
+def _old_state(t):
+    """State files of two versions read together: the older ones lack a column, which counts as 0."""
+    state = t.customer.select("c_custkey", big(col("c_nationkey")).alias("n_known"), big(col("c_nationkey")).alias("n_stale"))
+    old, new = G._step(state.filter("c_custkey % 2 = 0").drop("n_stale")), G._step(state.filter("c_custkey % 2 = 1"))
+    both = t.spark.read.option("mergeSchema", "true").option("basePath", G.parent(new)).parquet(G.path_of(old), G.path_of(new))
+    return both.select("c_custkey", "n_known", F.coalesce("n_stale", lit(0)).cast("bigint").alias("n_stale"))
+
+
 query("stm_10_old_log_guard", "SELECT count(*)::BIGINT AS n FROM events WHERE ts >= (SELECT min(ts) FROM events WHERE event_type = 'signup')")(lambda t: t.events.crossJoin(F.broadcast(t.events.filter("event_type = 'signup'").agg(F.min("ts").alias("first")))).filter("ts >= first").agg(F.count("*").alias("n")))
 query("stm_11_alerts", "SELECT event_id FROM (SELECT event_id, value, lag(value) OVER w AS before, count(*) FILTER (WHERE value >= 80) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 72000000000 PRECEDING AND 1 PRECEDING) AS recent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE value >= 80 AND before < 80 AND recent = 0")(
     lambda t: t.events.select("event_id", "value", F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"), F.count(F.when(col("value") >= 80, 1)).over(Window.partitionBy("user_id").orderBy(F.unix_micros(col("ts").cast("timestamp"))).rangeBetween(-72000000000, -1)).alias("recent")).filter("value >= 80 AND before < 80 AND recent = 0").select("event_id")

@@ -111,9 +111,13 @@ query("jon_9_asof_validity", f"SELECT e.event_id, arg_max(p.pid, p.ts) AS pid FR
 query("jon_10_asof_strict", f"SELECT e.event_id, arg_max(p.pid, p.ts) AS pid FROM events e LEFT JOIN {_PRED} p ON p.user_id = e.user_id AND p.ts < e.ts GROUP BY e.event_id")(
     lambda t: T.asof_join(t.events.select("event_id", "user_id", "ts"), t.events.filter("event_type = 'view'").groupBy("user_id", col("ts").alias("pts")).agg(F.max("event_id").alias("pid")), ["user_id"], "ts", "pts").select("event_id", "pid")
 )
-query("jon_11_coordinate_key", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON round(a.s_suppkey % 90 / 10.0, 4) = round(b.s_suppkey % 90 / 10.0, 4) AND a.s_suppkey < b.s_suppkey")(
-    lambda t: (k := t.supplier.select("s_suppkey", F.rint((col("s_suppkey") % 90) / 10 * 10000).cast("bigint").alias("k"))).alias("a").join(k.alias("b"), F.expr("a.k = b.k AND a.s_suppkey < b.s_suppkey")).select(col("a.s_suppkey").alias("a"), col("b.s_suppkey").alias("b"))
-)
+@query("jon_11_coordinate_key", "SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY k) AS first, count(*) OVER (PARTITION BY k) AS n FROM (SELECT s_suppkey, round(s_suppkey % 90 / 10.0, 4) AS k FROM supplier)")
+def _same_place(t):
+    """Rows that share a rounded coordinate, as the first of their group and its size, so that rows grow with the input and not with its square."""
+    k = t.supplier.select("s_suppkey", F.rint((col("s_suppkey") % 90) / 10 * 10000).cast("bigint").alias("k"))
+    return k.join(k.groupBy("k").agg(F.min("s_suppkey").alias("first"), F.count("*").alias("n")), "k").select("s_suppkey", "first", "n")
+
+
 query("jon_12_map_fallback", "SELECT c_custkey, coalesce(r_name, 'none') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")(lambda t: t.customer.join(t.nation, col("c_nationkey") == col("n_nationkey"), "left").join(t.region.filter("r_regionkey < 3"), col("n_regionkey") == col("r_regionkey"), "left").select("c_custkey", F.coalesce("r_name", lit("none")).alias("region")))
 query("jon_13_two_keys", "SELECT l_orderkey, l_linenumber, l_extendedprice, coalesce(a.p_name, b.p_name) AS name FROM lineitem LEFT JOIN part a ON a.p_partkey = l_partkey AND a.p_size > 25 LEFT JOIN part b ON b.p_partkey = l_suppkey")(
     lambda t: t.lineitem.join(t.part.filter("p_size > 25").select(col("p_partkey").alias("l_partkey"), col("p_name").alias("n1")), "l_partkey", "left").join(t.part.select(col("p_partkey").alias("l_suppkey"), col("p_name").alias("n2")), "l_suppkey", "left").select("l_orderkey", "l_linenumber", "l_extendedprice", F.coalesce("n1", "n2").alias("name"))
@@ -125,7 +129,7 @@ query("jon_19_lead_features", f"SELECT a.cell, a.day, {R('a.rain')} AS d0, {R('b
     lambda t: (x := daily(t).select("cell", "day", F.explode(F.array(lit(0), lit(1), lit(2))).alias("k"), "rain")).groupBy("cell", F.date_add("day", col("k")).alias("day")).agg(*[M.r6(F.max(F.when(col("k") == k, col("rain")))).alias(f"d{k}") for k in range(3)], F.count_if(col("k") == 0).alias("n")).filter("n = 1").drop("n")
 )
 query("jon_20_co_observation", "SELECT a AS user_a, arg_max(b, (n, -b)) AS user_b FROM (SELECT x.user_id AS a, y.user_id AS b, count(*) AS n FROM events x JOIN events y ON date_trunc('hour', x.ts) = date_trunc('hour', y.ts) AND x.event_type = y.event_type AND x.user_id <> y.user_id GROUP BY 1, 2) GROUP BY 1")(
-    lambda t: (e := t.events.select("user_id", F.date_trunc("hour", "ts").alias("h"), "event_type")).join(e.withColumnRenamed("user_id", "b"), ["h", "event_type"]).filter("user_id <> b").groupBy(col("user_id").alias("user_a"), "b").agg(F.count("*").alias("n")).groupBy("user_a").agg(F.max_by("b", F.struct("n", -col("b"))).alias("user_b"))
+    lambda t: (e := t.events.groupBy("user_id", F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.count("*").alias("m"))).join(e.withColumnsRenamed({"user_id": "b", "m": "k"}), ["h", "event_type"]).filter("user_id <> b").groupBy(col("user_id").alias("user_a"), "b").agg(F.sum(col("m") * col("k")).alias("n")).groupBy("user_a").agg(F.max_by("b", F.struct("n", -col("b"))).alias("user_b"))
 )
 query("jon_21_aligned", "SELECT o_custkey, count(*)::BIGINT AS n, max(o_totalprice) AS top FROM orders GROUP BY 1")(lambda t: t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")))
 
@@ -175,7 +179,12 @@ query("agg_24_reasons", "SELECT CASE WHEN l_returnflag = 'N' THEN 'not_returned'
 query("agg_25_unstamped_days", "SELECT user_id, ts::DATE AS day FROM events WHERE ts >= (SELECT min(ts) FROM events WHERE event_type = 'purchase') GROUP BY 1, 2 HAVING NOT bool_or(event_type = 'view')")(lambda t: t.events.crossJoin(F.broadcast(t.events.filter("event_type = 'purchase'").agg(F.min("ts").alias("first")))).filter("ts >= first").groupBy("user_id", day("ts").alias("day")).agg(F.bool_or(col("event_type") == "view").alias("ok")).filter("NOT ok").drop("ok"))
 query("agg_26_pooled_ratio", f"SELECT CASE WHEN l_quantity <= 10 THEN '(0,10]' WHEN l_quantity <= 30 THEN '(10,30]' ELSE '(30,' END AS bucket, {R('sum(l_extendedprice) / sum(l_quantity)')} AS pooled, {R('median(l_extendedprice / l_quantity)')} AS mid FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy(F.when(col("l_quantity") <= 10, "(0,10]").when(col("l_quantity") <= 30, "(10,30]").otherwise("(30,").alias("bucket")).agg(M.r6(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("pooled"), M.r6(F.median(col("l_extendedprice") / col("l_quantity"))).alias("mid")))
 query("agg_27_errors", f"SELECT l_linenumber::BIGINT AS lead, {R('avg(abs(l_tax - l_discount))')} AS mae, {R('avg(l_tax - l_discount)')} AS bias, {R('corr(l_tax, l_discount)')} AS r FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy(big(col("l_linenumber")).alias("lead")).agg(M.r6(F.avg(F.abs(col("l_tax") - col("l_discount")))).alias("mae"), M.r6(F.avg(col("l_tax") - col("l_discount"))).alias("bias"), M.r6(F.corr("l_tax", "l_discount")).alias("r")))
-query("agg_28_between_sites", f"SELECT {R('corr(ra, rb)')} AS rho FROM (SELECT rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM (SELECT l_suppkey, avg(l_quantity) AS a, sum(l_extendedprice) AS b FROM lineitem GROUP BY 1))")(lambda t: (m := t.lineitem.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("a"), F.sum("l_extendedprice").alias("b"))).select(F.rank().over(Window.orderBy("a")).alias("ra"), F.rank().over(Window.orderBy("b")).alias("rb")).agg(M.r6(F.corr("ra", "rb")).alias("rho")))
+@query("agg_28_between_sites", f"SELECT {R('corr(ra, rb)')} AS rho FROM (SELECT rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM (SELECT l_suppkey, avg(l_quantity) AS a, sum(l_extendedprice) AS b FROM lineitem GROUP BY 1))")
+def _between_sites(t):
+    m = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("a"), F.sum("l_extendedprice").alias("b"))
+    return T.global_rank(T.global_rank(m, "a", "ra"), "b", "rb").agg(M.r6(F.corr("ra", "rb")).alias("rho"))
+
+
 query("agg_29_summaries", "SELECT min(o_orderdate)::DATE AS first_day, count(DISTINCT o_custkey)::BIGINT AS sites FROM orders")(lambda t: t.orders.agg(day(F.min("o_orderdate")).alias("first_day"), F.countDistinct("o_custkey").alias("sites")))
 query("agg_30_last_two_polls", "SELECT company, max(CASE WHEN k = 1 THEN n END)::BIGINT AS last_n, max(CASE WHEN k = 2 THEN n END)::BIGINT AS previous_n FROM (SELECT (user_id % 3)::BIGINT AS company, dense_rank() OVER (ORDER BY ts::DATE DESC) AS k, count(*) AS n FROM events GROUP BY user_id % 3, ts::DATE) WHERE k <= 2 GROUP BY 1")(
     lambda t: (g := t.events.groupBy((col("user_id") % 3).alias("company"), day("ts").alias("day")).agg(F.count("*").alias("n"))).join(F.broadcast(g.select("day").distinct().orderBy(col("day").desc()).limit(2).select("day", F.dense_rank().over(Window.orderBy(col("day").desc())).alias("k"))), "day").groupBy("company").agg(F.max(F.when(col("k") == 1, col("n"))).alias("last_n"), F.max(F.when(col("k") == 2, col("n"))).alias("previous_n"))

@@ -19,14 +19,35 @@ from fluvia.plans.relational import DAILY, PP, R, Y, daily, day, pp, y
 _cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.expr("substring(w, 2)") if w is None else F.substr(w, lit(2))))
 project("str_6_label_parse", "part", "p_partkey", {"label": lambda: F.array_join(F.transform(F.split("p_type", " "), _cap), " ")}, {"label": "array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"})
 query("mth_17_projection")(lambda t: t.supplier.select("s_suppkey", *[F.round(c, 1).alias(n) for c, n in zip(geo.to_grid(50 + col("s_suppkey") % 80 / lit(10.0), -5 + col("s_suppkey") % 60 / lit(10.0)), ("east", "north"), strict=True)]))
-query("srt_11_greedy_dedupe")(lambda t: S.greedy_dedupe(pins(t).join(t.customer.select("c_custkey", big(col("c_acctbal")).alias("rank")), "c_custkey"), "c_custkey", "rank", 20.0).select("c_custkey"))
+_BY_RANK = f"SELECT row_number() OVER (ORDER BY c_acctbal::BIGINT DESC, c_custkey) AS i, c_custkey AS k, {PX} AS x, {PY} AS y FROM customer"
+
+
+@query(
+    "srt_11_greedy_dedupe",
+    f"""WITH RECURSIVE o AS ({_BY_RANK}), w AS (SELECT 0::BIGINT AS i, []::STRUCT(k BIGINT, x DOUBLE, y DOUBLE)[] AS kept
+UNION ALL SELECT o.i, CASE WHEN len(list_filter(kept, lambda q: sqrt(pow(q.x - o.x, 2) + pow(q.y - o.y, 2)) <= 20)) = 0 THEN list_append(kept, {{'k': o.k, 'x': o.x, 'y': o.y}}) ELSE kept END FROM w JOIN o ON o.i = w.i + 1)
+SELECT u.v.k AS c_custkey FROM (SELECT kept FROM w ORDER BY i DESC LIMIT 1), unnest(kept) AS u(v)""",
+)
+def _best_pins(t):
+    return S.greedy_dedupe(pins(t).join(t.customer.select("c_custkey", big(col("c_acctbal")).alias("rank")), "c_custkey"), "c_custkey", "rank", 20.0).select("c_custkey")
+
+
 
 query("grf_3_gap_repair", f"SELECT c_custkey AS head, arg_min(s_suppkey, ({DIST}, s_suppkey)) AS sink FROM customer, supplier WHERE {DIST} <= 60 AND s_acctbal >= 1000 AND c_nationkey <> s_nationkey GROUP BY 1")(lambda t: S.within_join(pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey"), stations(t).join(t.supplier.filter("s_acctbal >= 1000").select("s_suppkey", "s_nationkey"), "s_suppkey"), 60.0).filter("c_nationkey <> s_nationkey").groupBy(col("c_custkey").alias("head")).agg(F.min_by("s_suppkey", F.struct("dist", "s_suppkey")).alias("sink")))
 _ANC = f"WITH RECURSIVE a AS (SELECT src AS node, dst AS top, length FROM {EDGES} UNION ALL SELECT node, e.dst, a.length FROM a JOIN {EDGES} e ON e.src = a.top)"
 query("grf_4_accumulated_length", _ANC + f" SELECT top AS node, {R('sum(length)')} AS upstream FROM a GROUP BY 1")(lambda t: G.closure(G.reversed_edges(edges(t)), t.part.select(col("p_partkey").alias("node")), 1e12).filter("root <> node").join(edges(t).select(col("src").alias("root"), "length"), "root").groupBy("node").agg(M.r6(F.sum("length")).alias("upstream")))
-query("grf_10_lake_outlet", f"SELECT arg_max(src, (length, src)) AS outlet FROM {EDGES} WHERE src BETWEEN 100 AND 400 AND dst NOT BETWEEN 100 AND 400")(lambda t: edges(t).filter("src BETWEEN 100 AND 400").join(edges(t).filter("src BETWEEN 100 AND 400").select(col("src").alias("dst")), "dst", "left_anti").agg(F.max_by("src", F.struct("length", "src")).alias("outlet")))
-_WALK = f"WITH RECURSIVE w AS (SELECT p_partkey AS root, p_partkey AS node, 0.0::DOUBLE AS dist FROM part WHERE p_partkey BETWEEN 1000 AND 1200 UNION ALL SELECT root, e.dst, dist + length FROM w JOIN {EDGES} e ON e.src = w.node)"
-_walk = lambda t: G.closure(G.reversed_edges(edges(t)), t.part.filter("p_partkey BETWEEN 1000 AND 1200").select(col("p_partkey").alias("node")), 1e9)
+_LAKE = "src // 300 AS lake, dst // 300 AS below"
+
+
+@query("grf_10_lake_outlet", f"SELECT lake, arg_max(src, (length, src)) AS outlet FROM (SELECT src, length, {_LAKE} FROM {EDGES}) WHERE lake <> below GROUP BY 1")
+def _lake_outlets(t):
+    """Of the links that leave a lake (a range of 300 links), the longest."""
+    x = edges(t).withColumn("lake", F.floor(col("src") / 300)).withColumn("below", F.floor(col("dst") / 300))
+    return x.filter("lake <> below").groupBy("lake").agg(F.max_by("src", F.struct("length", "src")).alias("outlet"))
+
+
+_WALK = f"WITH RECURSIVE w AS (SELECT p_partkey AS root, p_partkey AS node, 0.0::DOUBLE AS dist FROM part UNION ALL SELECT root, e.dst, dist + length FROM w JOIN {EDGES} e ON e.src = w.node)"
+_walk = lambda t: G.closure(G.reversed_edges(edges(t)), t.part.select(col("p_partkey").alias("node")), 1e9)
 query("grf_11_path_to_lake", _WALK + f" SELECT root, arg_min(node, dist) AS entry, {R('min(dist)')} AS dist FROM w WHERE node BETWEEN 100 AND 130 GROUP BY 1")(lambda t: _walk(t).filter("node BETWEEN 100 AND 130").groupBy("root").agg(F.min_by("node", "dist").alias("entry"), M.r6(F.min("dist")).alias("dist")))
 query("grf_13_along_river", _WALK + f" SELECT root, node, {R('dist')} AS metres FROM w WHERE node IN (3, 60, 61)")(lambda t: _walk(t).filter("node IN (3, 60, 61)").select("root", "node", M.r6(col("dist")).alias("metres")))
 

@@ -14,11 +14,11 @@ from fluvia.plans.base import big, col, lit, project, query
 NAME = "part"
 project("str_1_norm_name", NAME, "p_partkey", {"norm": lambda: X.norm_name(F.concat(col("p_name"), lit(" (#"), col("p_brand"), lit(")")))}, {"norm": "trim(regexp_replace(upper(coalesce(p_name || ' (#' || p_brand || ')', '')), '[^A-Z0-9]+', ' ', 'g'))"})
 _W = "list_sort(list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z]{{2,}}'), lambda w: w NOT IN ('river','stream','brook','the','of','and','upper','lower'))))"
-project("str_2_distinctive_words", "documents", "doc_id", {"words": lambda: F.array_join(F.sort_array(X.distinctive_words(F.substring("text", 1, 200))), " ")}, {"words": "coalesce(array_to_string(" + _W.format("text[1:200]") + ", ' '), '')"})
+project("str_2_distinctive_words", "documents", "doc_id", {"words": lambda: F.array_join(F.sort_array(X.distinctive_words(col("text"))), " ")}, {"words": "coalesce(array_to_string(" + _W.format("text") + ", ' '), '')"})
 project("str_3_same_river", NAME, "p_partkey", {"same": lambda: X.share_word(col("p_name"), F.concat_ws(" ", lit("upper hot"), col("p_type")))}, {"same": "list_has_any(" + _W.format("p_name") + ", " + _W.format("'upper hot ' || p_type") + ")"})
 project("str_4_tokens", NAME, "p_partkey", {"tokens": lambda: F.array_join(F.sort_array(X.tokens(F.concat(col("p_name"), lit(" (drop this) the tidal "), col("p_type")), ("the", "tidal"))), " ")}, {"tokens": "array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(p_name || ' (drop this) the tidal ' || p_type, '\\(.*?\\)', ' ', 'g')), '[a-z]{3,}'), lambda w: w NOT IN ('the','tidal')))), ' ')"})
 project("str_5_id_format", "customer", "c_custkey", {"is_current": lambda: F.concat(F.upper(F.substring("c_mktsegment", 1, 3)), F.lpad(col("c_custkey").cast("string"), 5, "0")).rlike("^[A-Z]{3}[0-9]{5}$"), "is_old": lambda: F.concat(F.upper(F.substring("c_mktsegment", 1, 2)), col("c_custkey").cast("string")).rlike("^[A-Z]{2,3}[0-9]{4}$")}, {"is_current": "regexp_matches(upper(c_mktsegment[1:3]) || lpad(c_custkey::VARCHAR, 5, '0'), '^[A-Z]{3}[0-9]{5}$')", "is_old": "regexp_matches(upper(c_mktsegment[1:2]) || c_custkey::VARCHAR, '^[A-Z]{2,3}[0-9]{4}$')"})
-project("str_7_named_water", "documents", "doc_id", {"first_word": lambda: F.get(F.filter(F.split(F.substring("text", 1, 120), "[ ,.\\n]+"), lambda w: F.length(w) > 5), lit(0))}, {"first_word": "list_filter(string_split_regex(text[1:120], '[ ,.\\n]+'), lambda w: length(w) > 5)[1]"})
+project("str_7_named_water", "documents", "doc_id", {"first_word": lambda: F.get(F.filter(F.split("text", "[ ,.\\n]+"), lambda w: F.length(w) > 5), lit(0))}, {"first_word": "list_filter(string_split_regex(text, '[ ,.\\n]+'), lambda w: length(w) > 5)[1]"})
 query("str_8_slug", """WITH s AS (SELECT p_partkey, array_to_string(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), '-')[1:4], '-') AS slug FROM part)
 SELECT p_partkey, CASE WHEN row_number() OVER w = 1 THEN slug ELSE slug || '-' || row_number() OVER w END AS spot_id FROM s WINDOW w AS (PARTITION BY slug ORDER BY p_partkey)""")(
     lambda t: _slugs(t.part)

@@ -5,8 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from fluvia.functions import maths, times
-from fluvia.llm import common
+from fluvia.functions import geo, maths, times
 from fluvia.operators import graph, spatial, temporal
 from fluvia.streaming import folds
 
@@ -55,12 +54,19 @@ def test_unfinished_rounds_are_an_error(spark):
     chain = [(k + 1, k) for k in range(1, 9)]
     e = spark.createDataFrame([(a, b, 1.0) for a, b in chain], "src long, dst long, length double")
     root = spark.createDataFrame([(1,)], "node long")
-    for unfinished in (lambda: graph.closure(e, root, 100.0, 3), lambda: graph.min_label(e, 1), lambda: common.components(e.select("src", "dst").toDF("a", "b"), 1)):
+    for unfinished in (lambda: graph.closure(e, root, 100.0, 3), lambda: graph.min_label(e, 1)):
         with pytest.raises(RuntimeError):
             unfinished()
     assert graph.closure(e, root, 100.0).count() == 9
 
 
+def test_closure_follows_a_long_chain(spark):
+    n = 300
+    e = spark.createDataFrame([(k + 1, k, 0.5) for k in range(1, n)], "src long, dst long, length double")
+    got = {r.node: r.dist for r in graph.closure(e, spark.createDataFrame([(1,)], "node long"), 1e9).collect()}
+    assert got == {k: 0.5 * (k - 1) for k in range(1, n + 1)}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (9, 8)], "src long, dst long")
     assert {r.node: r.label for r in graph.min_label(e).collect()} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8}
@@ -84,6 +90,17 @@ def test_greedy_dedupe(spark):
     assert sorted(r.k for r in spatial.greedy_dedupe(x, "k", "rank", 1.5).collect()) == [1, 3, 4]
 
 
+def test_greedy_dedupe_of_a_long_chain(spark):
+    x = spark.createDataFrame([(k, 1000 - k, float(k), 0.0) for k in range(60)], "k int, rank int, px double, py double")
+    assert sorted(r.k for r in spatial.greedy_dedupe(x, "k", "rank", 1.0).collect()) == list(range(0, 60, 2))
+
+
+def test_swapped_pairs(spark):
+    x = spark.createDataFrame([(52.0, -1.5), (-1.5, 52.0), (10.0, 10.0), (None, 1.0)], "a double, b double")
+    got = [tuple(r) for r in x.select(*geo.lat_lon_in_box(F.col("a"), F.col("b"))).collect()]
+    assert got[:3] == [(52.0, -1.5, False), (52.0, -1.5, True), (None, None, False)] and got[3][:2] == (None, None)
+
+
 def test_interpolation_is_flat_beyond_its_ends(spark):
     x = spark.createDataFrame([(0.0,), (0.2,), (1.0,)], "p double")
     got = [r[0] for r in x.select(maths.interpolate(F.col("p"), [0.1, 0.3], [0.0, 1.0])).collect()]
