@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
-Texts are cut at safe boundaries (see `encoding.byte_level_pieces`), so a long text never meets the library's regex
-engine as one string; distinct pieces are encoded once per worker. Decoding concatenates the raw bytes of the ids, so it
+Texts are cut at safe boundaries (see `encoding.cut_byte_level`), so a long text never meets the library's regex
+engine as one string; a batch's distinct pieces are encoded once. Decoding concatenates the raw bytes of the ids, so it
 also restores texts whose ids cut characters apart.
 
 Edge cases: a null text counts as empty (no ids, empty bytes); lone surrogates cannot occur in a Parquet string;
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.llm import common
-from fluvia.llm.encoding import byte_level_pieces, rank_encoder, rank_encoding, slices
+from fluvia.llm.encoding import rank_encoder, rank_encoding, slices
 
 
 def encode(texts: list[str], path: str, pattern: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    return rank_encoder(path, pattern).ids(byte_level_pieces(t) for t in texts)
+    return rank_encoder(path, pattern).ids(texts)
 
 
 def decode(ids: list[bytes], path: str, pattern: str) -> list[bytes]:
@@ -65,18 +65,21 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for key, text in slices(batches, ["doc_id", "text"]):
-            ids = encode([t or "" for t in text], path, pattern)
-            back = decode(ids, path, pattern)
-            yield pa.record_batch(
-                [
-                    pa.array(key, pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([sha(" ".join(map(str, np.frombuffer(x, dtype="<u4").tolist())).encode()) for x in ids], pa.string()),
-                    pa.array([sha(x) for x in back], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        try:
+            for key, text in slices(batches, ["doc_id", "text"]):
+                ids = encode([t or "" for t in text], path, pattern)
+                back = decode(ids, path, pattern)
+                yield pa.record_batch(
+                    [
+                        pa.array(key, pa.int64()),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array([sha(" ".join(map(str, np.frombuffer(x, dtype="<u4").tolist())).encode()) for x in ids], pa.string()),
+                        pa.array([sha(x) for x in back], pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        finally:
+            rank_encoder(path, pattern).clear()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.llm import common
-from fluvia.llm.encoding import byte_encoder, byte_level_pieces, slices
+from fluvia.llm.encoding import BATCH, byte_encoder, slices
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part string, rank long"
@@ -105,19 +105,21 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
 
     def run(batches):
         encoder, part, seen = byte_encoder(tokenizer), uuid.uuid4().hex, Counter()
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for key, text in slices(batches, ["doc_id", "text"]):
-            rows = []
-            for doc, ids in zip(key, encoder.ids(byte_level_pieces(t or "") for t in text), strict=True):
-                ids += end
-                n = len(ids) // 4
-                first = n - (-(-n // capacity) - 1) * capacity
-                cuts = [0, *range(first, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    rows.append((doc, k, a, b - a, ids[4 * a : 4 * b], part, seen[b - a]))
-                    seen[b - a] += 1
-            names = [f.name for f in schema]
-            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
+        end, names = np.array([end_id], dtype="<u4").tobytes(), [f.name for f in schema]
+        try:
+            for key, text in slices(batches, ["doc_id", "text"], *BATCH):
+                rows = []
+                for doc, ids in zip(key, encoder.ids([t or "" for t in text]), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    first = n - (-(-n // capacity) - 1) * capacity
+                    cuts = [0, *range(first, n + 1, capacity)]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        rows.append((doc, k, a, b - a, ids[4 * a : 4 * b], part, seen[b - a]))
+                        seen[b - a] += 1
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
+        finally:
+            encoder.clear()
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.string()), ("rank", pa.int64())])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

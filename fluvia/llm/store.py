@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvia.llm import common
-from fluvia.llm.encoding import slices, white_space_pieces, word_encoder
+from fluvia.llm.encoding import BATCH, slices, word_encoder
 
 #: Ids in a chunk: least, about the mean, most.
 LEAST, MEAN, MOST = 256, 1024, 4096
 #: Ids that the rolling hash looks at.
 WINDOW = 6
 #: Chunk names a task remembers, to send each chunk once; a forgotten one is only sent again.
-SEEN = 200_000
+SEEN = 100_000
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -40,17 +40,21 @@ def _gear(ids: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(27))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a stream may be cut, as the hash of the last WINDOW ids says. In several streams at once the first places of each
+    depend on the stream before, but no chunk ends within its first LEAST ids."""
     g = _gear(ids)
-    h = np.zeros(n, dtype=np.uint64)
+    h = np.zeros(len(ids), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(min(WINDOW, n)):
-            h[k:] += g[: n - k] << np.uint64(k)
-    marks = np.flatnonzero((h >> np.uint64(20)) % np.uint64(MEAN - LEAST) == 0) + 1
+        for k in range(min(WINDOW, len(ids))):
+            h[k:] += g[: len(ids) - k] << np.uint64(k)
+    return np.flatnonzero((h >> np.uint64(20)) % np.uint64(MEAN - LEAST) == 0) + 1
+
+
+def ends(places: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids that may be cut at `places`."""
     out, last = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*places, n]:
         while m - last > MOST:
             last += MOST
             out.append(last)
@@ -60,6 +64,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream."""
+    return ends(marks(ids).tolist(), len(ids))
+
+
 def merkle(names: list[bytes]) -> bytes:
     """Root over names: pairs are hashed level by level, an odd one moves up."""
     level = [hashlib.sha256(b"\x00" + x).digest() for x in names] or [hashlib.sha256(b"").digest()]
@@ -74,24 +83,34 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
 
     def run(batches):
         encoder, seen = word_encoder(tokenizer), set()
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for key, text in slices(batches, ["doc_id", "text"]):
-            rows = []
-            for doc, ids in zip(key, encoder.ids(white_space_pieces(t or "") for t in text), strict=True):
-                ids = np.frombuffer(ids + end, dtype="<u4").astype(kind)
-                names, last = [], 0
-                for c in cuts(ids):
-                    part = ids[last:c].tobytes()
-                    last = c
-                    names.append(name := hashlib.sha256(part).digest())
-                    if name not in seen:
-                        if len(seen) > SEEN:
-                            seen.clear()
-                        seen.add(name)
-                        rows.append(("chunk", name, part, None, None, None, None))
-                root = merkle(names)
-                rows.append(("recipe", hashlib.sha256(root + str(doc).encode()).digest(), None, doc, len(ids), names, root))
-            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
+        end = np.array([end_id], dtype="<u4")
+        try:
+            for key, text in slices(batches, ["doc_id", "text"], *BATCH):
+                arrays = encoder.arrays([t or "" for t in text])
+                flat = np.concatenate([x for a in arrays for x in (a, end)]).astype(kind)
+                last = np.cumsum([len(a) + 1 for a in arrays])
+                first = (last - [len(a) + 1 for a in arrays]).tolist()
+                places = marks(flat)
+                begin, stop = np.searchsorted(places, first, side="right").tolist(), np.searchsorted(places, last).tolist()
+                whole, rows = flat.tobytes(), []
+                for i, doc in enumerate(key):
+                    at = first[i]
+                    n, names = int(last[i]) - at, []
+                    a = 0
+                    for c in ends((places[begin[i] : stop[i]] - at).tolist(), n):
+                        part = whole[width * (at + a) : width * (at + c)]
+                        a = c
+                        names.append(name := hashlib.sha256(part).digest())
+                        if name not in seen:
+                            if len(seen) > SEEN:
+                                seen.clear()
+                            seen.add(name)
+                            rows.append(("chunk", name, part, None, None, None, None))
+                    root = merkle(names)
+                    rows.append(("recipe", hashlib.sha256(root + str(doc).encode()).digest(), None, doc, n, names, root))
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
+        finally:
+            encoder.clear()
 
     b = pa.binary()
     schema = pa.schema([("kind", pa.string()), ("name", b), ("payload", b), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("names", pa.list_(b)), ("root", b)])
@@ -100,14 +119,14 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
 
 
 def _once(batches):
-    """Each chunk name once in this partition, where all rows of a name are; recipes pass."""
-    seen: set[bytes] = set()
+    """Each chunk name once in this partition, where all rows of a name are, one after another; recipes pass."""
+    last = None
     for b in batches:
         keep = []
         for kind, name in zip(b.column("kind").to_pylist(), b.column("name").to_pylist(), strict=True):
-            keep.append(kind == "recipe" or name not in seen)
+            keep.append(kind == "recipe" or name != last)
             if kind == "chunk":
-                seen.add(name)
+                last = name
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
@@ -134,7 +153,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
     path = path or common.new_path(spark, "id-store")
     staged = _staged(docs, tokenizer, end_id, width)
     # chunks of one name meet in one partition; a task sends a name once, so no name is hot
-    staged = staged.repartition(F.col("name")).mapInArrow(_once, staged.schema)
+    staged = staged.repartition(F.col("name")).sortWithinPartitions("name").mapInArrow(_once, staged.schema)
     staged.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/files")
     staged = spark.read.schema(staged.schema).parquet(f"{path}/files")
     recipes = staged.filter("kind = 'recipe'").select("doc_id", "n_tokens", "names", "root")
@@ -251,13 +270,15 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, ids (binary): the documents put together again from their chunks."""
-    docs = recipes(spark, path).withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start"))
+    """doc_id, start, ids (binary): the documents put together again from their chunks. A chunk of a third of all documents is looked up
+    by a broadcast (see `common.hot_lookup`; fewer than 1000 such chunks of at most MOST ids)."""
+    docs = common.written(recipes(spark, path), "store-recipes").withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start"))
     used = docs.select("row", F.posexplode("names").alias("pos", "name"))
-    found = used.join(chunks(spark, path), "name").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
-    empty = F.lit(b"")
-    ids = F.aggregate(F.col("parts.payload"), empty, lambda a, x: F.concat(a, x))
-    return docs.join(found, "row").select("doc_id", "start", ids.alias("ids"))
+    uses = used.groupBy("name").agg(F.count("*").alias("uses")).join(chunks(spark, path), "name")
+    found = common.hot_lookup(used, uses, "name", "uses", used.count(), F.concat_ws(":", "row", "pos"))
+    parts = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
+    joined = F.unhex(F.array_join(F.transform("parts.payload", F.hex), ""))
+    return docs.join(parts, "row").select("doc_id", "start", joined.alias("ids"))
 
 
 def verify_manifest(spark: SparkSession, path: str) -> int:
