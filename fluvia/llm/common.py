@@ -16,10 +16,11 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder (tests, a laptop).
+#: Used only where the session names no folder and runs on one machine (tests, a laptop).
 DEFAULT_SHARED = "file:///tmp/checkpoints/fluvia"
 
 #: A key is hot when it holds more than one row in HOT_SHARE; so there are fewer than HOT_SHARE hot keys,
@@ -30,8 +31,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a default where it is unset."""
+    """The cluster's shared folder: spark.checkpoint.dir. Only a local master may leave it unset; on a cluster that is an error,
+    since other executors could not see a machine's own folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (base or DEFAULT_SHARED).rstrip("/")
 
 
@@ -93,17 +97,30 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def hot_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, salt: Column) -> DataFrame:
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A top-level column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hot_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, salt: Column, share: int = HOT_SHARE) -> DataFrame:
     """Left join on a string or binary key, where a key may hold a third of the left rows.
 
-    `right` has one row per key with `count` left rows each. Keys with more than total / HOT_SHARE rows
-    (fewer than HOT_SHARE of them, by counting) are broadcast; their left rows then get a private join key, so
+    `right` has one row per key with `count` left rows each. Keys with more than total / share rows
+    (fewer than `share` of them, by counting) are broadcast; their left rows then get a private join key, so
     that the shuffled join sees no key with more than that share.
     """
     cols = [c for c in right.columns if c != key]
-    hot = right.filter(F.col(count) * HOT_SHARE > F.lit(total))
+    hot = right.filter(F.col(count) * share > F.lit(total))
     hot = hot.select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in cols])
-    rest = right.filter(F.col(count) * HOT_SHARE <= F.lit(total))
+    rest = right.filter(F.col(count) * share <= F.lit(total))
     rest = rest.select(F.col(key).alias("_rk"), *[F.col(c).alias(f"_r_{c}") for c in cols])
     x = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
     own = F.concat(F.lit("#"), F.coalesce(salt.cast("string"), F.lit("")))
@@ -113,23 +130,33 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: i
 
 
 class Bitmap:
-    """Hashed membership of a long column, for filters that may let others through: false means surely not in.
+    """Hashed membership of a column, for filters that may let others through: false means surely not in.
 
-    Its size is a power of two between 2**16 and 2**28 bits (32 MB, the bound of what is broadcast); a set that fills it only
-    weakens the filter.
+    Its size is a power of two between 2**16 and `most` bits (32 MB by default, the bound of what is broadcast); a set that fills it
+    only weakens the filter. Executors build it in blocks of BLOCK bits, so the driver gets as many rows as there are blocks.
     """
 
-    LEAST, MOST = 16, 28
+    LEAST, MOST, BLOCK = 16, 28, 1 << 19
 
     def __init__(self, held: DataFrame, column: str, n: int):
         self.bits = 1 << min(self.MOST, max(self.LEAST, (16 * n).bit_length()))
-        at = self._at(column)
-        words = np.zeros(self.bits // 32, dtype=np.int64)
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))
-        # at most bits / 32 rows
-        for r in held.select((at / 32).cast("long").alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-            words[r["w"]] = r["b"]
-        self.words = held.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
+        block, at = self.BLOCK, self._at(column)
+
+        def build(batches):
+            found: dict[int, np.ndarray] = {}
+            for b in batches:
+                k = b.column("at").to_numpy()
+                for i in np.unique(k // block).tolist():
+                    bits = found.setdefault(i, np.zeros(block, dtype=bool))
+                    bits[k[k // block == i] % block] = True
+            for i, bits in found.items():
+                yield pa.record_batch([pa.array([i], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+        words = np.zeros(max(block, self.bits) // 8, dtype=np.uint8)
+        x = held.select(at.alias("at")).distinct().repartition((F.col("at") / block).cast("long"))
+        for r in x.mapInArrow(build, "block long, bits binary").toLocalIterator():
+            words[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+        self.words = held.sparkSession.sparkContext.broadcast(words.view("<u4"))
 
     def _at(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.bits))
@@ -145,13 +172,32 @@ class Bitmap:
         return test(self._at(column))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is not in `gone` (doc_id, distinct). Texts that a bitmap clears are not shuffled."""
-    gone = written(gone.select(F.col("doc_id").alias("_gone")), "gone")
-    maybe = Bitmap(gone, "_gone", gone.count()).maybe("_id")
-    x = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_maybe", F.col("_id").isNotNull() & maybe)
-    tested = x.filter("_maybe").join(gone.hint("merge"), F.col("_id") == F.col("_gone"), "left_anti")
-    return x.filter("NOT _maybe").unionByName(tested).select(*docs.columns)
+def with_row_ids(docs: DataFrame, ids: str = "doc_id", nulls_first: bool = False) -> tuple[DataFrame, str, bool]:
+    """`docs` with a column (its name is returned) that holds a different long in each row, in the order of `ids`, and whether it
+    is that column itself: so where `ids` has no null and no repetition. Otherwise the rows are sorted by it (nulls last, or first)
+    and by a hash of the text, numbered, and written.
+    """
+    name = fresh(docs, "row_id")
+    each = docs.select(column(ids).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    if each.filter("n > 1 OR id IS NULL").isEmpty():
+        return docs.withColumn(name, column(ids).cast("long")), name, True
+    order = (column(ids).isNotNull() if nulls_first else column(ids).isNull(), column(ids), F.sha2(F.coalesce(column("text"), F.lit("")), 256))
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ordered.withColumn(name, F.monotonically_increasing_id()), "rows"), name, False
+
+
+def without(docs: DataFrame, gone: DataFrame, ids: str = "doc_id") -> DataFrame:
+    """Rows of `docs` whose `ids` is not in `gone` (one column). Texts that a bitmap clears are not shuffled.
+
+    A null id is never in it, rows that share an id go together, an empty table on either side is fine, and columns of any name are kept
+    as they are (see `fresh`).
+    """
+    held = written(gone.select(column(gone.columns[0]).cast("long").alias("gone")).filter("gone IS NOT NULL").distinct(), "gone")
+    key, maybe = fresh(docs, "gone_key"), fresh(docs, "gone_maybe")
+    x = docs.withColumn(key, column(ids).cast("long"))
+    x = x.withColumn(maybe, column(key).isNotNull() & Bitmap(held, "gone", held.count()).maybe(key))
+    tested = x.filter(column(maybe)).join(held.withColumnRenamed("gone", key).hint("merge"), key, "left_anti")
+    return x.filter(~column(maybe)).unionByName(tested).select(*map(column, docs.columns))
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -168,15 +214,38 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return written(to.filter("a <> b").distinct(), "cc-edges")
 
 
-def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+#: Edges that one task may join (a few dozen bytes each there); more are joined in rounds.
+FEW_EDGES = 1 << 18
+
+
+def _components_in_one_task(batches):
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = p = parent[p]
+            x = p
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+
+def components(edges: DataFrame, most_rounds: int | None = None, few: int = FEW_EDGES) -> DataFrame:
     """node, label (smallest node of its connected component) of every node of the edges (a, b: longs).
 
-    Alternating large-star and small-star rounds; a node with a third of all edges is safe (see hot_lookup). Nothing but counts
-    reaches the driver. An error if `most_rounds` don't suffice.
+    Up to `few` edges are joined by one task; more by alternating large-star and small-star rounds, where a node with a third of
+    all edges is safe (see hot_lookup). Nothing but counts reaches the driver. An error if `most_rounds` don't suffice.
     """
     spark = edges.sparkSession
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "cc-edges")
+    if e.count() <= few:
+        return e.coalesce(1).mapInArrow(_components_in_one_task, "node long, label long")
     for k in count():
         if k == most_rounds:
             raise RuntimeError(f"unfinished after {most_rounds} rounds")

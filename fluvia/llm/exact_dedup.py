@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.llm import common
+from fluvia.llm.encoding import mix64
 
 #: Digests a bucket holds on average.
 BUCKET_KEYS = 4096
@@ -36,16 +37,6 @@ def normalised(text: Column) -> Column:
 # --- binary-fuse filters -----------------------------------------------------------------------------------------
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser."""
-    with np.errstate(over="ignore"):
-        x = x ^ (x >> np.uint64(33))
-        x = x * np.uint64(0xFF51AFD7ED558CCD)
-        x = x ^ (x >> np.uint64(33))
-        x = x * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
-
-
 class FuseFilter:
     """A static 3-wise binary-fuse filter over 64-bit keys: no false negatives, about 1 in 256 false positives."""
 
@@ -55,11 +46,11 @@ class FuseFilter:
     @staticmethod
     def _slots(keys: np.ndarray, seed: int, segment: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
-            h = _mix(keys + np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+            h = mix64(keys + np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
         begin = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
         within = np.uint64(segment - 1)
-        low = [(h & within), ((h >> np.uint64(18)) & within), (_mix(h + np.uint64(1)) & within)]
-        return np.stack([(begin + i) * segment + x.astype(np.int64) for i, x in enumerate(low)]), (_mix(h + np.uint64(2)) & np.uint64(255)).astype(np.uint8)
+        low = [(h & within), ((h >> np.uint64(18)) & within), (mix64(h + np.uint64(1)) & within)]
+        return np.stack([(begin + i) * segment + x.astype(np.int64) for i, x in enumerate(low)]), (mix64(h + np.uint64(2)) & np.uint64(255)).astype(np.uint8)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> FuseFilter:
