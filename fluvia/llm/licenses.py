@@ -1,7 +1,7 @@
 """License scans with ordered signature rules.
 
-Several hundred regexes, made from a table of license names and a table of phrasings, run over a text's words (lower-cased,
-one space apart). An Aho-Corasick automaton over the rules' keywords says which rules can match at all; most texts run none.
+Hand-written signatures (notices, headers, addresses, exceptions) and rules from a table of license names and a table of phrasings, several
+hundred regexes in all, run over a text's words (lower-cased, one space apart). An Aho-Corasick automaton over the rules' keywords says which rules can match at all; most texts run none.
 Detections overlap ("gnu general public license version 3" lies in "... 3 or later"), so each rule has a priority: of two
 detections of which one interval contains the other, the one with the higher priority stays, and of equal ones the longer.
 
@@ -12,6 +12,7 @@ scanned each; very long texts are scanned whole; an empty table gives an empty r
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -98,6 +99,77 @@ TEXTS = [
     (85, 0.9, "bsd", r"redistribution and use in source and binary forms with or without modification", " redistribution"),
     (85, 0.8, "gpl", r"this program is free software you can redistribute it and or modify", " redistribute"),
     (85, 0.9, "unlicense", r"this is free and unencumbered software released into the public domain", " unencumbered"),
+    (85, 0.8, "gpl", r"this program is distributed in the hope that it will be useful but without any warranty", " hope"),
+    (86, 0.9, "lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", " redistribute"),
+    (84, 0.8, "gpl", r"you should have received a copy of the gnu general public license along with", " received"),
+    (86, 0.85, "lgpl", r"you should have received a copy of the gnu lesser general public license along with", " received"),
+    (86, 0.85, "agpl", r"you should have received a copy of the gnu affero general public license along with", " received"),
+    (84, 0.9, "gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document", " verbatim"),
+    (85, 0.9, "fdl", r"permission is granted to copy distribute and or modify this document", " document"),
+    (70, 0.6, "fdl", r"no invariant sections no front cover texts and no back cover texts", " invariant"),
+    (80, 0.8, "mit", r"the above copyright notice and this permission notice shall be included in all copies", " notice"),
+    (80, 0.7, "mit", r"the software is provided as is without warranty of any kind express or implied", " software"),
+    (86, 0.85, "x11", r"except as contained in this notice the name of the x consortium shall not be used", " consortium"),
+    (84, 0.9, "bsd", r"redistributions of source code must retain the above copyright notice", " redistributions"),
+    (84, 0.85, "bsd", r"redistributions in binary form must reproduce the above copyright notice", " redistributions"),
+    (86, 0.9, "bsd-3-clause", r"neither the name of .{1,120}? nor the names of (?:its|their|the) contributors may be used to endorse or promote products", " endorse"),
+    (87, 0.9, "bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", " advertising"),
+    (75, 0.6, "bsd", r"this software is provided by .{1,120}? as is and any express or implied warranties", " implied"),
+    (85, 0.95, "apache-2", r"you may not use this file except in compliance with the license", " compliance"),
+    (86, 0.95, "apache-2", r"you may obtain a copy of the license at (?:https? )?(?:www )?apache org licenses license 2 0", " obtain"),
+    (84, 0.9, "apache-2", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", " basis"),
+    (85, 0.9, "apache-1.1", r"this product includes software developed by the apache software foundation", " developed"),
+    (86, 0.95, "mpl-2", r"this source code form is subject to the terms of the mozilla public license v 2 0", " mozilla"),
+    (85, 0.9, "mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", " mozilla"),
+    (85, 0.9, "cddl", r"the contents of this file are subject to the terms of the common development and distribution license", " contents"),
+    (85, 0.9, "epl", r"this program and the accompanying materials are made available under the terms of the eclipse public license", " accompanying"),
+    (85, 0.85, "epl-2", r"which is available at (?:https? )?(?:www )?eclipse org legal epl 2 0", " eclipse"),
+    (85, 0.9, "eupl", r"licensed under the eupl", " eupl"),
+    (85, 0.9, "zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", " liable"),
+    (84, 0.9, "zlib", r"altered source versions must be plainly marked as such", " altered"),
+    (85, 0.9, "boost-1", r"boost software license version 1 0 (?:august 17th 2003)?", " boost"),
+    (85, 0.9, "boost-1", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", " organization"),
+    (86, 0.95, "wtfpl-2", r"do what the fuck you want to public license", " fuck"),
+    (85, 0.9, "0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software", " fee"),
+    (86, 0.9, "cc0-1", r"to the extent possible under law .{1,120}? has waived all copyright and related or neighbou?ring rights", " waived"),
+    (84, 0.8, "cc0-1", r"creativecommons org publicdomain zero 1 0", " creativecommons"),
+    (86, 0.9, "cc-by-sa-4", r"creativecommons org licenses by sa 4 0", " creativecommons"),
+    (86, 0.9, "cc-by-sa-3", r"creativecommons org licenses by sa 3 0", " creativecommons"),
+    (86, 0.9, "cc-by-4", r"creativecommons org licenses by 4 0", " creativecommons"),
+    (86, 0.9, "cc-by-3", r"creativecommons org licenses by 3 0", " creativecommons"),
+    (86, 0.9, "cc-by-nc-4", r"creativecommons org licenses by nc 4 0", " creativecommons"),
+    (86, 0.9, "cc-by-nc-sa-4", r"creativecommons org licenses by nc sa 4 0", " creativecommons"),
+    (86, 0.9, "cc-by-nc-nd-4", r"creativecommons org licenses by nc nd 4 0", " creativecommons"),
+    (86, 0.9, "cc-by-nd-4", r"creativecommons org licenses by nd 4 0", " creativecommons"),
+    (85, 0.9, "odbl-1", r"this .{1,60}? is made available under the open database license", " database"),
+    (84, 0.8, "odbl", r"opendatacommons org licenses odbl", " opendatacommons"),
+    (84, 0.8, "pddl", r"opendatacommons org licenses pddl", " opendatacommons"),
+    (85, 0.9, "ofl-1.1", r"this font software is licensed under the sil open font license version 1 1", " font"),
+    (85, 0.9, "python-2", r"python software foundation license version 2", " python"),
+    (85, 0.9, "php-3.01", r"this source file is subject to version 3 01 of the php license", " php"),
+    (85, 0.9, "openssl", r"this product includes software developed by the openssl project", " openssl"),
+    (85, 0.9, "ssleay", r"this product includes cryptographic software written by eric young", " cryptographic"),
+    (85, 0.9, "artistic", r"the intent of this document is to state the conditions under which a package may be copied", " intent"),
+    (85, 0.9, "ncsa", r"permission is hereby granted free of charge .{1,160}? to deal with the software without restriction", " deal"),
+    (85, 0.9, "ms-pl", r"this license governs use of the accompanying software if you use the software you accept this license", " governs"),
+    (85, 0.9, "json", r"the software shall be used for good not evil", " evil"),
+    (85, 0.9, "beerware-42", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return", " beer"),
+    (85, 0.9, "busl-1.1", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", " licensor"),
+    (85, 0.9, "sspl-1", r"offering the program as a service", " offering"),
+    (85, 0.9, "elastic-2", r"you may not provide the software to third parties as a hosted or managed service", " hosted"),
+    (85, 0.9, "postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee", " documentation"),
+    (85, 0.9, "ijg", r"this software is based in part on the work of the independent jpeg group", " jpeg"),
+    (80, 0.8, "commons-clause", r"(?:the )?commons clause license condition v1 0", " clause"),
+    (78, 0.8, "public-domain", r"(?:dedicated|released|placed|dedicate|release) (?:it |this |any and all copyright interest )?(?:in the software )?(?:in|into|to) the public domain", " domain"),
+    (70, 0.7, "public-domain", r"no copyright is claimed", " claimed"),
+    (60, 0.7, "proprietary", r"(?:confidential and proprietary|proprietary and confidential)", " proprietary"),
+    (60, 0.7, "proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) of this (?:file|software|document|material)", " unauthori"),
+    (55, 0.6, "proprietary", r"(?:may not|must not) be (?:copied|reproduced|redistributed) without (?:the )?(?:prior |express |written )*permission", " permission"),
+    (55, 0.6, "non-commercial", r"(?:for|to) non ?commercial (?:use|purposes)(?: only)?", " commercial"),
+    (55, 0.6, "non-commercial", r"for personal(?: and| or) non ?commercial use", " personal"),
+    (55, 0.5, "research-only", r"for (?:academic|research)(?: and (?:research|educational))? (?:use|purposes) only", " only"),
+    (50, 0.5, "free-use", r"free (?:for|to) (?:use|copy) (?:and (?:distribute|modify) )?(?:by anyone )?for any purpose", " purpose"),
+    (45, 0.5, "see-license", r"see (?:the )?(?:accompanying )?licen[cs]e (?:file )?for (?:details|more information|terms)", " see"),
     (60, 0.7, "public-domain", r"(?:in|into|to) the public domain", " domain"),
     (40, 0.6, "proprietary", r"all rights reserved", " reserved"),
     (40, 0.5, "warranty-disclaimer", r"without warranty of any kind", " warranty"),
@@ -119,7 +191,7 @@ class Rule:
 
 def _version(v: str) -> str:
     words = v.replace(".", " ")
-    return rf"(?: version)? v?{words}(?: 0)?" if " " not in words else rf"(?: version)? v?{words}"
+    return rf"(?: version| v| ver)? v?{words}" + ("(?: 0)?" if " " not in words else "")
 
 
 def _gates(name: str) -> frozenset[str]:
@@ -130,6 +202,13 @@ def _gates(name: str) -> frozenset[str]:
     return frozenset(f" {w}" for w in best if w)
 
 
+#: Families whose grants name later versions, and what follows the version. Fixed values.
+OPEN_ENDED = ("gpl", "lgpl", "agpl", "fdl")
+TAILS = [("or-later", r" (?:license )?(?:or|and)(?: at your option| at your choice)? (?:any )?(?:later|newer|higher)(?: versions?)?"), ("only", r" (?:license )?only")]
+#: Exceptions named after an expression. Fixed values.
+EXCEPTIONS = [("classpath-exception", r"(?:with|plus) (?:the )?(?:gnu )?classpath(?: linking)? exception"), ("gcc-exception", r"(?:with|plus) (?:the )?gcc (?:runtime library )?exception"), ("linking-exception", r"(?:with|plus) (?:a |the )?(?:special )?linking exception"), ("llvm-exception", r"(?:with|plus) (?:the )?llvm exceptions?"), ("font-exception", r"(?:with|plus) (?:the )?font (?:embedding )?exception"), ("autoconf-exception", r"(?:with|plus) (?:the )?autoconf exception")]
+
+
 def rules() -> list[Rule]:
     """All rules in order: by priority, a rule with a version before the one without."""
     out = []
@@ -141,8 +220,13 @@ def rules() -> list[Rule]:
             for priority, confidence, keyword, phrase in PHRASES:
                 pattern = phrase.format(name=name, v=_version(v) if v else "", id=ident)
                 out.append(Rule(full, re.compile(rf"(?<= ){pattern}(?= )"), frozenset({" " + ident.split()[0]}) if "{id}" in phrase else gates, frozenset({keyword}), priority + bool(v), confidence))
+            for suffix, tail in TAILS if label in OPEN_ENDED and v else []:
+                whole = rf"{name}(?: licen[cs]e)?{_version(v)}{tail}"
+                out.append(Rule(f"{full}-{suffix}", re.compile(rf"(?<= ){whole}(?= )"), gates, frozenset({" later", " newer", " higher"} if suffix == "or-later" else {" only"}), 95, 0.95))
             if label.startswith("cc-") and v:
                 out.append(Rule(full, re.compile(rf"(?<= ){name}{_version(v)}(?= )"), frozenset({" cc ", " creative"}), frozenset({" cc ", " creative"}), 75, 0.9))
+    for label, pattern in EXCEPTIONS:
+        out.append(Rule(label, re.compile(rf"(?<= ){pattern}(?= )"), frozenset({" exception"}), frozenset({" exception"}), 75, 0.8))
     for priority, confidence, label, pattern, keyword in TEXTS:
         out.append(Rule(label, re.compile(rf"(?<= ){pattern}(?= )"), frozenset({keyword}), frozenset({keyword}), priority, confidence))
     for phrase, label in BASE.items():
@@ -185,12 +269,17 @@ class Scanner:
         if not any(k in line for k in self.first):
             return n, 0, None, None, "", "", 0.0, 0
         s = line.decode("utf-8", "replace")
-        base: list[tuple[int, str]] = []
+        hits: list[tuple[int, str]] = []
         for phrase, label in BASE.items():
             at = s.find(f" {phrase} ")
             while at >= 0:
-                base.append((s.count(" ", 0, at + 1) - 1, label))
+                hits.append((at, label))
                 at = s.find(f" {phrase} ", at + 1)
+        base: list[tuple[int, str]] = []
+        word = last = 0
+        for at, label in sorted(hits):  # words before each place, in one pass
+            word, last = word + s.count(" ", last, at), at
+            base.append((word, label))
         kept = self.detections(s)
         miss = 1.0
         for c in {d[2]: d[4] for d in sorted(kept, key=lambda d: d[4])}.values():
@@ -201,18 +290,25 @@ class Scanner:
 
 
 def suppressed(found: list[tuple[int, int, str, int, float]]) -> list[tuple[int, int, str, int, float]]:
-    """Drop each detection whose interval lies in, or holds, that of a stronger one (priority, then length, then place)."""
+    """Drop each detection whose interval lies in, or holds, that of a stronger one (priority, then length, then place).
+
+    No kept interval holds another, so in the order of their starts their ends rise too: only the last one that starts no later can
+    hold a new one, and only the first that starts no earlier can lie in it.
+    """
+    places: list[tuple[int, int]] = []
     kept: list[tuple[int, int, str, int, float]] = []
     for d in sorted(set(found), key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
-        if not any((k[0] <= d[0] and d[1] <= k[1]) or (d[0] <= k[0] and k[1] <= d[1]) for k in _near(kept, d)):
-            kept.append(d)
+        k = bisect_right(places, (d[0], float("inf")))
+        if k and places[k - 1][1] >= d[1]:
+            continue
+        k = bisect_left(places, (d[0], -1))
+        if k < len(places) and places[k][1] <= d[1]:
+            continue
+        insort(places, d[:2])
+        kept.append(d)
     return sorted(kept)
 
 
-def _near(kept: list, d: tuple) -> list:
-    return [k for k in kept if k[0] < d[1] and d[0] < k[1]]
-
-
 _scanner: list[Scanner] = []
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long"
 
