@@ -2,10 +2,11 @@
 
 Four base kinds (email, ip, card, phone) have fixed formats with validity rules; their spans are always reported. Looser generators
 propose further, overlapping candidates (numbers without a plus sign, national numbers, bank accounts, long addresses, dates of
-birth, written-out emails). Each gets features of its format and of the text around it; a boosted classifier, fitted on
-TRAINING_ROWS generated and labelled examples with a fixed seed and calibrated on rows it did not see, accepts those with a probability
-of at least the threshold that gives PRECISION on the held-out rows. Of overlapping accepted candidates the more
-probable stays; one that overlaps a base span goes.
+birth, written-out emails). Each gets features of its format and of the text around it; a boosted classifier accepts those with a
+probability of at least the threshold that gives PRECISION on held-out rows. It is fitted and calibrated on two bounded sets of labelled rows:
+TRAINING_ROWS generated ones (formats that a corpus may lack, announced by the words of FOR and AGAINST), and at most SAMPLE candidates of the
+corpus itself, those with the least hashes, in their real contexts: a candidate that covers a valid base span is personal data, any
+other is not. Of overlapping accepted candidates the more probable stays; one that overlaps a base span goes.
 
 Edge cases: null or empty text has no spans and empty strings; repeated rows are scanned each; every regex runs in linear time, so
 very long texts are scanned whole; an empty table gives an empty result; extra columns are ignored. Positions are code points.
@@ -20,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ from fluvia.llm import common
 from fluvia.llm.boosting import Boosted
 from fluvia.llm.encoding import slices
 
-TRAINING_ROWS = 3000
+#: Labelled rows: generated, and at most so many candidates of the corpus.
+TRAINING_ROWS, SAMPLE = 3000, 3000
 PRECISION = 0.98
 CONTEXT = 32
 
@@ -51,6 +54,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
+_COUNTRY = re.compile(r"\+[0-9]{1,3}[ .-]?$")
 
 
 def luhn(digits: str) -> bool:
@@ -80,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Valid base matches, by start and then kind as listed."""
     out = [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split("."))]
         for m in _CARD.finditer(text):
             if 12 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d):
                 out.append(("card", *m.span()))
@@ -113,7 +117,7 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
         float(len(s)), float(len(d)), float(len(groups)), float(max(map(len, groups), default=0)), len(d) / max(1, len(s)),
         float(len(set(d)) <= 2), float(len(d) >= 12 and luhn(d)), float("(" in s), float(s.count("-")), float(s.count(".")), float(" " in s),
         float(len(yes)), float(len(no)), float(bool(FOR.search(after))), float(before.rstrip()[-1:] in (":", "=")), float(before[-1:] in ("$", "#", "€", "£", "/", "-")),
-        float(bool(groups) and len(groups[0]) == 3 and groups[0] not in ("000", "666") and groups[0] < "900"),
+        float(bool(groups) and len(groups[0]) == 3 and groups[0] not in ("000", "666") and groups[0] < "900"), float(bool(_COUNTRY.search(before))),
     ]
 
 
@@ -147,10 +151,43 @@ def training(n: int = TRAINING_ROWS, seed: int = 7) -> tuple[np.ndarray, np.ndar
     return np.array(xs), np.array(ys, dtype=float)
 
 
+def labelled(text: str, base: list[tuple[str, int, int]]) -> list[tuple[list[float], float]]:
+    """Features of the candidates of a text, and whether one covers a valid base span (all but a country code and its plus sign)."""
+    out, spans, at = [], sorted((a, b) for _, a, b in base), 0
+    for s in sorted(candidates(text), key=lambda s: s[1]):
+        while at < len(spans) and spans[at][1] <= s[1]:
+            at += 1
+        met = at < len(spans) and spans[at][0] < s[2]
+        if not met or (spans[at][0] >= s[1] - 5 and spans[at][1] == s[2]):
+            out.append((features(text, s), float(met)))
+    return out
+
+
+def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most SAMPLE labelled candidates of the corpus: the ones with the least hashes of their document and number."""
+
+    def run(batches):
+        for key, text in slices(batches, ["doc_id", "text"]):
+            rows = []
+            for k, t in zip(key, text, strict=True):
+                if t and candidates(t):
+                    rows += [(xxhash.xxh3_64_intdigest(f"{k}:{i}") >> 1, x, y) for i, (x, y) in enumerate(labelled(t, base_spans(t)))]
+            if rows:
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.float64()), strict=True)], names=["at", "x", "y"])
+
+    found = docs.mapInArrow(run, "at long, x array<double>, y double").orderBy("at", "x", "y").limit(SAMPLE).collect()
+    return np.array([r["x"] for r in found]), np.array([r["y"] for r in found], dtype=float)
+
+
 @lru_cache(1)
 def model() -> tuple[Boosted, float]:
-    """The classifier and the threshold: the lowest probability with PRECISION on held-out rows above it, 0.5 at least."""
-    x, y = training()
+    """The classifier and threshold of the generated rows alone."""
+    return fitted(*training())
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> tuple[Boosted, float]:
+    """The classifier, fitted on three fifths of the rows and calibrated on one, and the threshold: the lowest probability with PRECISION on the
+    other fifth above it, 0.5 at least."""
     cut, held = int(0.6 * len(y)), int(0.8 * len(y))
     m = Boosted.fit(x[:cut], y[:cut]).calibrated(x[cut:held], y[cut:held])
     p, t = m.probability(x[held:]), y[held:]
@@ -159,6 +196,16 @@ def model() -> tuple[Boosted, float]:
     return m, max(0.5, float(p[order][np.flatnonzero(good)[-1]]) if good.any() else 1.0)
 
 
+def fit(docs: DataFrame) -> tuple[Boosted, float]:
+    """Classifier and threshold from the generated rows and the sample of `docs`."""
+    x, y = training()
+    more, labels = sample(docs)
+    if len(labels):
+        order = np.random.default_rng(7).permutation(len(y) + len(labels))
+        x, y = np.concatenate([x, more])[order], np.concatenate([y, labels])[order]
+    return fitted(x, y)
+
+
 def accepted(text: str, base: list[tuple[str, int, int]], fitted: tuple[Boosted, float]) -> list[tuple[str, int, int]]:
     """The method's own spans: accepted, not overlapping a base span or a better one."""
     found = candidates(text)
@@ -182,27 +229,28 @@ def written_out(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of kind, start, end), spans (base and accepted ones), redacted text."""
+def find_pii(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, base (array of kind, start, end), spans (base and accepted ones) and, unless `with_text` is false, the redacted text."""
 
     def run(batches):
-        fitted = held.value
+        judge = held.value
         for key, text in slices(batches, ["doc_id", "text"]):
             rows = []
             for k, t in zip(key, text, strict=True):
                 t = t or ""
                 base = base_spans(t)
-                spans = sorted(base + accepted(t, base, fitted), key=lambda s: (s[1], KINDS.index(s[0])))
+                spans = sorted(base + accepted(t, base, judge), key=lambda s: (s[1], KINDS.index(s[0])))
                 dict_ = lambda v: [{"kind": x, "start": a, "end": b} for x, a, b in v]
-                rows.append((k, dict_(base), dict_(spans), redacted(t, spans)))
+                rows.append((k, dict_(base), dict_(spans), redacted(t, spans) if with_text else None))
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
 
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("spans", pa.list_(span)), ("redacted", pa.string())])
-    held = docs.sparkSession.sparkContext.broadcast(model())  # of a fixed size
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs))  # of a fixed size
     s = "array<struct<kind:string,start:long,end:long>>"
-    return docs.mapInArrow(run, f"doc_id long, base {s}, spans {s}, redacted string")
+    out = docs.mapInArrow(run, f"doc_id long, base {s}, spans {s}, redacted string")
+    return out if with_text else out.drop("redacted")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -216,7 +264,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(common.documents(spark, sf_dir))
+    found = find_pii(common.documents(spark, sf_dir), with_text=False)
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
