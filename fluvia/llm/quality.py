@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Learn the list from labelled documents: `quality` 0 is what rules reject."""
     chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_q").limit(SAMPLE)  # the documented bound
-    x = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    x = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     x = statistics(x, ["_id", "_q"]).select("_id", "_q", "base_failed", "n_words", *FEATURES)
     rows = [r.asDict() for r in x.orderBy(F.xxhash64("_id"), "_id", "_q", "n_words").limit(SAMPLE).collect()]
     return learn([{**r, "bad": int(r["_q"] == 0)} for r in rows if not r["base_failed"]])
@@ -245,8 +245,9 @@ def judged(docs: DataFrame, rules: list[Rule], keep: list[str] | None = None) ->
 
 def kept_only(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of `docs` that pass, with their columns."""
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
-    return judged(whole, rules, ["_row"]).filter("kept").select("_row.*")
+    whole = docs.select(F.struct(*(common.column(c).alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), F.col("text"))
+    out = judged(whole, rules, ["row"]).filter("kept")
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
