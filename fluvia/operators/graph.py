@@ -8,6 +8,7 @@ import uuid
 from functools import reduce
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,61 @@ def closure(edges: DataFrame, roots: DataFrame, cap: float, most_rounds: int | N
             reached = [_step(least(reduce(DataFrame.unionByName, reached)))]
 
 
+def accumulate(edges: DataFrame) -> DataFrame:
+    """node, upstream: the length of edges (src, dst, length) above each node, by one pass in topological order.
+
+    A node passes its sum on when all that flow into it have; each edge carries one row once. Where only cycles and what lies below them are
+    left, a cycle without another above it is taken in the order of its nodes, each adding those before it (in one task: the order is one
+    after another by its nature).
+    """
+    inbox = None  # partial sums of nodes that wait
+    left = _step(edges.select("src", "dst", "length"))
+    open_ = _step(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    done = []
+    while not open_.isEmpty():
+        ready = open_.join(left, open_.node == left.dst, "left_anti")
+        sums = inbox.groupBy("node").agg(F.sum("amount").alias("amount")) if inbox is not None else None
+        totals = ready.withColumn("upstream", F.lit(0.0)) if sums is None else ready.join(sums, "node", "left").select("node", F.coalesce("amount", F.lit(0.0)).alias("upstream"))
+        totals = _step(totals)
+        if totals.isEmpty():
+            totals = _step(_cycle(left, inbox))
+        done.append(totals)
+        sent = left.join(totals, left.src == totals.node).select(F.col("dst").alias("node"), (F.col("upstream") + F.col("length")).alias("amount"))
+        gone = totals.select(F.col("node").alias("_n"))
+        waiting = sent if inbox is None else inbox.unionByName(sent)
+        inbox = _step(waiting.join(gone, waiting.node == gone._n, "left_anti"))
+        left = _step(left.join(gone, left.src == gone._n, "left_anti").join(gone.withColumnRenamed("_n", "_m"), F.col("dst") == F.col("_m"), "left_anti"))
+        open_ = _step(open_.join(gone, open_.node == gone._n, "left_anti"))
+    none = edges.select(F.col("src").alias("node"), F.lit(0.0).alias("upstream")).limit(0)
+    return reduce(DataFrame.unionByName, done, none)
+
+
+def _cycle(left: DataFrame, inbox: DataFrame | None) -> DataFrame:
+    """node, upstream of one cycle (a strongly connected component) that no other node waits above."""
+    at = left.agg(F.min("dst")).first()[0]
+    while True:
+        one = left.select(F.col("dst").alias("node")).filter(F.col("node") == F.lit(at)).limit(1)
+        above = closure(left, one, float("inf")).select("node")
+        below = closure(reversed_edges(left), one, float("inf")).select("node")
+        other = above.join(below, "node", "left_anti").agg(F.min("node")).first()[0]
+        if other is None:
+            break
+        at = other  # a node above that is not of this cycle
+    inner = left.join(above.withColumnRenamed("node", "_a"), F.col("dst") == F.col("_a")).drop("_a")
+    came = None if inbox is None else inbox.join(above, "node").groupBy("node").agg(F.sum("amount").alias("amount"))
+    rows = inner.select("src", "dst", "length")
+    if came is not None:
+        rows = rows.unionByName(came.select(F.lit(None).cast(dict(rows.dtypes)["src"]).alias("src"), F.col("node").alias("dst"), F.col("amount").alias("length")))
+
+    def run(pdf):
+        up = {}
+        for n, part in sorted(pdf.groupby("dst"), key=lambda kv: kv[0]):
+            up[n] = sum(length + (0.0 if s != s or s is None else up[s]) for s, length in zip(part.src, part.length, strict=True) if s != s or s is None or s in up)
+        return pd.DataFrame({"node": list(up), "upstream": [float(v) for v in up.values()]})
+
+    return rows.groupBy().applyInPandas(run, f"node {dict(rows.dtypes)['dst']}, upstream double")
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length")
 

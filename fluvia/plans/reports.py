@@ -18,7 +18,20 @@ from fluvia.plans.relational import DAILY, PP, R, Y, daily, day, pp, y
 
 _cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.expr("substring(w, 2)") if w is None else F.substr(w, lit(2))))
 project("str_6_label_parse", "part", "p_partkey", {"label": lambda: F.array_join(F.transform(F.split("p_type", " "), _cap), " ")}, {"label": "array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"})
-query("mth_17_projection")(lambda t: t.supplier.select("s_suppkey", *[F.round(c, 1).alias(n) for c, n in zip(geo.to_grid(50 + col("s_suppkey") % 80 / lit(10.0), -5 + col("s_suppkey") % 60 / lit(10.0)), ("east", "north"), strict=True)]))
+_LAT17, _LON17 = "(50 + s_suppkey % 80 / 10.0)", "(-5 + s_suppkey % 60 / 10.0)"
+
+
+@query("mth_17_projection", geo.to_grid_sql(f"SELECT s_suppkey, ({_LAT17})::DOUBLE AS lat, ({_LON17})::DOUBLE AS lon FROM supplier", "s_suppkey"))
+def _projected(t):
+    """Degrees to the grid and back again: the way back is right to a millionth of a degree."""
+    x = t.supplier.select("s_suppkey", F.expr(_LAT17).cast("double").alias("lat"), F.expr(_LON17).cast("double").alias("lon"))
+    east, north = geo.to_grid(col("lat"), col("lon"))
+    x = x.withColumn("east", east).withColumn("north", north)
+    lat, lon = geo.from_grid(col("east"), col("north"))
+    back = (F.abs(lat - col("lat")) < 1e-6) & (F.abs(lon - col("lon")) < 1e-6)
+    return x.select("s_suppkey", F.round("east", 1).alias("east"), F.round("north", 1).alias("north"), back.alias("back"))
+
+
 _BY_RANK = f"SELECT row_number() OVER (ORDER BY c_acctbal::BIGINT DESC, c_custkey) AS i, c_custkey AS k, {PX} AS x, {PY} AS y FROM customer"
 
 
@@ -35,7 +48,7 @@ def _best_pins(t):
 
 query("grf_3_gap_repair", f"SELECT c_custkey AS head, arg_min(s_suppkey, ({DIST}, s_suppkey)) AS sink FROM customer, supplier WHERE {DIST} <= 60 AND s_acctbal >= 1000 AND c_nationkey <> s_nationkey GROUP BY 1")(lambda t: S.within_join(pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey"), stations(t).join(t.supplier.filter("s_acctbal >= 1000").select("s_suppkey", "s_nationkey"), "s_suppkey"), 60.0).filter("c_nationkey <> s_nationkey").groupBy(col("c_custkey").alias("head")).agg(F.min_by("s_suppkey", F.struct("dist", "s_suppkey")).alias("sink")))
 _ANC = f"WITH RECURSIVE a AS (SELECT src AS node, dst AS top, length FROM {EDGES} UNION ALL SELECT node, e.dst, a.length FROM a JOIN {EDGES} e ON e.src = a.top)"
-query("grf_4_accumulated_length", _ANC + f" SELECT top AS node, {R('sum(length)')} AS upstream FROM a GROUP BY 1")(lambda t: G.closure(G.reversed_edges(edges(t)), t.part.select(col("p_partkey").alias("node")), 1e12).filter("root <> node").join(edges(t).select(col("src").alias("root"), "length"), "root").groupBy("node").agg(M.r6(F.sum("length")).alias("upstream")))
+query("grf_4_accumulated_length", _ANC + f" SELECT top AS node, {R('sum(length)')} AS upstream FROM a GROUP BY 1")(lambda t: G.accumulate(edges(t)).filter("upstream > 0").select("node", M.r6(col("upstream")).alias("upstream")))
 _LAKE = "src // 300 AS lake, dst // 300 AS below"
 
 

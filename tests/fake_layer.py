@@ -1,4 +1,10 @@
-"""A paged layer that fails once per page."""
+"""Paged layers: one that fails once per page, one that writes down what it is asked, one that grows."""
+
+import os
+import tempfile
+
+#: Workers write here; it is read by the test.
+ASKED = os.path.join(tempfile.gettempdir(), "fluvia_fake_layer.log")
 
 
 class Layer:
@@ -16,3 +22,21 @@ class Layer:
 
 
 LAYER = Layer(25)
+
+
+class Logged(Layer):
+    """Ignores conditions, as some layers do, but sorts."""
+
+    def page(self, offset, limit, where, order=""):
+        with open(ASKED, "a") as f:
+            f.write(f"{where} | {order}\n")
+        rows = sorted(self.rows, reverse=order.endswith("DESC"))
+        return rows[offset : offset + limit]
+
+
+class Grows(Layer):
+    def page(self, offset, limit, where):
+        return [(i, f"name {i}") for i in range(27)][offset : offset + limit]
+
+
+LOGGED, GROWS = Logged(25), Grows(25)

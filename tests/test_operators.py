@@ -60,6 +60,16 @@ def test_unfinished_rounds_are_an_error(spark):
     assert graph.closure(e, root, 100.0).count() == 9
 
 
+def test_accumulated_length_with_a_cycle(spark):
+    e = [("head", "alpha", 1000.0), ("alpha", "beta", 200.0), ("beta", "gamma", 300.0), ("gamma", "alpha", 400.0), ("gamma", "out", 500.0)]
+    for rows in (e, e[::-1]):
+        got = {r.node: r.upstream for r in graph.accumulate(spark.createDataFrame(rows, "src string, dst string, length double")).collect()}
+        assert got == {"head": 0.0, "alpha": 1000.0, "beta": 1200.0, "gamma": 1500.0, "out": 2000.0}
+    two = [(1, 2, 1.0), (2, 3, 1.0), (3, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (5, 4, 1.0), (5, 6, 1.0), (1, 6, 10.0)]
+    got = {r.node: r.upstream for r in graph.accumulate(spark.createDataFrame(two, "src int, dst int, length double")).collect()}
+    assert got == {1: 0.0, 2: 1.0, 3: 2.0, 4: 3.0, 5: 4.0, 6: 15.0}
+
+
 def test_closure_follows_a_long_chain(spark):
     n = 300
     e = spark.createDataFrame([(k + 1, k, 0.5) for k in range(1, n)], "src long, dst long, length double")

@@ -1,8 +1,15 @@
 """Paged reads, choices between reads, and forms."""
 
+import os
+import pathlib
+import time
+
 from pyspark.sql import functions as F
 
+from fluvia.sinks import publish
 from fluvia.sources import paged
+from fluvia.streaming import schedule
+from tests.fake_layer import ASKED
 
 
 def test_pages_with_retries(spark):
@@ -11,6 +18,66 @@ def test_pages_with_retries(spark):
     assert sorted(r.id for r in x.collect()) == list(range(25))
 
 
+def test_comparisons_are_pushed_and_tested_again(spark):
+    spark.dataSource.register(paged.PagedLayer)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        log = pathlib.Path(ASKED)
+        log.unlink(missing_ok=True)
+        x = spark.read.format("paged_layer").option("layer", "tests.fake_layer:LOGGED").option("schema", "id int, name string").option("push", "true").load()
+        assert sorted(r.id for r in x.filter("id >= 20 AND name <> 'name 22'").collect()) == [20, 21, 23, 24]
+        assert "id >= 20" in log.read_text()
+        y = paged.newest_first(spark, "tests.fake_layer:LOGGED", "id int, name string", "id", since=22)
+        assert [r.id for r in y.collect()] == [24, 23, 22]
+        assert "id DESC" in log.read_text()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_layer_that_grows_while_it_is_read_loses_nothing():
+    reader = paged.PagedReader({"layer": "tests.fake_layer:GROWS", "page": "4", "partition": "10"})
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == list(range(27))
+
+
+def test_cache_or_fetch(spark, tmp_path):
+    wanted = spark.createDataFrame([(1,), (2,), (3,)], "cell int")
+
+    def fetch(batches):
+        for b in batches:
+            if 3 not in set(b.cell):  # that batch fails
+                yield b.assign(rain=b.cell * 1.5)
+
+    path = str(tmp_path / "rain")
+    one = paged.fetched_with_cache(wanted.filter("cell < 3"), path, ["cell"], fetch, "cell int, rain double")
+    assert {tuple(r) for r in one.collect()} == {(1, 1.5), (2, 3.0)}
+    two = paged.fetched_with_cache(wanted, path, ["cell"], fetch, "cell int, rain double")
+    assert {tuple(r) for r in two.collect()} == {(1, 1.5), (2, 3.0)}
+
+
+def test_publish_only_what_was_counted(spark, tmp_path):
+    x, path = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"), str(tmp_path / "rows.csv")
+    assert publish.publish(x, path, 2) == 2 and os.path.isdir(path)
+    assert publish.publish(x, path, 3) is None and not os.path.exists(path)
+    assert publish.health(rows=x, none=x.limit(0)) == {"rows": {"rows": 2, "ok": True}, "none": {"rows": 0, "ok": False}}
+
+
+def test_a_schedule_survives_errors():
+    seen = []
+
+    def job():
+        seen.append(1)
+        if len(seen) == 2:
+            raise OSError("the feed is down")
+
+    s = schedule.Schedule(job, 0.01, first=0.0, least=0.01).start()
+    end = time.time() + 10
+    while len(seen) < 4 and time.time() < end:
+        time.sleep(0.01)
+    s.stop(5)
+    assert s.failures == 1 and s.runs >= 2
+    assert schedule.Schedule(job, 5).wait == schedule.LEAST_WAIT
+
+
 def test_best_read_and_missing_cells(spark):
     torn = spark.createDataFrame([(1,), (2,), (2,)], "id int")
     whole = spark.createDataFrame([(1,), (2,), (3,)], "id int")
