@@ -3,6 +3,10 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
 last return the columns of `documents`. A stage's result is written as Parquet and read again by the next, so a lost executor costs
 no more than its part of one stage.
+
+Edge cases, for every stage: decisions are made and take effect row by row, also where rows share a doc_id or have none (rows are numbered then,
+see `common.with_row_ids`); null or empty text fails the base rule of the first stage, later stages take it as empty; of identical rows
+one stays; an empty table gives an empty result; extra columns of any name pass through unchanged.
 """
 
 from __future__ import annotations
@@ -18,19 +22,36 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_only(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _as_documents(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, and the name of that column."""
+    rows, name, _ = common.with_row_ids(docs)
+    return rows, name
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(common.column(name).alias("doc_id"), "text")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id."""
-    return common.without(docs, exact_dedup.deduplicated(docs).filter("NOT kept").select("doc_id").distinct())
+    """Of equal texts, the first row in the order of doc_id."""
+    rows, name = _as_documents(docs)
+    gone = exact_dedup.deduplicated(_numbered(rows, name)).filter("NOT kept").select("doc_id")
+    return common.without(rows, gone, name).select(*map(common.column, docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links of similarity 0.75 or more, the one with the smallest id."""
-    return common.without(docs, ngram_join.near_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct())
+    """Of rows joined by links of similarity 0.75 or more, the first in the order of doc_id."""
+    rows, name = _as_documents(docs)
+    gone = ngram_join.near_groups(_numbered(rows, name)).filter("doc_id <> component_id").select("doc_id")
+    return common.without(rows, gone, name).select(*map(common.column, docs.columns))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets but copied examples are replaced in the texts."""
-    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.length("text")).select(*docs.columns)
+    """Secrets but copied examples are replaced in the texts, at their places; n_chars, if there is one, follows."""
+    out = secrets.redacted(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +63,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage), ("secret scans", secret_stage), ("best-fit packing", packing_stage)]
 
-#: The learned rules and the packing can't be expressed in SQL; tests compare with brute force.
+#: The learned rules and the packing can't be expressed in SQL; tests/llm/test_pipeline.py chains brute force.
 ORACLE_SQL = None
 
 
