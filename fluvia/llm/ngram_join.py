@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.llm import common
-from fluvia.llm.encoding import mix64, slices
+from fluvia.llm.encoding import give_back, mix64, slices
 
 WORDS = 5
 #: Jaccard similarity at least HITS / OF.
@@ -139,6 +139,8 @@ def _named(docs: DataFrame) -> DataFrame:
                 held, size = [], 0
         if size:
             yield from heavy(held)
+        held.clear()
+        give_back()
 
     return _plain(docs).mapInArrow(run, "doc_id long, n long, node binary, token long, times long")
 
@@ -279,6 +281,7 @@ def _sharing(docs: DataFrame, hot, frequent, ranges: int, partitions: int) -> Da
                         yield node, s
 
         yield from _deal(sets(), ranges, hot.value, False)
+        give_back()
 
     def finish(sets, rows):
         ref, n = sets
