@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fluvia.functions import geo, maths, times
-from fluvia.operators import graph, spatial, temporal
+from fluvia.operators import graph, models, spatial, temporal
 from fluvia.streaming import folds
 
 D = dt.date
@@ -111,6 +112,25 @@ def test_swapped_pairs(spark):
     assert got[:3] == [(52.0, -1.5, False), (52.0, -1.5, True), (None, None, False)] and got[3][:2] == (None, None)
 
 
+def test_boosted_trees_are_monotone_and_emitted_whole(spark):
+    r = np.random.default_rng(3)
+    x = r.random((4000, 3))
+    y = (r.random(4000) < 1 / (1 + np.exp(-(4 * x[:, 0] + 2 * np.sin(9 * x[:, 0]) - 3 * x[:, 1] - 1)))).astype(float)
+    m = models.Monotone(["a", "b", "c"], [1, -1, 0]).fit(x, y, np.ones(4000))
+    grid = [(i / 50, j / 4, k / 2) for j in range(5) for k in range(3) for i in range(51)] + [(j / 4, i / 50, k / 2) for j in range(5) for k in range(3) for i in range(51)]
+    p = [v[0] for v in spark.createDataFrame([(i, *g) for i, g in enumerate(grid)], "i int, a double, b double, c double").orderBy("i").select(m.probability()).collect()]
+    for k, sign in enumerate((1, -1)):
+        for line in np.array(p).reshape(2, 15, 51)[k]:
+            assert (sign * np.diff(line) >= -1e-12).all()
+    said = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i int, a double, b double, c double").orderBy("i").select(m.probability()).collect()
+    order = np.argsort([v[0] for v in said])
+    ranks = np.empty(4000)
+    ranks[order] = np.arange(4000)
+    auc = (ranks[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    assert auc > 0.75 and 0 < len(m.trees) <= 100
+    assert models.Monotone(["a"], [1]).fit(np.zeros((0, 1)), np.zeros(0), np.zeros(0)).trees == []
+
+
 def test_interpolation_is_flat_beyond_its_ends(spark):
     x = spark.createDataFrame([(0.0,), (0.2,), (1.0,)], "p double")
     got = [r[0] for r in x.select(maths.interpolate(F.col("p"), [0.1, 0.3], [0.0, 1.0])).collect()]
