@@ -77,9 +77,10 @@ def _simplified(t):
     def run(pdf):
         pdf = pdf.sort_values("c_custkey")
         out = simplify(list(zip(pdf.px, pdf.py, strict=True)), 50.0)
-        return pdf.head(1)[["c_nationkey"]].assign(n=len(pdf), kept=len(out))
+        return pdf.head(1)[["line"]].assign(n=len(pdf), kept=len(out))
 
-    return pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").groupBy("c_nationkey").applyInPandas(run, "c_nationkey int, n long, kept long")
+    # lines of 40 points, so that lines and not their points grow with the input
+    return pins(t).withColumn("line", F.floor(col("c_custkey") / 40)).groupBy("line").applyInPandas(run, "line long, n long, kept long")
 
 
 _X = ["l_quantity", "l_tax", "l_discount"]
@@ -100,11 +101,92 @@ query("eva_3_cluster_bootstrap")(lambda t: models.cluster_bootstrap(t.lineitem.s
 query("eva_6_rain_at_samples", f"SELECT e.event_id, k::BIGINT AS lead, {R('d.rain')} AS rain FROM events e, unnest([0, 1, 2]) u(k) LEFT JOIN {DAILY} d ON d.cell = e.user_id AND d.day = e.ts::DATE - k WHERE e.event_type = 'signup'")(lambda t: t.events.filter("event_type = 'signup'").select("event_id", col("user_id").alias("cell"), day("ts").alias("d0"), F.explode(F.array(lit(0), lit(1), lit(2))).alias("lead")).withColumn("day", F.date_sub("d0", col("lead"))).join(daily(t), ["cell", "day"], "left").select("event_id", big(col("lead")).alias("lead"), M.r6(col("rain")).alias("rain")))
 query("eva_8_exposure", "SELECT o_orderkey, count(l_orderkey)::BIGINT AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 30 DAY GROUP BY 1")(lambda t: t.orders.select("o_orderkey", "o_orderdate").join(t.lineitem.select(col("l_orderkey").alias("o_orderkey"), "l_shipdate"), "o_orderkey", "left").groupBy("o_orderkey").agg(F.count_if((col("l_shipdate") >= col("o_orderdate")) & (col("l_shipdate") <= col("o_orderdate") + F.expr("INTERVAL 30 DAYS"))).alias("n")))
 query("eva_9_lead_replay", f"SELECT l_linenumber::BIGINT AS lead, count(*)::BIGINT AS n, {R(f'avg(pow(1 / (1 + exp(-(l_quantity / 20 - 2 - 0.1 * l_linenumber))) - {Y}, 2))')} AS brier FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy(big(col("l_linenumber")).alias("lead")).agg(F.count("*").alias("n"), M.r6(F.avg(F.pow(M.sigmoid(col("l_quantity") / 20 - 2 - 0.1 * col("l_linenumber")) - y(), lit(2.0)))).alias("brier")))
-query("eva_10_live_report", f"SELECT count(*)::BIGINT AS candidates, count_if(l_tax > 0.06)::BIGINT AS missed, count_if(l_tax <= 0.06)::BIGINT AS scored, {R(f'avg(CASE WHEN l_tax <= 0.06 THEN pow({PP} - {Y}, 2) END)')} AS brier FROM lineitem")(lambda t: t.lineitem.agg(F.count("*").alias("candidates"), F.count_if(col("l_tax") > 0.06).alias("missed"), F.count_if(col("l_tax") <= 0.06).alias("scored"), M.r6(F.avg(F.when(col("l_tax") <= 0.06, F.pow(pp() - y(), lit(2.0))))).alias("brier")))
-query("eva_11_sample_report", f"SELECT o_orderstatus AS kind, count(*)::BIGINT AS n, {R('avg(pow(least(o_totalprice / 500000, 1) - (o_totalprice > 150000)::INT, 2))')} AS brier FROM orders GROUP BY 1")(lambda t: t.orders.groupBy(col("o_orderstatus").alias("kind")).agg(F.count("*").alias("n"), M.r6(F.avg(F.pow(F.least(col("o_totalprice") / 500000, lit(1.0)) - (col("o_totalprice") > 150000).cast("int"), lit(2.0)))).alias("brier")))
-query("eva_12_comparison", f"SELECT l_returnflag, count(*)::BIGINT AS n, {R('avg(abs(l_tax * 10 - l_discount * 8))')} AS gap FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), M.r6(F.avg(F.abs(col("l_tax") * 10 - col("l_discount") * 8))).alias("gap")))
-query("rul_8_placement", f"SELECT c_custkey, CASE WHEN {PX} < 50 OR {PY} < 50 THEN 'outside' WHEN c_acctbal < 0 THEN 'review' ELSE 'placed' END AS answer FROM customer")(lambda t: pins(t).join(t.customer.select("c_custkey", "c_acctbal"), "c_custkey").select("c_custkey", F.when((col("px") < 50) | (col("py") < 50), "outside").when(col("c_acctbal") < 0, "review").otherwise("placed").alias("answer")))
-query("api_4_verification_document", "SELECT '{\"n\":' || count(*) || ',\"hits\":' || count_if(l_returnflag = 'R') || '}' AS doc FROM lineitem")(lambda t: t.lineitem.agg(F.count("*").alias("n"), F.count_if(col("l_returnflag") == "R").alias("hits")).select(F.to_json(F.struct("n", "hits")).alias("doc")))
+#: A user's day is scored if a forecast (a click, its value as a percentage) came before LATEST and at least POLLS polls cover the day.
+LATEST, POLLS = 9, 3
+_JUDGED = f"""SELECT *, CASE WHEN p IS NULL THEN 'missed deadline' WHEN polls < {POLLS} THEN 'few polls' ELSE 'scored' END AS reason FROM (
+SELECT user_id, ts::DATE AS day, arg_max(value, (ts, event_id)) FILTER (event_type = 'click' AND hour(ts) < {LATEST}) / 100 AS p,
+  count_if(event_type = 'click') AS issues, count(*) AS polls, max((event_type = 'error')::INT) AS y FROM events GROUP BY 1, 2) WHERE issues > 0"""
+
+
+def _judged(t):
+    """user_id, day, p (of the last forecast in time), y (what was seen) and the reason why a candidate is scored or not."""
+    in_time = (col("event_type") == "click") & (F.hour("ts") < LATEST)
+    x = t.events.groupBy("user_id", day("ts").alias("day")).agg(
+        (F.max_by(F.when(in_time, col("value")), F.when(in_time, F.struct("ts", "event_id"))) / 100).alias("p"), F.count_if(col("event_type") == "click").alias("issues"),
+        F.count("*").alias("polls"), F.max((col("event_type") == "error").cast("int")).alias("y"),
+    )
+    reason = F.when(col("p").isNull(), "missed deadline").when(col("polls") < POLLS, "few polls").otherwise("scored")
+    return x.filter("issues > 0").withColumn("reason", reason)
+
+
+_LIVE = f"""SELECT reason, count(*)::BIGINT AS n, {R("avg(CASE WHEN reason = 'scored' THEN pow(p - y, 2) END)")} AS brier,
+{R("CASE WHEN reason = 'scored' THEN avg(y) * (1 - avg(y)) END")} AS base_rate_brier, count_if(reason = 'scored' AND (p >= 0.5) = (y = 1))::BIGINT AS hits FROM ({_JUDGED}) GROUP BY 1"""
+
+
+@query("eva_10_live_report", _LIVE)
+def _live_report(t):
+    """Candidates by the reason why they are scored or not, with the scores of those that are."""
+    scored, share = col("reason") == "scored", F.avg("y")
+    return _judged(t).groupBy("reason").agg(
+        F.count("*").alias("n"), M.r6(F.avg(F.when(scored, F.pow(col("p") - col("y"), lit(2.0))))).alias("brier"),
+        M.r6(F.when(scored, share * (1 - share))).alias("base_rate_brier"), F.count_if(scored & ((col("p") >= 0.5) == (col("y") == 1))).alias("hits"),
+    )
+
+
+@query(
+    "eva_11_sample_report",
+    f"""WITH s AS (SELECT o_orderstatus AS kind, (o_totalprice > 150000)::INT AS y, lag(least(o_totalprice / 500000, 1)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders)
+SELECT kind, count(*)::BIGINT AS samples, count(p)::BIGINT AS scored, {R("avg(pow(p - y, 2))")} AS brier, {R("avg(CASE WHEN p IS NOT NULL THEN y END) * (1 - avg(CASE WHEN p IS NOT NULL THEN y END))")} AS base_rate_brier FROM s GROUP BY 1""",
+)
+def _sample_report(t):
+    """Samples by kind against the estimate in force strictly before each, where there is one."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    x = t.orders.select(col("o_orderstatus").alias("kind"), (col("o_totalprice") > 150000).cast("int").alias("y"), F.lag(F.least(col("o_totalprice") / 500000, lit(1.0))).over(before).alias("p"))
+    share = F.avg(F.when(col("p").isNotNull(), col("y")))
+    return x.groupBy("kind").agg(F.count("*").alias("samples"), F.count("p").alias("scored"), M.r6(F.avg(F.pow(col("p") - col("y"), lit(2.0)))).alias("brier"), M.r6(share * (1 - share)).alias("base_rate_brier"))
+
+
+_THEIRS = "least(l_discount * 8, 1)"
+
+
+@query(
+    "eva_12_comparison",
+    f"""SELECT l_returnflag, count(*)::BIGINT AS n, {R(f"avg(pow({PP} - {Y}, 2))")} AS ours, {R(f"avg(pow({_THEIRS} - {Y}, 2))")} AS theirs, {R(f"avg(pow({PP} - {Y}, 2) - pow({_THEIRS} - {Y}, 2))")} AS gap,
+count_if(({PP} >= 0.5) = ({Y} = 1) AND ({_THEIRS} >= 0.5) <> ({Y} = 1))::BIGINT AS only_ours, count_if(({PP} >= 0.5) <> ({Y} = 1) AND ({_THEIRS} >= 0.5) = ({Y} = 1))::BIGINT AS only_theirs FROM lineitem GROUP BY 1""",
+)
+def _comparison(t):
+    """Two predictions of the same samples: their scores, the paired gap, and how often only one was right."""
+    theirs = F.least(col("l_discount") * 8, lit(1.0))
+    ours_right, theirs_right = (pp() >= 0.5) == (y() == 1), (theirs >= 0.5) == (y() == 1)
+    a, b = F.pow(pp() - y(), lit(2.0)), F.pow(theirs - y(), lit(2.0))
+    return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), M.r6(F.avg(a)).alias("ours"), M.r6(F.avg(b)).alias("theirs"), M.r6(F.avg(a - b)).alias("gap"), F.count_if(ours_right & ~theirs_right).alias("only_ours"), F.count_if(~ours_right & theirs_right).alias("only_theirs"))
+
+
+@query(
+    "rul_8_placement",
+    f"""WITH n AS (SELECT c_custkey, arg_min(s_suppkey, ({DIST}, s_suppkey)) AS station, {R(f"min({DIST})")} AS dist FROM customer, supplier WHERE {DIST} <= 60 GROUP BY 1)
+SELECT c_custkey, CASE WHEN {PX} < 50 OR {PY} < 50 THEN 'outside' WHEN station IS NULL THEN 'no river near' WHEN c_acctbal < 0 THEN 'review' ELSE 'placed' END AS answer, station, dist FROM customer LEFT JOIN n USING (c_custkey)""",
+)
+def _placement(t):
+    """A request's point on the nearest station within 60, or the reason why it is not placed."""
+    near = S.nearest_join(pins(t), stations(t), "c_custkey", "s_suppkey", 60.0).select("c_custkey", col("s_suppkey").alias("station"), M.r6(col("dist")).alias("dist"))
+    answer = F.when((col("px") < 50) | (col("py") < 50), "outside").when(col("station").isNull(), "no river near").when(col("c_acctbal") < 0, "review").otherwise("placed")
+    return pins(t).join(t.customer.select("c_custkey", "c_acctbal"), "c_custkey").join(near, "c_custkey", "left").select("c_custkey", answer.alias("answer"), "station", "dist")
+
+
+@query(
+    "api_4_verification_document",
+    f"""SELECT '{{"candidates":' || sum(n) || ',"scored":' || coalesce(sum(n) FILTER (reason = 'scored'), 0) || ',"missed":' || coalesce(sum(n) FILTER (reason = 'missed deadline'), 0) || ',"hits":' || sum(hits) || '}}' AS doc FROM ({_LIVE})""",
+)
+def _document(t):
+    """The live report as one document."""
+    of = lambda reason: F.coalesce(F.sum(F.when(col("reason") == reason, col("n"))), lit(0))
+    doc = _live_report(t).agg(F.sum("n").alias("candidates"), of("scored").alias("scored"), of("missed deadline").alias("missed"), F.sum("hits").alias("hits"))
+    return doc.select(F.to_json(F.struct("candidates", "scored", "missed", "hits")).alias("doc"))
+
+
 query("snk_7_packed_index")(lambda t: _packed(t))
 
 
