@@ -131,6 +131,18 @@ def test_boosted_trees_are_monotone_and_emitted_whole(spark):
     assert models.Monotone(["a"], [1]).fit(np.zeros((0, 1)), np.zeros(0), np.zeros(0)).trees == []
 
 
+@pytest.mark.parametrize("k", [0.85, 0.2, 0.9995])
+def test_decay_index_of_many_days(spark, k):
+    values = np.random.default_rng(2).random(900).tolist()
+    x = spark.createDataFrame([(1, i, None if i % 50 == 7 else v) for i, v in enumerate(values)], "key int, day int, rain double")
+    got = [r.api for r in temporal.decay_index(x, ["key"], "day", "rain", k).orderBy("day").collect()]
+    acc, want = 0.0, []
+    for i, v in enumerate(values):
+        acc = acc * k + (0.0 if i % 50 == 7 else v)
+        want.append(acc)
+    assert np.allclose(got, want, rtol=1e-9)
+
+
 def test_interpolation_is_flat_beyond_its_ends(spark):
     x = spark.createDataFrame([(0.0,), (0.2,), (1.0,)], "p double")
     got = [r[0] for r in x.select(maths.interpolate(F.col("p"), [0.1, 0.3], [0.0, 1.0])).collect()]
