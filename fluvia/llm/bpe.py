@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.llm import common
-from fluvia.llm.encoding import rank_encoder, rank_encoding, slices
+from fluvia.llm.encoding import give_back, rank_encoder, rank_encoding, slices
 
 
 def encode(texts: list[str], path: str, pattern: str) -> list[bytes]:
@@ -79,7 +79,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
         finally:
-            rank_encoder(path, pattern).clear()
+            give_back(rank_encoder(path, pattern))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

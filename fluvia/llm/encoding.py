@@ -9,6 +9,8 @@ task; ids are the same with or without it.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import re
 from array import array
 from collections.abc import Callable
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 KEPT, KEPT_CHARS = 200_000, 48
 
 #: Characters and texts of a batch that is encoded together, about.
-BATCH = (1 << 23, 8192)
+BATCH = (1 << 22, 4096)
 
 _workers: dict[tuple, object] = {}
 
@@ -207,6 +209,16 @@ def _learner(t, lead: str, shown: str, lower: bool) -> Callable:
     return learn
 
 
+def give_back(encoder: Encoder | None = None) -> None:
+    """At the end of a task: what the encoder remembers, and memory that the allocators hold for nothing, goes back to the machine. Workers are
+    used again, also by stages that need the memory elsewhere."""
+    if encoder:
+        encoder.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _held(key: tuple, make: Callable):
     if key not in _workers:
         _workers[key] = make()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.llm import common
-from fluvia.llm.encoding import BATCH, byte_encoder, slices
+from fluvia.llm.encoding import BATCH, byte_encoder, give_back, slices
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part string, rank long"
@@ -119,7 +119,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
                         seen[b - a] += 1
                 yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
         finally:
-            encoder.clear()
+            give_back(encoder)
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.string()), ("rank", pa.int64())])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
