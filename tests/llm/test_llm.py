@@ -119,6 +119,13 @@ def test_components(spark):
     assert {r.node: r.label for r in common.components(e).collect()} == {1: 1, 2: 1, 3: 1, 5: 1, 10: 10, 11: 10, 12: 10}
 
 
+def test_components_in_rounds(spark):
+    e = spark.createDataFrame([(k + 1, k) for k in range(1, 9)] + [(20, 21)], "a long, b long")
+    assert {r.node: r.label for r in common.components(e, few=0).collect()} == {**dict.fromkeys(range(1, 10), 1), 20: 20, 21: 20}
+    with pytest.raises(RuntimeError):
+        common.components(e, 1, few=0)
+
+
 def test_licenses(docs, empty):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     for i, t, *_ in ROWS[: len(TEXTS)]:
@@ -203,8 +210,8 @@ def test_tokenisation_equals_the_libraries(docs, empty):
     r = np.random.default_rng(2)
     texts = [x or "" for x in TEXTS] + ["".join(r.choice(list(" \n\t a,b.C's1é!_\x00\x1c")) for _ in range(25)) for _ in range(500)]
     u4 = lambda v: np.array(v, dtype="<u4").tobytes()
-    assert encoding.byte_encoder(P.path("byte_bpe_50k.json")).ids(map(encoding.byte_level_pieces, texts)) == [u4(t.encode(x, add_special_tokens=False).ids) for x in texts]
-    assert encoding.word_encoder(P.path("word_bpe_49k.json")).ids(map(encoding.white_space_pieces, texts)) == [u4(w.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert encoding.byte_encoder(P.path("byte_bpe_50k.json")).ids(texts) == [u4(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert encoding.word_encoder(P.path("word_bpe_49k.json")).ids(texts) == [u4(w.encode(x, add_special_tokens=False).ids) for x in texts]
     assert bpe.encode(texts, P.path("byte_bpe_50k.tiktoken"), P.PATTERN) == [u4(e.encode_ordinary(x)) for x in texts]
     back = bpe.bpe_decode(bpe.bpe_encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert collections.Counter((r.doc_id, bytes(r.decoded)) for r in back.collect()) == collections.Counter((i, (x or "").encode()) for i, x, *_ in ROWS)
@@ -283,7 +290,7 @@ def test_spans_take_every_repeated_line_and_passage(spark, docs, empty):
     spans = substrings.repeated_spans(d)
     got = {(r.doc_id, dict(rows)[r.doc_id][r.start : r.end], r.n_words, r.keep_doc_id) for r in spans.collect()}
     assert got == {(2, passage, 40, 1), (3, "SHORT  line here", 3, 1), (5, " ".join("abcdefg" * 16), 112, 5), (7, "only null", 2, None)}
-    assert {r.doc_id: r.text for r in substrings.cleaned(d, spans).collect()}[2] == "quite new lead  and after"
+    assert {r.doc_id: r.text for r in substrings.cleaned(d).collect()}[2] == "quite new lead  and after"
     assert substrings.repeated_spans(empty).count() == 0
     assert {tuple(r)[:3] for r in substrings.repeated_spans(docs).collect()} >= {(17, 0, len(LONG))}
 
