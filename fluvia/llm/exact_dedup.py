@@ -13,7 +13,6 @@ does; repeated rows form a group; an empty table gives an empty result; extra co
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +22,6 @@ from fluvia.llm.encoding import mix64
 
 #: Digests a bucket holds on average.
 BUCKET_KEYS = 4096
-#: Bits of the map of digests with copies.
-MAP_BITS = 1 << 23
 
 #: A run of white space that is not one space; `[\x20\t-\r]+` to one space, with fewer replacements.
 WHITE = "[\\t-\\r][ \\t-\\r]*| [ \\t-\\r]+"
@@ -157,22 +154,13 @@ def unequal(docs: DataFrame, groups: DataFrame) -> int:
     """Digests of groups whose normalised texts are not the same bytes: the check before anything is dropped.
 
     A text goes to its group's task as the least and the greatest of the texts of its input task, so a group with a third
-    of all rows is a row per task. A bitmap of MAP_BITS (its size is fixed) keeps nearly all texts without copies at home;
+    of all rows is a row per task. A bitmap sized by the digests with copies (`common.Bitmap`) keeps nearly all texts without copies at home;
     where a corpus fills it, their texts move too, and the result is the same.
     """
-    bit = F.pmod(F.xxhash64("sha"), F.lit(MAP_BITS))
-    bits = groups.filter("n > 1").select((bit / 32).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("bit"))
-    words = np.zeros(MAP_BITS // 32, dtype=np.int64)
-    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most MAP_BITS / 32 rows
-        words[r["word"]] = r["bits"]
-    held = docs.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def several(at: pd.Series) -> pd.Series:
-        return pd.Series((held.value[at.to_numpy() // 32] >> (at.to_numpy() % 32) & 1).astype(bool))
-
+    several = common.written(groups.filter("n > 1").select("sha"), "dedup-several")
+    held = common.Bitmap(several, "sha", several.count())
     text = docs.select(normalised(common.text_of()).alias("norm")).withColumn("sha", F.sha2("norm", 256))
-    same = text.filter(several(bit)).groupBy("sha").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    same = text.filter(held.maybe("sha")).groupBy("sha").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
     return same.filter("least <> greatest").count()
 
 
