@@ -197,7 +197,7 @@ def _packed(t):
         ids = sorted(pdf.s_suppkey)
         return pdf.head(1)[["tile"]].assign(n=len(ids), block=[struct.pack(f"<{len(ids)}i", *ids)])
 
-    return t.supplier.select(F.floor(col("s_suppkey") % 90 / 4).alias("tile"), "s_suppkey").groupBy("tile").applyInPandas(run, "tile long, n long, block binary")
+    return t.supplier.select(F.floor(col("s_suppkey") / 64).alias("tile"), "s_suppkey").groupBy("tile").applyInPandas(run, "tile long, n long, block binary")
 
 
 query("snk_16_evolved_schema", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'v2' END, 'v1') AS version FROM orders")(lambda t: t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", lit("v2").alias("version")).unionByName(t.orders.filter("o_orderkey % 2 <> 0").select("o_orderkey"), allowMissingColumns=True).select("o_orderkey", F.coalesce("version", lit("v1")).alias("version")))
