@@ -19,11 +19,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvia.llm import common
-from fluvia.llm.encoding import BATCH, slices, word_encoder
+from fluvia.llm.encoding import BATCH, give_back, slices, word_encoder
 
 #: Ids in a chunk: least, about the mean, most.
 LEAST, MEAN, MOST = 256, 1024, 4096
@@ -110,7 +111,7 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
                     rows.append(("recipe", hashlib.sha256(root + str(doc).encode()).digest(), None, doc, n, names, root))
                 yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
         finally:
-            encoder.clear()
+            give_back(encoder)
 
     b = pa.binary()
     schema = pa.schema([("kind", pa.string()), ("name", b), ("payload", b), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("names", pa.list_(b)), ("root", b)])
@@ -118,18 +119,6 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
     return docs.mapInArrow(run, "kind string, name binary, payload binary, doc_id long, n_tokens long, names array<binary>, root binary")
 
 
-def _once(batches):
-    """Each chunk name once in this partition, where all rows of a name are, one after another; recipes pass."""
-    last = None
-    for b in batches:
-        keep = []
-        for kind, name in zip(b.column("kind").to_pylist(), b.column("name").to_pylist(), strict=True):
-            keep.append(kind == "recipe" or name != last)
-            if kind == "chunk":
-                last = name
-        yield b.filter(pa.array(keep, pa.bool_()))
-
-
 def _roots(batches):
     rows: dict[int, list] = {}
     for b in batches:
@@ -153,7 +142,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2
     path = path or common.new_path(spark, "id-store")
     staged = _staged(docs, tokenizer, end_id, width)
     # chunks of one name meet in one partition; a task sends a name once, so no name is hot
-    staged = staged.repartition(F.col("name")).sortWithinPartitions("name").mapInArrow(_once, staged.schema)
+    same = Window.partitionBy("name").orderBy("kind")
+    staged = staged.withColumn("seen", F.row_number().over(same)).filter("kind = 'recipe' OR seen = 1").drop("seen")
     staged.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/files")
     staged = spark.read.schema(staged.schema).parquet(f"{path}/files")
     recipes = staged.filter("kind = 'recipe'").select("doc_id", "n_tokens", "names", "root")
@@ -182,11 +172,12 @@ _POLY = 0xEDB88320
 
 
 def _crc_shift(crc: int, n: int) -> int:
-    """The CRC-32 register after n zero bytes: n one-byte steps as powers of a linear map over bits."""
+    """The CRC-32 register after n zero bytes: steps of powers of two, each a linear map over bits, looked up byte by byte."""
     k = 0
-    while n:
+    while n and crc:
         if n & 1:
-            crc = _apply(_power(k), crc)
+            a, b, c, d = _power(k)
+            crc = a[crc & 255] ^ b[crc >> 8 & 255] ^ c[crc >> 16 & 255] ^ d[crc >> 24]
         n >>= 1
         k += 1
     return crc
@@ -202,21 +193,21 @@ def _apply(m: tuple[int, ...], v: int) -> int:
     return out
 
 
-_powers: list[tuple[int, ...]] = []
+_maps: list[tuple[int, ...]] = []
+_powers: list[tuple[list[int], ...]] = []
 
 
-def _power(k: int) -> tuple[int, ...]:
-    """The map of 2**k zero bytes; its columns are the images of single bits."""
+def _power(k: int) -> tuple[list[int], ...]:
+    """The map of 2**k zero bytes, as a table for each byte of the register."""
     while len(_powers) <= k:
-        if not _powers:
-            one = (_POLY, *(1 << i for i in range(31)))  # one zero bit
-            m = one
+        if not _maps:
+            m = (_POLY, *(1 << i for i in range(31)))  # one zero bit; its columns are the images of single bits
             for _ in range(3):
                 m = tuple(_apply(m, c) for c in m)  # 2, 4, 8 bits
-            _powers.append(m)
         else:
-            m = _powers[-1]
-            _powers.append(tuple(_apply(m, c) for c in m))
+            m = tuple(_apply(_maps[-1], c) for c in _maps[-1])
+        _maps.append(m)
+        _powers.append(tuple([_apply(m, x << shift) for x in range(256)] for shift in (0, 8, 16, 24)))
     return _powers[k]
 
 
@@ -238,16 +229,16 @@ def checked_chunks(spark: SparkSession, path: str, width: int) -> DataFrame:
                 if hashlib.sha256(x).digest() != name:
                     raise ValueError(f"chunk {name.hex()} is damaged")
             crc = [zlib.crc32(np.frombuffer(x, dtype=f"<u{width}").astype("<u4").tobytes()) for x in payloads]
-            yield pa.record_batch([pa.array([n.hex() for n in names]), pa.array([len(x) // width for x in payloads], pa.int64()), pa.array(crc, pa.int64())], names=["name", "ids", "crc"])
+            yield pa.record_batch([b.column("name"), pa.array([len(x) // width for x in payloads], pa.int64()), pa.array(crc, pa.int64())], names=["name", "ids", "crc"])
 
-    return chunks(spark, path).mapInArrow(run, "name string, ids long, crc long")
+    return chunks(spark, path).mapInArrow(run, "name binary, ids long, crc long")
 
 
 def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files: all chunks are read and verified, each document's CRC-32 is put together
     from those of its chunks, and its recipe is verified against its root."""
     docs = common.written(recipes(spark, path), "store-recipes").withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start"))
-    used = docs.select("row", F.posexplode("names").alias("pos", "binary")).select("row", "pos", F.lower(F.hex("binary")).alias("name"))
+    used = docs.select("row", F.posexplode("names").alias("pos", "name"))
     info = checked_chunks(spark, path, width)
     uses = common.written(used.groupBy("name").agg(F.count("*").alias("uses")).join(info, "name"), "store-uses")
     total = used.count()
@@ -256,13 +247,18 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for n, root, parts in zip(b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                if any(p["crc"] is None for p in parts):
+            out, lists = [], b.column("parts")
+            flat = lists.flatten()
+            names, ids, crcs = (flat.field(k).to_pylist() for k in ("name", "ids", "crc"))
+            at = 0
+            for n, root, k in zip(b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), pc.list_value_length(lists).to_pylist(), strict=True):
+                mine, sizes, sums = names[at : at + k], ids[at : at + k], crcs[at : at + k]
+                at += k
+                if None in sums:
                     raise ValueError("a chunk is missing")
-                if merkle([bytes.fromhex(p["name"]) for p in parts]) != root or sum(p["ids"] for p in parts) != n:
+                if merkle(mine) != root or sum(sizes) != n:
                     raise ValueError("a recipe does not match its root")
-                out.append(combined([(p["crc"], 4 * p["ids"]) for p in parts]))
+                out.append(combined([(c, 4 * size) for c, size in zip(sums, sizes, strict=True)]))
             yield pa.record_batch([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     x = docs.select("row", "doc_id", "start", "n_tokens", "root").join(parts, "row")
