@@ -10,9 +10,9 @@ Three rules give spans, and `repeated_spans` merges them. The occurrence with th
 
 Only what may occur twice leaves its task: units, lines and grams are counted once by 64 bits of their digests, and a bitmap of fixed size
 says which are met again; where a corpus fills it more rows travel, and the result is the same. A window is named by its least hash of GRAM words (its
-gram) and a digest. Neighbouring windows with the same gram are a region, at most GRAMS of them. Regions travel, not windows. Where
-all regions of a gram are the same, whole regions are judged; windows are counted one by one only where regions of a gram differ, which is
-at the ends of passages and around edits. Digests have 128 bits (lines, units) and 96 bits (windows); texts are not compared again.
+gram) and a digest. Neighbouring windows with the same gram are a region, at most GRAMS of them. Regions travel, not windows: a region that equals
+an earlier one is judged whole; where a gram has regions of several kinds, which is at the ends of passages and around edits, the windows
+of the first region of each kind are counted one by one. Digests have 128 bits (lines, units) and 96 bits (windows); texts are not compared again.
 
 Edge cases: null or empty text has no spans, nor has a line without words; a null doc_id ranks first; rows that share a doc_id, or have
 none, are documents of their own, in the order of a hash of their texts, so later copies lose what the first keeps; very long texts are used
@@ -166,20 +166,26 @@ class _Twice:
         return (self.words.value[k // 32] >> (k % 32).astype(np.uint32) & 1).astype(bool)
 
 
-def _units(docs: DataFrame, twice: _Twice) -> DataFrame:
+def _pieces(docs: DataFrame, twice: _Twice) -> DataFrame:
+    """line (whether it is one, or a unit), digest, doc_id, unit, start, end, from, to: the units and lines that may occur twice."""
+
     def run(batches):
         for key, text in slices(batches, ["doc_id", "text"], CHARS):
-            which, digest, *rest = unit_table(text)
-            keep = twice.holds(digest[:, 0].view("<i8"))
-            yield pa.record_batch([_fixed(digest[keep], 16), pa.array(np.array(key, dtype=np.int64)[which[keep]]), *(pa.array(c[keep].astype(np.int32)) for c in rest)], names=["digest", "doc_id", "unit", "start", "end", "before", "words"])
+            docs_ = np.array(key, dtype=np.int64)
+            which, digest, unit, start, end, before, words = unit_table(text)
+            u = (which, digest, unit, start, end, before, before + words)
+            which, digest, *rest = line_table(text)
+            for line, (which, digest, unit, *rest) in ((False, u), (True, (which, digest, np.zeros(len(which)), *rest))):
+                keep = twice.holds(digest[:, 0].view("<i8"))
+                yield pa.record_batch([pa.array(np.full(int(keep.sum()), line)), _fixed(digest[keep], 16), pa.array(docs_[which[keep]]), *(pa.array(c[keep].astype(np.int32)) for c in (unit, *rest))], names=["line", "digest", "doc_id", "unit", "start", "end", "from", "to"])
         give_back()
 
-    return docs.mapInArrow(run, "digest binary, doc_id long, unit int, start int, end int, before int, words int")
+    return docs.mapInArrow(run, "line boolean, digest binary, doc_id long, unit int, start int, end int, from int, to int")
 
 
-def _runs(docs: DataFrame, twice: _Twice) -> DataFrame:
+def _runs(pieces: DataFrame) -> DataFrame:
     """doc_id, start, end, from, to, first: runs of repeated units that cover RUN_WORDS words."""
-    x = common.written(_units(docs, twice), "substring-units")
+    x = pieces.filter("NOT line").select("digest", "doc_id", "unit", "start", "end", F.col("from").alias("before"), (F.col("to") - F.col("from")).alias("words"))
     first = x.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "before")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = common.written(first, "substring-repeats")
     found = common.hot_lookup(x, first, "digest", "n", x.count(), F.concat_ws(":", "doc_id", "unit", "start"))
@@ -213,7 +219,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, n_words, keep_doc_id, keep_unit: the runs of units to remove and where the first unit of each stays."""
     rows = _Rows(docs)
     n = (F.col("to") - F.col("from")).cast("long").alias("n_words")
-    x = _runs(rows.docs, _Twice(rows.docs)).select("doc_id", _long("start").alias("start"), _long("end").alias("end"), n, F.col("first.doc_id").alias("keep_doc_id"), F.col("first.unit").cast("long").alias("keep_unit"))
+    x = _runs(common.written(_pieces(rows.docs, _Twice(rows.docs)), "substring-pieces")).select("doc_id", _long("start").alias("start"), _long("end").alias("end"), n, F.col("first.doc_id").alias("keep_doc_id"), F.col("first.unit").cast("long").alias("keep_unit"))
     return rows.real(x, "doc_id", "keep_doc_id")
 
 
@@ -254,20 +260,9 @@ class _Held(common.Bitmap):
         return F.pmod(F.col(column), F.lit(self.bits))
 
 
-def _lines(docs: DataFrame, twice: _Twice) -> DataFrame:
-    def run(batches):
-        for key, text in slices(batches, ["doc_id", "text"], CHARS):
-            which, digest, *rest = line_table(text)
-            keep = twice.holds(digest[:, 0].view("<i8"))
-            yield pa.record_batch([_fixed(digest[keep], 16), pa.array(np.array(key, dtype=np.int64)[which[keep]]), *(pa.array(c[keep].astype(np.int32)) for c in rest)], names=["digest", "doc_id", "start", "end", "from", "to"])
-        give_back()
-
-    return docs.mapInArrow(run, "digest binary, doc_id long, start int, end int, from int, to int")
-
-
 def _regions(docs: DataFrame, twice: _Twice) -> DataFrame:
-    """gram, whole (digest of the region), doc_id, from, to, start, end, windows (digests, starts and ends of its windows): the regions
-    whose gram may occur twice."""
+    """gram, region (gram and digest of the region), doc_id, from, to, start, end, near, windows (digests, starts and ends of its windows): the
+    regions whose gram may occur twice. `near` ones overlap an equal region of their document."""
 
     def run(batches):
         for key, text in slices(batches, ["doc_id", "text"], CHARS):
@@ -282,12 +277,18 @@ def _regions(docs: DataFrame, twice: _Twice) -> DataFrame:
                 continue
             table = np.stack([digest, start.astype("<u4"), end.astype("<u4")])
             parts = [np.ascontiguousarray(table[:, a:b]).tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            whole = [xxhash.xxh3_64_digest(p[: len(p) // 3]) for p in parts]
             g = np.ascontiguousarray(gram[first]).astype("<i8")
-            yield pa.record_batch([_fixed(g, 8), pa.array(whole, pa.binary()), pa.array(np.array(key, dtype=np.int64)[d[first]]), *(pa.array(c.astype(np.int32)) for c in (at[first], at[last - 1] + RUN_WORDS, start[first], end[last - 1])), pa.array(parts, pa.binary())], names=["gram", "whole", "doc_id", "from", "to", "start", "end", "windows"])
+            region = np.empty((len(g), 2), dtype="<i8")
+            region[:, 0] = g
+            region[:, 1] = np.frombuffer(b"".join(xxhash.xxh3_64_digest(p[: len(p) // 3]) for p in parts), "<i8")
+            order = np.lexsort((at[first], region[:, 1], g, d[first]))
+            o, p = order[1:], order[:-1]
+            near = np.zeros(len(g), dtype=bool)
+            near[o] = (d[first[o]] == d[first[p]]) & (region[o] == region[p]).all(axis=1) & (at[first[o]] - at[first[p]] < RUN_WORDS)
+            yield pa.record_batch([_fixed(g, 8), _fixed(region, 16), pa.array(np.array(key, dtype=np.int64)[d[first]]), *(pa.array(c.astype(np.int32)) for c in (at[first], at[last - 1] + RUN_WORDS, start[first], end[last - 1])), pa.array(near), pa.array(parts, pa.binary())], names=["gram", "region", "doc_id", "from", "to", "start", "end", "near", "windows"])
         give_back()
 
-    return docs.mapInArrow(run, "gram binary, whole binary, doc_id long, from int, to int, start int, end int, windows binary")
+    return docs.mapInArrow(run, "gram binary, region binary, doc_id long, from int, to int, start int, end int, near boolean, windows binary")
 
 
 def _windows(batches):
@@ -320,22 +321,24 @@ def _later(x: DataFrame, key: str, first: DataFrame, words: str) -> DataFrame:
     return found.filter(f"first IS NOT NULL AND (first.doc_id <> doc_id OR `from` >= first.`from` + ({words}))")
 
 
-def _repeated_lines(docs: DataFrame, twice: _Twice) -> DataFrame:
-    x = common.written(_lines(docs, twice), "substring-lines")
+def _repeated_lines(pieces: DataFrame) -> DataFrame:
+    x = pieces.filter("line").drop("line", "unit")
     return _later(x, "digest", _first_places(x, "digest", "lines"), "`to` - `from`")
 
 
 def _repeated_windows(docs: DataFrame, twice: _Twice) -> list[DataFrame]:
-    """Spans of whole regions, and of single windows where the regions of a gram differ."""
+    """Spans of whole regions that equal an earlier one; and of single windows, of one region of each kind, where a gram has several kinds."""
     x = common.written(_regions(docs, twice), "substring-regions")
     place = F.struct("doc_id", "from")
-    by = x.groupBy("gram", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    by = by.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
-    by = common.written(by.filter("first <> last").drop("last"), "substring-region-grams")
-    alike = _later(x.drop("whole", "windows"), "gram", by.filter("kinds = 1").drop("kinds"), str(RUN_WORDS))
-    differ = by.filter("kinds > 1").select("gram", "n")
-    mixed = common.hot_lookup(x.select("gram", "doc_id", "from", "windows"), differ, "gram", "n", x.count(), F.concat_ws(":", "doc_id", "from")).filter("n IS NOT NULL")
-    single = common.written(mixed.mapInArrow(_windows, "digest binary, doc_id long, start int, end int, from int, to int"), "substring-windows")
+    kinds = x.groupBy("gram", "region").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"), F.min_by("windows", place).alias("windows"))
+    kinds = common.written(kinds, "substring-region-kinds")
+    alike = _later(x.select("region", "doc_id", "from", "to", "start", "end"), "region", kinds.filter("first <> last").select("region", "first", "n"), str(RUN_WORDS))
+    mixed = common.written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "substring-mixed")
+    one = kinds.select("gram", F.col("first.doc_id").alias("doc_id"), F.col("first.from").alias("from"), "windows")
+    # regions that overlap their own first are not judged above, but their windows may stand elsewhere before
+    each = one.unionByName(x.filter("near").select("gram", "doc_id", "from", "windows"))
+    each = common.hot_lookup(each, mixed, "gram", "kinds", kinds.count(), F.concat_ws(":", "doc_id", "from")).filter("kinds IS NOT NULL")
+    single = common.written(each.mapInArrow(_windows, "digest binary, doc_id long, start int, end int, from int, to int"), "substring-windows")
     return [alike, _later(single, "digest", _first_places(single, "digest", "windows"), str(RUN_WORDS))]
 
 
@@ -351,10 +354,8 @@ def _spans(docs: DataFrame) -> DataFrame:
 
     with common.passing_tables(spark, kept):
         twice = _Twice(docs)
-    with common.passing_tables(spark, kept):
-        found.append(done(_runs(docs, twice), "before", "runs"))
-    with common.passing_tables(spark, kept):
-        found.append(done(_repeated_lines(docs, twice), "from", "repeated-lines"))
+        pieces = common.written(_pieces(docs, twice), "substring-pieces", ["line"])
+        found += [done(_runs(pieces), "before", "runs"), done(_repeated_lines(pieces), "from", "repeated-lines")]
     with common.passing_tables(spark, kept):
         found += [done(y, "from", "repeated-windows") for y in _repeated_windows(docs, twice)]
     x = found[0]
@@ -369,7 +370,7 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, n_words, keep_doc_id, keep_word: the spans to remove, merged where they touch, and where the first words of
-    each stay (the document and the number of the word there)."""
+    each stand before (the document and the number of the word there)."""
     rows = _Rows(docs)
     x = _spans(rows.docs)
     x = x.select("doc_id", *(_long(c).alias(c) for c in ("start", "end", "n_words")), F.col("keep.keep_doc_id").alias("keep_doc_id"), _long("keep.keep_word").alias("keep_word"))
