@@ -29,10 +29,12 @@ _workers: dict[tuple, object] = {}
 
 
 class Pieces:
-    """Ids of pieces, by `learn`: the ids of one piece as an iterable of integers. Pieces are numbered within a generation."""
+    """Ids of pieces, by `learn`: the ids of one piece as an iterable of integers. `tails` are marks that are a pre-token of their own after a
+    letter at the end of a piece, with their ids, so the ids of the piece without may be known already."""
 
-    def __init__(self, learn: Callable[[str], list[int]], size: int = KEPT):
+    def __init__(self, learn: Callable[[str], list[int]], tails: dict[str, list[int]] | None = None, size: int = KEPT):
         self.learn, self.size = learn, size
+        self.tails = {c: array("I", ids).tobytes() for c, ids in (tails or {}).items()}
         self.clear()
 
     def clear(self) -> None:
@@ -41,11 +43,13 @@ class Pieces:
 
     def ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit integers."""
-        young, old, learn, limit = self.young, self.old, self.learn, KEPT_CHARS
+        young, old, learn, limit, tails = self.young, self.old, self.learn, KEPT_CHARS, self.tails
         out = list(map(young.get, pieces))
         for i in [i for i, v in enumerate(out) if v is None]:
             k = pieces[i]
             v = old.get(k)
+            if v is None and k[-1:] in tails and k[-2:-1].isalpha() and (stem := young.get(k[:-1])) is not None:
+                v = stem + tails[k[-1]]
             if v is None:
                 v = array("I", learn(k)).tobytes()
             out[i] = v
@@ -154,8 +158,8 @@ def cut_byte_level(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def cut_white_space(texts: list[str]) -> tuple[pa.Array, None, np.ndarray]:
-    """Pieces for tokenisers that drop white space: no pre-token holds any. An empty piece has no ids."""
-    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    """Pieces for tokenisers that drop white space (no pre-token holds any) and case, of which A to Z fall here. An empty piece has no ids."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
     return lists.flatten(), None, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -174,6 +178,10 @@ def _library(path: str):
     return t
 
 
+def _tails(t) -> dict[str, list[int]]:
+    return {c: t.encode(c, add_special_tokens=False).ids for c in ",."}
+
+
 def _learner(t, lead: str, shown: str, lower: bool) -> Callable:
     """Ids of a piece that stands after `lead`: of plain words straight from the library's BPE model, past its pre-tokeniser, where `shown`
     stands for `lead`; of others, and of what follows a plain word, by the library."""
@@ -181,7 +189,7 @@ def _learner(t, lead: str, shown: str, lower: bool) -> Callable:
     whole = lambda s: t.encode(s, add_special_tokens=False).ids
     rests: dict[str, list[int]] = {}
 
-    tails = {c: whole(c) for c in ",."}
+    tails = _tails(t)
 
     def learn(piece: str) -> list[int]:
         if piece.isascii():
@@ -227,7 +235,12 @@ def _held(key: tuple, make: Callable):
 
 def word_encoder(path: str) -> Encoder:
     """The tokenizers library, for a lower-casing vocabulary, on white-space separated pieces."""
-    return _held(("word", path), lambda: Encoder(cut_white_space, Pieces(_learner(_library(path), "", "", True))))
+
+    def make() -> Encoder:
+        t = _library(path)
+        return Encoder(cut_white_space, Pieces(_learner(t, "", "", True), _tails(t)))
+
+    return _held(("word", path), make)
 
 
 def byte_encoder(path: str) -> Encoder:
@@ -235,7 +248,7 @@ def byte_encoder(path: str) -> Encoder:
 
     def make() -> Encoder:
         t = _library(path)
-        return Encoder(cut_byte_level, Pieces(_learner(t, " ", "\u0120", False)), Pieces(_learner(t, "", "", False)))
+        return Encoder(cut_byte_level, Pieces(_learner(t, " ", "\u0120", False), _tails(t)), Pieces(_learner(t, "", "", False), _tails(t)))
 
     return _held(("byte", path), make)
 
