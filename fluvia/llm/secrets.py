@@ -16,6 +16,8 @@ columns of any name are kept by `redacted` and ignored elsewhere.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,11 @@ PATTERNS = (ASSIGN, ACCESS, HEX, PEM, JWT, FORGE, RANDOM)
 #: What a `random` candidate must have.
 MIXED = ("[0-9]", "[a-z]", "[A-Z]")
 
-#: Words that a text must hold before a pattern is tried on it.
-GATES = {"assign": r"(?i)passw|secret|token|api_?key", "access": "AKIA", "hex": HEX, "pem": "-----BEGIN ", "jwt": "eyJ", "forge": r"gh[pousr]_|glpat-|xox[abprs]-|sk_live_", "random": "[0-9]"}
+#: What a text must hold before a pattern is tried on it: one of some strings, or a pattern.
+HOLDS = {"access": ("AKIA",), "pem": ("-----BEGIN ",), "jwt": ("eyJ",), "forge": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live_")}
+GATES = {"assign": r"(?i)passw|secret|token|api_?key", "hex": HEX, "random": "[0-9]"}
+#: In a text with a digit, where a `random` candidate may begin.
+LONG = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32}"
 
 #: A candidate in more repositories than this, of at least EXAMPLE_OWNERS owners, is a copied example.
 EXAMPLE_REPOS, EXAMPLE_OWNERS = 3, 2
@@ -69,6 +74,12 @@ def running(values: Column, op) -> Column:
     return _let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(_let(blocks(v), joined)))
 
 
+def may_hold(text: Column, kind: str) -> Column:
+    if kind not in HOLDS:
+        return text.rlike(GATES[kind])
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in HOLDS[kind]))
+
+
 SPAN = "array<struct<start:long,end:long,kind:int,value:string>>"
 
 
@@ -81,7 +92,7 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
         return F.zip_with(ends, found, lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), v.alias("value")))
 
     found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
-    return F.when(text.rlike(GATES[kind]), found).otherwise(F.array().cast(SPAN))
+    return F.when(may_hold(text, kind), found).otherwise(F.array().cast(SPAN))
 
 
 def candidates(docs: DataFrame, *keep: str) -> DataFrame:
@@ -152,10 +163,11 @@ def redacted(docs: DataFrame) -> DataFrame:
     place = lambda s: F.struct((s["end"] - F.length(_value(s))).alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     cut = F.sort_array(F.transform(F.filter(_spans(), lambda s: ~F.array_contains("examples", _value(s))), place))
     cuts = common.written(_judged(numbered, row, row).select(common.column(row).alias("secret_row"), cut.alias("secret_cuts")).filter("size(secret_cuts) > 0"), "secret-cuts")
-    gate = common.fresh(numbered, "secret_gate")
-    x = numbered.withColumn(gate, F.coalesce(F.col("text").rlike("|".join([*GATES.values()][:-1] + [RANDOM])), F.lit(False)))
+    gate, text = common.fresh(numbered, "secret_gate"), F.col("text")
+    any_kind = reduce(lambda a, b: a | b, (may_hold(text, k) & (text.rlike(LONG) if k == "random" else F.lit(True)) for k in KINDS))
+    x = numbered.withColumn(gate, F.coalesce(any_kind, F.lit(False)))
     at, here = common.fresh(x, "secret_row"), common.fresh(x, "secret_cuts")
-    text, v, name = F.col("text"), common.column(here), F.array(*map(F.lit, KINDS))
+    v, name = common.column(here), F.array(*map(F.lit, KINDS))
     part = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
 
     def cut_out(reached: Column) -> Column:
