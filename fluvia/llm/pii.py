@@ -175,7 +175,8 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             if rows:
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.float64()), strict=True)], names=["at", "x", "y"])
 
-    found = docs.mapInArrow(run, "at long, x array<double>, y double").orderBy("at", "x", "y").limit(SAMPLE).collect()
+    found = common.written(docs.mapInArrow(run, "at long, x array<double>, y double"), "pii-candidates")
+    found = common.least_hashed(found, "at", SAMPLE, ["x", "y"], 0).collect()
     return np.array([r["x"] for r in found]), np.array([r["y"] for r in found], dtype=float)
 
 

@@ -220,7 +220,7 @@ def learn(rows: list[dict]) -> list[Rule]:
 def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Learn the list from labelled documents: `quality` 0 is what rules reject."""
     chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_q").limit(SAMPLE)  # the documented bound
+    chosen = common.least_hashed(chosen.withColumn("_h", F.xxhash64("_id")), "_h", SAMPLE, ["_id", "_q"]).drop("_h")  # the documented bound
     x = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     x = statistics(x, ["_id", "_q"]).select("_id", "_q", "base_failed", "n_words", *FEATURES)
     rows = [r.asDict() for r in x.orderBy(F.xxhash64("_id"), "_id", "_q", "n_words").limit(SAMPLE).collect()]
