@@ -75,7 +75,7 @@ def bytes_b(path: str) -> list[bytes]:
 def cut_at_spaces(texts: list[str]) -> tuple[pa.Array, None, np.ndarray]:
     """Pieces for a sentencepiece model none of whose pieces holds a space after another character: a text is cut before each space
     that follows one, and the library puts that space back before a piece."""
-    cut = [re.split(r"(?<=[^ ]) ", t) if t else [] for t in texts]
+    cut = [re.split(r"(?<=[^ ▁]) ", t) if t else [] for t in texts]
     return pa.array([p for ps in cut for p in ps], pa.large_string()), None, np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
 
 
@@ -84,7 +84,8 @@ def piece_encoder(path: str) -> Encoder:
         sp = _pieces(path)
         if any(" " in b.lstrip(b" ").decode("utf-8", "replace") for b in bytes_b(path)):
             raise ValueError("a piece of this model spans a space")
-        return Encoder(cut_at_spaces, Pieces(lambda p: sp.encode(p, num_threads=1)))
+        space = [sp.piece_to_id("▁")]  # a space at the end of a text, where the library would put none back
+        return Encoder(cut_at_spaces, Pieces(lambda p: sp.encode(p, num_threads=1) if p else space))
 
     return _once(("encoder", path), make)
 
