@@ -7,7 +7,7 @@ and distinct owners: one that several owners hold, in more than EXAMPLE_REPOS re
 and that looks random is live-looking. Repetitions in a document and (hash, owner) pairs are removed before any shuffle by hash.
 
 Ownership decides which candidates become spans: those of the base kinds always, those of known formats (pem, jwt, forge) unless they are copied
-examples, and long mixed strings without a format (random) only if they are live-looking.
+examples, and long mixed strings without a format (random) only if they are live-looking and no other candidate holds them.
 
 Edge cases: null or empty text has no candidates; null source is an owner of its own; rows with a null or a repeated doc_id are documents
 of their own; a text with very many matches takes time by their number to the power 1.5; an empty table gives an empty result; extra
@@ -34,8 +34,8 @@ FORGE = r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Z
 RANDOM = r"[A-Za-z0-9_-]{32,}"
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge", "random")
 PATTERNS = (ASSIGN, ACCESS, HEX, PEM, JWT, FORGE, RANDOM)
-#: What a `random` candidate must have.
-MIXED = ("[0-9]", "[a-z]", "[A-Z]")
+#: What a `random` candidate must have; digits in two places at least, as a numbered name has one.
+MIXED = ("[0-9][^0-9]+[0-9]", "[a-z]", "[A-Z]")
 
 #: What a text must hold before a pattern is tried on it: one of some strings, or a pattern.
 HOLDS = {"access": ("AKIA",), "pem": ("-----BEGIN ",), "jwt": ("eyJ",), "forge": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live_")}
@@ -80,16 +80,16 @@ def may_hold(text: Column, kind: str) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in HOLDS[kind]))
 
 
-SPAN = "array<struct<start:long,end:long,kind:int,value:string>>"
+SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
 def matches(text: Column, kind: str, pattern: str) -> Column:
-    """Array of structs (start, end, kind, value) of all leftmost non-overlapping matches; places are code points."""
+    """Array of structs (start, kind, end, value) of all leftmost non-overlapping matches; places are code points."""
 
     def placed(found: Column) -> Column:
         between = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(found))
         ends = running(F.zip_with(between, found, lambda g, v: (g + F.length(v)).cast("long")), lambda a, b: a + b)
-        return F.zip_with(ends, found, lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), v.alias("value")))
+        return F.zip_with(ends, found, lambda e, v: F.struct((e - F.length(v)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), e.alias("end"), v.alias("value")))
 
     found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     return F.when(may_hold(text, kind), found).otherwise(F.array().cast(SPAN))
@@ -102,7 +102,10 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
         x = x.withColumn(f"_{kind}", matches(F.col("text"), kind, pattern))
     secret = lambda s: F.regexp_extract(s["value"], ASSIGN, 1)
     x = x.withColumn("_assign", F.filter("_assign", lambda s: F.length(secret(s)) >= 6))
-    x = x.withColumn("_random", F.filter("_random", lambda s: s["value"].rlike(MIXED[0]) & s["value"].rlike(MIXED[1]) & s["value"].rlike(MIXED[2])))
+    x = x.withColumn("_random", F.filter("_random", lambda s: reduce(lambda a, b: a & b, (s["value"].rlike(m) for m in MIXED))))
+    known = F.concat(*[F.col(f"_{k}") for k in KINDS[:-1]])
+    within = lambda s: F.exists(known, lambda k: (k["start"] <= s["start"]) & (k["end"] >= s["end"]))
+    x = x.withColumn("_random", F.when(F.size("_random") == 0, F.col("_random")).otherwise(F.filter("_random", lambda s: ~within(s))))
     found = F.sort_array(F.concat(*[F.col(f"_{k}") for k in KINDS]))
     return x.select(*map(common.column, keep), "source", found.alias("found"))
 
@@ -206,7 +209,8 @@ def _sql() -> str:
     line = lambda v: f"coalesce(array_to_string(list_transform({v}, lambda s: {names}[s.kind + 1] || ':' || s.start || ':' || (s.start + s.n)), ','), '')"
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-f AS (SELECT doc_id, source, list_sort(list_transform(list_concat({", ".join(parts)}), lambda s: {{'start': s.start, 'kind': s.kind, 'n': s.n, 'value': s.value}})) AS found FROM d),
+a AS (SELECT doc_id, source, list_sort(list_transform(list_concat({", ".join(parts)}), lambda s: {{'start': s.start, 'kind': s.kind, 'n': s.n, 'value': s.value}})) AS every FROM d),
+f AS (SELECT doc_id, source, list_filter(every, lambda s: s.kind < {KINDS.index("random")} OR len(list_filter(every, lambda k: k.kind < {KINDS.index("random")} AND k.start <= s.start AND k.start + k.n >= s.start + s.n)) = 0) AS found FROM a),
 e AS (SELECT DISTINCT doc_id, coalesce(source, chr(0)) AS source, v.value AS value FROM f, unnest(found) AS u(v)),
 o AS (SELECT value, count(*) AS repos, count(DISTINCT source) AS owners FROM e GROUP BY value),
 j AS (SELECT doc_id, list(value) FILTER (repos > {EXAMPLE_REPOS} AND owners >= {EXAMPLE_OWNERS}) AS examples,
