@@ -164,6 +164,11 @@ def unequal(docs: DataFrame, groups: DataFrame) -> int:
     return same.filter("least <> greatest").count()
 
 
+def buckets_for(snapshot: int, incoming: int) -> int:
+    """Buckets that hold about BUCKET_KEYS digests of the larger side, so that one task meets no more however the rows are split."""
+    return max(1, max(snapshot, incoming) // BUCKET_KEYS)
+
+
 def deduplicated(docs: DataFrame, split: Column | None = None, check_bytes: bool = True) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs`.
 
@@ -173,7 +178,7 @@ def deduplicated(docs: DataFrame, split: Column | None = None, check_bytes: bool
     low, high, total = keyed.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     older = split if split is not None else F.coalesce(F.col("doc_id") <= F.lit(((low or 0) + (high or 0)) // 2), F.lit(False))
     old = grouped(keyed.filter(older))
-    buckets = max(1, old.count() // BUCKET_KEYS)
+    buckets = buckets_for(old.count(), keyed.filter(~older).count())
     held, filters = snapshot(old, buckets)
     new = common.written(screened(grouped(keyed.filter(~older)), filters, buckets), "dedup-screened")
     groups = common.written(merged(held, new), "dedup-groups")
@@ -186,7 +191,7 @@ def deduplicated(docs: DataFrame, split: Column | None = None, check_bytes: bool
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(common.documents(spark, sf_dir))
+    return common.tidied(lambda: deduplicated(common.documents(spark, sf_dir)))
 
 
 SQL = r"""
