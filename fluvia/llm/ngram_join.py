@@ -22,11 +22,12 @@ one's representative unless alone; very long texts are used whole; an empty tabl
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.llm import common
@@ -415,12 +416,25 @@ def _star_pairs(blocks: DataFrame) -> DataFrame:
     return _as_pairs(met.filter(_may_link("lead", "main")), "lead", "main")
 
 
+#: Sizes of sets fall into bands that grow by this factor.
+BAND = 1.1
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+
+
 def _cross_pairs(blocks: DataFrame) -> DataFrame:
-    """The pairs across components in the blocks that still hold several."""
+    """The pairs across components in the blocks that still hold several. Sets meet by n-gram and size band: a set is sent to the bands of the
+    sizes that what is left of it still allows a partner, so sets that share a passage too short to link them don't meet."""
     mixed = blocks.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     some = blocks.join(mixed, "token", "left_semi")
     some = common.written(some.select("token", F.struct("sid", "n", "rest", "label").alias("s")), "ngram-cross")
-    met = some.alias("x").join(some.alias("y").hint("merge"), F.expr("x.token = y.token AND x.s.label < y.s.label"))
+    least, most = F.ceil(F.col("s.n") * HITS / OF), F.floor(F.least(F.col("s.n") * OF / HITS, ((HITS + OF) * F.col("s.rest") - HITS * F.col("s.n")) / HITS))
+    sent = some.withColumns({"least": F.greatest(least, F.lit(1)), "most": most}).filter("most >= least")
+    sent = sent.select("token", "s", F.explode(F.sequence(_band(F.col("least")), _band(F.col("most")))).alias("band"))
+    there = some.withColumn("band", _band(F.col("s.n")))
+    met = sent.alias("x").join(there.alias("y").hint("merge"), F.expr("x.token = y.token AND x.band = y.band AND x.s.label < y.s.label"))
     met = met.select(F.col("x.s").alias("s"), F.col("y.s").alias("r"))
     return _as_pairs(met.filter(_may_link("s", "r")), "s", "r")
 
@@ -517,4 +531,4 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(common.documents(spark, sf_dir))
+    return common.tidied(lambda: near_groups(common.documents(spark, sf_dir)))
