@@ -5,8 +5,8 @@ propose further, overlapping candidates (numbers without a plus sign, national n
 birth, written-out emails). Each gets features of its format and of the text around it; a boosted classifier accepts those with a
 probability of at least the threshold that gives PRECISION on held-out rows. It is fitted and calibrated on two bounded sets of labelled rows:
 TRAINING_ROWS generated ones (formats that a corpus may lack, announced by the words of FOR and AGAINST), and at most SAMPLE candidates of the
-corpus itself, those with the least hashes, in their real contexts: a candidate that covers a valid base span is personal data, any
-other is not. Of overlapping accepted candidates the more probable stays; one that overlaps a base span goes.
+corpus itself, those with the least hashes, in their real contexts: one that covers a valid base span is personal data, a number that
+fails a card's checksum is not, and the others have no label (see `labelled`). Of overlapping accepted candidates the more probable stays; one that overlaps a base span goes.
 
 Edge cases: null or empty text has no spans and empty strings; repeated rows are scanned each; every regex runs in linear time, so
 very long texts are scanned whole; an empty table gives an empty result; extra columns are ignored. Positions are code points.
@@ -15,6 +15,7 @@ very long texts are scanned whole; an empty table gives an empty result; extra c
 from __future__ import annotations
 
 import bisect
+import heapq
 import random
 import re
 from functools import lru_cache
@@ -151,29 +152,40 @@ def training(n: int = TRAINING_ROWS, seed: int = 7) -> tuple[np.ndarray, np.ndar
     return np.array(xs), np.array(ys, dtype=float)
 
 
-def labelled(text: str, base: list[tuple[str, int, int]]) -> list[tuple[list[float], float]]:
-    """Features of the candidates of a text, and whether one covers a valid base span (all but a country code and its plus sign)."""
+def labelled(text: str, base: list[tuple[str, int, int]]) -> list[tuple[tuple[str, int, int], float]]:
+    """The candidates of a text that the corpus itself labels. One that covers a valid base span (all but a country code and its plus sign) is
+    personal data. A number as long as a card's that fails its checksum, with no word near that announces another kind of personal number, is not. The
+    base formats say nothing of any other candidate, least of all of the kinds that they lack, so those have no label."""
     out, spans, at = [], sorted((a, b) for _, a, b in base), 0
     for s in sorted(candidates(text), key=lambda s: s[1]):
-        while at < len(spans) and spans[at][1] <= s[1]:
+        kind, a, b = s
+        while at < len(spans) and spans[at][1] <= a:
             at += 1
-        met = at < len(spans) and spans[at][0] < s[2]
-        if not met or (spans[at][0] >= s[1] - 5 and spans[at][1] == s[2]):
-            out.append((features(text, s), float(met)))
+        if at < len(spans) and spans[at][0] < b:
+            if spans[at][0] >= a - 5 and spans[at][1] == b:
+                out.append((s, 1.0))
+        elif kind == "long_number" and 12 <= b - a <= 19 and not luhn(text[a:b]) and not FOR.search(text[max(0, a - CONTEXT) : b + CONTEXT // 2]):
+            out.append((s, 0.0))
     return out
 
 
 def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most SAMPLE labelled candidates of the corpus: the ones with the least hashes of their document and number."""
+    """At most SAMPLE labelled candidates of the corpus: the ones with the least hashes of their document and number. A task keeps as many at most, and computes
+    the features of those alone."""
 
     def run(batches):
+        least: list[tuple] = []
         for key, text in slices(batches, ["doc_id", "text"]):
-            rows = []
             for k, t in zip(key, text, strict=True):
                 if t and candidates(t):
-                    rows += [(xxhash.xxh3_64_intdigest(f"{k}:{i}") >> 1, x, y) for i, (x, y) in enumerate(labelled(t, base_spans(t)))]
-            if rows:
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.float64()), strict=True)], names=["at", "x", "y"])
+                    for i, (s, y) in enumerate(labelled(t, base_spans(t))):
+                        begin = max(0, s[1] - CONTEXT)
+                        least.append((xxhash.xxh3_64_intdigest(f"{k}:{i}") >> 1, t[begin : s[2] + CONTEXT], (s[0], s[1] - begin, s[2] - begin), y))
+            if len(least) > 4 * SAMPLE:
+                least = heapq.nsmallest(SAMPLE, least)
+        rows = [(at, features(t, s), y) for at, t, s, y in heapq.nsmallest(SAMPLE, least)]
+        if rows:
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.float64()), strict=True)], names=["at", "x", "y"])
 
     found = common.written(docs.mapInArrow(run, "at long, x array<double>, y double"), "pii-candidates")
     found = common.least_hashed(found, "at", SAMPLE, ["x", "y"], 0).collect()
@@ -265,7 +277,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(common.documents(spark, sf_dir), with_text=False)
+    found = common.tidied(lambda: find_pii(common.documents(spark, sf_dir), with_text=False))
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
