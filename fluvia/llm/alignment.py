@@ -323,9 +323,10 @@ def alignment(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of `docs`."""
     spark = docs.sparkSession
     found = common.written(aligned(docs, path_a, path_b), "aligned")
-    partials = common.written(partial_counts(found), "pair-counts")
     folder = common.new_path(spark, "pair-shards")
-    shards = write_shards(partials, folder, int(min(MOST_SHARDS, max(8, partials.count() // SHARD_ROWS))))
+    with common.passing_tables(spark, [found]):
+        partials = common.written(partial_counts(found), "pair-counts")
+        shards = write_shards(partials, folder, int(min(MOST_SHARDS, max(8, partials.count() // SHARD_ROWS))))
     counts = Counts(folder, shards)
     best = spark.sparkContext.broadcast(_best(spark, counts, len(tables(path_a, path_b).a)))
     return scored(found, counts, best)

@@ -217,6 +217,8 @@ def deduplicated(spark: SparkSession, base: str, schema: str, batches: int, span
             spark._jvm.System.gc()  # shuffle files of the feed go
     finally:
         spark.conf.set(setting, before)
+    common.delete(spark, f"{base}/feeds")
+    common.delete(spark, f"{base}/checkpoint")
     return spark.read.schema(WINDOWS).parquet(f"{base}/windows")
 
 

@@ -11,8 +11,9 @@ import atexit
 import gc
 import shutil
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from itertools import count
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -56,7 +57,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -70,7 +71,7 @@ def passing_tables(spark: SparkSession, keep: list[DataFrame]):
     held = {getattr(df, "_written_to", "") for df in keep}
     for path in [p for p in _written if p not in before and p not in held]:
         _written.remove(path)
-        _delete(spark, path)
+        delete(spark, path)
     gc.collect()
     spark._jvm.System.gc()
 
@@ -78,14 +79,39 @@ def passing_tables(spark: SparkSession, keep: list[DataFrame]):
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far; for callers that hold their results elsewhere."""
     while _written:
-        _delete(spark, _written.pop())
+        delete(spark, _written.pop())
+
+
+def drop(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the table that `df` is, if `written` wrote it."""
+    path = getattr(df, "_written_to", None)
+    if path in _written:
+        _written.remove(path)
+        delete(spark, path)
+
+
+def tidied(make, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The DataFrame that `make` gives; of the tables written meanwhile only those stay that it reads, and those in `keep`."""
+    before = set(_written)
+    out = make()
+    read = out.inputFiles()
+    held = lambda path: any(f"/{path.rstrip('/').rpartition('/')[2]}/" in f for f in read) or path in keep  # noqa: E731  folders have names of their own
+    for path in [p for p in _written if p not in before and not held(p)]:
+        _written.remove(path)
+        delete(out.sparkSession, path)
+    return out
 
 
 @atexit.register
 def _tidy() -> None:
+    """At exit nothing lazy is left to read them: in folders of the machine's file system the tables go here, in others with the session, if it lives."""
+    session = SparkSession.getActiveSession()
     for p in _written:
-        if p.startswith(DEFAULT_SHARED):
-            shutil.rmtree(p.removeprefix("file://"), ignore_errors=True)
+        if urlparse(p).scheme in ("", "file"):
+            shutil.rmtree(unquote(urlparse(p).path), ignore_errors=True)
+        elif session is not None:
+            with suppress(Exception):
+                delete(session, p)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +293,7 @@ def components(edges: DataFrame, most_rounds: int | None = None, few: int = FEW_
             e = _star(_star(e, True), False)
             kept.append(e)
         _written.remove(old)
-        _delete(spark, old)
+        delete(spark, old)
         # done when all are stars: one edge from each outer node, and no centre is an outer node
         centres = e.select(F.col("b").alias("a")).distinct()
         n, outer = e.agg(F.count("*"), F.countDistinct("a")).first()

@@ -358,7 +358,7 @@ def _elsewhere(known: DataFrame, pivots, radius: dict, factor: float) -> DataFra
 
 def op12_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact (factor one): where distances are as even as in these vectors, no smaller factor keeps nine tenths of the neighbours and saves work."""
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0)
+    return common.tidied(lambda: nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0))
 
 
 SQL = """

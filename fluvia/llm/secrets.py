@@ -188,7 +188,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = secrets(common.documents(spark, sf_dir))
+    x = common.tidied(lambda: secrets(common.documents(spark, sf_dir)))
     base = F.filter("found", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return x.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written_out(base), 256).alias("base_sha256"), written_out(F.col("found")).alias("spans"), "n_example", "n_live")

@@ -48,3 +48,106 @@ def test_secret_spans_agree_with_sql(spark):
     out = con.execute(secrets.SQL)
     at = [d[0] for d in out.description]
     assert collections.Counter((i, s) for i, s in spans.items()) == collections.Counter((r[at.index("doc_id")], r[at.index("spans")]) for r in out.fetchall())
+
+
+def planted(n_each: int):
+    """Real texts, each with one candidate of an added kind put between two of its words: (text, kind, start, end, personal)."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    from fluvia.llm import pii
+
+    r = random.Random(12)
+    real = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t and len(t.split(" ")) > 30 and not pii.candidates(t)]
+    dig = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    kinds = {
+        "national_id": (lambda: f"{r.randint(100, 665)}-{dig(2)}-{dig(4)}", ("SSN", "SSN:", "social security"), ("part", "serial")),
+        "local_phone": (lambda: f"({dig(3)}) {dig(3)}-{dig(4)}", ("call", "phone:", "mobile"), ("order", "invoice")),
+        "bank_account": (lambda: f"DE{dig(2)} {dig(4)} {dig(4)} {dig(4)} {dig(4)}", ("IBAN", "account", "bank account"), ("serial", "checksum")),
+        "ip6": (lambda: ":".join(f"{r.randint(4096, 65535):x}" for _ in range(8)), ("ip", "address"), ("checksum", "mac")),
+        "birth_date": (lambda: f"{r.randint(10, 28)}.{r.randint(10, 12)}.{r.randint(1940, 2005)}", ("born", "date of birth:", "DOB:"), ("published", "updated")),
+        "spelt_email": (lambda: f"anna{dig(2)} [at] example [dot] org", ("email", "write", "contact"), ("chapter", "table")),
+        "long_number": (lambda: dig(10), ("passport", "customer", "account"), ("invoice", "total")),
+    }
+    out = []
+    for kind, (make, good, bad) in kinds.items():
+        for k in range(2 * n_each):
+            yes = k < n_each
+            words = r.choice(real).split(" ")
+            at = r.randint(5, len(words) - 5)
+            s = make()
+            head = " ".join(words[:at]) + f" {r.choice(good if yes else bad)} "
+            out.append((f"{head}{s} {' '.join(words[at:])}", kind, len(head), len(head) + len(s), yes))
+    return out
+
+
+def test_pii_kinds_that_the_base_lacks(spark):
+    """Fitted with a sample of the corpus, the classifier still finds announced data of every added kind, and leaves other numbers."""
+    from fluvia.llm import pii
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    judge = pii.fit(docs)
+    hits, total, false, other = (collections.Counter() for _ in range(4))
+    for text, kind, a, b, yes in planted(120):
+        got = pii.accepted(text, pii.base_spans(text), judge)
+        covered = any(s[1] <= a and s[2] >= b for s in got)
+        (total if yes else other)[kind] += 1
+        (hits if yes else false)[kind] += covered
+    recall = {k: round(hits[k] / total[k], 3) for k in total}
+    precision = sum(hits.values()) / (sum(hits.values()) + sum(false.values()))
+    print("recall", recall, "precision", round(precision, 3), "false", dict(false))
+    assert min(recall.values()) >= 0.9, recall
+    assert precision >= 0.95, false
+
+
+def test_boilerplate_makes_few_candidates(spark):
+    """Texts that share a passage of 60 words and have 10 to 12 of their own can't reach the threshold: none meets another."""
+    from pyspark.sql import functions as F
+
+    from fluvia.llm import ngram_join
+
+    same = " ".join(f"b{k}" for k in range(60))
+    rows = [(i, f"{same} " + " ".join(f"w{i}_{k}" for k in range(10 + i % 3))) for i in range(600)] + [(1000 + i, " ".join(f"n{k}" for k in range(40 + i))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    plain = ngram_join._as_pairs
+
+    def counted(x, a, b):
+        out = plain(x, a, b)
+        made.append((a, x.count(), out.count()))
+        return out
+
+    ngram_join._as_pairs = counted
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.near_groups(docs).select("doc_id", F.col("component_id")).collect()}
+    finally:
+        ngram_join._as_pairs = plain
+    assert all(got[i] == i for i in range(600)) and {got[1000 + i] for i in range(12)} == {1000}
+    assert sum(n for side, n, _ in made if side == "s") <= 200, made
+
+
+def test_exact_dedup_with_one_early_row(spark, monkeypatch):
+    """One row in the snapshot and all others in the batch: as many buckets as the batch asks for."""
+    from fluvia.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 64)
+    rows = [(0, "early"), *((10**12 + i, f"text {i % 700}") for i in range(1000)), (10**12 + 2000, "early")]
+    assert exact_dedup.buckets_for(1, 1001) == 15
+    sizes = exact_dedup.bucketed(exact_dedup.grouped(exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))), 15).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 2 * 64
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (0, 2, True) and got[10**12 + 2000] == (0, 2, False) and got[10**12 + 700] == (10**12, 2, False) and got[10**12 + 699] == (10**12 + 699, 1, True)
+
+
+def test_only_tables_that_are_read_stay(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from fluvia.llm import exact_dedup
+
+    folder = urlparse(spark.conf.get("spark.checkpoint.dir")).path
+    before = set(os.listdir(folder))
+    out = exact_dedup.op4_exact_dedup(spark, "/root/testdata/sf0.001")
+    left = {x.split("-")[1] + "-" + x.split("-")[2] for x in set(os.listdir(folder)) - before}
+    assert left == {"dedup-digests", "dedup-groups"} and out.count() == 200
