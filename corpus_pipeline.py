@@ -2,7 +2,7 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
 last return the columns of `documents`. A stage's result is written as Parquet and read again by the next, so a lost executor costs
-no more than its part of one stage.
+no more than its part of one stage. Tables of a stage that has ended are deleted, texts before redaction among them.
 
 Edge cases, for every stage: decisions are made and take effect row by row, also where rows share a doc_id or have none (rows are numbered then,
 see `common.with_row_ids`); null or empty text fails the base rule of the first stage, later stages take it as empty; of identical rows
@@ -71,5 +71,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        kept: list[DataFrame] = []
+        before = docs
+        with common.passing_tables(spark, kept):
+            docs = common.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+            kept.append(docs)
+        common.drop(spark, before)
     return docs
