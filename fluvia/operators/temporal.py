@@ -68,6 +68,28 @@ def travel_shift(df: DataFrame, day: str, hours: str, value: str, keys: list[str
     return shifted.groupBy(*keys, F.col("_s.d").alias(day)).agg(F.sum("_s.v").alias(value))
 
 
+def lead_shift(sources: DataFrame, values: DataFrame, k: int, site: str = "site", day: str = "day", lead: str = "lead", value: str = "p") -> DataFrame:
+    """root, day, exposure and missing at lead `k` from `sources` (root, site, weight, travel_h) and `values` (site, day, lead, value).
+
+    What leaves a source on day S arrives in parts on the two days T that its travel time falls between, and what was known of S on the day of issue, k days before T, is
+    the forecast of lead max(k - (T - S), 0). So a value of lead m serves the target T only if m is that lead: an equality on the lead,
+    no range. exposure: noisy-or of weight times value, a value of an absent row as 0; missing: the share of the root's weight whose value is null.
+    """
+    shift = F.col("travel_h") / 24
+    whole = F.floor(shift).cast("int")
+    part = shift - whole
+    legs = F.array(F.struct(whole.alias("late"), (1 - part).alias("share")), F.struct((whole + 1).alias("late"), part.alias("share")))
+    legs = sources.select("root", site, "weight", F.explode(legs).alias("leg")).select("root", site, "weight", "leg.late", "leg.share").filter("share > 0")
+    legs = legs.withColumn(lead, F.greatest(F.lit(k) - F.col("late"), F.lit(0)).cast(values.schema[lead].dataType))
+    met = legs.join(values.select(site, day, lead, value), [site, lead]).withColumn("target", F.date_add(F.col(day), F.col("late")))
+    each = met.groupBy("root", "target", site, "weight").agg(F.sum(F.col("share") * F.coalesce(F.col(value), F.lit(0.0))).alias("x"), F.sum(F.when(F.col(value).isNull(), F.col("share")).otherwise(0.0)).alias("gone"))
+    x = F.least(F.greatest(F.col("x"), F.lit(0.0)), F.lit(1.0)) * F.col("weight")
+    total = sources.groupBy("root").agg(F.sum("weight").alias("total"))
+    out = each.groupBy("root", "target").agg((1 - F.product(1 - x)).alias("exposure"), F.sum(F.col("gone") * F.col("weight")).alias("gone"))
+    share = F.when(F.col("total") > 0, F.least(F.col("gone") / F.col("total"), F.lit(1.0))).otherwise(0.0)
+    return out.join(total, "root").select("root", F.col("target").alias(day), "exposure", share.alias("missing"))
+
+
 def last_non_null(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Per key and column the latest value that is not null."""
     return df.groupBy(*keys).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
