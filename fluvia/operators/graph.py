@@ -9,6 +9,7 @@ from functools import reduce
 from itertools import count
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,8 +81,143 @@ def closure(edges: DataFrame, roots: DataFrame, cap: float, most_rounds: int | N
             reached = [_step(least(reduce(DataFrame.unionByName, reached)))]
 
 
-def accumulate(edges: DataFrame) -> DataFrame:
-    """node, upstream: the length of edges (src, dst, length) above each node, by one pass in topological order.
+#: Edges that one task may finish (a few dozen bytes each there).
+FEW_EDGES = 1 << 17
+
+
+class Cyclic(Exception):
+    """A cycle is in the way of contraction."""
+
+
+def accumulate(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """node, upstream: the length of edges (src, dst, length) above each node; where branches join again, each path counts.
+
+    By contraction: what a node has above it is a linear function of what another has, so runs of nodes that one edge enters shrink by pointer
+    doubling to their first node's, nodes that nothing enters are done and pass their sums on, and only nodes where several edges meet are left for the next round.
+    Rounds grow with the logarithm of the nodes, on a chain as on a tree. At `few` edges one task finishes the rest. Cycles are taken in the order of their
+    nodes, each adding those before it: a graph of more than `few` edges that has one goes the way of `accumulate_in_order`.
+    """
+    e = _step(edges.select("src", "dst", F.lit(1.0).alias("m"), F.col("length").cast("double").alias("c")))
+    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+    if e.count() <= few:
+        return _finished(e, nodes.withColumn("base", F.lit(0.0)))
+    try:
+        return _contracted(e, _step(nodes.withColumn("base", F.lit(0.0))), few)
+    except Cyclic:
+        return accumulate_in_order(edges)
+
+
+def _contracted(e: DataFrame, base: DataFrame, few: int) -> DataFrame:
+    """`accumulate` of edges (src, dst, m, c), each of which adds m times its source's sum and c, on nodes that have `base` already."""
+    rounds = []
+    while True:
+        e = _step(e.groupBy("src", "dst").agg(F.sum("m").alias("m"), F.sum("c").alias("c")))
+        n = e.count()
+        if n <= few:
+            rest = _step(_finished(e, base, cycles=False))
+            if rest.filter("upstream IS NULL").count():
+                raise Cyclic
+            break
+        into = e.groupBy("dst").agg(F.count("*").alias("n"), F.first("src").alias("anc"), F.first("m").alias("m"), F.first("c").alias("k"))
+        x = base.join(into.withColumnRenamed("dst", "node"), "node", "left")
+        heads_ = _step(x.filter("n IS NULL").select("node", F.col("base").alias("upstream")))
+        runs = _step(x.filter("n = 1").select("node", "anc", "m", (F.col("k") + F.col("base")).alias("k")))
+        meets = _step(x.filter("n > 1").select("node", "base"))
+        size = runs.count()
+        if not size and heads_.isEmpty():
+            raise Cyclic
+        for _ in range(size.bit_length() + 1):  # pointers double, so a run of any length ends in so many steps, or never
+            ahead = runs.select(F.col("node").alias("_n"), F.col("anc").alias("_a"), F.col("m").alias("_m"), F.col("k").alias("_k"))
+            if runs.join(ahead, runs.anc == F.col("_n"), "left_semi").isEmpty():
+                break
+            far = F.coalesce("_m", F.lit(1.0))
+            runs = _step(runs.join(ahead, runs.anc == F.col("_n"), "left").select("node", F.coalesce("_a", "anc").alias("anc"), (F.col("m") * far).alias("m"), (F.col("m") * F.coalesce("_k", F.lit(0.0)) + F.col("k")).alias("k")))
+        else:
+            raise Cyclic
+        rounds.append((heads_, runs))
+        # edges into the meeting nodes, from the first nodes of the runs that they come from
+        left = e.join(meets.select(F.col("node").alias("dst")), "dst", "left_semi")
+        by = runs.select(F.col("node").alias("src"), "anc", F.col("m").alias("rm"), "k")
+        left = left.join(by, "src", "left").select(F.coalesce("anc", "src").alias("src"), "dst", (F.col("m") * F.coalesce("rm", F.lit(1.0))).alias("m"), (F.col("m") * F.coalesce("k", F.lit(0.0)) + F.col("c")).alias("c"))
+        known = left.join(heads_.withColumnRenamed("node", "src"), "src", "left")
+        known = _step(known)
+        paid = known.filter("upstream IS NOT NULL").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("m") * F.col("upstream") + F.col("c")).alias("paid"))
+        base = _step(meets.join(paid, "node", "left").select("node", (F.col("base") + F.coalesce("paid", F.lit(0.0))).alias("base")))
+        e = known.filter("upstream IS NULL").select("src", "dst", "m", "c")
+    for heads_, runs in reversed(rounds):
+        rest = rest.unionByName(heads_)
+        filled = runs.join(rest.select(F.col("node").alias("anc"), "upstream"), "anc").select("node", (F.col("m") * F.col("upstream") + F.col("k")).alias("upstream"))
+        rest = _step(rest.unionByName(filled))
+    return rest
+
+
+def _finished(e: DataFrame, base: DataFrame, cycles: bool = True) -> DataFrame:
+    """`accumulate` in one task, for as few edges as it may hold; without `cycles` nodes on and below one get null."""
+    kind = dict(e.dtypes)["dst"]
+    rows = e.select("src", "dst", "m", "c").unionByName(base.select(F.lit(None).cast(dict(e.dtypes)["src"]).alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("m"), F.col("base").alias("c")))
+
+    def run(batches):
+        into: dict = {}
+        start: dict = {}
+        for b in batches:
+            for s, d, m, c in zip(*(b.column(n).to_pylist() for n in ("src", "dst", "m", "c")), strict=True):
+                if s is None:
+                    start[d] = start.get(d, 0.0) + c
+                else:
+                    into.setdefault(d, []).append((s, m, c))
+        up: dict = {}
+        for group in _strong(start, into):
+            loop = len(group) > 1 or any(s == group[0] for s, _, _ in into.get(group[0], ()))
+            for v in sorted(group):
+                known = [(up[s], m, c) for s, m, c in into.get(v, ()) if s in up]
+                bad = not cycles and (loop or any(u is None for u, _, _ in known))
+                up[v] = None if bad else start[v] + sum(m * u + c for u, m, c in known)
+        yield pa.record_batch([pa.array(list(up), pa_kind), pa.array(list(up.values()), pa.float64())], names=["node", "upstream"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    pa_kind = to_arrow_type(e.schema["dst"].dataType)
+    return rows.coalesce(1).mapInArrow(run, f"node {kind}, upstream double")
+
+
+def _strong(nodes, into: dict):
+    """Strongly connected components, those above first: depth first along the edges that enter, without recursion."""
+    number: dict = {}
+    low: dict = {}
+    stack: list = []
+    waiting: set = set()
+    for root in nodes:
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        stack.append(root)
+        waiting.add(root)
+        walk = [(root, iter(into.get(root, ())))]
+        while walk:
+            v, above = walk[-1]
+            for u, _, _ in above:
+                if u not in number:
+                    number[u] = low[u] = len(number)
+                    stack.append(u)
+                    waiting.add(u)
+                    walk.append((u, iter(into.get(u, ()))))
+                    break
+                if u in waiting:
+                    low[v] = min(low[v], number[u])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == number[v]:
+                    group = []
+                    while not group or group[-1] != v:
+                        group.append(stack.pop())
+                        waiting.discard(group[-1])
+                    yield group
+
+
+def accumulate_in_order(edges: DataFrame) -> DataFrame:
+    """`accumulate` level by level, in topological order, for large graphs with cycles.
 
     A node passes its sum on when all that flow into it have; each edge carries one row once. Where only cycles and what lies below them are
     left, a cycle without another above it is taken in the order of its nodes, each adding those before it (in one task: the order is one

@@ -104,8 +104,8 @@ UP = f"""WITH RECURSIVE up AS (SELECT s_suppkey AS root, s_suppkey AS node, 0.0:
 UNION ALL SELECT root, e.src, dist + e.length FROM up JOIN {EDGES} e ON e.dst = up.node WHERE dist + e.length <= 120)"""
 
 
-def upstream(t):
-    return G.closure(edges(t), t.supplier.select(col("s_suppkey").alias("node")), 120.0)
+def upstream(t, roots: str = "true"):
+    return G.closure(edges(t), t.supplier.filter(roots).select(col("s_suppkey").alias("node")), 120.0)
 
 
 query("grf_1_edges", f"SELECT src, dst, length FROM {EDGES}")(edges)
@@ -251,15 +251,17 @@ r AS (SELECT root, day, {R('1 - product(1 - x)')} AS risk FROM g GROUP BY 1, 2)
 SELECT root, day, risk, CASE WHEN risk < 0.15 THEN 'low' WHEN risk < 0.4 THEN 'moderate' WHEN risk < 0.7 THEN 'high' ELSE 'very high' END AS label FROM r"""
 
 
-def spot_risk(t):
-    """Sources upstream of each root, their daily probability, moved by travel time, combined by noisy-or."""
-    src = upstream(t).join(t.supplier.select(col("s_suppkey").alias("node")), "node").withColumn("w", M.decay(col("dist")) * F.least(lit(1.0), lit(5000.0) / (col("dist") + 5000)))
-    p = daily(t).select("cell", "day", M.sigmoid(F.coalesce("rain", lit(0.0)) / 100 - 2).alias("p"))
+def spot_risk(t, roots: str = "true", last: str | None = None):
+    """Sources upstream of each root, their daily probability, moved by travel time, combined by noisy-or. Roots (a condition on suppliers) and
+    the last day are passed to where the rows begin: nothing moves to an earlier day."""
+    src = upstream(t, roots).join(t.supplier.select(col("s_suppkey").alias("node")), "node").withColumn("w", M.decay(col("dist")) * F.least(lit(1.0), lit(5000.0) / (col("dist") + 5000)))
+    rain = daily(t) if last is None else daily(t, f"ts < DATE '{last}' + INTERVAL 1 DAY")
+    p = rain.select("cell", "day", M.sigmoid(F.coalesce("rain", lit(0.0)) / 100 - 2).alias("p"))
     x = src.join(p, col("cell") == col("node") % 150).select("root", "node", "day", "dist", (col("p") * col("w")).alias("x"))
     x = T.travel_shift(x, "day", "dist", "x", ["root", "node"]).withColumn("x", F.least("x", lit(1.0)))
     return x.groupBy("root", "day").agg(M.r6(M.noisy_or(col("x"))).alias("risk")).withColumn("label", M.risk_label(col("risk")))
 
 
 query("rul_7_spot_risk_by_day", _RISK)(spot_risk)
-query("rul_6_point_risk", _RISK + " WHERE root = 25")(lambda t: spot_risk(t).filter("root = 25"))
-query("api_1_forecast", _RISK + " WHERE day <= DATE '2024-01-08'")(lambda t: spot_risk(t).filter("day <= '2024-01-08'"))
+query("rul_6_point_risk", _RISK + " WHERE root = 25")(lambda t: spot_risk(t, "s_suppkey = 25"))
+query("api_1_forecast", _RISK + " WHERE day <= DATE '2024-01-08'")(lambda t: spot_risk(t, last="2024-01-08").filter("day <= '2024-01-08'"))

@@ -19,16 +19,16 @@ HOURLY = """(SELECT user_id AS cell, hr, mm FROM (SELECT user_id, date_trunc('ho
   row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"""
 
 
-def hourly(t):
-    x = t.events.select(col("user_id").alias("cell"), F.date_trunc("hour", "ts").alias("hr"), "ts", "event_id", F.when(col("event_type") != "error", col("value")).alias("mm"))
+def hourly(t, when: str = "true"):
+    x = t.events.filter(when).select(col("user_id").alias("cell"), F.date_trunc("hour", "ts").alias("hr"), "ts", "event_id", F.when(col("event_type") != "error", col("value")).alias("mm"))
     return T.latest_per(x, ["cell", "hr"], [col("ts").desc(), col("event_id").desc()]).select("cell", "hr", "mm")
 
 
 DAILY = f"(SELECT cell, hr::DATE AS day, sum(mm) AS rain, max(mm) AS top, count(mm)::BIGINT AS n_hours FROM {HOURLY} GROUP BY cell, hr::DATE)"
 
 
-def daily(t):
-    return hourly(t).groupBy("cell", day("hr").alias("day")).agg(F.sum("mm").alias("rain"), F.max("mm").alias("top"), F.count("mm").alias("n_hours"))
+def daily(t, when: str = "true"):
+    return hourly(t, when).groupBy("cell", day("hr").alias("day")).agg(F.sum("mm").alias("rain"), F.max("mm").alias("top"), F.count("mm").alias("n_hours"))
 
 
 DENSE = f"(SELECT g.cell, g.day, d.rain FROM (SELECT cell, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM {DAILY} GROUP BY cell) g LEFT JOIN {DAILY} d ON g.cell = d.cell AND g.day = d.day)"
