@@ -25,12 +25,15 @@ KEPT, KEPT_CHARS = 200_000, 48
 #: Characters and texts of a batch that is encoded together, about.
 BATCH = (1 << 22, 4096)
 
+#: The one letter that falls to a letter and a mark.
+DOTTED = "\u0130"
+
 _workers: dict[tuple, object] = {}
 
 
 class Pieces:
     """Ids of pieces, by `learn`: the ids of one piece as an iterable of integers. `tails` are marks that are a pre-token of their own after a
-    letter at the end of a piece, with their ids, so the ids of the piece without may be known already. A letter here stays one when its case falls: U+0130 does not."""
+    letter at the end of a piece, with their ids, so the ids of the piece without may be known already. Not after DOTTED, where the mark would be joined."""
 
     def __init__(self, learn: Callable[[str], list[int]], tails: dict[str, list[int]] | None = None, size: int = KEPT):
         self.learn, self.size = learn, size
@@ -48,7 +51,7 @@ class Pieces:
         for i in [i for i, v in enumerate(out) if v is None]:
             k = pieces[i]
             v = old.get(k)
-            if v is None and k[-1:] in tails and k[-2:-1].lower()[-1:].isalpha() and (stem := young.get(k[:-1])) is not None:
+            if v is None and k[-1:] in tails and (c := k[-2:-1]).isalpha() and c != DOTTED and (stem := young.get(k[:-1])) is not None:
                 v = stem + tails[k[-1]]
             if v is None:
                 v = array("I", learn(k)).tobytes()
