@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluvia.plans import base, domain, history, relational, reports, scalars  # noqa: F401  modules register their queries
+from fluvia.plans import base, domain, history, relational, reports, scalars, upkeep  # noqa: F401  modules register their queries
 
 
 def queries() -> dict:
