@@ -21,6 +21,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,11 +73,51 @@ def bytes_b(path: str) -> list[bytes]:
     return [bytes([int(m[1], 16)]) if sp.is_byte(i) and (m := _BYTE.fullmatch(p)) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
 
 
+#: Where a text can't be cut at each space, and what a cut must not follow: a space, or the mark that the model takes for one.
+_ODD = "^ |  |▁"
+_SPACE = re.compile(r"(?<=[^ ▁]) ")
+
+
 def cut_at_spaces(texts: list[str]) -> tuple[pa.Array, None, np.ndarray]:
     """Pieces for a sentencepiece model none of whose pieces holds a space after another character: a text is cut before each space
     that follows one, and the library puts that space back before a piece."""
-    cut = [re.split(r"(?<=[^ ▁]) ", t) if t else [] for t in texts]
-    return pa.array([p for ps in cut for p in ps], pa.large_string()), None, np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+    whole = pa.array(texts, pa.large_string())
+    odd = np.flatnonzero(pc.match_substring_regex(whole, _ODD).to_numpy(zero_copy_only=False) | (pc.binary_length(whole).to_numpy(zero_copy_only=False) == 0))
+    if not len(odd):
+        lists = pc.split_pattern(whole, " ")
+        return lists.flatten(), None, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    parts: list[pa.Array] = []
+    counts = np.zeros(len(texts), dtype=np.int64)
+    begin = 0
+    for k in [*odd.tolist(), len(texts)]:
+        if k > begin:
+            lists = pc.split_pattern(whole.slice(begin, k - begin), " ")
+            parts.append(lists.flatten())
+            counts[begin:k] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        if k < len(texts):
+            cut = _SPACE.split(texts[k]) if texts[k] else []
+            parts.append(pa.array(cut, pa.large_string()))
+            counts[k] = len(cut)
+        begin = k + 1
+    return pa.concat_arrays(parts), None, counts
+
+
+def cut_after_space(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Pieces of byte-level BPE of texts that stand after a space and begin with no white space of their own: the first is like any other within."""
+    pieces, start, counts = encoding.cut_byte_level(texts)
+    first = np.cumsum(counts) - counts
+    lone = pc.equal(pieces.take(pa.array(first)), "\n").to_numpy(zero_copy_only=False) if len(first) else np.zeros(0, dtype=bool)
+    start[first[~lone]] = False
+    return pieces, start, counts
+
+
+def spaced_arrays(texts: list[str], path: str) -> list[np.ndarray]:
+    """Ids of a space and each text by a byte-level vocabulary; an empty text has none."""
+    usual = byte_encoder(path)
+    after = _once(("after space", path), lambda: Encoder(cut_after_space, usual.inner, usual.first))
+    plain = [bool(t) and not t[0].isspace() for t in texts]
+    own, other = iter(after.arrays([t for t, p in zip(texts, plain, strict=True) if p])), iter(usual.arrays([t and " " + t for t, p in zip(texts, plain, strict=True) if not p]))
+    return [next(own) if p else next(other) for p in plain]
 
 
 def piece_encoder(path: str) -> Encoder:
@@ -111,7 +152,7 @@ def aligned_batch(texts: list[str | None], path_a: str, path_b: str) -> dict[str
     """n_a, n_b, n_groups, n_links, groups_sha256, keys (distinct, ascending, 64 bits), times (32 bits) of each text."""
     t = tables(path_a, path_b)
     whole = [x or "" for x in texts]
-    ids_a = byte_encoder(path_a).arrays([" " + x if x else "" for x in whole])
+    ids_a = spaced_arrays(whole, path_a)
     ids_b = piece_encoder(path_b).arrays(whole)
     none = np.zeros(0, dtype=np.uint32)
     for k, x in enumerate(whole):
@@ -121,9 +162,10 @@ def aligned_batch(texts: list[str | None], path_a: str, path_b: str) -> dict[str
     size_a, size_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
     a, b = (np.concatenate([none, *ids]).astype(np.int64) for ids in (ids_a, ids_b))
     end_a, end_b = np.cumsum(t.len_a[a]), np.cumsum(t.len_b[b])
-    cuts = np.union1d(end_a, end_b)
+    ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")  # two sorted runs
+    again = np.append(ends[1:] == ends[:-1], False) if len(ends) else np.zeros(0, dtype=bool)
+    cuts, both = ends[~again], ends[again]
     at_a, at_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
-    both = np.intersect1d(end_a, end_b, assume_unique=True)
     # places of documents in tokens, segments and groups; a document ends where tokens of both end
     doc_a, doc_b = np.append(0, np.cumsum(size_a)), np.append(0, np.cumsum(size_b))
     edge = np.append(0, end_a)[doc_a]

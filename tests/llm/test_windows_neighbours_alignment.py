@@ -270,7 +270,7 @@ def test_alignment_of_random_texts():
     texts = ["".join(r.choice(parts, r.integers(1, 14))) for _ in range(3000)]
     for got, text in zip(alignment.piece_encoder(B).arrays(texts), texts, strict=True):
         assert got.tolist() == sp.encode(text), text
-    for got, text in zip(alignment.byte_encoder(A).arrays([" " + x for x in texts]), texts, strict=True):
+    for got, text in zip(alignment.spaced_arrays(texts, A), texts, strict=True):
         assert got.tolist() == t.encode(" " + text, add_special_tokens=False).ids, text
 
 
