@@ -48,3 +48,38 @@ def _alerts_sent(t):
     """Rises to the level, the quiet time counted from the alert that was sent."""
     x = t.events.select(col("user_id").alias("key"), F.floor(F.unix_micros(col("ts").cast("timestamp")) / 1000).alias("at"), col("event_id").alias("id"), col("value").alias("level"))
     return alerts.alerts(x, HIGH, QUIET_H).select(col("key").alias("user_id"), col("id").alias("event_id"), big(col("at")).alias("at"), "level")
+
+
+def _polls(t, week: int):
+    """Events of a week as polls: an error is not known, a purchase an event that began."""
+    status = F.when(col("event_type") == "error", -1).when(col("event_type") == "purchase", 1).otherwise(0)
+    x = t.events.filter((F.floor((F.dayofmonth("ts") - 1) / 7) == week) if week < 3 else (F.floor((F.dayofmonth("ts") - 1) / 7) >= 3))
+    start = F.when(col("event_type") == "purchase", F.date_trunc("hour", "ts"))
+    return x.select(col("user_id").alias("site_id"), (col("user_id") % 3).alias("company"), status.alias("status"), start.alias("status_start"), col("ts").alias("fetched_at"))
+
+
+_POLLS = """(SELECT user_id AS site_id, user_id % 3 AS company, CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 ELSE 0 END AS status,
+  CASE WHEN event_type = 'purchase' THEN date_trunc('hour', ts) END AS status_start, ts, least((dayofmonth(ts) - 1) // 7, 3) AS batch FROM events)"""
+
+
+@query(
+    "stm_2_four_sinks",
+    f"""WITH p AS {_POLLS}, l AS (SELECT max(batch) AS b FROM p),
+s AS (SELECT site_id, arg_max(status, (ts, status)) AS status FROM p, l WHERE batch = l.b GROUP BY 1)
+SELECT 'snapshot' AS sink, site_id::BIGINT AS key, status::BIGINT AS n FROM s
+UNION ALL SELECT 'history', site_id, count(DISTINCT (status, status_start, CASE WHEN status_start IS NULL THEN ts::DATE END)) FROM p GROUP BY 2
+UNION ALL SELECT 'coverage', site_id, bit_count(bit_or(CASE WHEN status >= 0 THEN 1::BIGINT << (hour(ts) * 2 + minute(ts) // 30)::INT ELSE 0 END)) FROM p GROUP BY site_id, ts::DATE
+UNION ALL SELECT 'polls', company, count(*) FROM p GROUP BY batch, company""",
+)
+def _four_sinks(t):
+    """A month of polls in four batches, one of them replayed: what the four tables hold after the last commit."""
+    from fluvia.streaming import folds
+
+    log = folds.live_log(_new_folder(t, "live"), merge_after=2)
+    for batch in (0, 1, 1, 2, 3):
+        log(_polls(t, batch), batch)
+    read = lambda name: log.read(t.spark, name)
+    row = lambda df, name, key, n: df.select(lit(name).alias("sink"), big(col(key)).alias("key"), big(n).alias("n"))
+    out = row(read("snapshot"), "snapshot", "site_id", col("status")).unionByName(row(read("history").groupBy("site_id").agg(F.count("*").alias("n")), "history", "site_id", col("n")))
+    out = out.unionByName(row(read("coverage"), "coverage", "site_id", F.bit_count("slots")))
+    return out.unionByName(row(read("polls"), "polls", "company", col("n")))
