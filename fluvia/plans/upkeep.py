@@ -83,3 +83,42 @@ def _four_sinks(t):
     out = row(read("snapshot"), "snapshot", "site_id", col("status")).unionByName(row(read("history").groupBy("site_id").agg(F.count("*").alias("n")), "history", "site_id", col("n")))
     out = out.unionByName(row(read("coverage"), "coverage", "site_id", F.bit_count("slots")))
     return out.unionByName(row(read("polls"), "polls", "company", col("n")))
+
+
+_BOX = (200.0, 100.0, 420.0, 300.0)
+_LX, _LY = "(p_partkey * 37 % 1000)", "(p_partkey * 91 % 1000)"
+
+
+@query(
+    "snk_8_tile_store",
+    f"""SELECT l_partkey AS link, l_suppkey AS source, floor(sum(l_quantity) / 10 + 0.5) * 10 AS base, round(floor(avg(l_discount) * 10000 + 0.5) / 10000, 6) AS share
+FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {_LX} BETWEEN 200 AND 420 AND {_LY} BETWEEN 100 AND 300 GROUP BY 1, 2""",
+)
+def _tile_store(t):
+    """Links and what flows into them, written by tiles and read back for one box."""
+    from fluvia.sinks import tiles
+
+    path = _new_folder(t, "tiles")
+    links = t.part.select(col("p_partkey").alias("link"), F.expr(_LX).cast("double").alias("x"), F.expr(_LY).cast("double").alias("y"), col("p_size").cast("double").alias("upstream"))
+    records = t.lineitem.groupBy(col("l_partkey").alias("link"), col("l_suppkey").alias("source")).agg(F.sum("l_quantity").alias("base"), F.avg("l_discount").alias("share"))
+    tiles.write(links, records, path, 100.0)
+    return tiles.records_in(t.spark, path, 100.0, _BOX).withColumn("share", F.round("share", 6))
+
+
+@query(
+    "ml_7_isotonic_crossfit",
+    """WITH c AS (SELECT l_linenumber::BIGINT AS lead, month(l_shipdate) % 2 AS fold, l_discount AS x, count(*) AS w, count_if(l_returnflag = 'R') AS s FROM lineitem GROUP BY ALL),
+a AS (SELECT j.lead, j.fold, j.x AS lo, k.x AS hi, sum(m.s) / sum(m.w) AS mean FROM c j JOIN c k ON j.lead = k.lead AND j.fold = k.fold AND j.x <= k.x JOIN c m ON m.lead = j.lead AND m.fold = j.fold AND m.x BETWEEN j.x AND k.x GROUP BY ALL),
+f AS (SELECT lead, fold, x, max(least_mean) AS p FROM (SELECT c.lead, c.fold, c.x, a.lo, min(a.mean) AS least_mean FROM c JOIN a ON a.lead = c.lead AND a.fold = c.fold AND a.lo <= c.x AND a.hi >= c.x GROUP BY ALL) GROUP BY 1, 2, 3)
+SELECT c.lead, c.fold::BIGINT AS fold, c.x, c.w::BIGINT AS n, round(1e-9 + CASE WHEN lo.x IS NULL THEN hi.p WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.p ELSE lo.p + (c.x - lo.x) * (hi.p - lo.p) / (hi.x - lo.x) END, 6) AS p
+FROM c ASOF LEFT JOIN f lo ON lo.lead = c.lead AND lo.fold = 1 - c.fold AND lo.x <= c.x ASOF LEFT JOIN f hi ON hi.lead = c.lead AND hi.fold = 1 - c.fold AND hi.x >= c.x WHERE lo.x IS NOT NULL OR hi.x IS NOT NULL""",
+)
+def _crossfit(t):
+    """Each month's rows by the fit on months of the other parity, for each lead."""
+    from fluvia.operators import calibration
+
+    x = t.lineitem.select(big(col("l_linenumber")).alias("lead"), big(F.month("l_shipdate") % 2).alias("fold"), col("l_discount").alias("x"), (col("l_returnflag") == "R").cast("int").alias("y"))
+    group = F.concat_ws("/", "lead", "fold")
+    table = calibration.knots(calibration.isotonic(x.withColumn("g", group), "g", "x", "y"))
+    cells = x.groupBy("lead", "fold", "x").agg(F.count("*").alias("n")).withColumn("g", F.concat_ws("/", "lead", 1 - col("fold")))
+    return calibration.calibrated(cells, "g", "x", table).filter("p IS NOT NULL").select("lead", "fold", "x", M.r6(col("p")).alias("p"), "n")
