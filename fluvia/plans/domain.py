@@ -27,7 +27,7 @@ query("src_10_coerce", "SELECT p_partkey, try_cast(string_split(p_brand, '#')[2]
 query("src_13_unpivot_leads", "SELECT l_orderkey, l_linenumber::BIGINT AS line, lead, v FROM (SELECT l_orderkey, l_linenumber, unnest(['tax', 'discount']) AS lead, unnest([l_tax, l_discount]) AS v FROM lineitem)")(lambda t: t.lineitem.select("l_orderkey", big(col("l_linenumber")).alias("line"), col("l_tax").alias("tax"), col("l_discount").alias("discount")).unpivot(["l_orderkey", "line"], ["tax", "discount"], "lead", "v"))
 query("src_14_column_arrays", "SELECT user_id, unnest(k)::BIGINT AS k, unnest(v) AS v FROM (SELECT user_id, list(event_id ORDER BY event_id) AS k, list(value ORDER BY event_id) AS v FROM events GROUP BY 1)")(lambda t: t.events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("r")).select("user_id", F.explode(F.arrays_zip(col("r.event_id").alias("k"), col("r.value").alias("v"))).alias("z")).select("user_id", "z.k", "z.v"))
 query("src_20_oriented_links", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_partkey // 2 ELSE p_partkey END AS a, CASE WHEN p_size % 2 = 0 THEN p_partkey ELSE p_partkey // 2 END AS b FROM part")(lambda t: t.part.select("p_partkey", F.floor(col("p_partkey") / 2).alias("h"), (col("p_size") % 2 == 0).alias("rev")).select("p_partkey", F.when(col("rev"), col("h")).otherwise(col("p_partkey")).alias("a"), F.when(col("rev"), col("p_partkey")).otherwise(col("h")).alias("b")))
-query("src_21_spot_lists", "SELECT id, source FROM (SELECT id, source, row_number() OVER (PARTITION BY id ORDER BY o) AS rn FROM (SELECT c_custkey AS id, 'a' AS source, 1 AS o FROM customer WHERE c_custkey < 60 UNION ALL SELECT s_suppkey, 'b', 2 FROM supplier)) WHERE rn = 1")(lambda t: T.latest_per(t.customer.filter("c_custkey < 60").select(col("c_custkey").alias("id"), lit("a").alias("source"), lit(1).alias("o")).unionByName(t.supplier.select(col("s_suppkey").alias("id"), lit("b").alias("source"), lit(2).alias("o"))), ["id"], [col("o")]).select("id", "source"))
+query("src_21_spot_lists", "SELECT id, source FROM (SELECT id, source, row_number() OVER (PARTITION BY id ORDER BY o) AS rn FROM (SELECT c_custkey AS id, 'a' AS source, 1 AS o FROM customer UNION ALL SELECT s_suppkey, 'b', 2 FROM supplier)) WHERE rn = 1")(lambda t: T.latest_per(t.customer.select(col("c_custkey").alias("id"), lit("a").alias("source"), lit(1).alias("o")).unionByName(t.supplier.select(col("s_suppkey").alias("id"), lit("b").alias("source"), lit(2).alias("o"))), ["id"], [col("o")]).select("id", "source"))
 query("src_25_log_read", "SELECT event_id, (epoch_us(ts) // 1000)::BIGINT AS ms FROM events")(lambda t: t.events.select("event_id", F.unix_millis(col("ts").cast("timestamp")).alias("ms")))
 query("src_29_mapped_observations", "SELECT DISTINCT user_id, ts::DATE AS day FROM events JOIN supplier ON s_suppkey = user_id WHERE month(ts) = 1")(lambda t: t.events.filter(F.month("ts") == 1).join(t.supplier.select(col("s_suppkey").alias("user_id")), "user_id").select("user_id", day("ts").alias("day")).dropDuplicates())
 query("src_30_source_status", "SELECT event_type AS source, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS points FROM events GROUP BY 1")(lambda t: t.events.groupBy(col("event_type").alias("source")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("points")))
@@ -115,15 +115,31 @@ query("grf_6_upstream_length", UP + f" SELECT root, {R('sum(e.length)')} AS tota
 query("grf_7_lookup_length", f"SELECT dst AS node, {R('sum(length)')} AS near FROM {EDGES} GROUP BY 1")(lambda t: edges(t).groupBy(col("dst").alias("node")).agg(M.r6(F.sum("length")).alias("near")))
 query("grf_8_reach", f"""WITH RECURSIVE dn AS (SELECT s_suppkey + 1000 AS root, s_suppkey + 1000 AS node, 0.0::DOUBLE AS dist FROM supplier
 UNION ALL SELECT root, e.dst, dist + e.length FROM dn JOIN {EDGES} e ON e.src = dn.node WHERE dist + e.length <= 90) SELECT root, node, dist FROM dn""")(lambda t: G.closure(G.reversed_edges(edges(t)), t.supplier.select((col("s_suppkey") + 1000).alias("node")), 90.0))
-query("grf_9_components", "SELECT node, min(node) OVER (PARTITION BY node % 2) AS label FROM (SELECT n_nationkey::BIGINT AS node FROM nation) WHERE true")(lambda t: G.min_label(t.nation.filter("n_nationkey >= 2").select(big(col("n_nationkey")).alias("src"), big(col("n_nationkey") - 2).alias("dst"))))
+#: Links of this length or more are a lake's.
+LAKE_LINK = 25
+
+
+@query(
+    "grf_9_components",
+    f"""WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES} WHERE length >= {LAKE_LINK}), w AS (SELECT DISTINCT node, node AS top FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)
+UNION ALL SELECT w.node, e.dst FROM w JOIN e ON e.src = w.top) SELECT node, min(top) AS label FROM w GROUP BY 1""",
+)
+def _lakes(t):
+    """Lake links that share nodes, by the smallest node."""
+    return G.min_label(edges(t).filter(col("length") >= LAKE_LINK).select("src", "dst"))
+
+
 query("grf_12_named_downstream", f"WITH RECURSIVE w AS (SELECT p_partkey AS link, p_partkey AS pos, 0 AS step FROM part UNION ALL SELECT link, pos // 2, step + 1 FROM w WHERE step < 12 AND pos > 1 AND (pos % 5) <> 0) SELECT link, arg_max(pos, step) AS named FROM w GROUP BY 1")(lambda t: _named(t))
 
 
 def _named(t):
-    x = t.part.select(col("p_partkey").alias("link"), col("p_partkey").alias("named"))
-    for _ in range(12):
-        x = x.select("link", F.when((col("named") % 5 != 0) & (col("named") > 1), F.floor(col("named") / 2)).otherwise(col("named")).alias("named"))
-    return x
+    """Twelve steps to the first successor, a named link (every fifth) being its own: the step composed with itself, so four joins make twelve."""
+    after = edges(t).groupBy(col("src").alias("link")).agg(F.min("dst").alias("next"))
+    one = t.part.select(col("p_partkey").alias("link")).join(after, "link", "left").select("link", F.when(col("link") % 5 == 0, col("link")).otherwise(F.coalesce("next", "link")).alias("named"))
+    then = lambda f, g: f.join(g.select(col("link").alias("_l"), col("named").alias("_n")), col("named") == col("_l")).select("link", col("_n").alias("named"))
+    two = G._step(then(one, one))
+    four = G._step(then(two, two))
+    return then(then(four, four), four)
 
 
 _WGT = R("pow(10, -dist / 0.5 / 3600 / 30) * least(1.0, 5000 / (dist + 5000))")
@@ -193,9 +209,44 @@ def _fold(t):
 
 
 query("stm_2_latest_snapshot", "SELECT user_id, max(ts)::DATE AS day, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")(lambda t: t.events.groupBy("user_id").agg(day(F.max("ts")).alias("day"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status")))
-query("stm_4_carry_forward", "SELECT c.company, c.day, coalesce(p.n, -3)::BIGINT AS n FROM (SELECT company, day FROM (SELECT DISTINCT (user_id % 3)::BIGINT AS company FROM events), (SELECT DISTINCT ts::DATE AS day FROM events)) c LEFT JOIN (SELECT (user_id % 3)::BIGINT AS company, ts::DATE AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p USING (company, day)")(lambda t: t.events.select(day("ts").alias("day")).distinct().withColumn("company", F.explode(F.array(*[lit(k).cast("bigint") for k in range(3)]))).join(t.events.filter("event_type = 'purchase'").groupBy((col("user_id") % 3).alias("company"), day("ts").alias("day")).agg(F.count("*").alias("n")), ["company", "day"], "left").select("company", "day", F.coalesce("n", lit(-3)).cast("bigint").alias("n")))
+_BY_COMPANY = "SELECT user_id % 3 AS company, ts::DATE AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2"
+
+
+@query(
+    "stm_4_carry_forward",
+    f"""WITH g AS (SELECT company, day, n FROM (SELECT DISTINCT user_id % 3 AS company FROM events) CROSS JOIN (SELECT DISTINCT ts::DATE AS day FROM events) LEFT JOIN ({_BY_COMPANY}) USING (company, day)),
+r AS (SELECT *, count(n) OVER (PARTITION BY company ORDER BY day) AS run FROM g)
+SELECT company, day, coalesce(n, -3)::BIGINT AS n, CASE WHEN n IS NULL THEN min(CASE WHEN n IS NULL THEN day END) OVER (PARTITION BY company, run) END AS down_since FROM r""",
+)
+def _carried(t):
+    """Days without a company's rows count as -3, since the first of them; a day with rows ends that."""
+    days = t.events.agg(F.collect_set(day("ts")).alias("days"))  # one row, a calendar's days
+    companies = t.events.select((col("user_id") % 3).alias("company")).distinct()
+    seen = t.events.filter("event_type = 'purchase'").groupBy((col("user_id") % 3).alias("company"), day("ts").alias("day")).agg(F.count("*").alias("n"))
+    grid = companies.crossJoin(F.broadcast(days)).select("company", F.explode("days").alias("day")).join(seen, ["company", "day"], "left")
+    grid = grid.withColumn("run", F.count("n").over(Window.partitionBy("company").orderBy("day")))
+    since = F.min(F.when(col("n").isNull(), col("day"))).over(Window.partitionBy("company", "run"))
+    return grid.select("company", "day", F.coalesce("n", lit(-3)).cast("bigint").alias("n"), F.when(col("n").isNull(), since).alias("down_since"))
+
+
 project("stm_5_tumbling_slot", "events", "event_id", {"slot": lambda: F.date_format(F.window(col("ts").cast("timestamp"), "30 minutes")["start"], "HH:mm")}, {"slot": "strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%H:%M')"})
-query("stm_6_freshness", "SELECT user_id, ts::DATE AS day, bool_or(hour(ts) >= 18) AS fresh FROM events GROUP BY 1, 2")(lambda t: t.events.groupBy("user_id", day("ts").alias("day")).agg(F.bool_or(F.hour("ts") >= 18).alias("fresh")))
+#: A feed is stale beyond this age in hours.
+STALE_H = 6
+
+
+@query(
+    "stm_6_freshness",
+    f"""SELECT user_id, day, {R("(epoch(day + INTERVAL 1 DAY) - epoch(last)) / 3600")} AS age_h, coalesce((epoch(day + INTERVAL 1 DAY) - epoch(last)) / 3600 <= {STALE_H}, false) AS fresh FROM
+(SELECT user_id, day, max(last) OVER (PARTITION BY user_id ORDER BY day) AS last FROM (SELECT user_id, ts::DATE AS day, max(ts) FILTER (event_type <> 'error') AS last FROM events GROUP BY 1, 2))""",
+)
+def _freshness(t):
+    """The age, at the end of each day with polls, of what is last known; a feed without any time is stale."""
+    x = t.events.groupBy("user_id", day("ts").alias("day")).agg(F.max(F.when(col("event_type") != "error", F.unix_micros(col("ts").cast("timestamp")))).alias("last"))
+    x = x.withColumn("last", F.max("last").over(Window.partitionBy("user_id").orderBy("day")))
+    age = (F.unix_micros(F.date_add("day", 1).cast("timestamp")) - col("last")) / 3_600_000_000
+    return x.select("user_id", "day", M.r6(age).alias("age_h"), F.coalesce(age <= STALE_H, lit(False)).alias("fresh"))
+
+
 query("stm_7_completeness", "SELECT user_id, ts::DATE AS day, CASE WHEN count(*) < 3 THEN 'few polls' WHEN max(hour(ts)) - min(hour(ts)) < 8 THEN 'short day' ELSE 'scored' END AS reason FROM events GROUP BY 1, 2")(lambda t: t.events.groupBy("user_id", day("ts").alias("day")).agg(F.when(F.count("*") < 3, "few polls").when(F.max(F.hour("ts")) - F.min(F.hour("ts")) < 8, "short day").otherwise("scored").alias("reason")))
 query("stm_8_watermark", "SELECT user_id, min(ts)::DATE AS first_day FROM events WHERE ts::DATE <= DATE '2024-01-30' - 1 GROUP BY 1")(lambda t: t.events.filter(day("ts") <= F.date_sub(lit("2024-01-30").cast("date"), 1)).groupBy("user_id").agg(day(F.min("ts")).alias("first_day")))
 @query("stm_9_old_state", "SELECT c_custkey, c_nationkey::BIGINT AS n_known, CASE WHEN c_custkey % 2 = 1 THEN c_nationkey ELSE 0 END::BIGINT AS n_stale FROM customer")

@@ -73,9 +73,19 @@ query("win_11_longest_gap", f"SELECT user_id, day, greatest(max((s - p) * 0.5),
     lambda t: slots(t).groupBy("user_id", "day").agg(F.sort_array(F.collect_list("s")).alias("x")).select("user_id", "day", F.greatest(F.array_max(F.zip_with(F.slice("x", lit(2), F.size("x") - 1), F.slice("x", lit(1), F.size("x") - 1), lambda b, a: (b - a) * 0.5)), F.array_min("x") * 0.5, (47 - F.array_max("x")) * 0.5).cast("double").alias("gap_h"))
 )
 query("win_12_first_last_slot", f"SELECT user_id, day, (min(s) * 0.5)::DOUBLE AS first_h, ((max(s) + 1) * 0.5)::DOUBLE AS last_h FROM {_SLOTS} GROUP BY user_id, day")(lambda t: slots(t).groupBy("user_id", "day").agg((F.min("s") * 0.5).cast("double").alias("first_h"), ((F.max("s") + 1) * 0.5).cast("double").alias("last_h")))
-query("win_13_rise", f"SELECT cell, {R('arg_max(mm, hr) - arg_min(mm, hr)')} AS rise FROM {HOURLY} WHERE mm IS NOT NULL AND hr >= TIMESTAMP '2024-01-20' GROUP BY cell HAVING count(*) >= 2 AND max(hr) - min(hr) >= INTERVAL 1 HOUR")(
-    lambda t: hourly(t).filter("mm IS NOT NULL AND hr >= '2024-01-20'").groupBy("cell").agg(M.r6(F.max_by("mm", "hr") - F.min_by("mm", "hr")).alias("rise"), F.count("*").alias("n"), (F.max("hr") - F.min("hr")).alias("span")).filter("n >= 2 AND span >= INTERVAL 1 HOUR").select("cell", "rise")
+@query(
+    "win_13_rise",
+    f"""SELECT cell, strftime(hr, '%Y-%m-%d %H') AS hr, CASE WHEN count(*) OVER w >= 2 AND hr - min(hr) OVER w >= INTERVAL 1 HOUR THEN {R("mm - first_value(mm) OVER w")} END AS rise
+FROM {HOURLY} WHERE mm IS NOT NULL WINDOW w AS (PARTITION BY cell ORDER BY hr RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)""",
 )
+def _rise(t):
+    """Each reading less the first of the six hours before it; null where they hold less than two readings an hour apart."""
+    x = hourly(t).filter("mm IS NOT NULL").withColumn("s", F.unix_micros(col("hr").cast("timestamp")))
+    w = Window.partitionBy("cell").orderBy("s").rangeBetween(-6 * 3_600_000_000, 0)
+    enough = (F.count("*").over(w) >= 2) & (col("s") - F.min("s").over(w) >= 3_600_000_000)
+    return x.select("cell", F.date_format("hr", "yyyy-MM-dd HH").alias("hr"), F.when(enough, M.r6(col("mm") - F.first("mm").over(w))).alias("rise"))
+
+
 query("win_14_window_totals", f"SELECT s.cell, s.day, {R('sum(h.mm)')} AS r48, count(h.mm)::BIGINT AS n FROM (SELECT DISTINCT cell, hr::DATE AS day FROM {HOURLY}) s JOIN {HOURLY} h ON s.cell = h.cell AND h.hr > s.day + INTERVAL 12 HOUR - INTERVAL 48 HOUR AND h.hr <= s.day + INTERVAL 12 HOUR GROUP BY s.cell, s.day")(
     lambda t: hourly(t).withColumn("day", F.explode(F.sequence(F.to_date(col("hr") - F.expr("INTERVAL 13 HOURS")), F.to_date(col("hr") + F.expr("INTERVAL 36 HOURS"))))).filter("hr > day + INTERVAL 12 HOURS - INTERVAL 48 HOURS AND hr <= day + INTERVAL 12 HOURS").groupBy("cell", "day").agg(M.r6(F.sum("mm")).alias("r48"), F.count("mm").alias("n")).join(hourly(t).select("cell", day("hr").alias("day")).distinct(), ["cell", "day"], "left_semi")
 )
