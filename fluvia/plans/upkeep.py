@@ -122,3 +122,30 @@ def _crossfit(t):
     table = calibration.knots(calibration.isotonic(x.withColumn("g", group), "g", "x", "y"))
     cells = x.groupBy("lead", "fold", "x").agg(F.count("*").alias("n")).withColumn("g", F.concat_ws("/", "lead", 1 - col("fold")))
     return calibration.calibrated(cells, "g", "x", table).filter("p IS NOT NULL").select("lead", "fold", "x", M.r6(col("p")).alias("p"), "n")
+
+
+@query(
+    "snk_13_merged_reviews",
+    """WITH h AS (SELECT o_orderkey AS id, o_custkey AS spot, o_orderpriority AS text FROM orders WHERE o_orderstatus <> 'O'),
+n AS (SELECT o_orderkey AS id, o_custkey AS spot, CASE WHEN o_totalprice > 100000 THEN 'changed' END AS text FROM orders WHERE o_orderstatus <> 'F')
+SELECT coalesce(n.id, h.id) AS id, coalesce(n.spot, h.spot) AS spot, coalesce(n.text, h.text) AS text, n.id IS NULL AS incomplete
+FROM h FULL JOIN n ON n.spot = h.spot AND n.id = h.id WHERE coalesce(n.spot, h.spot) IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
+)
+def _merged_reviews(t):
+    """A pull that broke off: it adds and changes, what it lacks is held over and marked; only known spots, cached texts stay."""
+    from fluvia.operators import merge
+
+    row = lambda df, text: df.select(col("o_custkey").alias("spot"), col("o_orderkey").alias("id"), text.alias("text"))
+    held = row(t.orders.filter("o_orderstatus <> 'O'"), col("o_orderpriority"))
+    pulled = row(t.orders.filter("o_orderstatus <> 'F'"), F.when(col("o_totalprice") > 100000, "changed"))
+    return merge.merged(held, pulled, ["spot", "id"], False, t.customer.filter("c_acctbal > 0").select(col("c_custkey").alias("spot")), ("text",))
+
+
+@query("eva_3_bootstrap_auc")
+def _bootstrap_auc(t):
+    """Intervals of the area under the curve and of the Brier score over 2,000 draws of suppliers."""
+    from fluvia.operators import bootstrap
+    from fluvia.plans.relational import pp, y
+
+    x = bootstrap.auc_draws(t.lineitem.select("l_suppkey", pp().alias("p"), y().alias("y")), "l_suppkey", "p", "y")
+    return bootstrap.intervals(x).select("measure", *[F.round(c, 4).alias(c) for c in ("estimate", "low", "high")])
