@@ -7,6 +7,7 @@ import shutil
 import uuid
 from functools import reduce
 from itertools import count
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +20,7 @@ _written: list[str] = []
 
 def _folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (base or "file:///tmp/checkpoints/fluvia").rstrip("/")
 
@@ -44,11 +45,20 @@ def parent(step: DataFrame) -> str:
     return path_of(step).rpartition("/")[0]
 
 
+def _drop(spark, steps: list[DataFrame]) -> None:
+    """Delete steps that nothing reads any more."""
+    for path in {path_of(s) for s in steps}:
+        _written.remove(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _tidy() -> None:
+    """At exit nothing lazy is left that reads them."""
     for path in _written:
-        if path.startswith("file:///tmp/checkpoints/fluvia/"):
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        if urlparse(path).scheme in ("", "file"):
+            shutil.rmtree(unquote(urlparse(path).path), ignore_errors=True)
 
 
 #: Edges that a round of `closure` follows before it compares distances, and rounds whose deltas are kept apart.
@@ -78,7 +88,8 @@ def closure(edges: DataFrame, roots: DataFrame, cap: float, most_rounds: int | N
             return least(old)
         reached.append(front)
         if len(reached) > DELTAS:
-            reached = [_step(least(reduce(DataFrame.unionByName, reached)))]
+            parts, reached = reached, [_step(least(reduce(DataFrame.unionByName, reached)))]
+            _drop(edges.sparkSession, parts[:-1])  # the last is the front
 
 
 #: Edges that one task may finish (a few dozen bytes each there).

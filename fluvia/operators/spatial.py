@@ -114,3 +114,38 @@ def greedy_dedupe(df: DataFrame, key: str, rank: str, most: float) -> DataFrame:
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def polygon_edges(polygons: DataFrame, key: str, rings: str) -> DataFrame:
+    """key, ax, ay, bx, by of polygons whose `rings` (arrays of x, y; outer rings of all parts and holes alike) close by themselves or not."""
+    ring = polygons.select(key, F.explode(rings).alias("_ring")).filter("size(_ring) > 2")
+    x = ring.select(key, "_ring", F.posexplode("_ring").alias("_i", "_a"))
+    b = F.get("_ring", (F.col("_i") + 1) % F.size("_ring"))
+    x = x.select(key, F.col("_a.x").alias("ax"), F.col("_a.y").alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+    return x.filter("ax <> bx OR ay <> by")
+
+
+def polygon_join(points: DataFrame, polygons: DataFrame, point: str, polygon: str, size: float, shore: float, rings: str = "rings") -> DataFrame:
+    """point, polygon, inside, to_shore of the points (point, px, py) in a polygon (polygon, rings) or within `shore` of its outline; to_shore is null beyond.
+
+    A point is inside where a ray to the right crosses the outlines an odd number of times, all rings counted, so holes and parts need no case of their own. Edges are
+    filed by strips of height `size`, and for the distance by the tiles that they come near: a point meets the edges of its strip and tile, not a lake of many
+    corners whole. Pairs to test come from the tiles of the polygons' boxes.
+    """
+    tile = lambda c: F.floor(F.col(c) / size)
+    pts = points.select(point, "px", "py", tile("px").alias("_tx"), tile("py").alias("_ty"))
+    e = polygon_edges(polygons, polygon, rings)
+    lo = {c: F.least(f"a{c}", f"b{c}") for c in "xy"}
+    hi = {c: F.greatest(f"a{c}", f"b{c}") for c in "xy"}
+    box = e.groupBy(polygon).agg(*[F.floor(f(v[c]) / size).alias(f"{n}{c}") for n, f, v in (("l", F.min, lo), ("h", F.max, hi)) for c in "xy"])
+    box = box.select(polygon, F.explode(F.sequence("lx", "hx")).alias("_tx"), "ly", "hy").select(polygon, "_tx", F.explode(F.sequence("ly", "hy")).alias("_ty"))
+    pairs = pts.join(box, ["_tx", "_ty"])
+    strips = e.select("*", F.explode(F.sequence(F.floor(lo["y"] / size), F.floor(hi["y"] / size))).alias("_ty"))
+    at = F.col("ax") + (F.col("bx") - F.col("ax")) * F.try_divide(F.col("py") - F.col("ay"), F.col("by") - F.col("ay"))
+    crossed = pairs.join(strips, [polygon, "_ty"]).filter(((F.col("ay") > F.col("py")) != (F.col("by") > F.col("py"))) & (F.col("px") < at))
+    inside = crossed.groupBy(point, polygon).agg((F.count("*") % 2 == 1).alias("inside")).filter("inside")
+    span = lambda c: F.sequence(F.floor((lo[c] - shore) / size), F.floor((hi[c] + shore) / size))
+    tiles = e.select("*", F.explode(span("x")).alias("_tx")).select("*", F.explode(span("y")).alias("_ty"))
+    away = segment_distance(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))[0]
+    near = pts.join(tiles, ["_tx", "_ty"]).select(point, polygon, away.alias("d")).filter(F.col("d") <= shore).groupBy(point, polygon).agg(F.min("d").alias("to_shore"))
+    return inside.join(near, [point, polygon], "full").select(point, polygon, F.coalesce("inside", F.lit(False)).alias("inside"), "to_shore")

@@ -190,6 +190,25 @@ def _ring_join(t):
     return S.ring_join(pins(t), lakes, 40.0, 8.0).select("c_custkey", "s_suppkey", "inside", M.r6(col("to_shore")).alias("to_shore"))
 
 
+#: The lake again, with an island of half its size, and a pond beside it.
+_HOLE, _POND = [(x / 2, y / 2) for x, y in _LAKE], [(x / 4 + 60, y / 4 + 10) for x, y in _LAKE]
+_RINGS16 = "[" + ", ".join("[" + ", ".join(f"{{'x': {QX} + {x}, 'y': {QY} + {y}}}" for x, y in ring) + "]" for ring in (_LAKE, _HOLE, _POND)) + "]"
+
+
+@query(
+    "jon_16_polygon_join",
+    f"""WITH r AS (SELECT s_suppkey, {QX} AS qx, {QY} AS qy, unnest({_RINGS16}) AS ring FROM supplier), e AS (SELECT s_suppkey, qx, qy, ring[i].x AS x1, ring[i].y AS y1, ring[i % 4 + 1].x AS x2, ring[i % 4 + 1].y AS y2 FROM r, unnest([1, 2, 3, 4]) u(i)),
+d AS (SELECT c_custkey, s_suppkey, ((y1 > {PY}) <> (y2 > {PY})) AND {PX} < x1 + (x2 - x1) * ({PY} - y1) / (y2 - y1) AS crossed, {PX} AS px, {PY} AS py, x1, y1, x2, y2,
+  greatest(0.0, least(1.0, (({PX} - x1) * (x2 - x1) + ({PY} - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM customer, e WHERE {PX} BETWEEN qx - 120 AND qx + 120 AND {PY} BETWEEN qy - 120 AND qy + 120),
+g AS (SELECT c_custkey, s_suppkey, count_if(crossed) % 2 = 1 AS inside, min(sqrt(pow(px - x1 - t * (x2 - x1), 2) + pow(py - y1 - t * (y2 - y1), 2))) AS away FROM d GROUP BY 1, 2)
+SELECT c_custkey, s_suppkey, inside, CASE WHEN away <= 8 THEN {R("away")} END AS to_shore FROM g WHERE inside OR away <= 8""",
+)
+def _polygon_join(t):
+    corner = lambda x, y: F.struct((col("qx") + x).alias("x"), (col("qy") + y).alias("y"))
+    lakes = stations(t).select("s_suppkey", F.array(*[F.array(*[corner(x, y) for x, y in ring]) for ring in (_LAKE, _HOLE, _POND)]).alias("rings"))
+    return S.polygon_join(pins(t), lakes, "c_custkey", "s_suppkey", 25.0, 8.0).withColumn("to_shore", M.r6(col("to_shore")))
+
+
 query("geo_4_second_pass", f"SELECT c_custkey, arg_min(s_suppkey, (c_nationkey <> s_nationkey, {DIST}, s_suppkey)) AS s_suppkey FROM customer, supplier WHERE {DIST} <= 120 GROUP BY 1")(lambda t: S.within_join(pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey"), stations(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey"), 120.0).groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(col("c_nationkey") != col("s_nationkey"), "dist", "s_suppkey")).alias("s_suppkey")))
 _T = f"greatest(0.0, least(1.0, (({PX} - 100) * 500 + ({PY} - 200) * 400) / 410000.0))"
 query("geo_5_along_line", f"SELECT c_custkey, {R(_T)} AS frac, {R(f'sqrt(pow({PX} - 100 - {_T} * 500, 2) + pow({PY} - 200 - {_T} * 400, 2))')} AS dist FROM customer")(lambda t: pins(t).select("c_custkey", *[M.r6(c).alias(n) for c, n in zip(S.segment_distance(col("px"), col("py"), lit(100.0), lit(200.0), lit(600.0), lit(600.0)), ("dist", "frac"), strict=True)]))
