@@ -39,6 +39,19 @@ def _write_count(t):
     return G._step(t.orders).agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("bigint").alias("keys"))
 
 
+_ASKED = {"large": "p_size > 40", "brass": "p_type LIKE '%BRASS'", "dear": "p_retailprice > 1500", "first": "p_brand = 'Brand#11'"}
+
+
+@query(
+    "src_22_merged_elements",
+    "SELECT p_partkey AS id, string_agg(q, ',' ORDER BY q) AS matched FROM (" + " UNION ALL ".join(f"SELECT p_partkey, '{q}' AS q FROM part WHERE {w}" for q, w in _ASKED.items()) + ") GROUP BY 1",
+)
+def _merged_elements(t):
+    """Elements of several queries, one row for each, with the queries that found it. One scan answers all of them."""
+    found = F.array_compact(F.array(*[F.when(F.expr(w), q) for q, w in sorted(_ASKED.items())]))
+    return t.part.select(col("p_partkey").alias("id"), found.alias("found")).filter("size(found) > 0").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found")).select("id", F.array_join("found", ",").alias("matched"))
+
+
 query("snk_2_forecast_rows", "SELECT l_orderkey, l_linenumber::BIGINT AS line, l_shipdate::DATE AS target_day, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::BIGINT AS lead FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE date_diff('day', o_orderdate::DATE, l_shipdate::DATE) >= 0")(lambda t: t.lineitem.join(t.orders, col("l_orderkey") == col("o_orderkey")).select("l_orderkey", big(col("l_linenumber")).alias("line"), day("l_shipdate").alias("target_day"), big(F.datediff("l_shipdate", "o_orderdate")).alias("lead")).filter("lead >= 0"))
 query("snk_3_scored_csv", "SELECT strftime(o_orderdate, '%Y-%m-%d') || ',' || o_orderkey || ',' || printf('%.4f', o_totalprice / 1000000 + 1e-9) AS line FROM orders ORDER BY o_orderdate, o_orderkey")(lambda t: t.orders.orderBy("o_orderdate", "o_orderkey").select(F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd"), col("o_orderkey").cast("string"), F.format_string("%.4f", col("o_totalprice") / 1000000 + 1e-9)).alias("line")))
 query("snk_5_features", "SELECT '{\"type\":\"Feature\",\"id\":' || s_suppkey || '}' AS feature FROM supplier WHERE s_suppkey % 90 BETWEEN 10 AND 40")(lambda t: t.supplier.filter("s_suppkey % 90 BETWEEN 10 AND 40").select(F.to_json(F.struct(lit("Feature").alias("type"), col("s_suppkey").alias("id"))).alias("feature")))
@@ -210,8 +223,19 @@ def _polygon_join(t):
 
 
 query("geo_4_second_pass", f"SELECT c_custkey, arg_min(s_suppkey, (c_nationkey <> s_nationkey, {DIST}, s_suppkey)) AS s_suppkey FROM customer, supplier WHERE {DIST} <= 120 GROUP BY 1")(lambda t: S.within_join(pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey"), stations(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey"), 120.0).groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(col("c_nationkey") != col("s_nationkey"), "dist", "s_suppkey")).alias("s_suppkey")))
-_T = f"greatest(0.0, least(1.0, (({PX} - 100) * 500 + ({PY} - 200) * 400) / 410000.0))"
-query("geo_5_along_line", f"SELECT c_custkey, {R(_T)} AS frac, {R(f'sqrt(pow({PX} - 100 - {_T} * 500, 2) + pow({PY} - 200 - {_T} * 400, 2))')} AS dist FROM customer")(lambda t: pins(t).select("c_custkey", *[M.r6(c).alias(n) for c, n in zip(S.segment_distance(col("px"), col("py"), lit(100.0), lit(200.0), lit(600.0), lit(600.0)), ("dist", "frac"), strict=True)]))
+_BX, _BY = f"({QX} + s_suppkey % 7 * 20 - 60)", f"({QY} + s_suppkey % 5 * 30 - 45)"
+_T = f"greatest(0.0, least(1.0, (({PX} - {QX}) * ({_BX} - {QX}) + ({PY} - {QY}) * ({_BY} - {QY})) / nullif(pow({_BX} - {QX}, 2) + pow({_BY} - {QY}, 2), 0)))"
+
+
+@query("geo_5_along_line", f"SELECT c_custkey, s_suppkey, {R(f'coalesce({_T}, 0)')} AS frac, {R(f'{QX} + coalesce({_T}, 0) * ({_BX} - {QX})')} AS x, {R(f'{QY} + coalesce({_T}, 0) * ({_BY} - {QY})')} AS y FROM customer JOIN supplier ON s_suppkey = c_custkey % 10 + 1")
+def _along(t):
+    """The place on a reach (a segment from a station) that is nearest to each point: its fraction and its coordinates."""
+    reach = stations(t).withColumns({"bx": col("qx") + col("s_suppkey") % 7 * 20 - 60, "by": col("qy") + col("s_suppkey") % 5 * 30 - 45})
+    x = pins(t).withColumn("s_suppkey", col("c_custkey") % 10 + 1).join(reach, "s_suppkey")
+    f = S.segment_distance(col("px"), col("py"), col("qx"), col("qy"), col("bx"), col("by"))[1]
+    return x.withColumn("f", f).select("c_custkey", "s_suppkey", M.r6(col("f")).alias("frac"), M.r6(col("qx") + col("f") * (col("bx") - col("qx"))).alias("x"), M.r6(col("qy") + col("f") * (col("by") - col("qy"))).alias("y"))
+
+
 query("geo_8_placement_reasons", f"SELECT c_custkey, concat_ws('; ', CASE WHEN {PX} < 100 THEN 'west' END, CASE WHEN {PY} > 900 THEN 'north' END) AS reasons FROM customer WHERE {PX} < 100 OR {PY} > 900")(lambda t: pins(t).select("c_custkey", F.concat_ws("; ", F.when(col("px") < 100, "west"), F.when(col("py") > 900, "north")).alias("reasons")).filter("reasons <> ''"))
 query("geo_9_snap_to_set", f"SELECT c_custkey, arg_min(s_suppkey, ({DIST}, s_suppkey)) AS s_suppkey FROM customer, supplier WHERE {DIST} <= 200 AND s_nationkey < 5 GROUP BY 1")(lambda t: S.nearest_join(pins(t), stations(t).join(t.supplier.filter("s_nationkey < 5").select("s_suppkey"), "s_suppkey", "left_semi"), "c_custkey", "s_suppkey", 200.0).drop("dist"))
 query("geo_10_inland", f"SELECT c_custkey, coalesce(min(CASE WHEN s_nationkey < 12 THEN {DIST} END) <= coalesce(min(CASE WHEN s_nationkey >= 12 THEN {DIST} END), 1e9), false) AS inland FROM customer, supplier WHERE {DIST} <= 150 GROUP BY 1")(lambda t: S.within_join(pins(t), stations(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey"), 150.0).groupBy("c_custkey").agg(F.coalesce(F.min(F.when(col("s_nationkey") < 12, col("dist"))) <= F.coalesce(F.min(F.when(col("s_nationkey") >= 12, col("dist"))), lit(1e9)), lit(False)).alias("inland")))
@@ -287,9 +311,39 @@ project("stm_14_close_open", "events", "event_id", {"ended": lambda: F.date_form
 
 # --- models, evaluation, rules, entry points ---------------------------------------------------------------------
 
-project("ml_3_site_offset", "lineitem", "l_orderkey, l_linenumber, l_suppkey", {"p": lambda: M.r6(M.sigmoid(M.logit(pp()) + (col("l_suppkey") % 5 - 2) * 0.1))}, {"p": R(f"1 / (1 + exp(-(ln({PP} / (1 - {PP})) + (l_suppkey % 5 - 2) * 0.1)))")})
+#: Shrinkage of a site's observed and expected counts. Fixed value.
+SHRINK = 15
+
+
+@query(
+    "ml_3_site_offset",
+    f"""WITH o AS (SELECT l_suppkey, ln((sum({Y}) + {SHRINK}) / (sum({PP}) + {SHRINK})) AS shift FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_suppkey, {R(f"1 / (1 + exp(-(ln({PP} / (1 - {PP})) + shift)))")} AS p FROM lineitem JOIN o USING (l_suppkey)""",
+)
+def _site_offset(t):
+    """Probabilities moved by their site's offset: the shrunken log ratio of what was seen there and what was expected."""
+    o = t.lineitem.groupBy("l_suppkey").agg(F.log((F.sum(y()) + SHRINK) / (F.sum(pp()) + SHRINK)).alias("shift"))
+    return t.lineitem.join(o, "l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey", M.r6(M.sigmoid(M.logit(pp()) + col("shift"))).alias("p"))
+
+
 query("ml_4_site_days", f"SELECT e.user_id, e.day, {R('1 / (1 + exp(-(coalesce(d.rain, 0) / 100 - 2)))')} AS p FROM (SELECT DISTINCT user_id, ts::DATE AS day FROM events) e LEFT JOIN {DAILY} d ON d.cell = e.user_id AND d.day = e.day")(lambda t: t.events.select(col("user_id").alias("cell"), day("ts").alias("day")).distinct().join(daily(t), ["cell", "day"], "left").select(col("cell").alias("user_id"), "day", M.r6(M.sigmoid(F.coalesce("rain", lit(0.0)) / 100 - 2)).alias("p")))
-project("ml_5_logistic", "lineitem", "l_orderkey, l_linenumber, l_partkey", {"p": lambda: M.r6(M.sigmoid(lit(-1.2) + 0.8 * (col("l_quantity") - 25) / 14 + 0.3 * (col("l_tax") - 0.04) / 0.026))}, {"p": R("1 / (1 + exp(-(-1.2 + 0.8 * (l_quantity - 25) / 14 + 0.3 * (l_tax - 0.04) / 0.026)))")})
+#: Weights of the standardised features, and the constant. Fixed values.
+_WEIGHTS5, _CONST5 = {"l_quantity": 0.8, "l_tax": 0.3}, -1.2
+_Z5 = " + ".join(f"{w} * ({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem)" for c, w in _WEIGHTS5.items())
+
+
+@query("ml_5_logistic", f"SELECT l_orderkey, l_linenumber, l_partkey, {R(f'1 / (1 + exp(-({_CONST5} + {_Z5})))')} AS p FROM lineitem")
+def _logistic(t):
+    """Scores by a model that is read as a JSON document: for each feature mean, deviation (of the whole population; 1 if zero) and weight."""
+    sums = t.lineitem.agg(*[f(c).alias(f"{n}_{c}") for c in _WEIGHTS5 for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    feature = lambda c, w: F.struct(lit(c).alias("name"), col(f"mean_{c}").alias("mean"), F.when(col(f"std_{c}") == 0, 1.0).otherwise(col(f"std_{c}")).alias("std"), lit(w).alias("weight"))
+    doc = sums.select(F.to_json(F.struct(lit(_CONST5).alias("constant"), F.array(*[feature(c, w) for c, w in _WEIGHTS5.items()]).alias("features"))).alias("doc"))
+    model = G._step(doc).select(F.from_json("doc", "constant double, features array<struct<name string, mean double, std double, weight double>>").alias("model"))  # one row
+    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.create_map(*[e for c in _WEIGHTS5 for e in (lit(c), col(c))]).alias("x")).crossJoin(F.broadcast(model))
+    z = F.aggregate("model.features", col("model.constant"), lambda a, f: a + f["weight"] * (F.element_at("x", f["name"]) - f["mean"]) / f["std"])
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", M.r6(M.sigmoid(z)).alias("p"))
+
+
 project("ml_8_features", "orders", "o_orderkey", {"x1": lambda: M.r6(F.log1p(col("o_totalprice"))), "x2": lambda: M.r6(M.logit(M.clip(col("o_totalprice") / 500000, 0.01, 0.99)))}, {"x1": R("ln(1 + o_totalprice)"), "x2": R("ln(least(greatest(o_totalprice / 500000, 0.01), 0.99) / (1 - least(greatest(o_totalprice / 500000, 0.01), 0.99)))")})
 query("eva_4_scores_by_type", f"SELECT l_linenumber::BIGINT AS kind, CASE WHEN count(*) >= 30 THEN {R(f'avg(pow({PP} - {Y}, 2))')} END AS brier FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy(big(col("l_linenumber")).alias("kind")).agg(F.when(F.count("*") >= 30, M.r6(F.avg(F.pow(pp() - y(), lit(2.0))))).alias("brier")))
 query("eva_1_leave_one_out", f"SELECT l_suppkey, l_linenumber::BIGINT AS line, {R('CASE WHEN max(tn) > count(*) THEN (max(ts) - sum(y)) / (max(tn) - count(*)) END')} AS p FROM (SELECT l_suppkey, l_linenumber, {Y} AS y, sum({Y}) OVER (PARTITION BY l_linenumber) AS ts, count(*) OVER (PARTITION BY l_linenumber) AS tn FROM lineitem) GROUP BY 1, 2")(
