@@ -14,11 +14,14 @@ import os
 import time
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from fluvia.operators.graph import _step
+
 
 def layer_of(name: str):
     """'package.module:attribute' to the object."""
@@ -167,3 +170,50 @@ def fetched_with_cache(wanted: DataFrame, cache: str, keys: list[str], fetch, sc
     todo = missing_cells(wanted.select(*keys).distinct(), cached().select(*keys).distinct(), keys)
     todo.mapInPandas(fetch, schema).write.mode("append").parquet(cache)
     return cached().join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
+def fetch_error(e: Exception) -> str:
+    """A short label of a failed request, to be counted: the status of the answer, or what kind of error it was."""
+    code = getattr(e, "code", None) or getattr(getattr(e, "response", None), "status_code", None)
+    return f"HTTP {code}" if code else type(e).__name__
+
+
+def fetched_in_batches(wanted: DataFrame, cache: str, keys: list[str], ask, schema: str, size: int = 50, attempts: int = 3, fresh: tuple[str, object] | None = None, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The wanted keys' rows from a cache that is filled first by requests for `size` keys each, and the keys that could not be had with the label of their error.
+
+    `ask` gets a list of key tuples and gives rows as dicts; it runs on the executors. A batch that fails after its attempts is skipped and tried again by
+    the next call. The cache may be partitioned, say by cell and year. `fresh` (column, oldest) says which cached rows still count.
+    """
+    spark = wanted.sparkSession
+    names = spark.createDataFrame([], schema).columns
+
+    def cached() -> DataFrame:
+        try:
+            x = spark.read.schema(schema).parquet(cache)
+        except AnalysisException:  # there is none yet
+            x = spark.createDataFrame([], schema)
+        return x if fresh is None else x.filter(F.col(fresh[0]) >= F.lit(fresh[1]))
+
+    def run(frames):
+        waiting: list[tuple] = []
+
+        def answered(some):
+            try:
+                rows = [{**r, "_error": None} for r in with_retries(lambda: ask(some), attempts, 0.0 if attempts == 1 else 0.5)]
+            except Exception as e:  # noqa: BLE001  the label says what it was
+                rows = [{**dict(zip(keys, k, strict=True)), "_error": fetch_error(e)} for k in some]
+            return pd.DataFrame(rows, columns=[*names, "_error"])
+
+        for f in frames:
+            waiting += list(f[keys].itertuples(index=False, name=None))
+            while len(waiting) >= size:
+                yield answered(waiting[:size])
+                waiting = waiting[size:]
+        if waiting:
+            yield answered(waiting)
+
+    todo = missing_cells(wanted.select(*keys).distinct(), cached().select(*keys).distinct(), keys)
+    got = _step(todo.mapInPandas(run, f"{schema}, _error string"))  # asked once
+    out = got.filter("_error IS NULL").drop("_error").write.mode("append")
+    (out.partitionBy(*partition_by) if partition_by else out).parquet(cache)
+    return cached().join(wanted.select(*keys).distinct(), keys, "left_semi"), got.filter("_error IS NOT NULL").select(*keys, F.col("_error").alias("error"))

@@ -95,3 +95,33 @@ def test_state_first(tmp_path):
     (tmp_path / "a/x").write_text("1")
     assert paged.state_first("x", str(tmp_path / "a"), str(tmp_path / "b")) == str(tmp_path / "a/x")
     assert paged.state_first("y", str(tmp_path / "a"), str(tmp_path / "b")) == str(tmp_path / "b/y")
+
+
+def test_fetched_in_batches(spark, tmp_path):
+    """Batches of a few keys, failures by label, retried by the next call; a partitioned cache and its freshness."""
+    wanted = spark.createDataFrame([(c, y) for c in ("a", "b", "c", "d", "e") for y in (2022, 2023)] + [("a", 2022)], "cell string, year int").coalesce(1)
+    schema, cache = "cell string, year int, rain double, asked int", str(tmp_path / "cache")
+
+    def asker(bad, now):
+        def ask(keys):
+            assert len(keys) <= 3
+            if any(c in bad for c, _ in keys):
+                e = OSError("no")
+                e.code = 503
+                raise e
+            return [{"cell": c, "year": y, "rain": float(y), "asked": now} for c, y in keys]
+
+        return ask
+
+    rows, failed = paged.fetched_in_batches(wanted, cache, ["cell", "year"], asker({"c"}, 1), schema, 3, 1, partition_by=("year",))
+    lost = {tuple(r)[:2] for r in failed.collect()}
+    assert {r.error for r in failed.collect()} == {"HTTP 503"} and {("c", 2022), ("c", 2023)} <= lost and len(lost) < 10
+    assert rows.count() == 10 - len(lost) and (tmp_path / "cache" / "year=2022").exists()
+    rows, failed = paged.fetched_in_batches(wanted, cache, ["cell", "year"], asker(set(), 2), schema, 3, 1, partition_by=("year",))
+    assert failed.isEmpty() and sorted((r.cell, r.year) for r in rows.collect()) == sorted({(r.cell, r.year) for r in wanted.collect()})
+    assert {r.asked for r in rows.filter("cell = 'c'").collect()} == {2}
+    again, _ = paged.fetched_in_batches(wanted, cache, ["cell", "year"], asker({"a"}, 3), schema, 3, 1, partition_by=("year",))
+    assert again.filter("asked = 3").isEmpty()  # all cached
+    new, failed = paged.fetched_in_batches(wanted, cache, ["cell", "year"], asker(set(), 9), schema, 3, 1, ("asked", 5), ("year",))
+    assert {r.asked for r in new.collect()} == {9} and failed.isEmpty()
+    assert paged.fetch_error(ValueError("x")) == "ValueError"
