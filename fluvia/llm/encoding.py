@@ -33,7 +33,7 @@ _workers: dict[tuple, object] = {}
 
 class Pieces:
     """Ids of pieces, by `learn`: the ids of one piece as an iterable of integers. `tails` are marks that are a pre-token of their own after a
-    letter at the end of a piece, with their ids, so the ids of the piece without may be known already. Not after DOTTED, where the mark would be joined."""
+    letter at the end of a piece, with their ids, so only the piece without is encoded and remembered. Not after DOTTED, where the mark would be joined."""
 
     def __init__(self, learn: Callable[[str], list[int]], tails: dict[str, list[int]] | None = None, size: int = KEPT):
         self.learn, self.size = learn, size
@@ -49,15 +49,17 @@ class Pieces:
         young, old, learn, limit, tails = self.young, self.old, self.learn, KEPT_CHARS, self.tails
         out = list(map(young.get, pieces))
         for i in [i for i, v in enumerate(out) if v is None]:
-            k = pieces[i]
-            v = old.get(k)
-            if v is None and k[-1:] in tails and (c := k[-2:-1]).isalpha() and c != DOTTED and (stem := young.get(k[:-1])) is not None:
-                v = stem + tails[k[-1]]
+            k, tail = pieces[i], b""
+            if k[-1:] in tails and (c := k[-2:-1]).isalpha() and c != DOTTED:
+                k, tail = k[:-1], tails[k[-1]]
+            v = young.get(k) if tail else None
             if v is None:
-                v = array("I", learn(k)).tobytes()
-            out[i] = v
-            if len(k) <= limit:
-                young[k] = v
+                v = old.get(k)
+                if v is None:
+                    v = array("I", learn(k)).tobytes()
+                if len(k) <= limit:
+                    young[k] = v
+            out[i] = v + tail
         if len(young) > self.size:
             self.old, self.young = young, {}
         return out
