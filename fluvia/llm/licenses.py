@@ -5,7 +5,7 @@ hundred regexes in all, run over a text's words (lower-cased, one space apart).
 Detections overlap ("gnu general public license version 3" lies in "... 3 or later"), so each rule has a priority: of two
 detections of which one interval contains the other, the one with the higher priority stays, and of equal ones the longer.
 
-Edge cases: null or empty text has no words, null first_word and last_word, empty labels and score 0; repeated rows are
+Edge cases: null or empty text has no words, null first_word and last_word, empty labels and score 0; a null doc_id stays null; repeated rows are
 scanned each; very long texts are scanned whole; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -83,13 +84,14 @@ NAMES = [
     ("beerware", r"(?:beerware|beer ware)", "42"),
 ]
 
-#: Phrasings: priority, confidence, keyword, pattern. {name}, {v} (version words) and {id} (identifier words) are filled in.
+#: Phrasings: priority, confidence, keyword, pattern. {name}, {v} (version words), {id} (identifier words) and {any} (an operand of an SPDX expression)
+#: are filled in. A group `at` is the interval of the detection, the whole match where there is none.
 PHRASES = [
-    (90, 1.0, " spdx ", r"spdx license identifier {id}"),
+    (90, 1.0, " spdx ", r"spdx license identifier (?:{any} (?:and|or|with) ){{0,8}}(?P<at>{id})"),
     (80, 0.95, " under ", r"(?:licensed|released|distributed|published|available|provided) under (?:the |a )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[cs]e)?{v}"),
     (70, 0.9, " under ", r"under the {name} licen[cs]e{v}"),
     (70, 0.9, "licen", r"(?:subject to|governed by|in accordance with|according to) (?:the )?(?:terms of (?:the )?)?{name} licen[cs]e{v}"),
-    (60, 0.8, "licen", r"{name} (?:public )?licen[cs]e{v}"),
+    (60, 0.8, "licen", r"{name} (?:public )?licen[cs]e{v}(?! (?:plates?|fees?|number|holders?|renewal) )"),
     (50, 0.7, "licen", r"licen[cs]e (?:is )?{name}{v}"),
 ]
 #: Whole-text signatures: priority, confidence, label, pattern, keyword. Fixed values.
@@ -159,13 +161,105 @@ TEXTS = [
     (85, 0.9, "elastic-2", r"you may not provide the software to third parties as a hosted or managed service", " hosted"),
     (85, 0.9, "postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee", " documentation"),
     (85, 0.9, "ijg", r"this software is based in part on the work of the independent jpeg group", " jpeg"),
+    (86, 0.9, "agpl", r"must prominently offer all users interacting with it remotely through a computer network", " remotely"),
+    (84, 0.85, "gpl", r"the licen[cs]es for most software (?:and other practical works )?are designed to take away your freedom", " designed"),
+    (84, 0.85, "gpl", r"general public license does not permit incorporating your program into proprietary programs", " incorporating"),
+    (86, 0.9, "gpl-3", r"the gnu general public license is a free copyleft license for software and other kinds of works", " copyleft"),
+    (86, 0.9, "agpl-3", r"the gnu affero general public license is a free copyleft license for software and other kinds of works", " copyleft"),
+    (86, 0.9, "lgpl-3", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3", " incorporates"),
+    (86, 0.85, "lgpl", r"the (?:lesser|library) general public license applies to some specially designated", " designated"),
+    (85, 0.9, "fdl", r"the purpose of this license is to make a manual textbook or other functional and useful document free", " textbook"),
+    (85, 0.9, "apache-2", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable", " irrevocable"),
+    (85, 0.9, "apache-2", r"licensed to the apache software foundation asf under one or more contributor license agreements", " asf"),
+    (85, 0.85, "apache-1.1", r"products derived from this software may not be called apache", " apache"),
+    (85, 0.85, "php", r"products derived from this software may not be called php", " php"),
+    (86, 0.9, "mpl-2", r"this source code form is incompatible with secondary licenses as defined by the mozilla public license", " incompatible"),
+    (86, 0.9, "mpl-1.1", r"alternatively the contents of this file may be used under the terms of either the gnu", " alternatively"),
+    (84, 0.85, "epl", r"any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement", " recipient"),
+    (86, 0.9, "cpl", r"the accompanying program is provided under the terms of this common public license", " accompanying"),
+    (86, 0.9, "ipl", r"the accompanying program is provided under the terms of this ibm public license", " accompanying"),
+    (85, 0.9, "afl-3", r"licensed under the academic free license version 3 0", " academic"),
+    (85, 0.9, "osl-3", r"licensed under the open software license version 3 0", " open"),
+    (80, 0.9, "ecl", r"educational community license", " educational"),
+    (80, 0.9, "rpl", r"reciprocal public license", " reciprocal"),
+    (80, 0.9, "cpal", r"common public attribution license", " attribution"),
+    (80, 0.9, "apsl", r"apple public source license", " apple"),
+    (80, 0.9, "sissl", r"sun industry standards source license", " industry"),
+    (80, 0.9, "npl", r"netscape public license", " netscape"),
+    (80, 0.9, "lpl", r"lucent public license", " lucent"),
+    (80, 0.9, "nokia", r"nokia open source license", " nokia"),
+    (80, 0.9, "watcom", r"sybase open watcom public license", " watcom"),
+    (80, 0.9, "efl", r"eiffel forum license", " eiffel"),
+    (80, 0.9, "aal", r"attribution assurance license", " assurance"),
+    (80, 0.9, "sgi-b", r"sgi free software license b", " sgi"),
+    (80, 0.9, "intel", r"intel open source license", " intel"),
+    (80, 0.9, "ipa", r"ipa font license agreement", " ipa"),
+    (80, 0.9, "zpl", r"zope public license", " zope"),
+    (80, 0.9, "openldap", r"(?:the )?openldap public license", " openldap"),
+    (80, 0.9, "mulan", r"mulan (?:permissive software|psl|public) license", " mulan"),
+    (80, 0.9, "blueoak", r"blue oak model license", " oak"),
+    (80, 0.9, "hippocratic", r"hippocratic license", " hippocratic"),
+    (80, 0.9, "996", r"anti 996 license", " 996"),
+    (80, 0.9, "polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter|free trial|internal use) license", " polyform"),
+    (80, 0.9, "confluent", r"confluent community license", " confluent"),
+    (80, 0.9, "rsal", r"redis source available license", " redis"),
+    (80, 0.9, "openrail", r"(?:creativeml |bigscience |bigcode )?open ?rail m(?: license)?", " open"),
+    (80, 0.9, "llama", r"llama [0-9](?: [0-9])? community license agreement", " llama"),
+    (80, 0.9, "cdla", r"community data license agreement (?:permissive|sharing)", " community"),
+    (80, 0.9, "odc-by", r"open data commons attribution license", " commons"),
+    (82, 0.9, "ogl-uk", r"contains public sector information licensed under the open government licence", " sector"),
+    (80, 0.9, "etalab", r"licence ouverte(?: open licence)?", " ouverte"),
+    (80, 0.9, "dl-de", r"datenlizenz deutschland", " datenlizenz"),
+    (80, 0.9, "nlod", r"norwegian licen[cs]e for open government data", " norwegian"),
+    (85, 0.9, "cecill", r"this software is governed by the cecill(?: [bc])? license under french law", " cecill"),
+    (84, 0.85, "hpnd", r"distribute this software and its documentation for any purpose and without fee is hereby granted", " documentation"),
+    (83, 0.8, "hpnd", r"not be used in advertising or publicity pertaining to distribution of the software", " publicity"),
+    (86, 0.85, "curl", r"copyright and permission notice copyright (?:c )?1996 [0-9]{4} daniel stenberg", " stenberg"),
+    (85, 0.9, "unicode", r"unicode inc license agreement data files and software", " unicode"),
+    (85, 0.9, "libtiff", r"in no event shall sam leffler or silicon graphics be liable", " leffler"),
+    (85, 0.9, "bzip2", r"this program bzip2 the associated library libbzip2", " libbzip2"),
+    (85, 0.9, "info-zip", r"this is version .{1,60}? of the info zip (?:copyright and )?license", " info"),
+    (85, 0.9, "libpng-2", r"png reference library license version 2", " png"),
+    (85, 0.9, "sleepycat", r"redistributions in any form must be accompanied by information on how to obtain complete source code", " accompanied"),
+    (85, 0.9, "bsd-3-clause-clear", r"no express or implied licenses to any party s patent rights are granted by this license", " patent"),
+    (85, 0.9, "bsd-2-clause-patent", r"hereby grants to those receiving rights under this license a perpetual worldwide", " receiving"),
+    (85, 0.85, "ms-rl", r"for any file you distribute that contains code from the software in source code or binary format you must provide recipients", " recipients"),
+    (85, 0.9, "artistic-2", r"this license establishes the terms under which a given free software package may be copied", " establishes"),
+    (82, 0.85, "perl", r"(?:redistribute it and or modify it )?under the same terms as perl itself", " perl"),
+    (85, 0.9, "ruby", r"you can redistribute it and or modify it under either the terms of the 2 clause bsdl", " bsdl"),
+    (85, 0.9, "vim", r"there are no restrictions on distributing unmodified copies of vim", " unmodified"),
+    (85, 0.9, "w3c", r"w3c software (?:and document )?notice and license", " w3c"),
+    (85, 0.9, "tcl", r"the following terms apply to all files associated with the software unless explicitly disclaimed in individual files", " disclaimed"),
+    (85, 0.9, "fsfap", r"copying and distribution of this file with or without modification are permitted in any medium without royalty", " royalty"),
+    (85, 0.9, "fsful", r"the free software foundation gives unlimited permission to copy (?:and or )?distribute", " unlimited"),
+    (85, 0.9, "lppl", r"distributed and or modified under the (?:conditions|terms) of the latex project public license", " latex"),
+    (85, 0.9, "ofl", r"the fonts including any derivative works can be bundled embedded redistributed and or sold", " bundled"),
+    (85, 0.9, "bitstream-vera", r"bitstream vera is a trademark of bitstream inc", " bitstream"),
+    (85, 0.9, "cc0-1", r"the person who associated a work with this deed has dedicated the work to the public domain", " deed"),
+    (86, 0.9, "cc-by-2", r"creativecommons org licenses by 2 0", " creativecommons"),
+    (86, 0.9, "cc-by-2.5", r"creativecommons org licenses by 2 5", " creativecommons"),
+    (86, 0.9, "cc-by-sa-2", r"creativecommons org licenses by sa 2 0", " creativecommons"),
+    (86, 0.9, "cc-by-sa-2.5", r"creativecommons org licenses by sa 2 5", " creativecommons"),
+    (86, 0.9, "cc-by-nc-3", r"creativecommons org licenses by nc 3 0", " creativecommons"),
+    (86, 0.9, "cc-by-nc-sa-3", r"creativecommons org licenses by nc sa 3 0", " creativecommons"),
+    (86, 0.9, "cc-by-nd-3", r"creativecommons org licenses by nd 3 0", " creativecommons"),
+    (85, 0.9, "upl", r"and or data collectively the software free of charge and under any and all copyright rights", " collectively"),
+    (85, 0.9, "apple-sample", r"in consideration of your agreement to (?:abide by )?the following terms", " consideration"),
+    (85, 0.85, "ssleay", r"this library is free for commercial and non commercial use as long as the following conditions are adhered to", " commercial"),
+    (85, 0.9, "blessing", r"may you find forgiveness for yourself and forgive others", " forgiveness"),
+    (75, 0.7, "public-domain", r"the authors? (?:hereby )?disclaims? copyright to this source code", " disclaim"),
+    (60, 0.7, "proprietary", r"use duplication or disclosure by the (?:u s |us |united states )?government is subject to restrictions", " duplication"),
+    (60, 0.7, "proprietary", r"oracle binary code license agreement", " oracle"),
+    (60, 0.7, "proprietary", r"licensed materials property of", " materials"),
+    (55, 0.6, "proprietary", r"end user licen[cs]e agreement", " end"),
+    (55, 0.6, "evaluation-only", r"for (?:internal )?evaluation (?:use|purposes) only", " evaluation"),
     (80, 0.8, "commons-clause", r"(?:the )?commons clause license condition v1 0", " clause"),
     (78, 0.8, "public-domain", r"(?:dedicated|released|placed|dedicate|release) (?:it |this |any and all copyright interest )?(?:in the software )?(?:in|into|to) the public domain", " domain"),
     (70, 0.7, "public-domain", r"no copyright is claimed", " claimed"),
     (60, 0.7, "proprietary", r"(?:confidential and proprietary|proprietary and confidential)", " proprietary"),
     (60, 0.7, "proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) of this (?:file|software|document|material)", " unauthori"),
     (55, 0.6, "proprietary", r"(?:may not|must not) be (?:copied|reproduced|redistributed) without (?:the )?(?:prior |express |written )*permission", " permission"),
-    (55, 0.6, "non-commercial", r"(?:for|to) non ?commercial (?:use|purposes)(?: only)?", " commercial"),
+    (55, 0.6, "non-commercial", r"(?:for|to) non ?commercial (?:use|purposes)(?: only)?", "commercial"),
     (55, 0.6, "non-commercial", r"for personal(?: and| or) non ?commercial use", " personal"),
     (55, 0.5, "research-only", r"for (?:academic|research)(?: and (?:research|educational))? (?:use|purposes) only", " only"),
     (50, 0.5, "free-use", r"free (?:for|to) (?:use|copy) (?:and (?:distribute|modify) )?(?:by anyone )?for any purpose", " purpose"),
@@ -209,16 +303,23 @@ TAILS = [("or-later", r" (?:license )?(?:or|and)(?: at your option| at your choi
 EXCEPTIONS = [("classpath-exception", r"(?:with|plus) (?:the )?(?:gnu )?classpath(?: linking)? exception"), ("gcc-exception", r"(?:with|plus) (?:the )?gcc (?:runtime library )?exception"), ("linking-exception", r"(?:with|plus) (?:a |the )?(?:special )?linking exception"), ("llvm-exception", r"(?:with|plus) (?:the )?llvm exceptions?"), ("font-exception", r"(?:with|plus) (?:the )?font (?:embedding )?exception"), ("autoconf-exception", r"(?:with|plus) (?:the )?autoconf exception")]
 
 
+def _operand() -> str:
+    """An operand of an SPDX expression as words: an identifier in brackets or not, with its version, or an exception."""
+    heads = sorted({label.replace("-", " ") for label, _, _ in NAMES}, key=lambda x: (-len(x), x))
+    return rf"(?:(?:{'|'.join(heads)})(?: [0-9]+){{0,2}}(?: or later| only)?|[a-z]+(?: [a-z]+)? exception(?: [0-9]+){{0,2}})"
+
+
 def rules() -> list[Rule]:
     """All rules in order: by priority, a rule with a version before the one without."""
     out = []
+    operand = _operand()
     for label, name, versions in NAMES:
         gates = _gates(name)
         for v in [*versions.split(), ""]:
             full = f"{label}-{v}" if v else label
             ident = label.replace("-", " ") + (" " + v.replace(".", " ") if v else "")
             for priority, confidence, keyword, phrase in PHRASES:
-                pattern = phrase.format(name=name, v=_version(v) if v else "", id=ident)
+                pattern = phrase.format(name=name, v=_version(v) if v else "", id=ident, any=operand)
                 out.append(Rule(full, re.compile(rf"(?<= ){pattern}(?= )"), frozenset({" " + ident.split()[0]}) if "{id}" in phrase else gates, frozenset({keyword}), priority + bool(v), confidence))
             for suffix, tail in TAILS if label in OPEN_ENDED and v else []:
                 whole = rf"{name}(?: licen[cs]e)?{_version(v)}{tail}"
@@ -243,6 +344,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TABLE).split()
 
 
+def detected(rules: Iterable[Rule], text: str) -> list[tuple[int, int, str, int, float]]:
+    """(start, end, label, priority, confidence) of every match of `rules`."""
+    return [(*m.span("at" if "at" in r.pattern.groupindex else 0), r.label, r.priority, r.confidence) for r in rules for m in r.pattern.finditer(text)]
+
+
 class Scanner:
     """The rules behind one automaton of their keywords."""
 
@@ -259,8 +365,7 @@ class Scanner:
     def detections(self, text: str) -> list[tuple[int, int, str, int, float]]:
         """(start, end, label, priority, confidence) in `text`, words one space apart, after suppression."""
         seen = {k for _, k in self.gates.iter(text)}
-        found = [(m.start(), m.end(), r.label, r.priority, r.confidence) for r in self.rules if not (r.keywords.isdisjoint(seen) or r.names.isdisjoint(seen)) for m in r.pattern.finditer(text)]
-        return suppressed(found)
+        return suppressed(detected((r for r in self.rules if not (r.keywords.isdisjoint(seen) or r.names.isdisjoint(seen))), text))
 
     def scan(self, text: str) -> tuple:
         words = words_of(text)
