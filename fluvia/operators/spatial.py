@@ -12,6 +12,18 @@ def with_tile(df: DataFrame, x: str, y: str, size: float, names: tuple[str, str]
     return df.withColumn(names[0], F.floor(F.col(x) / size)).withColumn(names[1], F.floor(F.col(y) / size))
 
 
+#: Points that one task gives their pairs.
+POINTS_A_TASK = 1 << 14
+
+
+def _given(points: DataFrame, met: DataFrame) -> DataFrame:
+    """`points` with the rows of `met` for their places (px, py), in tasks whose number grows with them: a place may have many, which no size of either side tells, so none
+    is broadcast and no shuffle made smaller. The key is a text, since a join of doubles would deal the points out again."""
+    at = F.concat_ws(" ", *[(F.col(c) + F.lit(0.0)).cast("string") for c in ("px", "py")])
+    x = points.withColumn("_at", at).repartition(1 + points.count() // POINTS_A_TASK, "_at")
+    return x.join(met.withColumn("_at", at).drop("px", "py").hint("merge"), "_at").drop("_at")
+
+
 def within_join(points: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     """All pairs of (px, py) and (qx, qy) at most `most` apart, with `dist`: a point meets the targets of nine tiles only."""
     a = with_tile(points, "px", "py", most)
@@ -80,13 +92,14 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
 
 def ring_join(points: DataFrame, rings: DataFrame, size: float, shore: float) -> DataFrame:
     """Points (px, py) with the rings (ring: array of structs x, y) that hold them or whose shore is at most `shore` away, with `inside` and
-    `to_shore`: by the tiles of side `size` that a ring's box, widened by `shore`, covers."""
+    `to_shore`: by the tiles of side `size` that a ring's box, widened by `shore`, covers. Distinct places meet distinct rings; rows that share them get the result."""
     lo = lambda c: F.floor((F.array_min(F.transform("ring", lambda p: p[c])) - shore) / size)
     hi = lambda c: F.floor((F.array_max(F.transform("ring", lambda p: p[c])) + shore) / size)
-    tiles = rings.withColumn("_tx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("_ty", F.explode(F.sequence(lo("y"), hi("y"))))
-    met = with_tile(points, "px", "py", size).join(tiles, ["_tx", "_ty"])
+    tiles = rings.select("ring").distinct().withColumn("_tx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("_ty", F.explode(F.sequence(lo("y"), hi("y"))))
+    met = with_tile(points.select("px", "py").distinct(), "px", "py", size).join(tiles, ["_tx", "_ty"]).drop("_tx", "_ty")
     met = met.withColumn("inside", in_ring_of(F.col("px"), F.col("py"), F.col("ring"))).withColumn("to_shore", ring_distance(F.col("px"), F.col("py"), F.col("ring")))
-    return met.filter(F.col("inside") | (F.col("to_shore") <= shore)).drop("_tx", "_ty")
+    met = met.filter(F.col("inside") | (F.col("to_shore") <= shore))
+    return _given(points, met.join(rings, "ring"))
 
 
 def greedy_dedupe(df: DataFrame, key: str, rank: str, most: float) -> DataFrame:
