@@ -222,6 +222,18 @@ def _polygon_join(t):
     return S.polygon_join(pins(t), lakes, "c_custkey", "s_suppkey", 25.0, 8.0).withColumn("to_shore", M.r6(col("to_shore")))
 
 
+def at_pins(t, found, *columns):
+    """What was found for distinct places (px, py), for every pin there."""
+    return pins(t).dropDuplicates(["c_custkey"]).join(found, ["px", "py"]).select("c_custkey", *columns)
+
+
+def two_kinds(t, most: float, first: str):
+    """px, py, a, b: for each distinct place of the pins the distance of the nearest station for which `first` holds and of the nearest other one, one of them within `most`."""
+    x = stations(t).join(t.supplier.select("s_suppkey", F.expr(first).alias("_first")), "s_suppkey").select("qx", "qy", "_first").distinct()
+    d = lambda c: F.min(F.when(c, col("dist")))
+    return S.place_join(pins(t), x, most).groupBy("px", "py").agg(d(col("_first")).alias("a"), d(~col("_first")).alias("b"))
+
+
 query("geo_4_second_pass", f"SELECT c_custkey, arg_min(s_suppkey, (c_nationkey <> s_nationkey, {DIST}, s_suppkey)) AS s_suppkey FROM customer, supplier WHERE {DIST} <= 120 GROUP BY 1")(lambda t: S.within_join(pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey"), stations(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey"), 120.0).groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(col("c_nationkey") != col("s_nationkey"), "dist", "s_suppkey")).alias("s_suppkey")))
 _BX, _BY = f"({QX} + s_suppkey % 7 * 20 - 60)", f"({QY} + s_suppkey % 5 * 30 - 45)"
 _T = f"greatest(0.0, least(1.0, (({PX} - {QX}) * ({_BX} - {QX}) + ({PY} - {QY}) * ({_BY} - {QY})) / nullif(pow({_BX} - {QX}, 2) + pow({_BY} - {QY}, 2), 0)))"
@@ -238,7 +250,7 @@ def _along(t):
 
 query("geo_8_placement_reasons", f"SELECT c_custkey, concat_ws('; ', CASE WHEN {PX} < 100 THEN 'west' END, CASE WHEN {PY} > 900 THEN 'north' END) AS reasons FROM customer WHERE {PX} < 100 OR {PY} > 900")(lambda t: pins(t).select("c_custkey", F.concat_ws("; ", F.when(col("px") < 100, "west"), F.when(col("py") > 900, "north")).alias("reasons")).filter("reasons <> ''"))
 query("geo_9_snap_to_set", f"SELECT c_custkey, arg_min(s_suppkey, ({DIST}, s_suppkey)) AS s_suppkey FROM customer, supplier WHERE {DIST} <= 200 AND s_nationkey < 5 GROUP BY 1")(lambda t: S.nearest_join(pins(t), stations(t).join(t.supplier.filter("s_nationkey < 5").select("s_suppkey"), "s_suppkey", "left_semi"), "c_custkey", "s_suppkey", 200.0).drop("dist"))
-query("geo_10_inland", f"SELECT c_custkey, coalesce(min(CASE WHEN s_nationkey < 12 THEN {DIST} END) <= coalesce(min(CASE WHEN s_nationkey >= 12 THEN {DIST} END), 1e9), false) AS inland FROM customer, supplier WHERE {DIST} <= 150 GROUP BY 1")(lambda t: S.within_join(pins(t), stations(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey"), 150.0).groupBy("c_custkey").agg(F.coalesce(F.min(F.when(col("s_nationkey") < 12, col("dist"))) <= F.coalesce(F.min(F.when(col("s_nationkey") >= 12, col("dist"))), lit(1e9)), lit(False)).alias("inland")))
+query("geo_10_inland", f"SELECT c_custkey, coalesce(min(CASE WHEN s_nationkey < 12 THEN {DIST} END) <= coalesce(min(CASE WHEN s_nationkey >= 12 THEN {DIST} END), 1e9), false) AS inland FROM customer, supplier WHERE {DIST} <= 150 GROUP BY 1")(lambda t: at_pins(t, two_kinds(t, 150.0, "s_nationkey < 12"), F.coalesce(col("a") <= F.coalesce("b", lit(1e9)), lit(False)).alias("inland")))
 
 # --- folds of polls (streams) ------------------------------------------------------------------------------------
 

@@ -12,7 +12,7 @@ from fluvia.operators import spatial
 
 COPIES = 12
 #: Queries that give each pin one row.
-PLACES = []
+PLACES = ["geo_10_inland"]
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +44,25 @@ def test_ring_join_takes_a_place_once(spark, copies):
     got = spatial.ring_join(points, lakes, 4.0, 1.0).selectExpr("count(*)", "count_if(inside)", "count(DISTINCT to_shore)", "sum(g)", "sum(p)").first()
     assert tuple(got) == (2_000_000, 2_000_000, 1, 3_000_000, 999_999_000_000)
     assert time.time() - began < 60  # 2e9 edges, if each row met them
+
+
+#: So many copies that the pairs of rows would take minutes.
+CROWD = 3000
+
+
+@pytest.fixture(scope="module")
+def crowd(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("crowd")
+    for table, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        duckdb.execute(f"COPY (SELECT x.* REPLACE ({key} + r * 1000 AS {key}) FROM read_parquet('{DATA}/{table}.parquet') x, range({CROWD}) g(r)) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", PLACES)
+def test_a_place_is_searched_once(spark, copies, crowd, name):
+    agrees(spark, copies, name)
+    alone, began = QUERIES[name](spark, DATA), time.time()
+    base = lambda df: df.selectExpr(*[f"{c} % 1000 AS {c}" if t == "bigint" else c for c, t in df.dtypes])
+    got = base(QUERIES[name](spark, crowd)).groupBy(*alone.columns).count().collect()
+    assert sorted((tuple(r)[:-1] for r in got), key=repr) == sorted((tuple(r) for r in alone.collect()), key=repr) and {r["count"] for r in got} == {CROWD}
+    assert time.time() - began < 60
