@@ -222,6 +222,22 @@ def _polygon_join(t):
     return S.polygon_join(pins(t), lakes, "c_custkey", "s_suppkey", 25.0, 8.0).withColumn("to_shore", M.r6(col("to_shore")))
 
 
+def by_nation(t, most: float, where: str = "true"):
+    """px, py, s_nationkey, best (dist, s_suppkey): for each distinct place of the pins the nearest station of each nation within `most`."""
+    x = stations(t).join(t.supplier.filter(where).select("s_suppkey", "s_nationkey"), "s_suppkey").groupBy("qx", "qy", "s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"))
+    return S.place_join(pins(t), x, most).groupBy("px", "py", "s_nationkey").agg(F.min(F.struct("dist", "s_suppkey")).alias("best"))
+
+
+def same_first(t, most: float):
+    """c_custkey, s_suppkey, named: the nearest station of the pin's own nation within `most` (named), else of any."""
+    near = G._step(by_nation(t, most))
+    any_ = near.groupBy("px", "py").agg(F.min("best").alias("best"))
+    own = near.select("px", "py", col("s_nationkey").alias("c_nationkey"), col("best").alias("own"))
+    x = pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").join(any_, ["px", "py"]).join(own, ["px", "py", "c_nationkey"], "left")
+    x = x.select("c_custkey", F.struct(col("own").isNull().alias("other"), F.coalesce("own", "best").alias("best")).alias("b")).groupBy("c_custkey").agg(F.min("b").alias("b"))
+    return x.select("c_custkey", col("b.best.s_suppkey").alias("s_suppkey"), (~col("b.other")).alias("named"))
+
+
 def at_pins(t, found, *columns):
     """What was found for distinct places (px, py), for every pin there."""
     return pins(t).dropDuplicates(["c_custkey"]).join(found, ["px", "py"]).select("c_custkey", *columns)

@@ -13,7 +13,7 @@ from fluvia.operators import models
 from fluvia.operators import spatial as S
 from fluvia.operators.lines import simplify
 from fluvia.plans.base import big, col, lit, project, query
-from fluvia.plans.domain import DIST, EDGES, PX, PY, at_pins, edges, pins, stations, two_kinds
+from fluvia.plans.domain import DIST, EDGES, PX, PY, at_pins, edges, pins, same_first, stations, two_kinds
 from fluvia.plans.relational import DAILY, PP, R, Y, daily, day, pp, y
 
 _cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.expr("substring(w, 2)") if w is None else F.substr(w, lit(2))))
@@ -67,7 +67,7 @@ query("grf_13_along_river", _WALK + f" SELECT root, node, {R('dist')} AS metres
 
 _near = lambda t, most: S.within_join(pins(t), stations(t).join(t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey"), most)
 query("geo_1_pin_location", f"SELECT c_custkey, CASE WHEN min(CASE WHEN s_nationkey < 8 THEN {DIST} END) * 0.5 < coalesce(min(CASE WHEN s_nationkey >= 8 THEN {DIST} END), 1e9) THEN 'lake' ELSE 'river' END AS kind FROM customer, supplier WHERE {DIST} <= 100 GROUP BY 1")(lambda t: at_pins(t, two_kinds(t, 100.0, "s_nationkey < 8"), F.when(col("a") * 0.5 < F.coalesce("b", lit(1e9)), "lake").otherwise("river").alias("kind")))
-query("geo_2_name_hint", f"SELECT c_custkey, arg_min(s_suppkey, (s_nationkey <> c_nationkey, {DIST}, s_suppkey)) AS link, bool_or(s_nationkey = c_nationkey) AS named FROM customer, supplier WHERE {DIST} <= 90 GROUP BY 1")(lambda t: _near(t, 90.0).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(col("s_nationkey") != col("c_nationkey"), "dist", "s_suppkey")).alias("link"), F.bool_or(col("s_nationkey") == col("c_nationkey")).alias("named")))
+query("geo_2_name_hint", f"SELECT c_custkey, arg_min(s_suppkey, (s_nationkey <> c_nationkey, {DIST}, s_suppkey)) AS link, bool_or(s_nationkey = c_nationkey) AS named FROM customer, supplier WHERE {DIST} <= 90 GROUP BY 1")(lambda t: same_first(t, 90.0).select("c_custkey", col("s_suppkey").alias("link"), "named"))
 query("geo_3_main_channel", f"SELECT c_custkey, CASE WHEN arg_min(s_acctbal, ({DIST}, s_suppkey)) < 3000 AND max(s_acctbal) >= greatest(5000, 5 * arg_min(s_acctbal, ({DIST}, s_suppkey))) THEN arg_max(s_suppkey, (s_acctbal, s_suppkey)) ELSE arg_min(s_suppkey, ({DIST}, s_suppkey)) END AS link FROM customer, supplier WHERE {DIST} <= 90 GROUP BY 1")(
     lambda t: _near(t, 90.0).groupBy("c_custkey").agg(F.min_by("s_acctbal", F.struct("dist", "s_suppkey")).alias("own"), F.max("s_acctbal").alias("top"), F.max_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("main"), F.min_by("s_suppkey", F.struct("dist", "s_suppkey")).alias("near")).select("c_custkey", F.when((col("own") < 3000) & (col("top") >= F.greatest(lit(5000.0), 5 * col("own"))), col("main")).otherwise(col("near")).alias("link"))
 )
