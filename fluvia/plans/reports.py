@@ -65,12 +65,20 @@ _above = lambda t, nodes: G.closure(edges(t), t.part.filter(nodes).select(col("p
 query("grf_11_path_to_lake", _WALK + f" SELECT root, arg_min(node, dist) AS entry, {R('min(dist)')} AS dist FROM w WHERE node BETWEEN 100 AND 130 GROUP BY 1")(lambda t: _above(t, "p_partkey BETWEEN 100 AND 130").groupBy("root").agg(F.min_by("node", "dist").alias("entry"), M.r6(F.min("dist")).alias("dist")))
 query("grf_13_along_river", _WALK + f" SELECT root, node, {R('dist')} AS metres FROM w WHERE node IN (3, 60, 61)")(lambda t: _above(t, "p_partkey IN (3, 60, 61)").select("root", "node", M.r6(col("dist")).alias("metres")))
 
-_near = lambda t, most: S.within_join(pins(t), stations(t).join(t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey"), most)
 query("geo_1_pin_location", f"SELECT c_custkey, CASE WHEN min(CASE WHEN s_nationkey < 8 THEN {DIST} END) * 0.5 < coalesce(min(CASE WHEN s_nationkey >= 8 THEN {DIST} END), 1e9) THEN 'lake' ELSE 'river' END AS kind FROM customer, supplier WHERE {DIST} <= 100 GROUP BY 1")(lambda t: at_pins(t, two_kinds(t, 100.0, "s_nationkey < 8"), F.when(col("a") * 0.5 < F.coalesce("b", lit(1e9)), "lake").otherwise("river").alias("kind")))
 query("geo_2_name_hint", f"SELECT c_custkey, arg_min(s_suppkey, (s_nationkey <> c_nationkey, {DIST}, s_suppkey)) AS link, bool_or(s_nationkey = c_nationkey) AS named FROM customer, supplier WHERE {DIST} <= 90 GROUP BY 1")(lambda t: same_first(t, 90.0).select("c_custkey", col("s_suppkey").alias("link"), "named"))
-query("geo_3_main_channel", f"SELECT c_custkey, CASE WHEN arg_min(s_acctbal, ({DIST}, s_suppkey)) < 3000 AND max(s_acctbal) >= greatest(5000, 5 * arg_min(s_acctbal, ({DIST}, s_suppkey))) THEN arg_max(s_suppkey, (s_acctbal, s_suppkey)) ELSE arg_min(s_suppkey, ({DIST}, s_suppkey)) END AS link FROM customer, supplier WHERE {DIST} <= 90 GROUP BY 1")(
-    lambda t: _near(t, 90.0).groupBy("c_custkey").agg(F.min_by("s_acctbal", F.struct("dist", "s_suppkey")).alias("own"), F.max("s_acctbal").alias("top"), F.max_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("main"), F.min_by("s_suppkey", F.struct("dist", "s_suppkey")).alias("near")).select("c_custkey", F.when((col("own") < 3000) & (col("top") >= F.greatest(lit(5000.0), 5 * col("own"))), col("main")).otherwise(col("near")).alias("link"))
-)
+query("geo_3_main_channel", f"SELECT c_custkey, CASE WHEN arg_min(s_acctbal, ({DIST}, s_suppkey)) < 3000 AND max(s_acctbal) >= greatest(5000, 5 * arg_min(s_acctbal, ({DIST}, s_suppkey))) THEN arg_max(s_suppkey, (s_acctbal, s_suppkey)) ELSE arg_min(s_suppkey, ({DIST}, s_suppkey)) END AS link FROM customer, supplier WHERE {DIST} <= 90 GROUP BY 1")(lambda t: _main_channel(t))
+
+
+def _main_channel(t):
+    """The nearest station, or if it is small and a far greater one lies near, the greatest: of the stations at one place only the first and the greatest count."""
+    x = stations(t).join(t.supplier.select("s_suppkey", "s_acctbal"), "s_suppkey")
+    x = x.groupBy("qx", "qy").agg(F.min(F.struct("s_suppkey", "s_acctbal")).alias("near"), F.max(F.struct("s_acctbal", "s_suppkey")).alias("top"))
+    x = S.place_join(pins(t), x, 90.0).groupBy("px", "py").agg(F.min(F.struct("dist", "near"))["near"].alias("near"), F.max("top").alias("top"))
+    main = (col("near.s_acctbal") < 3000) & (col("top.s_acctbal") >= F.greatest(lit(5000.0), 5 * col("near.s_acctbal")))
+    return at_pins(t, x, F.when(main, col("top.s_suppkey")).otherwise(col("near.s_suppkey")).alias("link"))
+
+
 query("geo_6_simplify")(lambda t: _simplified(t))
 
 

@@ -12,7 +12,7 @@ from fluvia.operators import spatial
 
 COPIES = 12
 #: Queries that give each pin one row.
-PLACES = ["geo_10_inland", "geo_1_pin_location", "geo_2_name_hint"]
+PLACES = ["geo_10_inland", "geo_1_pin_location", "geo_2_name_hint", "geo_3_main_channel"]
 
 
 @pytest.fixture(scope="module")
