@@ -151,11 +151,14 @@ def polygon_join(points: DataFrame, polygons: DataFrame, point: str, polygon: st
 
     A point is inside where a ray to the right crosses the outlines an odd number of times, all rings counted, so holes and parts need no case of their own. Edges are
     filed by strips of height `size`, and for the distance by the tiles that they come near: a point meets the edges of its strip and tile, not a lake of many
-    corners whole. Pairs to test come from the tiles of the polygons' boxes.
+    corners whole. Pairs to test come from the tiles of the polygons' boxes. One point stands for all of its place and one polygon for all with its very rings; the
+    others get their results.
     """
     tile = lambda c: F.floor(F.col(c) / size)
-    pts = points.select(point, "px", "py", tile("px").alias("_tx"), tile("py").alias("_ty"))
-    e = polygon_edges(polygons, polygon, rings)
+    places = points.groupBy("px", "py").agg(F.min(point).alias(point))
+    pts = places.select(point, "px", "py", tile("px").alias("_tx"), tile("py").alias("_ty"))
+    shapes = polygons.groupBy(rings).agg(F.min(polygon).alias(polygon))
+    e = polygon_edges(shapes, polygon, rings)
     lo = {c: F.least(f"a{c}", f"b{c}") for c in "xy"}
     hi = {c: F.greatest(f"a{c}", f"b{c}") for c in "xy"}
     box = e.groupBy(polygon).agg(*[F.floor(f(v[c]) / size).alias(f"{n}{c}") for n, f, v in (("l", F.min, lo), ("h", F.max, hi)) for c in "xy"])
@@ -169,4 +172,7 @@ def polygon_join(points: DataFrame, polygons: DataFrame, point: str, polygon: st
     tiles = e.select("*", F.explode(span("x")).alias("_tx")).select("*", F.explode(span("y")).alias("_ty"))
     away = segment_distance(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))[0]
     near = pts.join(tiles, ["_tx", "_ty"]).select(point, polygon, away.alias("d")).filter(F.col("d") <= shore).groupBy(point, polygon).agg(F.min("d").alias("to_shore"))
-    return inside.join(near, [point, polygon], "full").select(point, polygon, F.coalesce("inside", F.lit(False)).alias("inside"), "to_shore")
+    met = inside.join(near, [point, polygon], "full").select(point, polygon, F.coalesce("inside", F.lit(False)).alias("inside"), "to_shore")
+    same = polygons.select(rings, F.col(polygon).alias("_same")).join(shapes, rings).select(polygon, "_same")
+    met = met.join(places, point).join(same, polygon).select("px", "py", F.col("_same").alias(polygon), "inside", "to_shore")
+    return _given(points.select(point, "px", "py"), met).select(point, polygon, "inside", "to_shore")
