@@ -13,7 +13,7 @@ from fluvia.operators import models
 from fluvia.operators import spatial as S
 from fluvia.operators.lines import simplify
 from fluvia.plans.base import big, col, lit, project, query
-from fluvia.plans.domain import DIST, EDGES, PX, PY, at_pins, edges, pins, same_first, stations, two_kinds
+from fluvia.plans.domain import DIST, EDGES, PX, PY, at_pins, by_nation, edges, pins, same_first, stations, two_kinds
 from fluvia.plans.relational import DAILY, PP, R, Y, daily, day, pp, y
 
 _cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.expr("substring(w, 2)") if w is None else F.substr(w, lit(2))))
@@ -46,7 +46,17 @@ def _best_pins(t):
 
 
 
-query("grf_3_gap_repair", f"SELECT c_custkey AS head, arg_min(s_suppkey, ({DIST}, s_suppkey)) AS sink FROM customer, supplier WHERE {DIST} <= 60 AND s_acctbal >= 1000 AND c_nationkey <> s_nationkey GROUP BY 1")(lambda t: S.within_join(pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey"), stations(t).join(t.supplier.filter("s_acctbal >= 1000").select("s_suppkey", "s_nationkey"), "s_suppkey"), 60.0).filter("c_nationkey <> s_nationkey").groupBy(col("c_custkey").alias("head")).agg(F.min_by("s_suppkey", F.struct("dist", "s_suppkey")).alias("sink")))
+query("grf_3_gap_repair", f"SELECT c_custkey AS head, arg_min(s_suppkey, ({DIST}, s_suppkey)) AS sink FROM customer, supplier WHERE {DIST} <= 60 AND s_acctbal >= 1000 AND c_nationkey <> s_nationkey GROUP BY 1")(lambda t: _gap_repair(t))
+
+
+def _gap_repair(t):
+    """The nearest sink of another nation: of a place's two nearest nations one is another."""
+    two = by_nation(t, 60.0, "s_acctbal >= 1000").filter("s_nationkey IS NOT NULL").groupBy("px", "py").agg(F.slice(F.array_sort(F.collect_list(F.struct("best", "s_nationkey"))), 1, 2).alias("two"))
+    x = pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").join(two, ["px", "py"])
+    x = x.select("c_custkey", F.get(F.filter("two", lambda n: n["s_nationkey"] != col("c_nationkey")), lit(0))["best"].alias("best"))
+    return x.filter("best IS NOT NULL").groupBy(col("c_custkey").alias("head")).agg(F.min("best").alias("best")).select("head", col("best.s_suppkey").alias("sink"))
+
+
 _ANC = f"WITH RECURSIVE a AS (SELECT src AS node, dst AS top, length FROM {EDGES} UNION ALL SELECT node, e.dst, a.length FROM a JOIN {EDGES} e ON e.src = a.top)"
 query("grf_4_accumulated_length", _ANC + f" SELECT top AS node, {R('sum(length)')} AS upstream FROM a GROUP BY 1")(lambda t: G.accumulate(edges(t)).filter("upstream > 0").select("node", M.r6(col("upstream")).alias("upstream")))
 _LAKE = "src // 300 AS lake, dst // 300 AS below"
