@@ -250,7 +250,7 @@ def two_kinds(t, most: float, first: str):
     return S.place_join(pins(t), x, most).groupBy("px", "py").agg(d(col("_first")).alias("a"), d(~col("_first")).alias("b"))
 
 
-query("geo_4_second_pass", f"SELECT c_custkey, arg_min(s_suppkey, (c_nationkey <> s_nationkey, {DIST}, s_suppkey)) AS s_suppkey FROM customer, supplier WHERE {DIST} <= 120 GROUP BY 1")(lambda t: S.within_join(pins(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey"), stations(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey"), 120.0).groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(col("c_nationkey") != col("s_nationkey"), "dist", "s_suppkey")).alias("s_suppkey")))
+query("geo_4_second_pass", f"SELECT c_custkey, arg_min(s_suppkey, (c_nationkey <> s_nationkey, {DIST}, s_suppkey)) AS s_suppkey FROM customer, supplier WHERE {DIST} <= 120 GROUP BY 1")(lambda t: same_first(t, 120.0).select("c_custkey", "s_suppkey"))
 _BX, _BY = f"({QX} + s_suppkey % 7 * 20 - 60)", f"({QY} + s_suppkey % 5 * 30 - 45)"
 _T = f"greatest(0.0, least(1.0, (({PX} - {QX}) * ({_BX} - {QX}) + ({PY} - {QY}) * ({_BY} - {QY})) / nullif(pow({_BX} - {QX}, 2) + pow({_BY} - {QY}, 2), 0)))"
 
