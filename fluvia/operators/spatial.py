@@ -47,16 +47,18 @@ RINGS = (0.125, 0.25, 0.5, 1.0)
 def nearest_join(points: DataFrame, targets: DataFrame, point_key: str, target_key: str, most: float) -> DataFrame:
     """The nearest target of each point, ties by key.
 
-    Outwards in RINGS of tiles: a point that has met a target within a ring's distance is done, since any target of a wider ring is farther;
-    so dense places meet small tiles only.
+    Points of one place share it, and of targets at one place the smallest key goes before the others, so both are searched by distinct places. Outwards in RINGS of
+    tiles: a place that has met a target within a ring's distance is done, since any target of a wider ring is farther; so dense places meet small tiles only.
     """
-    found, left = None, points
+    first = targets.groupBy("qx", "qy").agg(F.min(target_key).alias(target_key))
+    found, left = None, points.select("px", "py").distinct()
     for share in RINGS:
-        met = within_join(left, targets, most * share).groupBy(point_key).agg(F.min(F.struct("dist", target_key)).alias("_b"))
-        best = _step(met.select(point_key, F.col(f"_b.{target_key}").alias(target_key), F.col("_b.dist").alias("dist")))
+        met = place_join(left, first, most * share).groupBy("px", "py").agg(F.min(F.struct("dist", target_key)).alias("_b"))
+        best = _step(met)
         found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(point_key), point_key, "left_anti")
-    return found
+        left = left.join(best.select("px", "py"), ["px", "py"], "left_anti")
+    x = points.select(point_key, "px", "py").join(found, ["px", "py"]).groupBy(point_key).agg(F.min("_b").alias("_b"))
+    return x.select(point_key, F.col(f"_b.{target_key}").alias(target_key), F.col("_b.dist").alias("dist"))
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:

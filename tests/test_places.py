@@ -12,7 +12,7 @@ from fluvia.operators import spatial
 
 COPIES = 12
 #: Queries that give each pin one row.
-PLACES = ["geo_10_inland", "geo_1_pin_location", "geo_2_name_hint", "geo_3_main_channel", "grf_3_gap_repair", "geo_4_second_pass"]
+PLACES = ["geo_10_inland", "geo_1_pin_location", "geo_2_name_hint", "geo_3_main_channel", "grf_3_gap_repair", "geo_4_second_pass", "jon_17_nearest_listed", "jon_14_nearest", "geo_9_snap_to_set"]
 
 
 @pytest.fixture(scope="module")
