@@ -112,13 +112,23 @@ def ring_join(points: DataFrame, rings: DataFrame, size: float, shore: float) ->
     return _given(points, met.join(rings, "ring"))
 
 
+def _best_of_places(df: DataFrame, key: str, rank: str) -> DataFrame:
+    """The best-ranked row of each place, ties by key. Rows without a place or rank, which neither suppress nor are suppressed, stay."""
+    whole = F.col("px").isNotNull() & F.col("py").isNotNull() & F.col(rank).isNotNull()
+    x = df.filter(whole)
+    top = x.join(x.groupBy("px", "py").agg(F.max(rank).alias(rank)), ["px", "py", rank], "left_semi")
+    first = top.groupBy("px", "py", rank).agg(F.min(key).alias(key))
+    return x.join(first, ["px", "py", rank, key], "left_semi").unionByName(df.filter(~whole))
+
+
 def greedy_dedupe(df: DataFrame, key: str, rank: str, most: float) -> DataFrame:
     """Keep the best-ranked point (px, py) of those within `most`, in the order (rank desc, key): rounds of suppression, until none is open.
 
-    Each point meets its neighbours once; in each round, a point with no better open neighbour is kept and closes its neighbours. A chain in
-    which each point is just better than the next takes as many rounds as it has kept points.
+    Of the points at one place only the best can be kept: what suppresses it lies as near to the others. Each of these meets its neighbours once; in each round, a
+    point with no better open neighbour is kept and closes its neighbours. A chain in which each point is just better than the next takes as many rounds as it has kept points.
     """
     near = lambda c: F.col(c)
+    df = _step(_best_of_places(df, key, rank))
     q = df.select(F.col(key).alias("_k"), F.col(rank).alias("_r"), F.col("px").alias("qx"), F.col("py").alias("qy"))
     better = (near("_r") > near(rank)) | ((near("_r") == near(rank)) & (near("_k") < near(key)))
     links = _step(within_join(df, q, most).filter(better).select(F.col(key).alias("worse"), F.col("_k").alias("better")))

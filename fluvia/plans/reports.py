@@ -42,7 +42,7 @@ UNION ALL SELECT o.i, CASE WHEN len(list_filter(kept, lambda q: sqrt(pow(q.x - o
 SELECT u.v.k AS c_custkey FROM (SELECT kept FROM w ORDER BY i DESC LIMIT 1), unnest(kept) AS u(v)""",
 )
 def _best_pins(t):
-    return S.greedy_dedupe(pins(t).join(t.customer.select("c_custkey", big(col("c_acctbal")).alias("rank")), "c_custkey"), "c_custkey", "rank", 20.0).select("c_custkey")
+    return S.greedy_dedupe(pins(t).join(t.customer.select("c_custkey", big(F.rint("c_acctbal")).alias("rank")), "c_custkey"), "c_custkey", "rank", 20.0).select("c_custkey")
 
 
 

@@ -66,3 +66,10 @@ def test_a_place_is_searched_once(spark, copies, crowd, name):
     got = base(QUERIES[name](spark, crowd)).groupBy(*alone.columns).count().collect()
     assert sorted((tuple(r)[:-1] for r in got), key=repr) == sorted((tuple(r) for r in alone.collect()), key=repr) and {r["count"] for r in got} == {CROWD}
     assert time.time() - began < 60
+
+
+def test_of_points_at_one_place_the_best_is_kept(spark):
+    x = spark.range(60_000).selectExpr("id AS k", "CAST(id % 59999 AS INT) AS rank", "0D AS px", "0D AS py").unionByName(spark.createDataFrame([(-1, 70_000, 5.0, 0.0), (-2, None, 0.0, 0.0), (-3, 1, 9.0, 0.0)], "k long, rank int, px double, py double"))
+    began = time.time()
+    assert sorted(r.k for r in spatial.greedy_dedupe(x, "k", "rank", 4.5).collect()) == [-2, -1, 59998]
+    assert time.time() - began < 30  # 1.8e9 links, if each row met the others
