@@ -12,6 +12,14 @@ def with_tile(df: DataFrame, x: str, y: str, size: float, names: tuple[str, str]
     return df.withColumn(names[0], F.floor(F.col(x) / size)).withColumn(names[1], F.floor(F.col(y) / size))
 
 
+def place_join(points: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """Each distinct place (px, py) of `points` with the targets (qx, qy) at most `most` away, and `dist`: a place meets the targets of nine tiles only."""
+    a = with_tile(points.select("px", "py").distinct(), "px", "py", most)
+    a = a.withColumn("_tx", F.explode(F.array(*[F.col("_tx") + d for d in (-1, 0, 1)]))).withColumn("_ty", F.explode(F.array(*[F.col("_ty") + d for d in (-1, 0, 1)])))
+    d = F.sqrt(F.pow(F.col("px") - F.col("qx"), F.lit(2.0)) + F.pow(F.col("py") - F.col("qy"), F.lit(2.0)))
+    return a.join(with_tile(targets, "qx", "qy", most), ["_tx", "_ty"]).withColumn("dist", d).filter(F.col("dist") <= most).drop("_tx", "_ty")
+
+
 #: Points that one task gives their pairs.
 POINTS_A_TASK = 1 << 14
 
@@ -24,20 +32,10 @@ def _given(points: DataFrame, met: DataFrame) -> DataFrame:
     return x.join(met.withColumn("_at", at).drop("px", "py").hint("merge"), "_at").drop("_at")
 
 
-def place_join(points: DataFrame, targets: DataFrame, most: float) -> DataFrame:
-    """Each distinct place (px, py) of `points` with the targets (qx, qy) at most `most` away, and `dist`: a place meets the targets of nine tiles only."""
-    a = with_tile(points.select("px", "py").distinct(), "px", "py", most)
-    a = a.withColumn("_tx", F.explode(F.array(*[F.col("_tx") + d for d in (-1, 0, 1)]))).withColumn("_ty", F.explode(F.array(*[F.col("_ty") + d for d in (-1, 0, 1)])))
-    d = F.sqrt(F.pow(F.col("px") - F.col("qx"), F.lit(2.0)) + F.pow(F.col("py") - F.col("qy"), F.lit(2.0)))
-    return a.join(with_tile(targets, "qx", "qy", most), ["_tx", "_ty"]).withColumn("dist", d).filter(F.col("dist") <= most).drop("_tx", "_ty")
-
-
 def within_join(points: DataFrame, targets: DataFrame, most: float) -> DataFrame:
-    """All pairs of (px, py) and (qx, qy) at most `most` apart, with `dist`: a point meets the targets of nine tiles only."""
-    a = with_tile(points, "px", "py", most)
-    a = a.withColumn("_tx", F.explode(F.array(*[F.col("_tx") + d for d in (-1, 0, 1)]))).withColumn("_ty", F.explode(F.array(*[F.col("_ty") + d for d in (-1, 0, 1)])))
-    d = F.sqrt(F.pow(F.col("px") - F.col("qx"), F.lit(2.0)) + F.pow(F.col("py") - F.col("qy"), F.lit(2.0)))
-    return a.join(with_tile(targets, "qx", "qy", most), ["_tx", "_ty"]).withColumn("dist", d).filter(F.col("dist") <= most).drop("_tx", "_ty")
+    """All pairs of (px, py) and (qx, qy) at most `most` apart, with `dist`: found by distinct places, then given to the rows that share them."""
+    met = place_join(points, targets.select("qx", "qy").distinct(), most)
+    return _given(points, met.join(targets, ["qx", "qy"]))
 
 
 #: Rings that `nearest_join` searches: shares of the farthest distance.

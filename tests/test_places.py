@@ -68,6 +68,13 @@ def test_a_place_is_searched_once(spark, copies, crowd, name):
     assert time.time() - began < 60
 
 
+def test_within_join_is_dealt_to_many_tasks(spark):
+    x = spark.range(100_000).selectExpr("id", "CAST(id % 1000 AS DOUBLE) AS px", "CAST(id % 7 AS DOUBLE) AS py")
+    q = spark.range(3000).selectExpr("id AS k", "CAST(id % 1000 AS DOUBLE) AS qx", "CAST(id % 7 AS DOUBLE) AS qy")
+    counts = [r["count"] for r in spatial.within_join(x, q, 0.5).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 44_000 and len(counts) > 5 and max(counts) < sum(counts) / 3
+
+
 def test_of_points_at_one_place_the_best_is_kept(spark):
     x = spark.range(60_000).selectExpr("id AS k", "CAST(id % 59999 AS INT) AS rank", "0D AS px", "0D AS py").unionByName(spark.createDataFrame([(-1, 70_000, 5.0, 0.0), (-2, None, 0.0, 0.0), (-3, 1, 9.0, 0.0)], "k long, rank int, px double, py double"))
     began = time.time()
