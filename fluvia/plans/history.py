@@ -44,7 +44,8 @@ def _observed_exposure(t):
     s = t.orders.select("o_orderkey", "o_custkey", _hours(col("o_orderdate")).alias("at")).join(up, "o_custkey")
     s = s.select("o_orderkey", "site", "dist", (col("at") - col("dist")).alias("arrive")).withColumn("since", col("arrive") - BEFORE_H)
     x = intervals.latest_end(s, _events(t).drop("o_orderkey"), ["site"], "since", "arrive", "began", "ended", 24.0 * 30)
-    share = F.least(lit(1.0), lit(5000.0) / (col("dist") + 5000)) * M.decay(F.greatest(col("arrive") - col("last"), lit(0.0)), T90_H)
+    # greatest() passes over nulls: a source without an event sends nothing
+    share = F.when(col("last").isNotNull(), F.least(lit(1.0), lit(5000.0) / (col("dist") + 5000)) * M.decay(F.greatest(col("arrive") - col("last"), lit(0.0)), T90_H))
     return x.groupBy("o_orderkey").agg(F.count("*").alias("sources"), F.count("last").alias("active"), M.r6(1 - F.product(1 - F.coalesce(share, lit(0.0)))).alias("exposure"))
 
 
