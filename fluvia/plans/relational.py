@@ -24,11 +24,12 @@ def hourly(t, when: str = "true"):
     return T.latest_per(x, ["cell", "hr"], [col("ts").desc(), col("event_id").desc()]).select("cell", "hr", "mm")
 
 
-DAILY = f"(SELECT cell, hr::DATE AS day, sum(mm) AS rain, max(mm) AS top, count(mm)::BIGINT AS n_hours FROM {HOURLY} GROUP BY cell, hr::DATE)"
+#: A day's rain to six decimals: the order of a sum must not decide on which side of a limit or of a half it lies.
+DAILY = f"(SELECT cell, hr::DATE AS day, {R('sum(mm)')} AS rain, max(mm) AS top, count(mm)::BIGINT AS n_hours FROM {HOURLY} GROUP BY cell, hr::DATE)"
 
 
 def daily(t, when: str = "true"):
-    return hourly(t, when).groupBy("cell", day("hr").alias("day")).agg(F.sum("mm").alias("rain"), F.max("mm").alias("top"), F.count("mm").alias("n_hours"))
+    return hourly(t, when).groupBy("cell", day("hr").alias("day")).agg(M.r6(F.sum("mm")).alias("rain"), F.max("mm").alias("top"), F.count("mm").alias("n_hours"))
 
 
 DENSE = f"(SELECT g.cell, g.day, d.rain FROM (SELECT cell, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM {DAILY} GROUP BY cell) g LEFT JOIN {DAILY} d ON g.cell = d.cell AND g.day = d.day)"

@@ -26,3 +26,15 @@ def test_a_source_without_an_event_sends_nothing(spark, tmp_path):
     short = given("lineitem").replace("*", "* REPLACE (TIMESTAMP '1992-01-01' AS l_shipdate)")
     df = agrees(spark, tmp_path, "eva_8_observed_exposure", lineitem=short, **{t: given(t) for t in ("supplier", "part", "orders")})
     assert df.filter("active = 0 AND exposure = 0").count() > 0
+
+
+def _days(total: str) -> str:
+    """Events of 2000 cells, each with 24 hours of one day whose hundredths come to `total`."""
+    part = "(hash(c * 100 + h) % 600)"
+    return f"""WITH x AS (SELECT c, h, {part} AS v FROM range(2000) a(c), range(23) b(h)), y AS (SELECT c, h, v FROM x UNION ALL SELECT c, 23, {total} * 100 - sum(v) FROM x GROUP BY 1)
+SELECT c * 24 + h AS event_id, TIMESTAMP '2024-01-01' + to_hours(h::INT) AS ts, c AS user_id, 'view' AS event_type, v::DOUBLE / 100 AS value, '' AS props FROM y"""
+
+
+def test_the_order_of_a_sum_decides_no_headline(spark, tmp_path):
+    df = agrees(spark, tmp_path, "rul_4_headline", events=_days("200"))
+    assert [tuple(r) for r in df.groupBy("headline").count().collect()] == [("Wet", 2000)]
