@@ -38,3 +38,8 @@ SELECT c * 24 + h AS event_id, TIMESTAMP '2024-01-01' + to_hours(h::INT) AS ts,
 def test_the_order_of_a_sum_decides_no_headline(spark, tmp_path):
     df = agrees(spark, tmp_path, "rul_4_headline", events=_days("200"))
     assert [tuple(r) for r in df.groupBy("headline").count().collect()] == [("Wet", 2000)]
+
+
+def test_the_order_of_a_sum_decides_no_half(spark, tmp_path):
+    df = agrees(spark, tmp_path, "snk_9_daily_document", events=_days("169.5"))
+    assert df.select("p").distinct().count() == 1
