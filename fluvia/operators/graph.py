@@ -69,7 +69,7 @@ def closure(edges: DataFrame, roots: DataFrame, cap: float, most_rounds: int | N
     """root, node, dist: nodes within `cap` along edges (src, dst, length) against their direction from each root.
 
     Only nodes whose distance fell in the last round are expanded, HOPS edges at a time, until none fell; shortest distances are kept. What was
-    reached is kept as the rounds' deltas, which are put together once in DELTAS rounds. An error if `most_rounds` edges in a row don't suffice.
+    reached is kept as the rounds' deltas, which are put together once in DELTAS rounds. Joins are by sorting, so that no round sends a copy of the edges through the driver. An error if `most_rounds` edges in a row don't suffice.
     """
     reached = [_step(roots.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist")).distinct())]
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("up"), "length")
@@ -80,10 +80,10 @@ def closure(edges: DataFrame, roots: DataFrame, cap: float, most_rounds: int | N
             raise RuntimeError(f"unfinished after {most_rounds} edges")
         hop, met = front, None
         for _ in range(HOPS):
-            hop = hop.join(back, "node").select("root", F.col("up").alias("node"), (F.col("dist") + F.col("length")).alias("dist")).filter(F.col("dist") <= cap)
+            hop = hop.join(back.hint("merge"), "node").select("root", F.col("up").alias("node"), (F.col("dist") + F.col("length")).alias("dist")).filter(F.col("dist") <= cap)
             met = hop if met is None else met.unionByName(hop)
         old = reduce(DataFrame.unionByName, reached)
-        front = _step(least(met).join(least(old).withColumnRenamed("dist", "old"), ["root", "node"], "left").filter("old IS NULL OR dist < old").select("root", "node", "dist"))
+        front = _step(least(met).join(least(old).withColumnRenamed("dist", "old").hint("merge"), ["root", "node"], "left").filter("old IS NULL OR dist < old").select("root", "node", "dist"))
         if front.isEmpty():
             return least(old)
         reached.append(front)

@@ -43,3 +43,18 @@ def test_the_order_of_a_sum_decides_no_headline(spark, tmp_path):
 def test_the_order_of_a_sum_decides_no_half(spark, tmp_path):
     df = agrees(spark, tmp_path, "snk_9_daily_document", events=_days("169.5"))
     assert df.select("p").distinct().count() == 1
+
+
+def test_a_closure_broadcasts_nothing(spark, monkeypatch):
+    from fluvia.operators import graph
+
+    plans, step = [], graph._step
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return step(df)
+
+    monkeypatch.setattr(graph, "_step", seen)
+    e = spark.createDataFrame([(k + 1, k, 1.0) for k in range(1, 20)], "src long, dst long, length double")
+    assert graph.closure(e, spark.createDataFrame([(1,)], "node long"), 100.0).count() == 20
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
