@@ -60,12 +60,22 @@ def decay_index(df: DataFrame, keys: list[str], day: str, value: str, k: float =
     return x.select(*keys, day, (F.col("_acc") + scale * F.lit(k) * F.coalesce("_before", F.lit(0.0))).alias(out))
 
 
-def travel_shift(df: DataFrame, day: str, hours: str, value: str, keys: list[str]) -> DataFrame:
-    """Move values forward by travel time, split over the two days that it falls between."""
+#: Rows whose sums one task holds.
+ROWS_A_TASK = 1 << 18
+
+
+def travel_shift(df: DataFrame, day: str, hours: str, value: str, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """Move values forward by travel time, split over the two days that it falls between.
+
+    With `tasks` the rows are dealt to so many by key and day before they are summed: where nearly every row has a sum of its own, a task then holds its share of them only.
+    """
     days = F.floor(F.col(hours) / 24).cast("int")
     part = F.col(hours) / 24 - F.floor(F.col(hours) / 24)
     shifted = df.select(*keys, F.explode(F.array(F.struct(F.date_add(F.col(day), days).alias("d"), (F.col(value) * (1 - part)).alias("v")), F.struct(F.date_add(F.col(day), days + 1).alias("d"), (F.col(value) * part).alias("v")))).alias("_s"))
-    return shifted.groupBy(*keys, F.col("_s.d").alias(day)).agg(F.sum("_s.v").alias(value))
+    shifted = shifted.select(*keys, F.col("_s.d").alias(day), F.col("_s.v").alias(value))
+    if tasks:
+        shifted = shifted.repartition(tasks, *keys, day)
+    return shifted.groupBy(*keys, day).agg(F.sum(value).alias(value))
 
 
 def lead_shift(sources: DataFrame, values: DataFrame, k: int, site: str = "site", day: str = "day", lead: str = "lead", value: str = "p") -> DataFrame:

@@ -92,7 +92,7 @@ query("win_14_window_totals", f"SELECT s.cell, s.day, {R('sum(h.mm)')} AS r48, c
 )
 _LI = "(SELECT l_suppkey AS site, l_shipdate::DATE AS day, l_quantity * 2 AS h, sum(l_discount) AS p FROM lineitem GROUP BY ALL)"
 query("win_15_travel_shift", f"SELECT site, (day + floor(h / 24)::INT + k)::DATE AS day, {R('sum(p * CASE WHEN k = 0 THEN 1 - (h / 24 - floor(h / 24)) ELSE h / 24 - floor(h / 24) END)')} AS p FROM {_LI}, unnest([0, 1]) u(k) GROUP BY 1, 2")(
-    lambda t: T.travel_shift(t.lineitem.groupBy(col("l_suppkey").alias("site"), day("l_shipdate").alias("day"), (col("l_quantity") * 2).alias("h")).agg(F.sum("l_discount").alias("p")), "day", "h", "p", ["site"]).withColumn("p", M.r6(col("p")))
+    lambda t: T.travel_shift(t.lineitem.select(col("l_suppkey").alias("site"), day("l_shipdate").alias("day"), (col("l_quantity") * 2).alias("h"), col("l_discount").alias("p")), "day", "h", "p", ["site"], 1 + t.lineitem.count() // T.ROWS_A_TASK).withColumn("p", M.r6(col("p")))
 )
 query("win_16_lead_shift", f"SELECT o_custkey, greatest(date_diff('day', o_orderdate::DATE, DATE '1998-01-05'), 0)::BIGINT AS lead, {R('sum(o_totalprice)')} AS v FROM orders WHERE o_orderdate >= '1998-01-01' GROUP BY 1, 2")(lambda t: t.orders.filter("o_orderdate >= '1998-01-01'").groupBy("o_custkey", big(F.greatest(F.datediff(lit("1998-01-05").cast("date"), "o_orderdate"), lit(0))).alias("lead")).agg(M.r6(F.sum("o_totalprice")).alias("v")))
 query("win_17_risen", "SELECT event_id FROM (SELECT event_id, value, ts, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE value >= 50 AND before < 50")(lambda t: t.events.select("event_id", "value", F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before")).filter("value >= 50 AND before < 50").select("event_id"))

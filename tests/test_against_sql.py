@@ -58,3 +58,13 @@ def test_a_closure_broadcasts_nothing(spark, monkeypatch):
     e = spark.createDataFrame([(k + 1, k, 1.0) for k in range(1, 20)], "src long, dst long, length double")
     assert graph.closure(e, spark.createDataFrame([(1,)], "node long"), 100.0).count() == 20
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_sums_of_a_travel_shift_are_dealt_out(spark):
+    from fluvia.operators import temporal
+
+    x = spark.range(4000).selectExpr("id % 1000 AS k", "DATE '2024-01-01' + CAST(id % 7 AS INT) AS d", "CAST(id % 50 AS DOUBLE) AS h", "1D AS p")
+    one, many = (temporal.travel_shift(x, "d", "h", "p", ["k"], n) for n in (None, 9))
+    assert many.rdd.getNumPartitions() == 9
+    round_ = lambda df: sorted((r.k, r.d, round(r.p, 9)) for r in df.collect())
+    assert round_(one) == round_(many)
