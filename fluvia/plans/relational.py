@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fluvia.functions import maths as M
+from fluvia.operators import companions
 from fluvia.operators import temporal as T
 from fluvia.plans.base import big, col, lit, query
 
@@ -140,7 +141,7 @@ query("jon_19_lead_features", f"SELECT a.cell, a.day, {R('a.rain')} AS d0, {R('b
     lambda t: (x := daily(t).select("cell", "day", F.explode(F.array(lit(0), lit(1), lit(2))).alias("k"), "rain")).groupBy("cell", F.date_add("day", col("k")).alias("day")).agg(*[M.r6(F.max(F.when(col("k") == k, col("rain")))).alias(f"d{k}") for k in range(3)], F.count_if(col("k") == 0).alias("n")).filter("n = 1").drop("n")
 )
 query("jon_20_co_observation", "SELECT a AS user_a, arg_max(b, (n, -b)) AS user_b FROM (SELECT x.user_id AS a, y.user_id AS b, count(*) AS n FROM events x JOIN events y ON date_trunc('hour', x.ts) = date_trunc('hour', y.ts) AND x.event_type = y.event_type AND x.user_id <> y.user_id GROUP BY 1, 2) GROUP BY 1")(
-    lambda t: (e := t.events.groupBy("user_id", F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.count("*").alias("m"))).join(e.withColumnsRenamed({"user_id": "b", "m": "k"}), ["h", "event_type"]).filter("user_id <> b").groupBy(col("user_id").alias("user_a"), "b").agg(F.sum(col("m") * col("k")).alias("n")).groupBy("user_a").agg(F.max_by("b", F.struct("n", -col("b"))).alias("user_b"))
+    lambda t: companions.most_frequent(t.events.groupBy("user_id", F.unix_seconds(F.date_trunc("hour", "ts")).alias("h"), "event_type").agg(F.count("*").alias("m")), "user_id", "event_type", "h", "m").withColumnsRenamed({"user_id": "user_a", "other": "user_b"})
 )
 query("jon_21_aligned", "SELECT o_custkey, count(*)::BIGINT AS n, max(o_totalprice) AS top FROM orders GROUP BY 1")(lambda t: t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")))
 
