@@ -57,7 +57,7 @@ query("snk_3_scored_csv", "SELECT strftime(o_orderdate, '%Y-%m-%d') || ',' || o_
 query("snk_5_features", "SELECT '{\"type\":\"Feature\",\"id\":' || s_suppkey || '}' AS feature FROM supplier WHERE s_suppkey % 90 BETWEEN 10 AND 40")(lambda t: t.supplier.filter("s_suppkey % 90 BETWEEN 10 AND 40").select(F.to_json(F.struct(lit("Feature").alias("type"), col("s_suppkey").alias("id"))).alias("feature")))
 query("snk_6_delta_records", "SELECT l_suppkey, string_agg(d::VARCHAR, ',' ORDER BY k) AS code FROM (SELECT l_suppkey, k, k - coalesce(lag(k) OVER (PARTITION BY l_suppkey ORDER BY k), 0) AS d FROM (SELECT DISTINCT l_suppkey, l_orderkey AS k FROM lineitem)) GROUP BY 1")(lambda t: t.lineitem.groupBy("l_suppkey").agg(F.sort_array(F.collect_set("l_orderkey")).alias("x")).select("l_suppkey", F.array_join(F.transform("x", lambda v, i: (v - F.coalesce(F.get(col("x"), i - 1), lit(0))).cast("string")), ",").alias("code")))
 query("snk_8_tiles", "SELECT (s_suppkey % 90 // 4)::BIGINT AS tile, count(*)::BIGINT AS n FROM supplier GROUP BY 1")(lambda t: t.supplier.groupBy(F.floor(col("s_suppkey") % 90 / 4).alias("tile")).agg(F.count("*").alias("n")))
-query("snk_9_daily_document", f"SELECT cell, string_agg(coalesce(round(least(rain / 1000, 1) * 1000)::BIGINT::VARCHAR, 'null'), ',' ORDER BY day) AS p FROM {DAILY} GROUP BY 1")(lambda t: daily(t).groupBy("cell").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", F.coalesce(F.round(F.least(col("rain") / 1000, lit(1.0)) * 1000).cast("bigint").cast("string"), lit("null")).alias("p")))), lambda s: s["p"]), ",").alias("p")))
+query("snk_9_daily_document", f"SELECT cell, string_agg(coalesce(round(least(rain / 1000, 1) * 1000)::BIGINT::VARCHAR, 'null'), ',' ORDER BY day) AS p FROM {DAILY} GROUP BY 1")(lambda t: daily(t).groupBy("cell").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(col("day").isNull().alias("none"), "day", F.coalesce(F.round(F.least(col("rain") / 1000, lit(1.0)) * 1000).cast("bigint").cast("string"), lit("null")).alias("p")))), lambda s: s["p"]), ",").alias("p")))
 query("snk_14_alert_document", "SELECT s_suppkey AS id, CASE WHEN s_acctbal > 8000 THEN 3 WHEN s_acctbal > 4000 THEN 2 ELSE 1 END::BIGINT AS rank FROM supplier")(lambda t: t.supplier.select(col("s_suppkey").alias("id"), big(F.when(col("s_acctbal") > 8000, 3).when(col("s_acctbal") > 4000, 2).otherwise(1)).alias("rank")))
 query("snk_15_csv_row", "SELECT c_custkey || ',' || c_name || ',' || c_mktsegment AS row FROM customer")(lambda t: t.customer.select(F.to_csv(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("row")))
 query("snk_17_undescribed", "SELECT n_nationkey::BIGINT AS k FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 6000)")(lambda t: t.nation.select(big(col("n_nationkey")).alias("k")).join(t.supplier.filter("s_acctbal > 6000").select(big(col("s_nationkey")).alias("k")), "k", "left_anti"))

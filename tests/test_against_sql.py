@@ -68,3 +68,14 @@ def test_sums_of_a_travel_shift_are_dealt_out(spark):
     assert many.rdd.getNumPartitions() == 9
     round_ = lambda df: sorted((r.k, r.d, round(r.p, 9)) for r in df.collect())
     assert round_(one) == round_(many)
+
+
+def test_every_half_and_an_event_without_a_time(spark, tmp_path):
+    """Days of each half thousandth, and events with no time, whose day comes last on both sides."""
+    part = "(hash(c * 100 + h) % 600)"
+    parts = f"WITH x AS (SELECT c, h, {part} AS v FROM range(1100) a(c), range(23) b(h)), y AS (SELECT c, h, v FROM x UNION ALL SELECT c, 23, c * 100 + 50 - sum(v) FROM x GROUP BY 1)"
+    days = f"{parts} SELECT c * 24 + h AS event_id, TIMESTAMP '2024-01-01' + to_hours((24 * (c % 50) + h)::INT) AS ts, c // 50 AS user_id, 'view' AS event_type, v::DOUBLE / 100 AS value, '' AS props FROM y"
+    untimed = "SELECT 100000 + c, NULL, c, 'view', 7.5, '' FROM range(22) t(c)"
+    df = agrees(spark, tmp_path, "snk_9_daily_document", events=f"{days} UNION ALL {untimed}")
+    got = {r.cell: r.p.split(",") for r in df.collect()}
+    assert got[0][0] == "1" and got[19][-2] == "1000" and got[0][-1] == "8"
