@@ -59,3 +59,33 @@ def latest_end(windows: DataFrame, events: DataFrame, keys: list[str], lo: str,
     before = marks.select(*keys, "_block", F.max("_m").over(earlier).alias("_before"))
     x = x.filter(F.col("_row").isNotNull()).join(before, [*keys, "_block"], "left").withColumn("_last", F.greatest("_in", "_before"))
     return x.select("_row.*", F.when(F.col("_last") >= F.col(f"_row.{lo}"), F.col("_last")).alias(out))
+
+
+def overlap_totals(windows: DataFrame, events: DataFrame, keys: list[str], by: list[str], lo: str, hi: str, start: str, end: str, block: int) -> DataFrame:
+    """Of each `by`, over its windows: `n` events of the same keys whose closed [start, end] meets [lo, hi], and the length `total` that they have in common; the windows' other columns are summed.
+
+    Ends are whole numbers, sums are exact. No pair is made: the events that meet a window are those begun by `hi` less those ended before `lo`, and the common length is what the events
+    cover up to `hi` less what they cover up to `lo`. Both are running sums over one order of all ends, inside blocks of time of each key, and over the blocks' sums, of which a
+    key has as many as blocks. A key with a third of all rows is sorted block by block, by many tasks. Windows with a null key or end are left out.
+    """
+    rest = [c for c in windows.columns if c not in {*keys, *by, lo, hi}]
+    # at equal times: events' starts, windows' ends, events' ends
+    mark = lambda c, o, cols=(): F.struct(F.col(c).cast("long").alias("_t"), F.lit(o).alias("_o"), *cols)
+    none = [F.lit(None).cast(windows.schema[c].dataType).alias(c) for c in rest]
+    blocked = lambda df: df.select(*[c for c in df.columns if c != "_m"], "_m.*").withColumn("_block", F.floor(F.col("_t") / F.lit(block)))
+    a = blocked(windows.filter(F.col(lo) <= F.col(hi)).select(*keys, *by, F.explode(F.array(mark(lo, 1, none), mark(hi, 2, [F.col(c) for c in rest]))).alias("_m")))
+    b = blocked(events.filter(F.col(start) <= F.col(end)).select(*keys, F.explode(F.array(mark(start, 0), mark(end, 3))).alias("_m")))
+    t, o = F.col("_t").cast("decimal(18,0)"), F.col("_o")
+    parts = {"_begun": F.sum((o == 0).cast("long")), "_ended": F.sum((o == 3).cast("long")), "_sum": F.sum(F.when(o == 0, t).when(o == 3, -t).otherwise(F.lit(0).cast("decimal(18,0)")))}
+    inside = Window.partitionBy(*keys, "_block").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    x = a.unionByName(b, allowMissingColumns=True)
+    x = x.select("*", *[v.over(inside).alias(k) for k, v in parts.items()]).filter(o.isin(1, 2))
+    # a block's sums reach the later ones
+    sums = b.groupBy(*keys, "_block").agg(*[v.alias(k) for k, v in parts.items()]).unionByName(a.select(*keys, "_block").distinct(), allowMissingColumns=True)
+    earlier = Window.partitionBy(*keys).orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_block", *[F.sum(k).over(earlier).alias(f"{k}_before") for k in parts]).dropDuplicates([*keys, "_block"])
+    x = x.join(sums, [*keys, "_block"])
+    begun, ended, gone = (F.col(k) + F.coalesce(F.col(f"{k}_before"), F.lit(0)) for k in parts)
+    covered = t * (begun - ended).cast("decimal(19,0)") - gone
+    n, total = F.when(o == 2, begun).otherwise(-ended), F.when(o == 2, covered).otherwise(-covered)
+    return x.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(total).alias("total"), *[F.sum(c).alias(c) for c in rest])

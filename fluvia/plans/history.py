@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions import maths as M
@@ -22,8 +22,15 @@ _EVENTS = """(SELECT o_orderkey, o_custkey AS site, epoch(o_orderdate) / 3600.0
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate)"""
 
 
+_DAY = 86_400_000_000
+
+
+def _micros(c):
+    return F.unix_micros(c.cast("timestamp"))
+
+
 def _hours(c):
-    return F.unix_micros(c.cast("timestamp")) / 3_600_000_000
+    return _micros(c) / 3_600_000_000
 
 
 def _events(t):
@@ -56,9 +63,16 @@ FROM orders o JOIN ev ON ev.site = o.o_custkey AND began <= epoch(o_orderdate) /
 )
 def _overlaps(t):
     """Of each sample: the other events of its site in the 30 days before, and their hours in that window."""
-    s = t.orders.select(col("o_orderkey").alias("sample"), col("o_custkey").alias("site"), _hours(col("o_orderdate")).alias("hi")).withColumn("lo", col("hi") - 720)
-    x = intervals.overlap_join(s, _events(t), ["site"], "lo", "hi", "began", "ended", 24.0 * 15).filter("sample <> o_orderkey")
-    return x.groupBy(col("sample").alias("o_orderkey")).agg(F.count("*").alias("n"), M.r6(F.sum(F.least("ended", "hi") - F.greatest("began", "lo"))).alias("hours"))
+    last = t.lineitem.groupBy(col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("last"), F.count("*").alias("lines"))
+    x = t.orders.filter("o_orderkey IS NOT NULL").select("o_orderkey", col("o_custkey").alias("site"), "o_orderdate").join(last, "o_orderkey", "left")
+    x = x.select("o_orderkey", "site", _micros(col("o_orderdate")).alias("hi"), F.when(col("lines").isNotNull(), _micros(F.greatest("last", "o_orderdate"))).alias("ended")).withColumn("lo", col("hi") - 30 * _DAY)
+    # its own event is among those that it meets: the order's key has one row
+    own = F.filter(F.collect_list(F.struct(col("hi").alias("began"), "ended")).over(Window.partitionBy("o_orderkey", "site")), lambda e: (e["began"] <= col("hi")) & (e["ended"] >= col("lo")))
+    s = x.select("o_orderkey", "site", "lo", "hi", own.alias("own"))
+    s = s.select("o_orderkey", "site", "lo", "hi", F.size("own").cast("long").alias("n_own"), F.aggregate("own", lit(0).cast("long"), lambda a, e: a + F.least(e["ended"], col("hi")) - F.greatest(e["began"], col("lo"))).alias("own"))
+    events = x.select("site", col("hi").alias("began"), "ended")
+    y = intervals.overlap_totals(s, events, ["site"], ["o_orderkey"], "lo", "hi", "began", "ended", 365 * _DAY)
+    return y.filter("n > n_own").select("o_orderkey", (col("n") - col("n_own")).alias("n"), M.r6((col("total") - col("own")).cast("double") / 3_600_000_000).alias("hours"))
 
 
 # --- lead-aware shift and its replay ---------------------------------------------------------------------------------

@@ -79,3 +79,10 @@ def test_every_half_and_an_event_without_a_time(spark, tmp_path):
     df = agrees(spark, tmp_path, "snk_9_daily_document", events=f"{days} UNION ALL {untimed}")
     got = {r.cell: r.p.split(",") for r in df.collect()}
     assert got[0][0] == "1" and got[19][-2] == "1000" and got[0][-1] == "8"
+
+
+def test_overlaps_of_one_hot_site_make_no_pair(spark, tmp_path):
+    """Half of the orders at one site, at odd times: agrees with the SQL, and samples are not copied to buckets to be joined."""
+    orders = given("orders").replace("*", "* REPLACE (CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE o_custkey END AS o_custkey, o_orderdate + to_seconds((hash(o_orderkey) % 90000)::BIGINT) AS o_orderdate)")
+    df = agrees(spark, tmp_path, "eva_8_overlaps", orders=orders, lineitem=given("lineitem"))
+    assert "_bucket" not in df._jdf.queryExecution().executedPlan().toString()

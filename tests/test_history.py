@@ -104,3 +104,21 @@ def test_leave_one_out_equals_refitting(spark):
     few, none = regression.leave_one_out(d, "site", "year", ["x1"], "y", least=10_000)
     assert few.isEmpty() and none.filter("level IS NOT NULL").isEmpty()
     assert math.isclose(fits[2018].b_x1, 2, abs_tol=0.05)
+
+
+@pytest.mark.parametrize("block", [7, 100, 1_000_000])
+def test_overlap_totals(spark, block):
+    windows, events = interval_rows()
+    windows = [(w % 90 if w < 900 else w, k, None if lo is None else int(lo), None if hi is None else int(hi), 1) for w, k, lo, hi in windows]
+    events = [(k, *(None if v is None else math.floor(v) for v in (s, t))) for k, s, t in events]
+    a = spark.createDataFrame(windows, "w long, k int, lo long, hi long, one int")
+    b = spark.createDataFrame(events, "k int, s long, t long")
+    got = {r.w: (r.n, int(r.total), r.one) for r in intervals.overlap_totals(a, b, ["k"], ["w"], "lo", "hi", "s", "t", block).collect()}
+    want = {}
+    for w, k, lo, hi, _ in windows:
+        if None not in (k, lo, hi):
+            met = [(s, t) for j, s, t in events if j == k and s is not None and t is not None and s <= t and s <= hi and t >= lo]
+            n, total, one = want.get(w, (0, 0, 0))
+            want[w] = (n + len(met), total + sum(min(t, hi) - max(s, lo) for s, t in met), one + 1)
+    want = {w: v for w, v in want.items() if w in got or v[0]}
+    assert got == want and sum(v[0] for v in want.values()) > 300
